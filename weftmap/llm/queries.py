@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import mixing, quality, sharding
 from .common import table
 
 
@@ -16,5 +16,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(docs).select("doc_id", *[q[c].alias(c) for c in names])
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix)}
 ORACLES: dict[str, str] = {}
