@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding
+from . import mixing, packing, quality, sharding
 from .common import table
 
 
@@ -24,5 +24,9 @@ def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix)}
+def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_concatenate_and_cut, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix)}
 ORACLES: dict[str, str] = {}
