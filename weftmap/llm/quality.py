@@ -16,6 +16,8 @@ Defined results
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,9 @@ COMMON_WORDS = {
     "fr": ["le", "les", "et", "des", "un", "une", "du", "pour", "que", "qui", "dans", "est", "par", "au", "sur", "elle"],
     "es": ["el", "los", "y", "la", "de", "que", "en", "las", "del", "se", "por", "con", "una", "para", "su", "al"],
 }
-VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
+#: Most frequent first, language by language in turn.
+VOCABULARY = list(dict.fromkeys(w for rank in zip(*COMMON_WORDS.values()) for w in rank))
+LETTERS = string.ascii_letters + string.digits
 #: Character classes, taken off the text one after the other; what is left is the last class.
 CLASSES = ["[a-z]+", "[ ]+", r"\p{Ll}+", "[A-Z]+", r"[.,;:!?'\"()\-]+", r"[\x09-\x0D]+", "[0-9]+", r"\p{L}+"]
 WINDOW = 5
@@ -39,38 +43,64 @@ MIN_CHARS = 200
 MIN_WORDS = 80
 
 
+def _bind(value: Column, f) -> Column:
+    """f(value), with the value computed once for all lambdas in f."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Number of words inside ``window``-word windows that occur twice or more in the array.
 
     One sort finds them: hash bits of the window above, its position below, in one long, so
     equal windows become neighbours in a primitive sort.  The words themselves are compared
-    before a pair of neighbours counts, so a chance collision adds nothing.
+    before a pair of neighbours counts, so a chance collision adds nothing.  Window hashes
+    are folded pairwise (1, 2, 4, ... words), which needs few steps a word.
     """
     n = F.size(words)
-    bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
-    starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    up = lambda x: F.call_function("shiftleft", x, bits)  # noqa: E731  the width is a column
-    down = lambda x: F.call_function("shiftright", x, bits)
-    mask = up(F.lit(1).cast("long")) - 1
-
-    def packed(i: Column) -> Column:
-        h = F.xxhash64(*[F.get(words, i + k) for k in range(window)])
-        return up(h).bitwiseOR(i.cast("long"))
-
-    def same(a: Column, b: Column) -> Column:
-        i, j = a.bitwiseAND(mask).cast("int"), b.bitwiseAND(mask).cast("int")
-        return (down(a) == down(b)) & (F.slice(words, i + 1, window) == F.slice(words, j + 1, window))
+    rest = lambda x, k: F.slice(x, k + 1, F.greatest(n - k, F.lit(0)))
+
+    def fold(h: Column) -> Column:
+        """Hashes of ``window`` words from hashes of one; the last window - 1 mean nothing."""
+        have, size, out, at = h, 1, None, 0
+        left = window
+        while left:
+            if left & 1:
+                part = rest(have, at) if at else have
+                out = part if out is None else F.zip_with(out, part, lambda a, b: F.xxhash64(a, b))
+                at += size
+            left >>= 1
+            if left:
+                have = F.zip_with(have, rest(have, size), lambda a, b: F.xxhash64(a, b))
+                size *= 2
+        return out
+
+    def count(bits: Column) -> Column:
+        up = lambda x: F.call_function("shiftleft", x, bits)  # noqa: E731  the width is a column
+        down = lambda x: F.call_function("shiftright", x, bits)
+
+        def place(x: Column) -> Column:
+            return (x - up(down(x))).cast("int")
+
+        def same(a: Column, b: Column) -> Column:
+            equal = down(a.bitwiseXOR(b)) == 0
+            for k in range(window):
+                equal = equal & (F.get(words, place(a) + k) == F.get(words, place(b) + k))
+            return equal
+
+        def covered(order: Column) -> Column:
+            hit = F.filter(order, lambda x, k: same(x, F.get(order, k - 1)) | same(x, F.get(order, k + 1)))
+            return F.sort_array(F.transform(hit, place))
+
+        def total(at: Column) -> Column:
+            steps = F.transform(at, lambda p, k: F.least(F.lit(window), F.coalesce(F.get(at, k + 1) - p, F.lit(window))))
+            return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
+
+        hashes = F.slice(fold(F.transform(words, lambda w: F.xxhash64(w))), F.lit(1), n - window + 1)
+        packed = F.sort_array(F.transform(hashes, lambda h, i: up(h).bitwiseOR(i.cast("long"))))
+        return _bind(_bind(packed, covered), total)
 
-    # aggregate() over one element binds the sorted array once for the lambdas below
-    def covered(order: Column) -> Column:
-        hit = F.filter(order, lambda x, k: F.coalesce((k > 0) & same(x, F.get(order, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(order, k + 1)), F.lit(False)))
-        return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(mask)))
-
-    def total(at: Column) -> Column:
-        return F.aggregate(F.transform(at, lambda p, k: F.least(F.lit(window).cast("long"), F.coalesce(F.get(at, k + 1) - p, F.lit(window).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
-
-    bind = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    return F.coalesce(bind(bind(F.sort_array(F.transform(starts, packed)), covered), total), F.lit(0).cast("long"))
+    bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
+    return F.when(n < window, F.lit(0).cast("long")).otherwise(_bind(bits, count))
 
 
 def char_histogram(text: Column) -> Column:
@@ -86,19 +116,13 @@ def char_histogram(text: Column) -> Column:
 def word_histogram(words: Column) -> Column:
     """Array of counts of ``VOCABULARY`` and, last, of all other words.
 
-    The common words are joined, each between blanks; taking one off after the other
-    shortens the string, and the bytes taken give its count.
+    Each common word becomes one letter of a string; taking a letter off the string gives its count.
     """
     common = F.filter(words, lambda w: w.isin(VOCABULARY))
-    joined = F.concat(F.lit(" "), F.array_join(common, "  "), F.lit(" "))
-    zero = F.struct(joined.alias("s"), F.array().cast("array<double>").alias("n"))
-
-    def take(acc: Column, w: Column) -> Column:
-        rest = F.replace(acc["s"], w, F.lit(""))
-        return F.struct(rest.alias("s"), F.array_append(acc["n"], (F.octet_length(acc["s"]) - F.octet_length(rest)) / F.octet_length(w)).alias("n"))
-
-    each = F.aggregate(F.array(*[F.lit(f" {w} ") for w in VOCABULARY]), zero, take, lambda acc: acc["n"])
-    return F.array_append(each, (F.size(words) - F.size(common)).cast("double"))
+    vocabulary = F.array(*[F.lit(w) for w in VOCABULARY])
+    letters = F.array_join(F.transform(common, lambda w: F.substring(F.lit(LETTERS), F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
+    taken = lambda s: F.transform(F.array(*[F.lit(c) for c in LETTERS[: len(VOCABULARY)]]), lambda c: (F.octet_length(s) - F.octet_length(F.replace(s, c, F.lit("")))).cast("double"))
+    return _bind(letters, lambda s: F.array_append(taken(s), (F.size(words) - F.octet_length(s)).cast("double")))
 
 
 def js_distance(a: Column, b: Column) -> Column:
