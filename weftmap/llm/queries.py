@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, packing, quality, sharding
+from . import fingerprints, mixing, neardup, packing, quality, sharding
 from .common import table
 
 
@@ -28,9 +28,13 @@ def op2_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_prefix_fingerprints, op5_concatenate_and_cut, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix)}
+QUERIES = {f.__name__: f for f in (op2_prefix_fingerprints, op3_dart_minhash, op5_concatenate_and_cut, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix)}
 ORACLES: dict[str, str] = {}
