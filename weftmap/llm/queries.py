@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, neardup, packing, quality, sharding
+from . import fingerprints, linkgraph, mincut, mixing, neardup, packing, quality, sharding, warc
 from .common import table
 
 
+def op6_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     q = F.col("__quality")
@@ -24,6 +28,10 @@ def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_digest(table(spark, sf_dir, "pages"))
+
+
 def op2_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -32,9 +40,13 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mincut.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_prefix_fingerprints, op3_dart_minhash, op5_concatenate_and_cut, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_prefix_fingerprints, op3_dart_minhash, op4_minimum_cut_text, op5_concatenate_and_cut, op6_link_graph_filter, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": warc.SQL}
