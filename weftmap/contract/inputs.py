@@ -88,4 +88,4 @@ def sql(body: str, *names: str) -> str:
     for k in reversed(keys):
         if k in wanted:
             wanted |= {m for m in re.findall(r"\b\w+\b", CTE[k]) if m in CTE and keys.index(m) < keys.index(k)}
-    return "WITH " + ", ".join(f"{k} AS ({CTE[k]})" for k in keys if k in wanted) + " " + body
+    return "WITH " + ", ".join(f"{k} AS ({CTE[k]})" for k in keys if k in wanted) + ("" if body.startswith(",") else " ") + body

@@ -158,3 +158,6 @@ def strongest_peaks(spark, sf_dir):
     own = bins_of(inputs.ranges(spark, sf_dir, "p_type")).select(F.col("bin").alias("p"), F.col("order_index").alias("c"))
     out = windows.strongest_peaks(inputs.track(spark, sf_dir).join(own, "p"), "value", "c")
     return out.select("c", "p", r("height").alias("height"), r("prominence").alias("prominence"))
+
+
+from . import blocks_queries  # noqa: E402, F401  registers its queries
