@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import saved, words_of
 
 # Frequent function words of each language, lower case.
 COMMON_WORDS = {
@@ -138,40 +138,47 @@ def js_distance(a: Column, b: Column) -> Column:
     return F.when((ta > 0) & (tb > 0), F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), d))))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """One row for each language of ``COMMON_WORDS`` found: summed histograms over all its documents.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    Its size is bounded by the list of languages, whatever the input holds.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.where(F.col(lang).isin(*COMMON_WORDS)).select(F.col(lang).alias("__lang"), words_of(body).alias("__w"), body.alias("__t"))
-    parts = base.select("__lang", char_histogram(F.col("__t")).alias("__c"), word_histogram(F.col("__w")).alias("__f"))
-    nc, nf = len(CLASSES) + 1, len(VOCABULARY) + 1
-    sums = parts.groupBy("__lang").agg(*[F.sum(F.col("__c")[i]).alias(f"c{i}") for i in range(nc)], *[F.sum(F.col("__f")[i]).alias(f"f{i}") for i in range(nf)])
-    return sums.select("__lang", F.array(*[f"c{i}" for i in range(nc)]).alias("__rc"), F.array(*[f"f{i}" for i in range(nf)]).alias("__rf"))
-
-
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``docs`` with one struct column ``__quality`` of all counts, distances and the verdict.
 
-    Two scans and no shuffle of texts: the first sums the references (a few rows), the second
-    judges each row where it is read.
-    """
-    refs = language_references(docs, text, lang).agg(F.collect_list(F.struct("__lang", "__rc", "__rf")).alias("__refs"))
+def histograms(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with the words __w, and the histograms __c of character classes and __f of common words."""
     df = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumn("__w", words_of(F.col("__t")))
+    return df.withColumn("__c", char_histogram(F.col("__t"))).withColumn("__f", word_histogram(F.col("__w")))
+
+
+def features(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with __c, __f and the struct __n of counts."""
+    df = histograms(docs, text)
     lines = F.filter(F.split("__t", "\n", -1), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("__l", lines)
-    df = df.withColumn("__n", F.struct(
+    counts = F.struct(
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("__t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("__w")).alias("n_repeat_words"),
         F.length("__t").cast("long").alias("chars"),
-    ))
-    df = df.withColumn("__c", char_histogram(F.col("__t"))).withColumn("__f", word_histogram(F.col("__w")))
-    df = df.drop("__w", "__l", "__t").crossJoin(F.broadcast(refs))  # one row, of at most one entry a language
+    )
+    return df.withColumn("__n", counts).drop("__w", "__l", "__t")
+
+
+def language_references(parts: DataFrame, lang: str) -> DataFrame:
+    """One row: __refs, the summed histograms of each language of ``COMMON_WORDS`` that is found.
+
+    Its size is bounded by the list of languages, whatever the input holds.
+    """
+    known = parts.where(F.col(lang).isin(*COMMON_WORDS)).select(F.col(lang).alias("__lang"), "__c", "__f")
+    nc, nf = len(CLASSES) + 1, len(VOCABULARY) + 1
+    sums = known.groupBy("__lang").agg(*[F.sum(F.col("__c")[i]).alias(f"c{i}") for i in range(nc)], *[F.sum(F.col("__f")[i]).alias(f"f{i}") for i in range(nf)])
+    entry = F.struct("__lang", F.array(*[f"c{i}" for i in range(nc)]).alias("__rc"), F.array(*[f"f{i}" for i in range(nf)]).alias("__rf"))
+    return sums.agg(F.collect_list(entry).alias("__refs"))
+
+
+def judged(df: DataFrame, refs: DataFrame, lang: str, min_chars: int, min_words: int, max_char: float, max_word: float) -> DataFrame:
+    """Rows of ``features`` with the struct __quality in place of the helper columns."""
+    df = df.crossJoin(F.broadcast(refs))  # one row, of at most one entry a language
     own = F.filter("__refs", lambda r: r["__lang"] == F.col(lang))
     df = df.withColumn("__refs", F.when(F.size(own) > 0, own).otherwise(F.col("__refs")))
     least = lambda mine, theirs: F.array_min(F.transform("__refs", lambda r: js_distance(F.col(mine), r[theirs])))
@@ -179,10 +186,27 @@ def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_c
     df = df.withColumn("__d", F.struct(F.when(n["chars"] >= min_chars, least("__c", "__rc")).alias("chars"), F.when(n["n_words"] >= min_words, least("__f", "__rf")).alias("words")))
     failed = (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
     far = F.coalesce(F.col("__d.chars") > max_char, F.lit(False)) | F.coalesce(F.col("__d.words") > max_word, F.lit(False))
-    out = F.struct(*[n[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.col("__d.chars").alias("char_distance"), F.col("__d.words").alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+    out = F.struct(*[n[c].alias(c) for c in COUNTS], F.col("__d.chars").alias("char_distance"), F.col("__d.words").alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
     return df.withColumn("__quality", out).drop("__c", "__f", "__n", "__d", "__refs")
 
 
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """``docs`` with one struct column ``__quality`` of all counts, distances and the verdict.
+
+    Two scans and no shuffle of texts: the first sums the references (one row), the second
+    judges each row where it is read.
+    """
+    refs = language_references(histograms(docs.select(lang, text), text), lang)
+    return judged(features(docs, text), refs, lang, min_chars, min_words, max_char, max_word)
+
+
+def quality_digest(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Verdicts without the texts: one scan writes the features, the rest reads those."""
+    slim = saved(features(docs.select(*keep, F.col(lang).alias("__of"), F.col(text).alias("__body")), "__body").drop("__body"), "features")
+    out = judged(slim, language_references(slim, "__of"), "__of", MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)
+    return out.select(*keep, "__quality.*")
+
+
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     return judge_quality(docs).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import fingerprints, licences, linkgraph, mincut, mixing, neardup, packing, quality, sharding, warc
 from .common import table
@@ -14,10 +13,7 @@ def op6_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    q = F.col("__quality")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"]
-    return quality.judge_quality(docs).select("doc_id", *[q[c].alias(c) for c in names])
+    return quality.quality_digest(table(spark, sf_dir, "documents"))
 
 
 def op8_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
