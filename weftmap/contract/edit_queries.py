@@ -154,12 +154,12 @@ def _states(spark, sf_dir):
     li = inputs.read(spark, sf_dir, "lineitem")
     w = W.Window.partitionBy("l_orderkey")
     base = li.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"), F.min("l_suppkey").alias("s"), F.min("l_quantity").alias("q"))
-    a = base.where("q > 5").select(F.col("l_orderkey").alias("map_id"), F.col("l_partkey").alias("segment"), F.row_number().over(w.orderBy("n")).alias("order_index"), F.lit(False).alias("inverted"))
-    b = base.where("q < 45").select(F.col("l_orderkey").alias("map_id"), F.col("l_partkey").alias("segment"), F.row_number().over(w.orderBy("s", "n")).alias("order_index"), (F.col("q") > 30).alias("inverted"))
+    a = base.where("q > 5").select(F.col("l_orderkey").alias("map_id"), F.col("l_partkey").alias("segment"), F.row_number().over(w.orderBy("n", "l_partkey")).alias("order_index"), F.lit(False).alias("inverted"))
+    b = base.where("q < 45").select(F.col("l_orderkey").alias("map_id"), F.col("l_partkey").alias("segment"), F.row_number().over(w.orderBy("s", "n", "l_partkey")).alias("order_index"), (F.col("q") > 30).alias("inverted"))
     return a, b
 
 
-DIFF = "WITH base AS (SELECT l_orderkey AS m, l_partkey AS g, min(l_linenumber) AS n, min(l_suppkey) AS s, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), a AS (SELECT m, g, n, false AS inv FROM base WHERE q > 5), b AS (SELECT m, g, s, n, q > 30 AS inv FROM base WHERE q < 45), ab AS (SELECT a.m, a.g, row_number() OVER (PARTITION BY a.m ORDER BY a.n) AS pa, row_number() OVER (PARTITION BY a.m ORDER BY b.s, b.n) AS pb, b.inv FROM a JOIN b ON a.m = b.m AND a.g = b.g) SELECT m AS map_id, g AS segment, CASE WHEN inv THEN 'inverted' WHEN pa <> pb THEN 'moved' ELSE 'unchanged' END AS change FROM ab UNION ALL SELECT m, g, 'removed' FROM a WHERE (m, g) NOT IN (SELECT (m, g) FROM b) UNION ALL SELECT m, g, 'added' FROM b WHERE (m, g) NOT IN (SELECT (m, g) FROM a)"
+DIFF = "WITH base AS (SELECT l_orderkey AS m, l_partkey AS g, min(l_linenumber) AS n, min(l_suppkey) AS s, min(l_quantity) AS q FROM lineitem GROUP BY 1, 2), a AS (SELECT m, g, n, false AS inv FROM base WHERE q > 5), b AS (SELECT m, g, s, n, q > 30 AS inv FROM base WHERE q < 45), ab AS (SELECT a.m, a.g, row_number() OVER (PARTITION BY a.m ORDER BY a.n, a.g) AS pa, row_number() OVER (PARTITION BY a.m ORDER BY b.s, b.n, b.g) AS pb, b.inv FROM a JOIN b ON a.m = b.m AND a.g = b.g) SELECT m AS map_id, g AS segment, CASE WHEN inv THEN 'inverted' WHEN pa <> pb THEN 'moved' ELSE 'unchanged' END AS change FROM ab UNION ALL SELECT m, g, 'removed' FROM a WHERE (m, g) NOT IN (SELECT (m, g) FROM b) UNION ALL SELECT m, g, 'added' FROM b WHERE (m, g) NOT IN (SELECT (m, g) FROM a)"
 
 
 @query(DIFF)
