@@ -58,3 +58,14 @@ def words_of(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def positional(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` under names by place, which no helper column can clash with, and the new names of some."""
+    columns = docs.columns
+    return docs.toDF(*[f"in{k}" for k in range(len(columns))]), [f"in{columns.index(n)}" for n in names]
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, under their own names."""
+    return df.select(*[F.col(f"in{k}").alias(c) for k, c in enumerate(docs.columns)])

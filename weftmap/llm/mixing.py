@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import SPACES, saved, shuffle_partitions
+from .common import SPACES, positional, restored, saved, shuffle_partitions
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2.0
@@ -188,11 +188,11 @@ def pivotal_copies(docs: DataFrame, source: str = "source", text: str = "text",
     return last.withColumn("__copies", (F.col("__whole") + F.round("__frac")).cast("long")).drop("__whole", "__frac", "__key", "__block", "__source")
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    counted = pivotal_copies(docs).where(F.col("__copies") > 0)
-    one = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, (source, text) = positional(docs, source, text)
+    counted = pivotal_copies(inner, source, text).where(F.col("__copies") > 0)
+    return restored(counted.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))), docs)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ class Encoder:
     word goes to the library's model once.  Every other text goes through the library whole.
     """
 
-    # characters for which lower() and the split below agree with the library
+    # characters for which lower() and the split below agree with the library; "<|" may start a special token
     PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
     LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ"
     DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -73,7 +73,7 @@ class Encoder:
         return tuple(t.id for t in self.model.tokenize(spelled))
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.PLAIN.fullmatch(text):
+        if "<|" in text or not self.PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
         words = self.SPLIT.findall(text.lower())
         found = list(map(self.known.get, words))

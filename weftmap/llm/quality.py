@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, words_of
+from .common import positional, restored, saved, words_of
 
 # Frequent function words of each language, lower case.
 COMMON_WORDS = {
@@ -207,6 +207,7 @@ def quality_digest(docs: DataFrame, text: str = "text", lang: str = "lang", keep
     return out.select(*keep, "__quality.*")
 
 
-def filter_quality(docs: DataFrame) -> DataFrame:
+def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
-    return judge_quality(docs).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    inner, (text, lang) = positional(docs, text, lang)
+    return restored(judge_quality(inner, text, lang).where("__quality.kept"), docs)
