@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +71,15 @@ def positional(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
 def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` again, under their own names."""
     return df.select(*[F.col(f"in{k}").alias(c) for k, c in enumerate(docs.columns)])
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """At most so many rows in one Arrow batch, for jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

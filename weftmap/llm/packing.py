@@ -34,7 +34,7 @@ from .common import saved
 WINDOW, END_ID = 2048, 1
 VOCABULARY_FILE = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps at most; more are looked up again.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 
 
 def vocabulary_path(name: str = VOCABULARY_FILE) -> str:
