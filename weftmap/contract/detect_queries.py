@@ -129,3 +129,42 @@ def interval_track(spark, sf_dir):
 
 
 __all__ = ["bands"]
+
+
+SPLIT = """, sp AS (SELECT order_index, s, e, p AS split, (p - s) % 5 = 3 AS cand, p IN (SELECT s + floor((e - s)*k/10.0) FROM (VALUES (2), (3), (4), (5), (6), (7), (8)) t(k)) AS even FROM crt JOIN bins ON p > s AND p < e),
+mn AS (SELECT order_index, split, cand, even, (SELECT coalesce(sum(v), 0) FROM cm WHERE i >= s AND i < split AND j >= split AND j < e)/((split - s)*(e - split)) AS mean FROM sp),
+md AS (SELECT order_index, list_sort(list(mean)) AS m FROM mn WHERE even GROUP BY order_index)
+SELECT order_index, split, round(CASE WHEN m[len(m)//2 + 1] > 0 THEN mean/m[len(m)//2 + 1] ELSE 1 END, 6) AS ratio FROM mn JOIN md USING (order_index) WHERE cand"""
+
+
+@query(SPLIT, "cm", "crt", "bins")
+def split_ratios(spark, sf_dir):
+    from ..model import bins_of
+    from ..operators import cuts
+
+    rg = inputs.ranges(spark, sf_dir, "p_type")
+    cand = bins_of(rg).where("(bin - start_bin) % 5 = 3 and bin > start_bin").select("order_index", F.col("bin").alias("split"))
+    return cuts.split_ratios(inputs.contact(spark, sf_dir), rg, cand).withColumn("ratio", r("ratio"))
+
+
+@query()
+def automatic_cuts(spark, sf_dir):
+    """Cuts with limits loose enough for a map without breaks."""
+    from ..operators import cuts
+
+    return cuts.automatic_cuts(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir, "p_type"), NB, 4, 0.02, 3, 0.0, 2.0)
+
+
+@query(", q AS (SELECT order_index, greatest(s, e - 10) AS r0, e AS r1, lead(s) OVER (ORDER BY order_index) AS c0, lead(e) OVER (ORDER BY order_index) AS z FROM cr WHERE e - s >= 3), m AS (SELECT order_index, coalesce((SELECT sum(v) FROM cm WHERE i >= r0 AND i < r1 AND j >= c0 AND j < least(z, c0 + 10)), 0)/((r1 - r0)*(least(z, c0 + 10) - c0)) AS mean FROM q WHERE c0 IS NOT NULL) SELECT order_index, round(mean, 6) AS mean, mean < (SELECT least(0.3*avg(mean), quantile_cont(mean, 0.25)) FROM m) AS \"end\" FROM m", "cm", "cr")
+def chromosome_ends(spark, sf_dir):
+    from ..operators import cuts
+
+    return cuts.chromosome_ends(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir)).withColumn("mean", r("mean"))
+
+
+@query()
+def merged_chains(spark, sf_dir):
+    """Chains of the derived map, merged further and laid out as an order."""
+    best = links.best_links(_scores(spark, sf_dir))
+    t = links.adaptive_threshold(best)
+    return links.ordered_segments(links.merged_chains(links.chains(best, inputs.segments(spark, sf_dir), t), best, t))

@@ -66,21 +66,45 @@ def chains(links: DataFrame, segments: DataFrame, threshold: float, max_rounds:
     join at once.  Each round is a few joins of small tables, and every segment keeps its
     place and orientation as chains are reversed and appended.
     """
-    kept = written(links.where(F.col("score") >= threshold).select("a", "b", "orientation", "score"), "links")
     m = segments.select("order_index", F.col("order_index").alias("chain"), F.lit(0).alias("pos"), F.lit(1).alias("size"), F.lit(False).alias("inverted"))
+    return _joined(m, links.where(F.col("score") >= threshold), True, max_rounds)
+
+
+def merged_chains(chained: DataFrame, links: DataFrame, threshold: float, max_rounds: int = 60) -> DataFrame:
+    """Chains (as ``chains`` returns them) merged by their best link, whichever segments it joins.
+
+    Links of at least max(0.05, 0.3 threshold) count.  Two chains of two or more segments stay
+    apart if the link scores under half of the weaker chain's mean score between neighbours.
+    """
+    size = F.count(F.lit(1)).over(W.Window.partitionBy("chain")).cast("int")
+    m = chained.withColumn("size", size).select("order_index", "chain", "pos", "size", "inverted")
+    return _joined(m, links.where(F.col("score") >= max(MIN_SCORE, 0.3 * threshold)), False, max_rounds)
+
+
+def _joined(m: DataFrame, links: DataFrame, ends_only: bool, max_rounds: int) -> DataFrame:
+    kept = written(links.select("a", "b", "orientation", "score"), "links")
     m = written(m, "chains")
     for _ in range(max_rounds):
-        end = m.where((F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1))
-        side = lambda p: end.select(F.col("order_index").alias(p), F.col("chain").alias(f"{p}_chain"), F.col("pos").alias(f"{p}_pos"), F.col("size").alias(f"{p}_size"))
-        open_links = kept.join(side("a"), "a").join(side("b"), "b").where("a_chain <> b_chain").withColumn("rank", F.struct((-F.col("score")).alias("s"), "a", "b"))
-        open_links = written(open_links, "open")
+        at_end = (F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1)
+        end = m.where(at_end) if ends_only else m
+        side = lambda p: end.select(F.col("order_index").alias(p), F.col("chain").alias(f"{p}_chain"), F.col("pos").alias(f"{p}_pos"), F.col("size").alias(f"{p}_size"))  # noqa: B023, E731
+        open_links = kept.join(side("a"), "a").join(side("b"), "b").where("a_chain <> b_chain")
+        if not ends_only:
+            w = W.Window.partitionBy("chain").orderBy("pos")
+            step = m.select("chain", F.col("order_index").alias("x"), F.lead("order_index").over(w).alias("y")).where("y is not null")
+            near = step.select("chain", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(kept, ["a", "b"]).groupBy("chain").agg(F.avg("score").alias("mean"))
+            mean = lambda p: near.select(F.col("chain").alias(f"{p}_chain"), F.col("mean").alias(f"{p}_mean"))  # noqa: B023, E731
+            open_links = open_links.join(mean("a"), "a_chain", "left").join(mean("b"), "b_chain", "left")
+            weak = (F.col("a_size") >= 2) & (F.col("b_size") >= 2) & F.coalesce(F.col("score") < 0.5 * F.least("a_mean", "b_mean"), F.lit(False))
+            open_links = open_links.where(~weak).drop("a_mean", "b_mean")
+        open_links = written(open_links.withColumn("rank", F.struct((-F.col("score")).alias("s"), "a", "b")), "open")
         best = open_links.select(F.explode(F.array("a_chain", "b_chain")).alias("chain"), "rank").groupBy("chain").agg(F.min("rank").alias("best"))
-        one = lambda p: best.select(F.col("chain").alias(f"{p}_chain"), F.col("best").alias(f"{p}_best"))
+        one = lambda p: best.select(F.col("chain").alias(f"{p}_chain"), F.col("best").alias(f"{p}_best"))  # noqa: B023, E731
         taken = open_links.join(one("a"), "a_chain").join(one("b"), "b_chain").where("rank = a_best and rank = b_best")
         # a ends up last in its chain, b first in its own; single segments turn as the link wants
         want_a, want_b = F.col("orientation").isin("TH", "TT"), F.col("orientation").isin("HT", "TT")
         left = taken.select(F.col("a_chain").alias("chain"), F.col("a_chain").alias("into"), ((F.col("a_pos") == 0) & (F.col("a_size") > 1)).alias("turn"), F.when(F.col("a_size") == 1, want_a).alias("want"), F.lit(0).alias("shift"), (F.col("a_size") + F.col("b_size")).alias("whole"))
-        right = taken.select(F.col("b_chain").alias("chain"), F.col("a_chain").alias("into"), ((F.col("b_pos") > 0) & (F.col("b_size") > 1)).alias("turn"), F.when(F.col("b_size") == 1, want_b).alias("want"), F.col("a_size").alias("shift"), (F.col("a_size") + F.col("b_size")).alias("whole"))
+        right = taken.select(F.col("b_chain").alias("chain"), F.col("a_chain").alias("into"), ((F.col("b_pos") == F.col("b_size") - 1) & (F.col("b_size") > 1)).alias("turn"), F.when(F.col("b_size") == 1, want_b).alias("want"), F.col("a_size").alias("shift"), (F.col("a_size") + F.col("b_size")).alias("whole"))
         moves = written(left.unionByName(right), "moves")
         if moves.limit(1).count() == 0:
             break
