@@ -133,9 +133,12 @@ def js_distance(a: Column, b: Column) -> Column:
     def bits(p: Column, q: Column) -> Column:
         return (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
 
-    ta, tb = total(a), total(b)
-    d = total(F.zip_with(a, b, lambda x, y: bits(x / ta, y / tb)))
-    return F.when((ta > 0) & (tb > 0), F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), d))))
+    def distance(sums: Column) -> Column:
+        d = total(F.zip_with(a, b, lambda x, y: bits(x / sums["a"], y / sums["b"])))
+        return F.when((sums["a"] > 0) & (sums["b"] > 0), F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), d))))
+
+    # the sums are bound once, not summed again for every bin
+    return _bind(F.struct(total(a).alias("a"), total(b).alias("b")), distance)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -187,7 +190,8 @@ def judged(df: DataFrame, refs: DataFrame, lang: str, min_chars: int, min_words:
     failed = (n["n_words"] < 10) | (100 * n["n_repeat_words"] > 20 * n["n_words"])
     far = F.coalesce(F.col("__d.chars") > max_char, F.lit(False)) | F.coalesce(F.col("__d.words") > max_word, F.lit(False))
     out = F.struct(*[n[c].alias(c) for c in COUNTS], F.col("__d.chars").alias("char_distance"), F.col("__d.words").alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
-    return df.withColumn("__quality", out).drop("__c", "__f", "__n", "__d", "__refs")
+    # through a generator, so that a filter on the verdict can't move below and repeat what it is made of
+    return df.withColumn("__quality", F.explode(F.array(out))).drop("__c", "__f", "__n", "__d", "__refs")
 
 
 def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
