@@ -120,6 +120,40 @@ def test_a_chain_and_a_group_of_near_copies_stay_whole(spark):
     assert {got[k] for k in range(13)} == {0} and {got[k] for k in range(13, 73)} == {13}
 
 
+def test_a_pair_among_texts_that_share_much_boilerplate_is_linked(spark):
+    common = prose(7, 210).split()
+    texts = [common + prose(1000 + k, 80).split() for k in range(300)]
+    texts += [texts[17][:-25] + prose(2000, 25).split()]
+    # one that is like a few members of a class only
+    base = prose(8, 300).split()
+    group = [base[:240] + prose(3000 + k, 20).split() + base[260:] for k in range(120)]
+    few = group[50][:20] + prose(4000, 22).split() + group[50][42:]
+    data = [(k, " ".join(w)) for k, w in enumerate([*texts, *group, few])]
+    sets = [set(neardup.units(t).tolist()) for _, t in data]
+    assert sum(len(sets[-1] & x) / len(sets[-1] | x) >= 0.8 for x in sets[301:-1]) == 1
+    got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got[300] == 17 and {got[k] for k in range(301, 422)} == {301}
+    assert all(got[k] == k for k in range(300))
+
+
+def test_block_links_join_what_brute_force_joins():
+    rnd = np.random.default_rng(5)
+    base = np.arange(1, 61, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([rnd.permutation(base)[: 60 - c], 1000 + 100 * k + np.arange(c)]).astype(np.uint64)) for k, c in enumerate(rnd.integers(0, 12, 80))]
+    roots = [bytes([k % 7]) if k % 3 else bytes([50 + k]) for k in range(80)]
+    inner, own = np.array([k % 2 == 0 for k in range(80)]), np.array([k % 5 < 3 for k in range(80)])
+
+    def classes(pairs):
+        name = list(roots)
+        for i, j in pairs:
+            name = [name[i] if x == name[j] else x for x in name]
+        return {frozenset(k for k in range(80) if name[k] == c) for c in name}
+
+    like = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8
+    pairs = [(i, j) for i in range(80) for j in range(i + 1, 80) if (inner[i] != inner[j] or (own[i] and own[j])) and like(i, j)]
+    assert pairs and classes(neardup.block_links(roots, inner, own, sets)) == classes(pairs)
+
+
 def test_darts_collide_as_often_as_the_weighted_sets_overlap():
     a, b = neardup.units(prose(1, 300)), neardup.units(" ".join(prose(1, 300).split()[60:] + prose(2, 60).split()))
     both = len(np.intersect1d(a, b))

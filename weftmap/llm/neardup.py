@@ -11,11 +11,14 @@ with an empty coordinate throw on with twice the rank.
 
 Bands of ROWS coordinates make buckets.  Equal texts count once.  Each text is first checked
 against the hubs it shares most buckets with, exactly, on the weighted shingle sets.
-Classes are connected components.  Then, turn by turn, in each bucket where classes still
-meet, the texts of every class but the largest are checked against REPS texts of the largest
-and REPS of the next larger class, other ones in each bucket and turn, until a turn finds no
-link.  The checks of a turn are at most 2 REPS times the bucket rows outside the largest
-class, whatever the size of a group; a group in one class costs FIRST_HUBS checks a text.
+Classes are connected components.  Then every pair of texts of different classes in a bucket
+is checked, or ruled out by exact bounds: the sizes of the two sets, and that a set must share
+one of its |set| - ceil(0.8 |set|) + 1 rarest units with any set like it.  The pairs of a bucket
+are dealt in blocks of about BLOCK_TEXTS texts: those outside its largest class against each
+other and against those inside it.  A block merges classes as it finds links and leaves out
+pairs of one class, which no link can change.  So the result is the components of all pairs of
+a bucket at 0.8 or more.  The checks of a group in one class grow with its size; those of a
+group that falls into many classes grow with the square, in as many blocks.
 
 With 36 bands of 6 a pair of similarity 0.8 shares no bucket with probability 2e-5.
 
@@ -41,17 +44,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from .common import WORD, arrow_rows, drop_saved, positional, restored, saved
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 36, 6
-#: Hubs that a text meets at first; texts of another class that it meets in a bucket and turn.
-FIRST_HUBS, REPS = 2, 1
-#: A turn without a new link is the last.
-MAX_TURNS = 20
+#: Hubs that a text meets at first.
+FIRST_HUBS = 2
+#: Texts and bytes of units on one side of a block, about.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 24
 #: Rows that go to Python at once: pairs of shingle sets are wide.
 BATCH_ROWS = 500
 U = np.uint64
@@ -171,7 +173,66 @@ def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator
 def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [units(t or "").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["__text", "__units"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["__text", "__units", "__bytes"])
+
+
+def block_links(roots: list, inner: np.ndarray, own: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Links (places of two texts) that join all classes of a block that a pair at ``threshold`` joins.
+
+    Pairs of texts of different sides, and of texts that are both ``own``, are checked.
+    """
+    n, out = len(sets), []
+    local = np.unique(np.array([bytes(r).hex() for r in roots]), return_inverse=True)[1]
+    sizes = np.array([len(x) for x in sets])
+    found, unit, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(n), sizes)[np.argsort(unit, kind="stable")]
+    ends, at = np.cumsum(times), np.cumsum(sizes)
+    starts, place = ends - times, np.arange(n)
+    for u in range(n):
+        maybe = (place > u) & (local != local[u]) & ((inner != inner[u]) | (own & own[u]))
+        maybe &= np.minimum(sizes, sizes[u]) >= threshold * np.maximum(sizes, sizes[u]) - 1e-9
+        if not maybe.any():
+            continue
+        if not sizes[u]:
+            like = maybe  # sets without elements are equal
+        else:
+            mine = unit[at[u] - sizes[u] : at[u]]
+            mine = mine[np.argsort(times[mine], kind="stable")]
+            first = sizes[u] - int(np.ceil(threshold * sizes[u] - 1e-9)) + 1
+            rare = [holders[starts[k] : ends[k]] for k in mine[:first] if times[k] > 1]
+            if not rare:
+                continue
+            reached = np.zeros(n, dtype=bool)
+            reached[np.concatenate(rare)] = True
+            maybe &= reached
+            if not maybe.any():
+                continue
+            both = np.bincount(np.concatenate([*rare, *(holders[starts[k] : ends[k]] for k in mine[first:])]), minlength=n)
+            like = maybe & (both / (sizes + sizes[u] - both + (sizes + sizes[u] == 0)) >= threshold)
+        for v in np.flatnonzero(like):
+            if local[v] != local[u]:
+                out.append((u, int(v)))
+                local[local == local[v]] = local[u]
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links of the blocks whose rows follow each other."""
+
+    def links(rows: list[tuple]) -> pa.RecordBatch:
+        _, texts, roots, inner, own, sets = zip(*rows)
+        pairs = block_links(roots, np.array(inner), np.array(own), [np.frombuffer(x, np.uint64) for x in sets], threshold)
+        return pa.RecordBatch.from_arrays([pa.array([f(texts[i], texts[j]) for i, j in pairs], pa.binary()) for f in (max, min)], names=["u", "v"])
+
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and rows[0][0] != row[0]:
+                yield links(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield links(rows)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -204,7 +265,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, b
 
 def _classes(docs: DataFrame, text: str, threshold: float, bands: int, rows: int) -> DataFrame:
     bands_schema = T.StructType([T.StructField("__text", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    units_schema = T.StructType([T.StructField("__text", T.BinaryType()), T.StructField("__units", T.BinaryType())])
+    units_schema = T.StructType([T.StructField("__text", T.BinaryType()), T.StructField("__units", T.BinaryType()), T.StructField("__bytes", T.LongType())])
     each = _one_each(docs, text)
     signed = each.mapInArrow(lambda it: _bands(it, bands, rows), bands_schema)
     keyed = signed.select("__text", F.posexplode("__bands").alias("__band", "__key"))
@@ -218,40 +279,56 @@ def _classes(docs: DataFrame, text: str, threshold: float, bands: int, rows: int
     sets = saved(each.join(wanted, "__text", "left_semi").groupBy("__text").agg(F.first("text").alias("text")).mapInArrow(_units_of, units_schema), "units")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.withColumnsRenamed({"__text": "u", "__units": "__x"}), "u")
-        both = left.join(sets.withColumnsRenamed({"__text": "v", "__units": "__y"}), "v")
+        left = pairs.join(sets.drop("__bytes").withColumnsRenamed({"__text": "u", "__units": "__x"}), "u")
+        both = left.join(sets.drop("__bytes").withColumnsRenamed({"__text": "v", "__units": "__y"}), "v")
         return both.where(_similarity("__x", "__y") >= threshold).select("u", "v")
 
     # first each text meets the few hubs that it shares most buckets with; it has a hub a band at most
     met = members.where(F.col("__text") != F.col("__hub")).groupBy("__text", "__hub").agg(F.count(F.lit(1)).alias("__n"))
     most = F.slice(F.sort_array(F.collect_list(F.struct("__n", "__hub")), asc=False), 1, FIRST_HUBS)
     best = met.groupBy(F.col("__text").alias("u")).agg(most.alias("hubs")).select("u", F.explode("hubs.__hub").alias("v"))
-    tried = saved(best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    tried = best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     links = saved(checked(tried), "links")
-    members = members.select("__band", "__key", "__text")
-    for turn in range(MAX_TURNS):
-        found = components(links)
-        rooted = members.join(found.withColumnRenamed("node", "__text"), "__text", "left").withColumn("__root", F.coalesce("root", "__text")).drop("root")
-        pick = lambda k: F.min_by("__text", F.xxhash64("__text", "__band", F.lit(REPS * turn + k)))  # noqa: B023, E731
-        group = rooted.groupBy("__band", "__key", "__root").agg(F.count(F.lit(1)).alias("__n"), F.array(*[pick(k) for k in range(REPS)]).alias("__reps"))
-        # in a bucket where classes still meet, each class but the largest meets texts of the largest and of the next larger one
-        order = W.Window.partitionBy("__band", "__key").orderBy(F.col("__n").desc(), F.xxhash64("__root", F.lit(turn)), "__root")
-        ranked = group.withColumn("__top", F.first("__reps").over(order)).withColumn("__next", F.lag("__reps").over(order)).where("__next is not null")
-        asked = ranked.select("__band", "__key", "__root", F.array_distinct(F.concat("__top", "__next")).alias("__reps"))
-        across = rooted.join(asked, ["__band", "__key", "__root"]).select("__text", F.explode("__reps").alias("v"))
-        pairs = across.select(F.greatest("__text", "v").alias("u"), F.least("__text", "v").alias("v")).distinct()
-        new = saved(pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        more = saved(checked(new), "links")
-        if more.limit(1).count() == 0:
-            break
-        tried, links = tried.unionByName(new), links.unionByName(more)
-    else:
-        found = components(links)
+    # then all pairs across classes, bucket by bucket
+    rest = _blocks(members.select("__band", "__key", "__text"), components(links), sets.select("__text", "__bytes"))
+    wide = rest.join(sets.select("__text", "__units"), "__text").select("__at", "__text", "__root", "__inner", "__own", "__units")
+    dealt = wide.repartition("__at").sortWithinPartitions("__at", "__inner", "__text")
+    more = saved(dealt.mapInArrow(lambda it: _linked(it, threshold), "u binary, v binary").distinct(), "links")
+    found = components(links.unionByName(more))
     out = saved(found.select(F.col("node").alias("__text"), F.col("root").alias("__class")), "classes")
     drop_saved(sets)
     return out
 
 
+def _blocks(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(__at, __text, __root, __inner, __own): the blocks that hold all pairs across classes of every bucket.
+
+    Texts of a bucket's largest class are ``inner``.  A bucket's texts are dealt by hash; inner
+    parts meet outer parts, outer parts also meet each other and themselves (``own``).
+    """
+    rooted = saved(members.join(sizes, "__text").join(found.withColumnRenamed("node", "__text"), "__text", "left").withColumn("__root", F.coalesce("root", "__text")).drop("root"), "rooted")
+    mark = lambda k: F.bit_xor(F.xxhash64("__text", F.lit(k)))
+    group = rooted.groupBy("__band", "__key", "__root").agg(F.count(F.lit(1)).alias("__n"), F.sum("__bytes").alias("__bytes"), mark(0).alias("__x"), mark(1).alias("__y"))
+    top = F.max(F.struct("__n", "__root", "__bytes")).alias("top")
+    bucket = group.groupBy("__band", "__key").agg(F.count(F.lit(1)).alias("__classes"), top, F.sum("__n").alias("__n"), F.sum("__bytes").alias("__bytes"), F.bit_xor("__x").alias("__x"), F.bit_xor("__y").alias("__y")).where("__classes > 1")
+    # buckets of different bands with the same texts have the same pairs
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    inside = parts(F.col("top.__n"), F.col("top.__bytes")).alias("__in")
+    outside = parts(F.col("__n") - F.col("top.__n"), F.col("__bytes") - F.col("top.__bytes")).alias("__out")
+    asked = bucket.select(F.struct("__band", "__key").alias("at"), "__n", "__x", "__y", F.col("top.__root").alias("__top"), inside, outside)
+    asked = asked.groupBy("__n", "__x", "__y").agg(F.min(F.struct("at", "__top", "__in", "__out")).alias("b")).select("b.at.__band", "b.at.__key", "b.__top", "b.__in", "b.__out")
+    rows = rooted.join(asked, ["__band", "__key"]).withColumn("__inner", F.col("__root") == F.col("__top"))
+    part = F.pmod(F.xxhash64("__text", F.lit(2)), F.when(F.col("__inner"), F.col("__in")).otherwise(F.col("__out"))).cast("int")
+    rows = rows.withColumn("__part", part)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    place = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), F.lit(own).alias("own"))
+    met = F.transform(upto(F.col("__in")), lambda k: place(k, F.col("__part"), False))
+    # i is below 0 where outer parts meet
+    beside = F.transform(upto(F.col("__out")), lambda k: place(-1 - F.least(k, "__part"), F.greatest(k, F.col("__part")), True))
+    wanted = F.when(F.col("__inner"), F.transform(upto(F.col("__out")), lambda k: place(F.col("__part"), k, False))).otherwise(F.concat(met, beside))
+    return rows.select("__band", "__key", "__text", "__root", "__inner", F.explode(wanted).alias("p")).select(F.xxhash64("__band", "__key", "p.i", "p.j").alias("__at"), "__text", "__root", "__inner", F.col("p.own").alias("__own"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, class_size) of every row; class_id is the least doc_id of the class."""
     slim = saved(docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("__text")), "digests")
