@@ -35,6 +35,16 @@ def test_main_text(spark):
     assert mincut.extract_pages(pages(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bad", ["</ div>", "</>", "</3 x>", '<img alt="5" tall">', "<a title=O'Reilly></a>", '<b title="open></b>', "<b x='></b>", '<p class="a" "b">', '<i a = "1>2" b></i>'])
+@pytest.mark.parametrize("after", ["", "<p>It's a \"quote\".</p>"])
+def test_a_malformed_tag_drops_no_text(bad, after):
+    if "open" in bad or "x='>" in bad:
+        after = ""  # with a later quote the value goes up to it, as in HTML parsers
+    page = f"<article><p>Before.</p>{bad}<p>Middle.</p>{after}<p>End.</p></article>"
+    want = ["Before.", "Middle.", *(['It\'s a "quote".'] if after else []), "End."]
+    assert [b.text for b in mincut.blocks_of(page)] == want
+
+
 def brute_cut(source, sink, edges):
     n = len(source)
     best = None

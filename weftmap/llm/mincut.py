@@ -13,7 +13,8 @@ features, so it also labels pages without such marks.
 
 Defined results
     null, empty html, no text   empty text
-    broken or cut-off html      parsed as far as it goes; tags that are never closed end with their parent
+    broken or cut-off html      parsed as far as it goes; tags that are never closed end with their parent; a malformed tag ends at
+                                the next ">", and only one without any ">" after it ends the page
     very long pages             whole; memory in proportion to the page
     repeated rows               each is a page of its own
     empty table                 no rows
@@ -47,7 +48,8 @@ CONTENT_MARKS = {"article", "main", "articlebody", "post-content", "entry-conten
 
 TRAIN_PAGES = 400
 SMOOTH_NEXT, SMOOTH_PARENT = 0.2, 1.5
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+# As HTML parsers do: a quote opens a value only after "=", "</" before anything but a letter is a comment to ">".
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?)*+)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?]")
@@ -102,7 +104,7 @@ def blocks_of(page: str) -> list[Block]:
         text = m.group(4)
         if text is not None:
             if text == "<" and page[pos : pos + 1].isalpha() or text == "<" and page[pos : pos + 1] == "/":
-                break  # an unclosed tag at the end of a cut page
+                break  # a tag that the end cuts off: no ">" is left
             pieces.append(text)
             if links:
                 linked += len(text.strip())
