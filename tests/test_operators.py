@@ -220,3 +220,15 @@ def test_synthetic_maps_repeat(spark):
     assert synthetic.misassembled(synthetic.contact_map(spark, 40, 4), 40).count() == 1600
     t = synthetic.smooth_track(spark, 50, 1, 3).agg(F.min("value"), F.max("value")).first()
     assert tuple(t) == (0.0, 1.0) and synthetic.marker_track(spark, 50, 1, 0.2).count() == 50
+
+
+def test_rounds_go_on_until_nothing_is_left(spark):
+    from weftmap.operators import links, metrics
+
+    n = 42
+    found = spark.createDataFrame([(0, 2 * k) for k in range(n)], "grp int, p int")
+    truth = spark.createDataFrame([(0, 2 * k + 1) for k in range(n)], "grp int, q int")
+    assert {tuple(r) for r in metrics.breakpoint_matches(found, truth, 1).collect()} == {(0, 2 * k, 2 * k + 1) for k in range(n)}
+    falling = spark.createDataFrame([(0, 1, "HH", 0.9), (1, 2, "HH", 0.8)], "a int, b int, orientation string, score double")
+    with pytest.raises(RuntimeError):
+        links.chains(falling, spark.createDataFrame([(k,) for k in range(3)], "order_index int"), 0.3, max_rounds=1).count()

@@ -64,7 +64,7 @@ def row_correlation(spark, sf_dir):
 
 @query()
 def compartments(spark, sf_dir):
-    return spectra.compartments(_cm(spark, sf_dir), NB, rounds=20).select("p", r("e1", 3).alias("e1"), r("norm", 3).alias("norm"))
+    return spectra.compartments(_cm(spark, sf_dir), NB).select("p", r("e1", 3).alias("e1"), r("norm", 3).alias("norm"))
 
 
 SADDLE = """, n AS (SELECT count(*) AS n FROM tr), q AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k FROM tr),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -57,7 +59,7 @@ def adaptive_threshold(links: DataFrame, share: float = 0.15, cap: float = 0.2)
     return min(cap, counts.withColumn("upto", upto).where(F.col("upto") > int(share * n)).agg(F.max("score")).first()[0])
 
 
-def chains(links: DataFrame, segments: DataFrame, threshold: float, max_rounds: int = 60) -> DataFrame:
+def chains(links: DataFrame, segments: DataFrame, threshold: float, max_rounds: int | None = None) -> DataFrame:
     """(order_index, chain, pos, inverted): greedy chaining by descending score.
 
     Taking links one by one, a link joins two chains if both its segments are ends of
@@ -70,7 +72,7 @@ def chains(links: DataFrame, segments: DataFrame, threshold: float, max_rounds:
     return _joined(m, links.where(F.col("score") >= threshold), True, max_rounds)
 
 
-def merged_chains(chained: DataFrame, links: DataFrame, threshold: float, max_rounds: int = 60) -> DataFrame:
+def merged_chains(chained: DataFrame, links: DataFrame, threshold: float, max_rounds: int | None = None) -> DataFrame:
     """Chains (as ``chains`` returns them) merged by their best link, whichever segments it joins.
 
     Links of at least max(0.05, 0.3 threshold) count.  Two chains of two or more segments stay
@@ -81,10 +83,10 @@ def merged_chains(chained: DataFrame, links: DataFrame, threshold: float, max_ro
     return _joined(m, links.where(F.col("score") >= max(MIN_SCORE, 0.3 * threshold)), False, max_rounds)
 
 
-def _joined(m: DataFrame, links: DataFrame, ends_only: bool, max_rounds: int) -> DataFrame:
+def _joined(m: DataFrame, links: DataFrame, ends_only: bool, max_rounds: int | None) -> DataFrame:
     kept = written(links.select("a", "b", "orientation", "score"), "links")
     m = written(m, "chains")
-    for _ in range(max_rounds):
+    for k in itertools.count():
         at_end = (F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1)
         end = m.where(at_end) if ends_only else m
         side = lambda p: end.select(F.col("order_index").alias(p), F.col("chain").alias(f"{p}_chain"), F.col("pos").alias(f"{p}_pos"), F.col("size").alias(f"{p}_size"))  # noqa: B023, E731
@@ -108,6 +110,8 @@ def _joined(m: DataFrame, links: DataFrame, ends_only: bool, max_rounds: int) ->
         moves = written(left.unionByName(right), "moves")
         if moves.limit(1).count() == 0:
             break
+        if k == max_rounds:
+            raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
         j = m.join(moves, "chain", "left")
         turn = F.coalesce("turn", F.lit(False))
         pos = F.when(turn, F.col("size") - 1 - F.col("pos")).otherwise(F.col("pos")) + F.coalesce("shift", F.lit(0))

@@ -126,7 +126,7 @@ def chromosome_completeness(items: DataFrame) -> DataFrame:
     return n.agg(F.coalesce(F.avg(q), F.lit(0.0)).alias("macro"), F.coalesce(F.sum("best") / F.when(F.sum("total") > 0, F.sum("total")), F.lit(0.0)).alias("micro"), F.count_if(q > 0.9).cast("long").alias("complete"), F.count(F.lit(1)).cast("long").alias("chromosomes"))
 
 
-def breakpoint_matches(found: DataFrame, truth: DataFrame, tolerance: int, rounds: int = 40) -> DataFrame:
+def breakpoint_matches(found: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
     """(grp, p, q): one-to-one matches of found (grp, p) and true (grp, q) points within a tolerance.
 
     Rounds of mutual nearest points (ties to the left) take, at each step, what nearest-first
@@ -137,7 +137,7 @@ def breakpoint_matches(found: DataFrame, truth: DataFrame, tolerance: int, round
     gap = F.abs(F.col("p") - F.col("q"))
     left = written(found.join(truth, "grp").where(gap <= tolerance).select("grp", "p", "q"), "candidates")
     done = None
-    for _ in range(rounds):
+    while True:  # each round takes the nearest pair left, at least
         r = left.withColumn("kp", F.row_number().over(W.Window.partitionBy("grp", "p").orderBy(gap, "q"))).withColumn("kq", F.row_number().over(W.Window.partitionBy("grp", "q").orderBy(gap, "p")))
         took = written(r.where("kp = 1 and kq = 1").select("grp", "p", "q"), "matches")
         done = took if done is None else done.unionByName(took)
