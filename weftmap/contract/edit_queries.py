@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -317,15 +315,14 @@ def _drained(spark, stream, mode):
     """Runs a stream over all that is there and reads what it gave at last."""
     import uuid
 
-    from ..functions.tables import written
+    from ..functions.tables import shared_dir, written
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-shared-")).rstrip("/")
     kept = []
 
     def keep(batch, _):
         kept[:] = [written(batch, "batch")]
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
