@@ -22,6 +22,9 @@ group that falls into many classes grow with the square, in as many blocks.
 
 With 36 bands of 6 a pair of similarity 0.8 shares no bucket with probability 2e-5.
 
+What is shuffled: one row of signatures a text, three numbers a band of it, and the texts and
+sets of those that share a bucket.  A text is known by the two halves of its MD5 digest.
+
 Defined results
     null text          an empty text
     no words           all such texts make one class (their shingle sets are equal)
@@ -34,80 +37,33 @@ Defined results
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import WORD, arrow_rows, drop_saved, positional, restored, saved
+from .common import arrow_rows, drop_saved, positional, restored, saved
 from .components import components
+from .shingles import SHINGLE, mix, units_by_text
 
-SHINGLE, THRESHOLD = 5, 0.8
+THRESHOLD = 0.8
 BANDS, ROWS = 36, 6
 #: Hubs that a text meets at first.
 FIRST_HUBS = 2
 #: Texts and bytes of units on one side of a block, about.
 BLOCK_TEXTS, BLOCK_BYTES = 256, 1 << 24
-#: Rows that go to Python at once: pairs of shingle sets are wide.
-BATCH_ROWS = 500
+#: Rows that go to Python at once: shingle sets are wide.
+BATCH_ROWS = 256
+#: Darts that are thrown at once when few elements are left.
+DARTS_AT_ONCE = 1 << 14
 U = np.uint64
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-_WORD = re.compile(WORD)
-_memory: dict[str, int] = {}
-
-
-def _word_hashes(text: str) -> np.ndarray:
-    words = _WORD.findall(text)
-    found = list(map(_memory.get, words))
-    if None in found:
-        for k, h in enumerate(found):
-            if h is None:
-                found[k] = h = xxhash.xxh3_64_intdigest(words[k])
-                if len(_memory) < 150_000:
-                    _memory[words[k]] = h
-    return np.array(found, dtype=np.uint64)
-
-
-def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
-    """Hash of every shingle of a text, in order; one of all words if there are fewer; none without words."""
-    h = _word_hashes(text)
-    if not len(h):
-        return h
-    n = max(1, len(h) - size + 1)
-    out = np.zeros(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(min(size, len(h))):
-            out = _mix(out * U(0x9E3779B97F4A7C15) + h[k : k + n])
-    return out
-
-
 def units(text: str, size: int = SHINGLE) -> np.ndarray:
-    """The weighted set as a plain one, ascending: the i-th copy of a shingle is an element of its own."""
-    h = np.sort(shingles(text, size))
-    if not len(h):
-        return h
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    starts = np.flatnonzero(new)
-    copy = np.arange(len(h)) - starts[np.cumsum(new) - 1]
-    if copy.any():
-        with np.errstate(over="ignore"):
-            h = np.where(copy > 0, _mix(h + copy.astype(np.uint64) * U(0xD6E8FEB86659FD93)), h)
-        h = np.sort(h)
-    return h
+    """The weighted set of one text as a plain one, ascending."""
+    return next(units_by_text(pa.array([text]), size))[2]
 
 
 def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -117,63 +73,66 @@ def dart_signatures(elements: np.ndarray, owner: np.ndarray, n: int, k: int, wei
     have weight 1; with it, each is a whole or partial strip [0, weight) with weight <= 1, on
     which darts also have a place.  Sets without elements keep zeros.
     """
-    best = np.full((n, k), np.inf)
-    sign = np.zeros((n, k), dtype=np.uint64)
+    best = np.full(n * k, np.inf)
+    sign = np.zeros(n * k, dtype=np.uint64)
     total = np.bincount(owner, weights=weight, minlength=n)
-    reach = np.zeros(n)
     full = total > 0
+    reach = np.zeros(n)
     reach[full] = k * (np.log(k) + 2) / total[full]
-    todo = full.copy()
+    todo = full
     while todo.any():
-        own = todo[owner]
-        e, d, w = elements[own], owner[own], None if weight is None else weight[own]
-        rank, i = np.zeros(len(e)), 0
-        while len(e):
-            with np.errstate(over="ignore"):
-                h = _mix(e + U(0x9E3779B97F4A7C15) * U(2 * i + 1))
-            rank = rank - np.log(((h >> U(11)).astype(np.float64) + 0.5) / float(1 << 53))  # the next arrival
-            on = rank <= reach[d]
-            e, d, rank, h = e[on], d[on], rank[on], h[on]
-            g = _mix(h ^ U(0xA0761D6478BD642F))
-            j = ((g >> U(32)) * U(k) >> U(32)).astype(np.int64)
-            ok = slice(None)
-            if w is not None:
-                w = w[on]
-                ok = _mix(g ^ U(0xE7037ED1A0B428DB)) / 2.0**64 < w
-            dd, jj, rr, hh = d[ok], j[ok], rank[ok], g[ok]
-            if len(dd):
-                cell = dd * k + jj
-                order = np.lexsort((rr, cell))
-                cell, rr, hh = cell[order], rr[order], hh[order]
-                lead = np.concatenate([[True], cell[1:] != cell[:-1]])
-                cell, rr, hh = cell[lead], rr[lead], hh[lead]
-                better = rr < best.ravel()[cell]
-                best.ravel()[cell[better]], sign.ravel()[cell[better]] = rr[better], hh[better]
-            i += 1
-        todo = full & np.isinf(best).any(axis=1)
+        own = slice(None) if todo.all() else todo[owner]
+        e, d, w = elements[own], owner[own], np.ones(1) if weight is None else weight[own]
+        _throw(e, d * k, reach[d], w, k, best, sign)
+        todo = full & np.isinf(best.reshape(n, k)).any(axis=1)
         reach[todo] *= 2
-        best[todo] = np.inf
-    return sign
+        best.reshape(n, k)[todo] = np.inf
+    return sign.reshape(n, k)
+
+
+def _throw(e: np.ndarray, base: np.ndarray, reach: np.ndarray, w: np.ndarray, k: int, best: np.ndarray, sign: np.ndarray) -> None:
+    """All darts of the elements up to their reach; ``best`` and ``sign`` keep the earliest of each cell."""
+    rank, i, weighted = np.zeros(len(e)), 0, len(w) == len(e) and (w < 1).any()
+    while len(e):
+        m = max(1, min(DARTS_AT_ONCE // 64, DARTS_AT_ONCE // len(e)))  # arrivals of each element in this turn
+        with np.errstate(over="ignore"):
+            h = mix(e[:, None] + (np.arange(i, i + m, dtype=np.uint64) * U(2) + U(1)) * U(0x9E3779B97F4A7C15))
+        ranks = rank[:, None] - np.cumsum(np.log(((h >> U(11)).astype(np.float64) + 0.5) / float(1 << 53)), axis=1)
+        on = ranks <= reach[:, None]
+        row, _ = np.nonzero(on)
+        g, r = mix(h[on] ^ U(0xA0761D6478BD642F)), ranks[on]
+        cell = base[row] + ((g >> U(32)) * U(k) >> U(32)).astype(np.int64)
+        if weighted:
+            inside = mix(g ^ U(0xE7037ED1A0B428DB)) / 2.0**64 < w[row]
+            g, r, cell = g[inside], r[inside], cell[inside]
+        np.minimum.at(best, cell, r)
+        won = best[cell] == r
+        sign[cell[won]] = g[won]
+        more = np.flatnonzero(on[:, -1])
+        e, base, reach, rank = e[more], base[more], reach[more], ranks[more, -1]
+        if weighted:
+            w = w[more]
+        i += m
 
 
 def _bands(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 256):
-            batch = whole.slice(at, 256)
-            sets = [units(t or "") for t in batch.column(1).to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            sign = dart_signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), bands * rows)
-            out = np.zeros((len(sets), bands), dtype=np.uint64)
+    for batch in batches:
+        for at, n, sets, sizes in units_by_text(batch.column(2)):
+            sign = dart_signatures(sets, np.repeat(np.arange(n), sizes), n, bands * rows)
+            out = np.zeros((n, bands), dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for r in range(rows):
-                    out = _mix(out * U(0x9E3779B97F4A7C15) + sign[:, r::rows] + U(r))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out.view(np.int64)), pa.list_(pa.int64()))], names=["__text", "__bands"])
+                    out = mix(out * U(0x9E3779B97F4A7C15) + sign[:, r::rows] + U(r))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), lists], names=["__hi", "__lo", "__bands"])
 
 
 def _units_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [units(t or "").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], names=["__text", "__units", "__bytes"])
+        for at, n, sets, sizes in units_by_text(batch.column(2)):
+            ends = np.cumsum(sizes)
+            each = [sets[end - size : end].tobytes() for end, size in zip(ends, sizes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(1).slice(at, n), pa.array(each, pa.binary()), pa.array(8 * sizes, pa.int64())], names=["__hi", "__lo", "__units", "__bytes"])
 
 
 def block_links(roots: list, inner: np.ndarray, own: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -182,7 +141,8 @@ def block_links(roots: list, inner: np.ndarray, own: np.ndarray, sets: list[np.n
     Pairs of texts of different sides, and of texts that are both ``own``, are checked.
     """
     n, out = len(sets), []
-    local = np.unique(np.array([bytes(r).hex() for r in roots]), return_inverse=True)[1]
+    names: dict = {}
+    local = np.array([names.setdefault(r, len(names)) for r in roots])
     sizes = np.array([len(x) for x in sets])
     found, unit, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     holders = np.repeat(np.arange(n), sizes)[np.argsort(unit, kind="stable")]
@@ -235,27 +195,25 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
         yield links(rows)
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0)
-    return pd.Series(out)
+def _half(text: str, at: int) -> Column:
+    """Half of the digest of a text, as a long."""
+    return F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))), at, 16), 16, -10).cast("long")
+
+
+def _node() -> Column:
+    """The digest of a text as the name of a node."""
+    return F.unhex(F.concat(F.lpad(F.hex("__hi"), 16, "0"), F.lpad(F.hex("__lo"), 16, "0")))
 
 
-def _digest(text: str = "text"):
-    return F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+def _with_digest(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("__hi", _half(text, 1)).withColumn("__lo", _half(text, 17))
 
 
-def _one_each(docs: DataFrame, text: str) -> DataFrame:
-    """(__text, text): one row for each different text whose digest is asked for later."""
-    return docs.select(_digest(text).alias("__text"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+TEXT = ["__hi", "__lo"]
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(__text, __class) for every text that is linked to another; both are digests of texts.
+    """(__hi, __lo, __class) for every text that is linked to another.
 
     Returns a saved table.  ``__class`` is the least digest of the connected component.
     """
@@ -264,61 +222,69 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, b
 
 
 def _classes(docs: DataFrame, text: str, threshold: float, bands: int, rows: int) -> DataFrame:
-    bands_schema = T.StructType([T.StructField("__text", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    units_schema = T.StructType([T.StructField("__text", T.BinaryType()), T.StructField("__units", T.BinaryType()), T.StructField("__bytes", T.LongType())])
-    each = _one_each(docs, text)
-    signed = each.mapInArrow(lambda it: _bands(it, bands, rows), bands_schema)
-    keyed = signed.select("__text", F.posexplode("__bands").alias("__band", "__key"))
-    # copies of a text give the same rows, which meet here; partial counts keep hot ones small
-    keyed = saved(keyed.groupBy("__band", "__key", "__text").agg(F.count(F.lit(1)).alias("__copies")).drop("__copies"), "bands")
-    shared = keyed.groupBy("__band", "__key").agg(F.count(F.lit(1)).alias("__n"), F.min("__text").alias("__hub")).where("__n > 1")
-    members = saved(keyed.join(shared, ["__band", "__key"]).select("__band", "__key", "__text", "__hub"), "buckets")
-    drop_saved(keyed)
-    wanted = members.select("__text").distinct()
+    each = _with_digest(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__body")), "__body").select(*TEXT, "__body")
+    signed = each.mapInArrow(lambda it: _bands(it, bands, rows), "__hi long, __lo long, __bands array<long>")
+    # copies of a text meet here, in partial aggregates first
+    signed = saved(signed.groupBy(*TEXT).agg(F.first("__bands").alias("__bands")), "bands")
+    keyed = signed.select(*TEXT, F.posexplode("__bands").alias("__band", "__key")).select(F.xxhash64("__band", "__key").alias("__at"), *TEXT)
+    shared = keyed.groupBy("__at").agg(F.min("__hi").alias("__hub"), F.max("__hi").alias("__top"), F.count(F.lit(1)).alias("__n")).where("__hub <> __top")
+    members = saved(keyed.join(shared, "__at").select("__at", *TEXT, "__hub", "__n"), "buckets")
+    drop_saved(signed)
+    wanted = members.select(*TEXT).distinct()
     # one row a text, then its units: copies of a wanted text collapse before anything is computed
-    sets = saved(each.join(wanted, "__text", "left_semi").groupBy("__text").agg(F.first("text").alias("text")).mapInArrow(_units_of, units_schema), "units")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.drop("__bytes").withColumnsRenamed({"__text": "u", "__units": "__x"}), "u")
-        both = left.join(sets.drop("__bytes").withColumnsRenamed({"__text": "v", "__units": "__y"}), "v")
-        return both.where(_similarity("__x", "__y") >= threshold).select("u", "v")
-
-    # first each text meets the few hubs that it shares most buckets with; it has a hub a band at most
-    met = members.where(F.col("__text") != F.col("__hub")).groupBy("__text", "__hub").agg(F.count(F.lit(1)).alias("__n"))
-    most = F.slice(F.sort_array(F.collect_list(F.struct("__n", "__hub")), asc=False), 1, FIRST_HUBS)
-    best = met.groupBy(F.col("__text").alias("u")).agg(most.alias("hubs")).select("u", F.explode("hubs.__hub").alias("v"))
-    tried = best.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = saved(checked(tried), "links")
+    bodies = each.join(wanted, TEXT, "left_semi").groupBy(*TEXT).agg(F.first("__body").alias("__body"))
+    sets = saved(bodies.mapInArrow(_units_of, "__hi long, __lo long, __units binary, __bytes long"), "units")
+    links = saved(_checked(_hubs(members, sets), sets, threshold), "links")
     # then all pairs across classes, bucket by bucket
-    rest = _blocks(members.select("__band", "__key", "__text"), components(links), sets.select("__text", "__bytes"))
-    wide = rest.join(sets.select("__text", "__units"), "__text").select("__at", "__text", "__root", "__inner", "__own", "__units")
-    dealt = wide.repartition("__at").sortWithinPartitions("__at", "__inner", "__text")
-    more = saved(dealt.mapInArrow(lambda it: _linked(it, threshold), "u binary, v binary").distinct(), "links")
+    more = saved(_checked(_blocks(members, components(links), sets.select(*TEXT, "__bytes")), sets, threshold), "links")
     found = components(links.unionByName(more))
-    out = saved(found.select(F.col("node").alias("__text"), F.col("root").alias("__class")), "classes")
-    drop_saved(sets)
+    half = lambda at: F.conv(F.substring(F.hex("node"), at, 16), 16, -10).cast("long")
+    out = saved(found.select(half(1).alias("__hi"), half(17).alias("__lo"), F.col("root").alias("__class")), "classes")
+    for t in (members, sets, links, more):
+        drop_saved(t)
     return out
 
 
+def _checked(dealt: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of the links that join the classes of each block; ``dealt`` has (__at, __hi, __lo, __root, __inner, __own)."""
+    wide = dealt.join(sets.drop("__bytes"), TEXT).select("__at", _node().alias("__node"), "__root", "__inner", "__own", "__units")
+    return wide.repartition("__at").sortWithinPartitions("__at", "__inner", "__node").mapInArrow(lambda it: _linked(it, threshold), "u binary, v binary").distinct()
+
+
+def _hubs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Blocks in which each text meets the hubs that it shares most buckets with; a hub is the least text of a bucket.
+
+    The texts of a hub are dealt by hash, by the size of the largest bucket that they share with it.
+    """
+    met = members.where("__hi <> __hub").groupBy(*TEXT, "__hub").agg(F.count(F.lit(1)).alias("__buckets"), F.max("__n").alias("__n"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("__buckets", "__hub", "__n")), asc=False), 1, FIRST_HUBS)
+    best = met.groupBy(*TEXT).agg(most.alias("__most")).select(*TEXT, F.explode("__most").alias("m")).select(*TEXT, "m.__hub", F.ceil(F.col("m.__n") / BLOCK_TEXTS).alias("__parts"))
+    best = best.withColumn("__at", F.xxhash64("__hub", "__parts", F.pmod(F.xxhash64(*TEXT), "__parts")))
+    heads = best.select("__at", "__hub").distinct().join(sets.select(F.col("__hi").alias("__hub"), *TEXT), "__hub")
+    marked = lambda df, inner: df.select("__at", *TEXT, _node().alias("__root"), F.lit(inner).alias("__inner"), F.lit(False).alias("__own"))
+    return marked(best, False).unionByName(marked(heads, True))
+
+
 def _blocks(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(__at, __text, __root, __inner, __own): the blocks that hold all pairs across classes of every bucket.
+    """(__at, __hi, __lo, __root, __inner, __own): the blocks that hold all pairs across classes of every bucket.
 
     Texts of a bucket's largest class are ``inner``.  A bucket's texts are dealt by hash; inner
     parts meet outer parts, outer parts also meet each other and themselves (``own``).
     """
-    rooted = saved(members.join(sizes, "__text").join(found.withColumnRenamed("node", "__text"), "__text", "left").withColumn("__root", F.coalesce("root", "__text")).drop("root"), "rooted")
-    mark = lambda k: F.bit_xor(F.xxhash64("__text", F.lit(k)))
-    group = rooted.groupBy("__band", "__key", "__root").agg(F.count(F.lit(1)).alias("__n"), F.sum("__bytes").alias("__bytes"), mark(0).alias("__x"), mark(1).alias("__y"))
+    named = sizes.withColumn("node", _node()).join(found, "node", "left").select(*TEXT, "__bytes", F.coalesce("root", "node").alias("__root"))
+    rooted = saved(members.select("__at", *TEXT).join(named, TEXT), "rooted")
+    seen = lambda k: F.bit_xor(F.xxhash64(*TEXT, F.lit(k)))
+    group = rooted.groupBy("__at", "__root").agg(F.count(F.lit(1)).alias("__n"), F.sum("__bytes").alias("__bytes"), seen(0).alias("__x"), seen(1).alias("__y"))
     top = F.max(F.struct("__n", "__root", "__bytes")).alias("top")
-    bucket = group.groupBy("__band", "__key").agg(F.count(F.lit(1)).alias("__classes"), top, F.sum("__n").alias("__n"), F.sum("__bytes").alias("__bytes"), F.bit_xor("__x").alias("__x"), F.bit_xor("__y").alias("__y")).where("__classes > 1")
+    bucket = group.groupBy("__at").agg(F.count(F.lit(1)).alias("__classes"), top, F.sum("__n").alias("__n"), F.sum("__bytes").alias("__bytes"), F.bit_xor("__x").alias("__x"), F.bit_xor("__y").alias("__y")).where("__classes > 1")
     # buckets of different bands with the same texts have the same pairs
     parts = lambda n, size: F.greatest(F.ceil(n / BLOCK_TEXTS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
     inside = parts(F.col("top.__n"), F.col("top.__bytes")).alias("__in")
     outside = parts(F.col("__n") - F.col("top.__n"), F.col("__bytes") - F.col("top.__bytes")).alias("__out")
-    asked = bucket.select(F.struct("__band", "__key").alias("at"), "__n", "__x", "__y", F.col("top.__root").alias("__top"), inside, outside)
-    asked = asked.groupBy("__n", "__x", "__y").agg(F.min(F.struct("at", "__top", "__in", "__out")).alias("b")).select("b.at.__band", "b.at.__key", "b.__top", "b.__in", "b.__out")
-    rows = rooted.join(asked, ["__band", "__key"]).withColumn("__inner", F.col("__root") == F.col("__top"))
-    part = F.pmod(F.xxhash64("__text", F.lit(2)), F.when(F.col("__inner"), F.col("__in")).otherwise(F.col("__out"))).cast("int")
+    asked = bucket.select("__at", "__n", "__x", "__y", F.col("top.__root").alias("__top"), inside, outside)
+    asked = asked.groupBy("__n", "__x", "__y").agg(F.min(F.struct("__at", "__top", "__in", "__out")).alias("b")).select("b.*")
+    rows = rooted.join(asked, "__at").withColumn("__inner", F.col("__root") == F.col("__top"))
+    part = F.pmod(F.xxhash64(*TEXT, F.lit(2)), F.when(F.col("__inner"), F.col("__in")).otherwise(F.col("__out"))).cast("int")
     rows = rows.withColumn("__part", part)
     upto = lambda n: F.sequence(F.lit(0), n - 1)
     place = lambda i, j, own: F.struct(i.alias("i"), j.alias("j"), F.lit(own).alias("own"))
@@ -326,29 +292,30 @@ def _blocks(members: DataFrame, found: DataFrame, sizes: DataFrame) -> DataFrame
     # i is below 0 where outer parts meet
     beside = F.transform(upto(F.col("__out")), lambda k: place(-1 - F.least(k, "__part"), F.greatest(k, F.col("__part")), True))
     wanted = F.when(F.col("__inner"), F.transform(upto(F.col("__out")), lambda k: place(F.col("__part"), k, False))).otherwise(F.concat(met, beside))
-    return rows.select("__band", "__key", "__text", "__root", "__inner", F.explode(wanted).alias("p")).select(F.xxhash64("__band", "__key", "p.i", "p.j").alias("__at"), "__text", "__root", "__inner", F.col("p.own").alias("__own"))
+    return rows.select("__at", *TEXT, "__root", "__inner", F.explode(wanted).alias("p")).select(F.xxhash64("__at", "p.i", "p.j").alias("__at"), *TEXT, "__root", "__inner", F.col("p.own").alias("__own"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, class_size) of every row; class_id is the least doc_id of the class."""
-    slim = saved(docs.select(F.col(doc_id).alias("doc_id"), _digest(text).alias("__text")), "digests")
-    linked = classes(docs, text)
-    own = slim.groupBy("__text").agg(F.min("doc_id").alias("__least"), F.count(F.lit(1)).alias("__rows"))
-    named = own.join(linked, "__text", "left").withColumn("__class", F.coalesce("__class", "__text"))
+    inner = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__body"))
+    slim = saved(_with_digest(inner, "__body").select("doc_id", *TEXT), "digests")
+    linked = classes(inner, "__body")
+    own = slim.groupBy(*TEXT).agg(F.min("doc_id").alias("__least"), F.count(F.lit(1)).alias("__rows"))
+    named = own.join(linked, TEXT, "left").withColumn("__class", F.coalesce("__class", _node()))
     sizes = named.groupBy("__class").agg(F.min("__least").alias("class_id"), F.sum("__rows").alias("class_size"))
-    by_text = named.select("__text", "__class").join(sizes, "__class").select("__text", "class_id", "class_size")
-    return slim.join(by_text, "__text").select("doc_id", "class_id", "class_size")
+    by_text = named.select(*TEXT, "__class").join(sizes, "__class").select(*TEXT, "class_id", "class_size")
+    return slim.join(by_text, TEXT).select("doc_id", "class_id", "class_size")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of each class: the one of least doc_id, then least text; columns as they came."""
     inner, (text, doc_id) = positional(docs, text, doc_id)
     linked = classes(inner, text)
-    marked = inner.withColumn("__text", _digest(text)).withColumn("__id", F.col(doc_id))
+    marked = _with_digest(inner, text).withColumn("__id", F.col(doc_id))
     first = F.min(F.struct(F.col("__id").isNull().alias("__null"), "__id")).alias("__first")
-    named = marked.groupBy("__text").agg(first).join(linked, "__text", "left").withColumn("__class", F.coalesce("__class", "__text"))
-    best = named.groupBy("__class").agg(F.min(F.struct("__first", "__text")).alias("__best"))
-    chosen = best.select(F.col("__best.__text").alias("__text"), F.col("__best.__first.__id").alias("__kept"))
+    named = marked.groupBy(*TEXT).agg(first).join(linked, TEXT, "left").withColumn("__class", F.coalesce("__class", _node()))
+    best = named.groupBy("__class").agg(F.min(F.struct("__first", *TEXT)).alias("__best"))
+    chosen = best.select(F.col("__best.__hi").alias("__hi"), F.col("__best.__lo").alias("__lo"), F.col("__best.__first.__id").alias("__kept"))
     # the texts move once, by digest; rows that repeat both id and text then meet in place
-    rows = marked.join(chosen, "__text").where(F.col("__id").eqNullSafe(F.col("__kept"))).dropDuplicates(["__text"])
+    rows = marked.join(chosen, TEXT).where(F.col("__id").eqNullSafe(F.col("__kept"))).dropDuplicates(TEXT)
     return restored(rows, docs)
