@@ -8,7 +8,8 @@ boundary record for each piece.  No text is shuffled and every window but the la
 
 Defined results
     null or empty text   a document of the end id alone
-    very long text       cut over as many windows as it needs
+    very long text       tokenised piece by piece; cut over as many windows as it needs
+    other vocabularies   any file of the library; ids take two or four bytes by its size
     repeated rows        each is packed on its own
     empty table          no pieces
     extra columns        not read; ``keep`` names columns that the pieces carry
@@ -16,10 +17,10 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import saved
+from .common import arrow_rows, saved
 
 WINDOW, END_ID = 2048, 1
 VOCABULARY_FILE = "word_bpe_49k.json"
 #: Words whose ids a Python worker keeps at most; more are looked up again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Characters of a text that are tokenised at once, and rows that go to Python at once.
+PIECE_CHARS, BATCH_ROWS = 1 << 20, 1000
 
 
 def vocabulary_path(name: str = VOCABULARY_FILE) -> str:
@@ -44,46 +47,93 @@ def vocabulary_path(name: str = VOCABULARY_FILE) -> str:
 
 
 class Encoder:
-    """Ids of the ``tokenizers`` library, with a memory for words.
+    """Ids of the ``tokenizers`` library as bytes, with a memory for words.
 
-    The library spends most of its time in normalising and splitting.  For texts of plain
-    Latin characters the same split is done here by one pattern, and each distinct lower-case
-    word goes to the library's model once.  Every other text goes through the library whole.
+    The library spends most of its time in normalising and splitting.  Where a vocabulary file has
+    the rules ``RULES``, a text of plain characters is split here by one pattern, and each distinct
+    lower-case word goes to the library's model once.  Which characters are plain, and which are
+    letters, digits or spaces, is asked of the library itself, one by one.  Every other text, and
+    every text under other rules, goes through the library whole.
     """
 
-    # characters for which lower() and the split below agree with the library; "<|" may start a special token
-    PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
-    LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ɏ"
-    DIGIT = "0-9\xb2\xb3\xb9\xbc-\xbe"
-    SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
+    # The splitting rules of the vocabulary file, under which words can be kept apart.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    STEPS = ["NFC", "Replace", "Lowercase"]
+    LAST = 0x250
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model, self.limit = self.whole.model, cache_words
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.width = "<u2" if max([self.whole.get_vocab_size(), *(k + 1 for k in self.whole.get_added_tokens_decoder())]) <= 1 << 16 else "<u4"
+        added = self.whole.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added]
+        rules = json.loads(self.whole.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex") for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.apart = steps == self.STEPS and split == [self.SPLIT, None] and not any(t.normalized or re.search(r"\s", t.content) for t in added)
+        if self.apart:
+            plain, letters, digits, spaces = self.alphabet()
+            self.plain = re.compile(f"[{plain}]*")
+            self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+")
         # the byte alphabet: printable bytes stand for themselves, the rest follow from 256
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    def word(self, word: str) -> tuple[int, ...]:
-        spelled = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return tuple(t.id for t in self.model.tokenize(spelled))
-
-    def ids(self, text: str) -> np.ndarray:
-        if "<|" in text or not self.PLAIN.fullmatch(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
-        words = self.SPLIT.findall(text.lower())
+    def alphabet(self) -> tuple[str, str, str, str]:
+        """Pattern classes: plain characters, and letters, digits and spaces among their lower case."""
+        normal = lambda c: self.whole.normalizer.normalize_str(c)
+        count = lambda c: len(self.whole.pre_tokenizer.pre_tokenize_str(c))
+        kinds: dict[str, list[str]] = {"letter": [], "digit": [], "space": [], "other": []}
+        for c in map(chr, range(self.LAST)):
+            if count(normal(c)) == 0:
+                kinds["space"].append(c)
+            elif normal(c) == c:
+                kinds["letter" if count("x" + c) == 1 else "digit" if count(c + c) == 2 else "other"].append(c)
+        known = set().union(*kinds.values())
+        plain = [c for c in map(chr, range(self.LAST)) if c in kinds["space"] or (c.lower() in known and normal(c) == c.lower())]
+        return tuple("".join(map(re.escape, x)) for x in (plain, kinds["letter"], kinds["digit"], kinds["space"]))
+
+    def word(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(spelled)], dtype=self.width).tobytes()
+
+    def library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        """All ids of a text; a long one is taken piece by piece, cut at white space, which no word crosses."""
+        if not self.apart:
+            return self.library(text)
+        if len(text) <= PIECE_CHARS:
+            return self.piece(text)
+        out, at = [], 0
+        while at < len(text):
+            end = min(len(text), at + PIECE_CHARS)
+            if end < len(text):
+                cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+                if cut < 0:
+                    cut = min((x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0), default=len(text))
+                end = min(len(text), cut + 1)
+            out.append(self.piece(text[at:end]))
+            at = end
+        return b"".join(out)
+
+    def piece(self, text: str) -> bytes:
+        if not self.plain.fullmatch(text) or any(s in text for s in self.special):
+            return self.library(text)
+        words = self.split.findall(text.lower())
         found = list(map(self.known.get, words))
         if None in found:
             for k, ids in enumerate(found):
                 if ids is None:
                     found[k] = self.known.get(words[k]) or self.learn(words[k])
-        return np.fromiter(chain.from_iterable(found), dtype=np.uint16)
+        return b"".join(found)
 
-    def learn(self, word: str) -> tuple[int, ...]:
+    def learn(self, word: str) -> bytes:
         ids = self.word(word)
         if len(self.known) < self.limit:
             self.known[word] = ids
@@ -106,17 +156,15 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, at = encoder(path), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], dtype=enc.width).tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, sizes = [], []
-            for t in batch.column(batch.num_columns - 1).to_pylist():
-                ids.append(np.append(enc.ids(t or ""), np.uint16(end_id)).astype("<u2").tobytes())
-                sizes.append(len(ids[-1]) // 2)
-            starts = at + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            at += int(sum(sizes))
-            n = batch.num_rows
-            own = [pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.full(n, part), pa.int64()), pa.array(starts, pa.int64())]
+            ids = [enc.ids(t or "") + end for t in batch.column(batch.num_columns - 1).to_pylist()]
+            sizes = np.array([len(x) // len(end) for x in ids], dtype=np.int64)
+            starts = at + np.cumsum(sizes) - sizes
+            at += int(sizes.sum())
+            own = [pa.array(ids, pa.binary()), pa.array(sizes), pa.array(np.full(len(ids), part)), pa.array(starts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*kept.names, "__ids", "__tokens", "__part", "__at"])
 
     return docs.select(*keep, F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
@@ -125,7 +173,8 @@ def tokenised(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str
 def pack(docs: DataFrame, path: str | None = None, text: str = "text", keep: Sequence[str] = ("doc_id",), window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row a piece: keep..., start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
     path = path or vocabulary_path()
-    stored = saved(tokenised(docs, path, text, keep, end_id), "tokens")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        stored = saved(tokenised(docs, path, text, keep, end_id), "tokens")
     totals = stored.groupBy("__part").agg(F.sum("__tokens").alias("__total"))
     before = W.Window.orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)  # one row a partition
     bases = totals.select("__part", F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
@@ -136,11 +185,11 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", keep: Seq
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 2
+            k = batch.num_columns - 3
             row, start, length, crc, tokens, seq, offset, bodies = [], [], [], [], [], [], [], []
-            for r, (ids, at) in enumerate(zip(batch.column(k).to_pylist(), batch.column(k + 1).to_pylist())):
-                ids = np.frombuffer(ids, "<u2").astype("<u4")
-                n, done = len(ids), 0
+            for r, (ids, at, n) in enumerate(zip(*(batch.column(k + c) for c in range(3)))):
+                ids, at, n = np.frombuffer(ids.as_buffer(), np.uint8), at.as_py(), n.as_py()
+                ids, done = ids.view(f"<u{len(ids) // n}").astype("<u4"), 0
                 while done < n:
                     sequence, inside = divmod(at + done, window)
                     take = min(window - inside, n - done)
@@ -154,4 +203,4 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", keep: Seq
             own = [pa.array(x, pa.int64()) for x in (start, length, crc, tokens, seq, offset)] + ([pa.array(bodies, pa.binary())] if with_ids else [])
             yield pa.RecordBatch.from_arrays([*chosen.columns, *own], names=schema.names)
 
-    return placed.select(*keep, "__ids", "__at").mapInArrow(cut, schema)
+    return placed.select(*keep, "__ids", "__at", "__tokens").mapInArrow(cut, schema)
