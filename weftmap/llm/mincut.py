@@ -3,13 +3,14 @@
 The page is cut into blocks of text at block-level tags.  A logistic classifier gives each
 block a cost of being boilerplate and a cost of being content; these are its capacities from
 the source and to the sink.  Neighbouring blocks, and consecutive blocks of one DOM parent, are
-joined by smoothness edges.  The minimum cut (by max-flow) labels all blocks at once.  Blocks
-inside elements that are never content (menus, footers, forms, adverts, ...) are tied to the
-sink, and a page that marks its article ties all other blocks to it.
+joined by smoothness edges.  The minimum cut (by max-flow) labels all blocks at once.  What the
+elements around a block say (menus, footers, forms, adverts, ..., or the article) adds finite
+capacities, so every block is free: marks, text and neighbours are weighed against each other, and
+a page without marks is labelled by the other two.
 
-The classifier is trained here, on blocks of a bounded sample of pages (``TRAIN_PAGES``):
-blocks inside an article element against those inside marked boilerplate.  It sees only text
-features, so it also labels pages without such marks.
+The classifier is trained here, on blocks of a bounded sample of pages (at most ``TRAIN_PAGES``
+of at most ``TRAIN_BYTES`` each): blocks inside an article element against those inside marked
+boilerplate.  It sees only text features, so it also labels pages without such marks.
 
 Defined results
     null, empty html, no text   empty text
@@ -46,7 +47,13 @@ MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spon
 CONTENT = {"article", "main"}
 CONTENT_MARKS = {"article", "main", "articlebody", "post-content", "entry-content", "article-body", "post-body", "article-content", "main-content", "story-body"}
 
-TRAIN_PAGES = 400
+#: Raw text for HTML parsers too: without an end tag it goes on to the end of the page.
+RAW_TEXT = {"script", "style", "iframe", "textarea", "title"}
+TRAIN_PAGES, TRAIN_BYTES = 400, 1 << 20
+#: Capacities for the marks around a block: boilerplate, inside the article, outside a marked article.
+NEVER_COST, ARTICLE_COST, OUTSIDE_COST = 10.0, 8.0, 6.0
+#: The classifier's log odds count up to this.
+MAX_ODDS = 5.0
 SMOOTH_NEXT, SMOOTH_PARENT = 0.2, 1.5
 # As HTML parsers do: a quote opens a value only after "=", "</" before anything but a letter is a comment to ">".
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?)*+)>|([^<]+|<)", re.S)
@@ -128,9 +135,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            if name == "title" or not m.group(3).endswith("/"):
-                pos = close.end() if close else end
-            continue
+            if close and (name == "title" or not m.group(3).endswith("/")):
+                pos = close.end()
+            elif name in RAW_TEXT and not close:
+                pos = end
+            continue  # others without an end tag are as if they were not there
         if name == "br":
             pieces.append(" ")
             continue
@@ -204,70 +213,71 @@ def train(pages: list[str], rounds: int = 30, ridge: float = 1.0) -> np.ndarray:
 def cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for nodes on the source side of a minimum cut; edges work both ways.
 
-    What a node can pass straight from source to sink goes first.  The rest is augmented
-    along shortest paths; nothing is left to do where all remaining capacity is on one side.
+    What a node can pass straight from source to sink goes first.  The rest flows in phases:
+    distances from the source, then flow along shortest paths until none is left.  At the end
+    the nodes that the source still reaches are on its side.
     """
-    n = len(source)
+    n, eps = len(source), 1e-12
     s = [a - min(a, b) for a, b in zip(source, sink)]
     t = [b - min(a, b) for a, b in zip(source, sink)]
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for i, j, c in edges:
         near[i][j] = near[i].get(j, 0.0) + c
         near[j][i] = near[j].get(i, 0.0) + c
-    eps = 1e-12
     while True:
-        back: dict[int, int] = {}
-        queue = deque(i for i in range(n) if s[i] > eps)
-        seen = set(queue)
-        found = -1
+        level = [0 if x > eps else -1 for x in s]
+        queue = deque(i for i in range(n) if not level[i])
+        found = False
         while queue:
             i = queue.popleft()
-            if t[i] > eps:
-                found = i
-                break
+            found = found or t[i] > eps
             for j, c in near[i].items():
-                if c > eps and j not in seen:
-                    seen.add(j)
-                    back[j] = i
+                if c > eps and level[j] < 0:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if found < 0:
-            return [i in seen for i in range(n)]
-        flow, i = t[found], found
-        while i in back:
-            flow, i = min(flow, near[back[i]][i]), back[i]
-        flow = min(flow, s[i])
-        s[i] -= flow
-        t[found] -= flow
-        i = found
-        while i in back:
-            j = back[i]
-            near[j][i] -= flow
-            near[i][j] += flow
-            i = j
-
-
-def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
+        if not found:
+            return [x >= 0 for x in level]
+        ahead = [iter(list(x)) for x in near]  # each edge is tried once a phase
+        for start in range(n):
+            path = [start] if level[start] == 0 else []
+            while path and s[start] > eps:
+                i = path[-1]
+                if t[i] > eps:
+                    flow = min([s[start], t[i], *(near[a][b] for a, b in zip(path, path[1:]))])
+                    s[start] -= flow
+                    t[i] -= flow
+                    keep = len(path)
+                    for k in range(len(path) - 2, -1, -1):
+                        a, b = path[k], path[k + 1]
+                        near[a][b] -= flow
+                        near[b][a] += flow
+                        if near[a][b] <= eps:
+                            keep = k + 1
+                    del path[keep:]
+                    continue
+                for j in ahead[i]:
+                    if level[j] == level[i] + 1 and near[i][j] > eps:
+                        path.append(j)
+                        break
+                else:
+                    path.pop()
+
+
+def label(blocks: list[Block], weights: np.ndarray, smooth: float = 1.0) -> list[bool]:
     """Content or not, for each block."""
     if not blocks:
         return []
-    z = features(blocks) @ weights
+    z = np.clip(features(blocks) @ weights, -MAX_ODDS, MAX_ODDS)
     marked = any(b.content and not b.never for b in blocks)
     source, sink, edges, last = [], [], [], {}
-    hard = 1e6
     for k, b in enumerate(blocks):
         # -log(1 - p) and -log p: what it costs to call the block boilerplate, or content
-        source.append(float(np.logaddexp(0, z[k])))
-        sink.append(float(np.logaddexp(0, -z[k])))
-        if b.never or (marked and not b.content):
-            sink[k] += hard
-        elif b.content:
-            source[k] += hard
+        source.append(float(np.logaddexp(0, z[k])) + ARTICLE_COST * (b.content and not b.never))
+        sink.append(float(np.logaddexp(0, -z[k])) + NEVER_COST * b.never + OUTSIDE_COST * (marked and not b.content))
         if k:
-            edges.append((k - 1, k, SMOOTH_NEXT))
-        if b.parent in last and last[b.parent] != k - 1:
-            edges.append((last[b.parent], k, SMOOTH_PARENT))
-        elif b.parent in last:
-            edges.append((k - 1, k, SMOOTH_PARENT))
+            edges.append((k - 1, k, smooth * SMOOTH_NEXT))
+        if b.parent in last:
+            edges.append((last[b.parent], k, smooth * SMOOTH_PARENT))
         last[b.parent] = k
     return cut(source, sink, edges)
 
@@ -279,7 +289,7 @@ def main_text(page: str | None, weights: np.ndarray) -> str:
 
 def trained_weights(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> np.ndarray:
     """Weights from ``limit`` pages at most, the same ones in every run (least hashes)."""
-    slim = pages.select(F.col(f"`{html}`").alias("html")).where("html is not null")
+    slim = pages.select(F.col(f"`{html}`").alias("html")).where(F.octet_length("html") <= TRAIN_BYTES)
     share = min(1.0, 2 * limit / max(1, pages.count()))  # so that no task sorts more than a few of the sample
     near = slim.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < F.lit(share * (1 << 30)))
     return train([r[0] for r in near.orderBy(F.xxhash64("html"), "html").limit(limit).collect()])
