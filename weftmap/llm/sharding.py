@@ -1,18 +1,20 @@
 """Shards from a hierarchical weighted hash tree, in DataFrame functions.
 
-A key descends region, rack and shard.  At each level every child draws
-``-ln(u) / weight`` with ``u`` hashed from the key and the child's name, and the least draw
-wins: a child is chosen in proportion to its weight, and raising one child's weight can
-only move keys into that child.  A node's weight is the sum of the weights below it, so a
-change confines movement to the subtrees whose weights change.  Shards fill racks and racks
-fill regions in order; a shard that opens a region therefore only takes rows into itself.
+A key descends region, rack and shard, at each level to the child of least draw.  A shard
+draws ``-ln(u) / weight`` with ``u`` hashed from the key and the shard's name; the draw of a rack
+or region is the least one below it.  The least of exponential draws is one whose rate is the
+sum of theirs, so every node is chosen in proportion to the weight below it.  A change of weights
+moves keys only into shards that gained and out of shards that lost, wherever they stand in the
+tree; all other subtrees keep their draws.  So one more shard takes rows only into itself,
+whatever the number of shards and however full its rack and region are.  A key costs one hash a
+shard.
 
 Defined results
     null key        one fixed key of its own; all its rows share a shard
     null text       no bytes, crc32 of nothing (0)
     repeated rows   same shard, consecutive slots; which copy gets which slot doesn't matter
     empty table     no rows
-    extra columns   ignored by ``assign``, which returns its own columns beside all of them
+    extra columns   kept by ``assign``, which refuses a name that the table has already
 """
 
 from __future__ import annotations
@@ -38,44 +40,34 @@ def tree(weights: Sequence[float], per_rack: int = SHARDS_PER_RACK, per_region:
     return [racks[i : i + per_region] for i in range(0, len(racks), per_region)]
 
 
-def children(nodes: Sequence[tuple[str, float, int]]) -> Column:
-    """Array of (name, weight, value) of the nodes that have a weight."""
-    alive = [F.struct(F.lit(name).alias("name"), F.lit(float(w)).alias("weight"), F.lit(value).alias("value")) for name, w, value in nodes if w > 0]
-    return F.array(*alive) if alive else F.lit(None).cast("array<struct<name:string,weight:double,value:int>>")
-
-
-def choose(key: Column, nodes: Column) -> Column:
-    """The value of the child with the least draw, exponential with its weight as the rate."""
+def draws(key: Column, node: list) -> Column:
+    """(draw, shard) of the least draw: at each level the least of the children."""
+    leaves = lambda rack: F.array(*[F.struct(F.lit(f"shard{s}").alias("name"), F.lit(float(w)).alias("weight"), F.lit(s).alias("shard")) for s, w in rack])
+    alive = [[[leaf for leaf in rack if leaf[1] > 0] for rack in region] for region in node]
+    alive = [[rack for rack in region if rack] for region in alive]
+    nodes = F.array(*[F.array(*[leaves(rack) for rack in region]) for region in alive if region])
     u = lambda c: (F.shiftrightunsigned(F.xxhash64(key, c["name"]), 11).cast("double") + 0.5) / float(1 << 53)
-    return F.array_min(F.transform(nodes, lambda c: F.struct((-F.log(u(c)) / c["weight"]).alias("draw"), c["value"].alias("value"))))["value"]
-
-
-def place(df: DataFrame, key: Column, weights: Sequence[float], out: str) -> DataFrame:
-    """``df`` with the shard of each row's key: one draw among the children at each level."""
-    t = tree(weights)
-    total = lambda node: sum(map(total, node)) if isinstance(node, list) else node[1]
-    regions = children([(f"region{i}", total(r), i) for i, r in enumerate(t)])
-    racks = F.array(*[children([(f"region{i}/rack{j}", total(k), j) for j, k in enumerate(r)]) for i, r in enumerate(t)])
-    leaves = F.array(*[F.array(*[children([(f"shard{s}", w, s) for s, w in k]) for k in r]) for r in t])
-    region, rack = f"__{out}_region", f"__{out}_rack"
-    df = df.withColumn(region, choose(key, regions))
-    df = df.withColumn(rack, choose(key, F.get(racks, F.col(region))))
-    return df.withColumn(out, choose(key, F.get(F.get(leaves, F.col(region)), F.col(rack)))).drop(region, rack)
+    shard = lambda c: F.struct((-F.log(u(c)) / c["weight"]).alias("draw"), c["shard"].alias("shard"))
+    rack = lambda r: F.array_min(F.transform(r, shard))
+    region = lambda g: F.array_min(F.transform(g, rack))
+    return F.array_min(F.transform(nodes, region))
 
 
 def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard") -> DataFrame:
     """``df`` with a column of shard numbers decided by ``key`` and the weights alone."""
     if not any(w > 0 for w in weights):
         raise ValueError("a shard needs a weight above 0")
-    return place(df, F.coalesce(F.col(key).cast("string"), F.lit("null key")), weights, out)
+    if out in df.columns:
+        raise ValueError(f"the table has a column {out}; name another one for the shard")
+    return df.withColumn(out, draws(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null key")), tree(weights))["shard"])
 
 
 def slots(df: DataFrame, shard: str, order: Sequence[str], rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
     """Number the rows of each shard from 0 without a gap; ``df`` must be a saved table.
 
-    A shard is cut into runs by a hash of its order columns.  Run sizes are summed first
-    (map-side), their running totals give each run its offset, and only a run is ever sorted
-    in one task, so a shard may hold any number of rows.
+    A shard is cut into runs by a hash of its order columns, which should tell equal rows
+    apart.  Run sizes are summed first (map-side), their running totals give each run its
+    offset, and only a run is ever sorted in one task, so a shard may hold any number of rows.
     """
     runs = max(1, -(-df.count() // rows_per_run))
     df = df.withColumn("__run", F.pmod(F.xxhash64(*order), F.lit(runs)))
@@ -92,5 +84,6 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     slim = docs.select("doc_id", (F.octet_length(text) + OVERHEAD_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     slim = assign(assign(slim, "doc_id", [1.0] * shards), "doc_id", [1.0] * (shards + 1), "grown_shard")
-    numbered = slots(saved(slim, "shards"), "shard", ["doc_id", "text_crc32", "size"])
+    # a written row number tells equal rows apart, so that they don't make one run
+    numbered = slots(saved(slim.withColumn("__row", F.monotonically_increasing_id()), "shards"), "shard", ["doc_id", "text_crc32", "size", "__row"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
