@@ -7,7 +7,9 @@ share of distrust is above the threshold is blocked, with all of its pages that
 Edges are absolute links between hosts, and links between a host and the host above it
 (``blog.a.org`` and ``a.org``).
 
-Scores of hosts without out-links leak, as the sums are only compared with each other.
+Scores of hosts without out-links leak, as the sums are only compared with each other.  Mass
+moves on until all that is still on its way is below ``TOLERANCE`` of the seeds, so the path
+from a seed to a host may have any length.
 
 Defined results
     null url, no ``://``   host and path are empty; no rule fits; an empty host is allowed
@@ -36,7 +38,7 @@ class Rule(NamedTuple):
 
 
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
-DAMPING, ROUNDS, SAVE_EVERY, MAX_DISTRUST = 0.85, 12, 4, 0.5
+DAMPING, TOLERANCE, SAVE_EVERY, MAX_DISTRUST = 0.85, 1e-9, 8, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,26 +70,28 @@ def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     return links.unionByName(site).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind over its own edges.
 
     ``edges`` (kind, src, dst, links) and ``seeds`` (kind, host, seed), seeds of a kind
-    summing to 1.  Both kinds move in the same joins; every few rounds are written out.
+    summing to 1.  Both kinds move in the same joins.  ``rest`` is the mass that arrived in the
+    last round; what it may still bring is at most damping / (1 - damping) times its sum, so a
+    sum over one column tells when to stop.  Every few rounds are written out.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("__all"))
-    step = saved(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("links") / F.col("__all")).alias("share")), "links")
-    start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"))
-    now = seeds.select("kind", "host", F.col("seed").alias("score"))
-    kept = None
-    for k in range(rounds):
-        moved = now.join(step, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
-        now = moved.unionByName(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if (k + 1) % SAVE_EVERY == 0 or k + 1 == rounds:
-            now = saved(now, "scores")
-            if kept is not None:
-                drop_saved(kept)
-            kept = now
-    return now
+    step = saved(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("links") / F.col("__all") * damping).alias("share")), "links")
+    now = saved(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), (F.col("seed") * (1 - damping)).alias("rest")), "scores")
+    while (now.agg(F.sum("rest")).first()[0] or 0.0) * damping / (1 - damping) >= tolerance:
+        after = now
+        for _ in range(SAVE_EVERY):
+            moved = after.where("rest > 0").join(step, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("score"), (F.col("rest") * F.col("share")).alias("rest"))
+            held = after.select("kind", "host", "score", F.lit(0.0).alias("rest"))
+            after = moved.unionByName(held).groupBy("kind", "host").agg((F.sum("score") + F.sum("rest")).alias("score"), F.sum("rest").alias("rest"))
+        after = saved(after, "scores")
+        drop_saved(now)
+        now = after
+    drop_saved(step)
+    return now.select("kind", "host", "score")
 
 
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[Rule] = RULES, max_distrust: float = MAX_DISTRUST) -> DataFrame:
