@@ -38,7 +38,7 @@ from .common import SPACES, positional, restored, saved, shuffle_partitions
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, LIMIT = 1.5, 2.0
-DOCS_PER_BLOCK, FANOUT = 20_000, 64
+DOCS_PER_BLOCK, FANOUT = 4_000, 64
 EPS = 1e-9
 
 
@@ -155,10 +155,14 @@ def _with_frac(batch: pa.RecordBatch, frac: np.ndarray, schema: pa.Schema) -> pa
 
 
 def pivotal_copies(docs: DataFrame, source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, size: str | None = None, docs_per_block: int = DOCS_PER_BLOCK, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with ``__size``, ``__source_size``, ``__target`` (its source's) and ``__copies``."""
+    """``docs`` with ``__size``, ``__source_size``, ``__target`` (its source's) and ``__copies``.
+
+    Where ``docs`` has such a column itself, the one here gets one more underscore in front.
+    """
     spark = docs.sparkSession
-    own = docs.columns
-    df = docs.withColumn("__size", F.col(size).cast("long") if size else n_words(text)).withColumn("__source", F.col(source))
+    inner, (source, counted) = positional(docs, source, size or text)
+    own = inner.columns
+    df = inner.withColumn("__size", F.col(counted).cast("long") if size else n_words(counted)).withColumn("__source", F.col(source))
     tallied = saved(df.groupBy("__source").agg(F.sum("__size").alias("__size"), F.count(F.lit(1)).alias("__rows")), "mix-sizes")
     targets = source_targets(tallied, weights, share, limit).withColumnsRenamed({"source_size": "__source_size", "target": "__target", "__source": "__its"})
     rows = tallied.agg(F.sum("__rows")).first()[0] or 0
@@ -167,7 +171,7 @@ def pivotal_copies(docs: DataFrame, source: str = "source", text: str = "text",
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     df = df.withColumn("__rate", F.least(F.lit(float(limit)), rate)).withColumn("__whole", F.floor(F.col("__rate") + F.lit(EPS)).cast("long"))
     df = df.withColumn("__frac", F.when(F.col("__size") > 0, F.greatest(F.lit(0.0), F.col("__rate") - F.col("__whole"))).otherwise(F.lit(0.0)))
-    df = df.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in own if docs.schema[c].dataType.typeName() not in ("map", "variant")]))
+    df = df.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in own if inner.schema[c].dataType.typeName() not in ("map", "variant")]))
     df = df.withColumn("__block", F.pmod(F.xxhash64("__key", F.lit(7)), F.lit(blocks)).cast("long")).drop("__rate")
     schema = df.schema
 
@@ -185,7 +189,13 @@ def pivotal_copies(docs: DataFrame, source: str = "source", text: str = "text",
     last = done.withColumn("__frac", F.when(is_open, F.when(F.pmod(F.xxhash64("__key", F.lit(11)), F.lit(1 << 30)) < F.col("__frac") * (1 << 30), 1.0).otherwise(0.0)).otherwise(F.col("__frac")))
     for p in parts:
         last = last.unionByName(p)
-    return last.withColumn("__copies", (F.col("__whole") + F.round("__frac")).cast("long")).drop("__whole", "__frac", "__key", "__block", "__source")
+    last = last.withColumn("__copies", (F.col("__whole") + F.round("__frac")).cast("long"))
+    named = [F.col(f"in{k}").alias(c) for k, c in enumerate(docs.columns)]
+    return last.select(*named, *[F.col(c).alias(_free(c, docs.columns)) for c in ("__size", "__source_size", "__target", "__copies")])
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    return _free("_" + name, taken) if name in taken else name
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text") -> DataFrame:

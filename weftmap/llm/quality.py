@@ -11,7 +11,8 @@ Defined results
                                that distance is null and rejects nothing
     unknown or null language   the smallest distance over all references counts
     no usable reference        distances are null; only the base rules decide
-    repeated rows, extra or clashing columns   each row is judged alone; columns are kept
+    repeated rows, extra or clashing columns   each row is judged alone; columns are kept, but for one of
+                               the name that the verdict gets
 """
 
 from __future__ import annotations
@@ -194,24 +195,27 @@ def judged(df: DataFrame, refs: DataFrame, lang: str, min_chars: int, min_words:
     return df.withColumn("__quality", F.explode(F.array(out))).drop("__c", "__f", "__n", "__d", "__refs")
 
 
-def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``docs`` with one struct column ``__quality`` of all counts, distances and the verdict.
+def judge_quality(docs: DataFrame, text: str = "text", lang: str = "lang", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, out: str = "__quality") -> DataFrame:
+    """``docs`` with one struct column ``out`` of all counts, distances and the verdict.
 
     Two scans and no shuffle of texts: the first sums the references (one row), the second
     judges each row where it is read.
     """
-    refs = language_references(histograms(docs.select(lang, text), text), lang)
-    return judged(features(docs, text), refs, lang, min_chars, min_words, max_char, max_word)
+    inner, (text, lang) = positional(docs, text, lang)
+    refs = language_references(histograms(inner.select(lang, text), text), lang)
+    found = judged(features(inner, text), refs, lang, min_chars, min_words, max_char, max_word)
+    return found.select(*[F.col(f"in{k}").alias(c) for k, c in enumerate(docs.columns) if c != out], F.col("__quality").alias(out))
 
 
 def quality_digest(docs: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Verdicts without the texts: one scan writes the features, the rest reads those."""
-    slim = saved(features(docs.select(*keep, F.col(lang).alias("__of"), F.col(text).alias("__body")), "__body").drop("__body"), "features")
-    out = judged(slim, language_references(slim, "__of"), "__of", MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)
-    return out.select(*keep, "__quality.*")
+    inner, (body, of, *kept) = positional(docs, text, lang, *keep)
+    slim = saved(features(inner.select(*kept, of, body), body).drop(body), "features")
+    out = judged(slim, language_references(slim, of), of, MIN_CHARS, MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE)
+    return out.select(*[F.col(c).alias(name) for c, name in zip(kept, keep)], "__quality.*")
 
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns only."""
     inner, (text, lang) = positional(docs, text, lang)
-    return restored(judge_quality(inner, text, lang).where("__quality.kept"), docs)
+    return restored(judge_quality(inner, text, lang, out="__verdict").where("__verdict.kept"), docs)

@@ -66,13 +66,16 @@ def resolve_revisits(records: DataFrame, span: int = SPAN) -> DataFrame:
     order = [F.col("ts").asc_nulls_first(), F.when(F.col("kind") == "response", 1).otherwise(0), F.col("record_id")]
     inside = W.Window.partitionBy("url_key", "__span").orderBy(*order).rowsBetween(W.Window.unboundedPreceding, -1)
     response = F.when(F.col("kind") == "response", held)
-    near = slim.withColumn("__base", F.last(response, ignorenulls=True).over(inside)).where("kind = 'revisit'")
+    # what has no URL or time matches nothing and goes around the windows
+    known, lost = slim.where("url_key is not null and ts is not null"), slim.where("kind = 'revisit' and (url_key is null or ts is null)")
+    near = known.withColumn("__base", F.last(response, ignorenulls=True).over(inside)).where("kind = 'revisit'")
     # last response of each span, then of all spans before
-    ends = slim.where("kind = 'response' and url_key is not null and ts is not null").groupBy("url_key", "__span").agg(F.max_by(held, F.struct("ts", "record_id")).alias("__end"))
-    spans = slim.where("url_key is not null").select("url_key", "__span").distinct().join(ends, ["url_key", "__span"], "left")
-    over = W.Window.partitionBy("url_key").orderBy(F.col("__span").asc_nulls_first()).rowsBetween(W.Window.unboundedPreceding, -1)
+    ends = known.where("kind = 'response'").groupBy("url_key", "__span").agg(F.max_by(held, F.struct("ts", "record_id")).alias("__end"))
+    spans = known.select("url_key", "__span").distinct().join(ends, ["url_key", "__span"], "left")
+    over = W.Window.partitionBy("url_key").orderBy("__span").rowsBetween(W.Window.unboundedPreceding, -1)
     earlier = spans.select("url_key", "__span", F.last("__end", ignorenulls=True).over(over).alias("__earlier")).where("__earlier is not null")
-    out = near.join(earlier, ["url_key", "__span"], "left").withColumn("__base", F.when(F.col("url_key").isNotNull() & F.col("ts").isNotNull(), F.coalesce("__base", "__earlier")))
+    out = near.join(earlier, ["url_key", "__span"], "left").withColumn("__base", F.coalesce("__base", "__earlier")).drop("__earlier")
+    out = out.unionByName(lost.withColumn("__base", F.lit(None).cast(near.schema["__base"].dataType)))
     base = F.col("__base")
     fits = F.when(F.col("etag").isNotNull(), F.coalesce(_tag(F.col("etag")) == _tag(base["etag"]), F.lit(False)))
     fits = fits.when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == base["last_modified"], F.lit(False)))
