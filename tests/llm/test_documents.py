@@ -2,15 +2,18 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftmap.llm import fingerprints, licences, mixing, neardup, packing, quality, sharding
+from weftmap.llm import fingerprints, licences, mixing, neardup, packing, quality, sharding, shingles
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,6 +106,52 @@ def test_keep_first_keeps_one_row_of_each_class(docs):
     assert ids == want
 
 
+def test_no_link_is_lost_on_the_given_documents(spark):
+    """All pairs by brute force: every pair that shares a unit is counted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets, holders, parent = [neardup.units(t or "") for _, t in data], {}, {}
+
+    def find(a):
+        while parent.setdefault(a, a) != a:
+            a = parent[a]
+        return a
+
+    for i, u in enumerate(sets):
+        both = Counter(j for x in u.tolist() for j in holders.get(x, ()))
+        for j, n in both.items():
+            if n >= 0.8 * (len(u) + len(sets[j]) - n):
+                parent[find(i)] = find(j)
+        for x in u.tolist():
+            holders.setdefault(x, []).append(i)
+    want = {}
+    for i, (d, _) in enumerate(data):
+        want.setdefault("none" if not len(sets[i]) else find(i), []).append(d)
+    got = {}
+    for r in neardup.near_duplicates(docs).collect():
+        got.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert {min(v): sorted(v) for v in want.values()} == {k: sorted(v) for k, v in got.items()}
+
+
+def test_word_hashes_follow_the_words():
+    texts = [t or "" for _, t, *_ in rows()] + ["a", " a", "a\x0bb c", "\xa0 x\x85y", "x" * 70_000 + " " + "ab " * 100_000, ""]
+    seen = {}
+    for t in texts:
+        words = WORD.findall(t)
+        data = np.frombuffer(t.encode(), np.uint8)
+        h = shingles.long_word_hashes(data)
+        assert len(h) == len(words)
+        for w, x in zip(words, h.tolist()):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    column = pa.array(texts)
+    got = [(int(n), set()) for *_, sizes in shingles.units_by_text(column) for n in sizes]
+    assert [n for n, _ in got] == [sum(n_shingles(t).values()) for t in texts]
+    for at, n, units, sizes in shingles.units_by_text(column.slice(2, 9), most=4):
+        for k, part in enumerate(np.split(units, np.cumsum(sizes)[:-1])):
+            assert part.tolist() == neardup.units(texts[2 + at + k]).tolist() == sorted(set(part.tolist()))
+
+
 def test_a_chain_and_a_group_of_near_copies_stay_whole(spark):
     base = prose(5, 400).split()
     chain = [list(base)]
@@ -191,6 +240,65 @@ def test_quality_counts_equal_brute_force(spark):
         assert r.base_failed == failed and (not r.kept or not failed)
 
 
+def shares(counts):
+    return [c / sum(counts) for c in counts]
+
+
+def brute_distance(a, b):
+    if not sum(a) or not sum(b):
+        return None
+    d = 0.0
+    for x, y in zip(shares(a), shares(b)):
+        m = (x + y) / 2
+        d += sum(v / 2 * np.log2(v / m) for v in (x, y) if v)
+    return max(0.0, min(1.0, d)) ** 0.5
+
+
+def brute_histograms(text):
+    kinds = [0] * 9
+    for c in text:
+        lower, upper, letter = unicodedata.category(c) == "Ll", "A" <= c <= "Z", unicodedata.category(c)[0] == "L"
+        k = 0 if "a" <= c <= "z" else 1 if c == " " else 2 if lower else 3 if upper else 4 if c in ".,;:!?'\"()-" else 5 if "\t" <= c <= "\r" else 6 if c in "0123456789" else 7 if letter else 8
+        kinds[k] += 1
+    words = WORD.findall(text)
+    n = Counter(words)
+    common = [n[w] for w in quality.VOCABULARY]
+    return kinds, [*common, len(words) - sum(common)]
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """The registered query's own table, judged by Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    data = [(r["doc_id"], r["text"] or "", r["lang"]) for r in docs.collect()]
+    found = {d: brute_histograms(t) for d, t, _ in data}
+    sums = {}
+    for d, _, lang in data:
+        if lang in quality.COMMON_WORDS:
+            have = sums.setdefault(lang, ([0] * 9, [0] * (len(quality.VOCABULARY) + 1)))
+            for mine, own in zip(have, found[d]):
+                mine[:] = [a + b for a, b in zip(mine, own)]
+    texts = {d: (t, lang) for d, t, lang in data}
+    for r in quality.quality_digest(docs).collect():
+        text, lang = texts[r.doc_id]
+        n = brute_quality(text)
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == n
+        refs = [sums[lang]] if lang in sums else list(sums.values())
+        d = [min(brute_distance(found[r.doc_id][k], ref[k]) for ref in refs) if enough else None for k, enough in ((0, len(text) >= 200), (1, n[0] >= 80))]
+        assert r.char_distance == (None if d[0] is None else pytest.approx(d[0], abs=1e-6)) and r.word_distance == (None if d[1] is None else pytest.approx(d[1], abs=1e-6))
+        failed = n[0] < 10 or 100 * n[4] > 20 * n[0]
+        assert r.base_failed == failed and r.kept == (not failed and (d[0] or 0) <= 0.3 and (d[1] or 0) <= 0.5)
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["__t", "__w", "__l", "__c", "__f", "__n", "__d", "__refs", "__of", "__body", "in0"]
+    df = spark.createDataFrame(rows(), SCHEMA)
+    for c in names:
+        df = df.withColumn(c, F.lit(c))
+    out = quality.judge_quality(df)
+    assert out.columns == [*df.columns, "__quality"] and all(all(r[c] == c for c in names) for r in out.collect())
+    assert quality.quality_digest(df).count() == len(rows()) and quality.filter_quality(df).columns == df.columns
+
+
 def test_quality_rejects_symbols_and_keeps_prose(spark):
     good = [(k, " ".join(np.random.default_rng(k).choice(["the", "of", "and", "river", "stone", "light", "garden", "in", "to", "walks."], 200)), "en", "s", 1) for k in range(30)]
     junk = [(99, " ".join("$#%&*{}" for _ in range(200)) + " a b c d e f g h i j k", "en", "s", 1)]
@@ -240,18 +348,62 @@ def test_packing_is_a_gapless_cut_of_all_tokens(docs):
     assert got == want
 
 
-def test_encoder_equals_the_library():
+def test_encoder_equals_the_library(monkeypatch):
     e = packing.Encoder(packing.vocabulary_path())
-    odd = [t or "" for _, t, *_ in rows()] + ["a\x1fb\x85c\xa0d", "<|endoftext|> x", "DON'T 'tis 'S ''", "ŉ ǅ ß ſ ĳ", "a" * 5000, "1234 ² ¼ ª º µ"]
+    library = lambda t: np.array(e.whole.encode(t, add_special_tokens=False).ids, dtype=e.width).tobytes()
+    letters = [chr(k) for k in range(0x250)]
+    odd = [t or "" for _, t, *_ in rows()] + ["a\x1fb\x85c\xa0d", "<|endoftext|> x", "DON'T 'tis 'S ''", "ŉ ǅ ß ſ ĳ", "a" * 5000, "1234 ² ¼ ª º µ", "Əli Ɛwe Ⱥb őƓ İ", "e\u0301a x\u0301"]
+    odd += letters + ["".join(x + y for y in letters) for x in letters] + [" ".join(x + y + "a" + y for y in letters) for x in letters[::7]]
+    rnd = np.random.default_rng(4)
+    odd += ["".join(map(chr, rnd.choice([*range(32, 127), *range(0x250), 0x301, 0x3A3, 0x65E5], 30))) for _ in range(3000)]
     for t in odd:
-        assert e.ids(t).tolist() == e.whole.encode(t, add_special_tokens=False).ids
+        assert e.ids(t) == library(t), t
+    monkeypatch.setattr(packing, "PIECE_CHARS", 40)
+    for t in odd[-500:] + ["x" * 100 + "\n" + "word " * 50, "<|endoftext|>" * 9]:
+        assert e.ids(t) == library(t), t
+
+
+def test_packing_with_other_rules(spark):
+    """A vocabulary that keeps white space goes through the library whole."""
+    path = packing.vocabulary_path("byte_bpe_50k.json")
+    e = packing.Encoder(path)
+    assert not e.apart
+    text = "Hello  World\n it's \u65e5 x"
+    got = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), path=path, end_id=70_000, with_ids=True).collect() if e.width == "<u4" else None
+    ids = packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string"), path=path, end_id=5, with_ids=True).collect()
+    assert np.frombuffer(ids[0]["ids"], "<u4").tolist() == [*e.whole.encode(text, add_special_tokens=False).ids, 5] and got is None
 
 
 # fingerprints
 
 
+def spans_alike(a, b):
+    pad = "\0" * 15
+    x, y = ({(pad + t + pad)[i : i + 16] for i in range(len(t) + 15)} if t else set() for t in (a, b))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 15, 16, 17, 40, 60, 63, 64, 65, 90, 96, 300, 3000])
+def test_likeness_has_one_rule_for_all_lengths(n):
+    text = "".join(np.random.default_rng(n).choice(list("abcdefgh "), n))
+    for following in ("", "hi", prose(7)):
+        new = fingerprints.edited(text, following)
+        a, b, shared = fingerprints.fingerprint_both(fingerprints.code_points(text), fingerprints.code_points(following[: n // 3]))
+        assert a == fingerprints.fingerprint(text) and b == fingerprints.fingerprint(new) and text[:shared] == new[:shared]
+        exact = spans_alike(text, new)
+        assert abs(fingerprints.likeness(a, b) - exact) < (1e-9 if n < 40 else 0.2)
+
+
+def test_unrelated_long_texts_are_not_alike():
+    long = ["".join(map(chr, np.random.default_rng(k).integers(97, 123, 2_000_000))) for k in (1, 2)]
+    a, b = map(fingerprints.fingerprint, long)
+    assert fingerprints.likeness(a, b) < 0.01
+    assert fingerprints.likeness(a, fingerprints.fingerprint(long[0][:-1000])) > 0.9
+
+
 def test_fingerprints_of_edits(docs):
     got = fingerprints.fingerprint_documents(clashing(docs)).collect()
+    # the rows of one id are alike here but for one, so their order says nothing
     data = sorted(rows(), key=lambda d: (d[0] is None, -(d[0] or 0), d[1] or ""))
     want = Counter()
     for d, nxt in zip(data, data[1:] + data[:1]):
@@ -264,8 +416,17 @@ def test_fingerprints_of_edits(docs):
         if r.doc_id is not None:
             by_text.setdefault(dict((d[0], d[1] or "") for d in rows())[r.doc_id], set()).add(r.fingerprint)
     assert all(len(v) == 1 for v in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
-    long = [r for r in got if r.n_chars > 300]
-    assert all(r.near_edited > 0.3 for r in long) and all(0 <= r.near_next <= 1 for r in got)
+    # likeness estimates the exact share of common padded spans
+    want = {}
+    for d, nxt in zip(data, data[1:] + data[:1]):
+        t, f = d[1] or "", nxt[1] or ""
+        want[(d[0], t)] = (spans_alike(t, fingerprints.edited(t, f)), spans_alike(t, f))
+    named = {(r.doc_id, r.n_chars): r for r in got}
+    for (d, t), (near_edited, near_next) in want.items():
+        if d == 10:  # two equal rows, one of which follows the other
+            continue
+        r = named[(d, len(t))]
+        assert abs(r.near_edited - near_edited) < 0.25 and abs(r.near_next - near_next) < 0.25
 
 
 def test_prefix_hashes_answer_spans_and_extensions():
@@ -295,16 +456,41 @@ def test_runs_number_a_shard_without_gaps(spark):
     assert got == list(range(1000))
 
 
+def brute_shard(key, weights):
+    """Spark's xxhash64 of two strings is XXH64 of the second, seeded by that of the first."""
+    draws = []
+    for k, w in enumerate(weights):
+        h = xxhash.xxh64_intdigest(f"shard{k}".encode(), seed=xxhash.xxh64_intdigest(key.encode(), seed=42))
+        draws.append((-np.log(((h >> 11) + 0.5) / 2**53) / w, k) if w > 0 else (np.inf, k))
+    return min(draws)[1]
+
+
+def test_draws_equal_brute_force(spark):
+    w = [1.0, 2.5, 0.0, 1.0, 3.0, 1.0, 1.0, 1.0, 0.5, 1.0, 1.0]
+    got = sharding.assign(spark.range(500), "id", w).collect()
+    assert all(r["shard"] == brute_shard(str(r["id"]), w) for r in got)
+    assert all(r["shard"] == brute_shard("null key", w) for r in sharding.assign(spark.createDataFrame([(None,)] * 3, "k long"), "k", w).collect())
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 39, 40, 41, 42, 43, 44, 45, 46, 47, 48])
+def test_one_more_shard_takes_rows_only_into_itself(spark, n):
+    df = spark.range(3000)
+    for r in sharding.assign(sharding.assign(df, "id", [1.0] * n), "id", [1.0] * (n + 1), "grown").groupBy("shard", "grown").count().collect():
+        assert r["grown"] in (r["shard"], n)
+
+
 def test_weights_set_shares_and_confine_movement(spark):
     df = spark.range(30000).select(F.col("id").alias("doc_id"))
     w = [1.0] * 15 + [3.0]
     a = sharding.assign(df, "doc_id", w)
     n = {r["shard"]: r["count"] for r in a.groupBy("shard").count().collect()}
     assert abs(n[15] / 30000 - 3 / 18) < 0.02
-    # the last shard loses weight: shards of other regions only gain, and only from the changed region
+    # a shard that loses weight gives rows away, and no other one does
     b = sharding.assign(a, "doc_id", [1.0] * 16, "after").where("shard <> after").collect()
-    assert b and all(r["shard"] // 8 == 1 for r in b)
+    assert b and all(r["shard"] == 15 for r in b)
     assert sharding.assign(df.limit(0), "doc_id", w).count() == 0
+    with pytest.raises(ValueError):
+        sharding.assign(a, "doc_id", w)
 
 
 # mixing
@@ -335,20 +521,30 @@ def test_mix_meets_targets(spark):
         sizes[d[3]] = sizes.get(d[3], 0) + len(WORD.findall(d[1] or ""))
     want = brute_targets(sizes)
     for block, fanout in ((20000, 64), (20, 3)):
-        got = mixing.pivotal_copies(clashing(df).drop("__size", "__source"), docs_per_block=block, fanout=fanout).collect()
+        got = mixing.pivotal_copies(clashing(df), docs_per_block=block, fanout=fanout).collect()
         assert len(got) == len(data)
         for s, t in want.items():
             own = [r for r in got if r["source"] == s]
             assert all(r["__target"] == pytest.approx(t) for r in own)
-            assert abs(sum(r["__copies"] * r["__size"] for r in own) - t) <= max(r["__size"] for r in own)
+            assert abs(sum(r["__copies"] * r["___size"] for r in own) - t) <= max(r["___size"] for r in own)
             assert all(0 <= r["__copies"] <= 2 for r in own)
-    again = mixing.pivotal_copies(clashing(df).drop("__size", "__source"), docs_per_block=20, fanout=3).collect()
+    again = mixing.pivotal_copies(clashing(df), docs_per_block=20, fanout=3).collect()
     assert sorted((r["doc_id"], r["__copies"]) for r in again) == sorted((r["doc_id"], r["__copies"]) for r in got)
 
 
 def test_mix_digest_and_stage(docs):
     got = mixing.mix_documents(clashing(docs)).collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((d[0], len(WORD.findall(d[1] or ""))) for d in rows())
+    sizes = {}
+    for d in rows():
+        sizes[d[3]] = sizes.get(d[3], 0) + len(WORD.findall(d[1] or ""))
+    targets, sums = brute_targets(sizes), sorted(Counter(sizes.values()).items())
+    assert {(r["source_size"], round(r["target"], 6)) for r in got} == {(sizes[s], round(t, 6)) for s, t in targets.items()} and sums
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in got)
+    for n, t in {(r["source_size"], r["target"]) for r in got}:
+        own = [r for r in got if (r["source_size"], r["target"]) == (n, t)]
+        same = sum(v == n and abs(targets[s] - t) < 1e-6 for s, v in sizes.items())
+        assert abs(sum(r["taken"] for r in own) - same * t) <= same * max(r["size"] for r in own)
     out = mixing.mix(clashing(docs))
     assert out.columns == clashing(docs).columns
     taken = {}
@@ -364,21 +560,66 @@ def test_mix_digest_and_stage(docs):
 # licences
 
 
-def test_licences(spark):
-    data = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny", "en", "a", 1), (2, "Released under the MIT License.", "en", "a", 1), (3, "nothing here", "en", "a", 1), (4, None, None, None, None), (5, "", "en", "a", 0), (5, "", "en", "a", 0), (6, "he gave her permission to leave", "en", "a", 1), (7, "a licence of a kind that nobody has heard of before, granted by the moon", "en", "a", 1), (8, prose(8, 20000) + "\nLicensed under CC BY-NC 4.0.", "en", "a", 1)]
-    got = licences.scan_licences(clashing(spark.createDataFrame(data, SCHEMA))).collect()
-    by = {r["doc_id"]: r for r in got}
-    assert len(got) == len(data)
-    assert by[1]["licence"] == "apache" and by[1]["line"] == 1 and by[2]["licence"] == "mit" and by[8]["licence"] == "cc-by-nc"
-    assert all(by[k]["licence"] is None for k in (3, 4, 5, 6)) and by[7]["licence"] in (None, "unknown")
+@pytest.fixture(scope="module")
+def model(spark):
+    return licences.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
 
 
-def test_licence_classifier_on_held_out_cuts(docs):
-    model = licences.train(docs)
-    held = [(f, c) for f, ts in licences.TEMPLATES.items() for i, t in enumerate(ts) for j, c in enumerate(licences._cuts(t)) if (i + j) % 4 == 3]
-    grams = lambda s: (lambda w: set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])})([x for x in re.split(r"[^\w.]+|\.(?=\s|$)|_", s.lower()) if x])
-    right = sum(max(model["weights"], key=lambda c: licences._confidence(model["weights"], grams(t), c)) == f for f, t in held)
-    assert right / len(held) > 0.85
+NOTICES = [
+    ("xa " * 50 + "\nLicensed under the Apache License, Version 2.0.\n" + "ya " * 50, "apache"), ("Released under the MIT License.", "mit"), ("This file is GPLv3+ and nothing else.", "gpl"), ("Apache-2.0", "apache"), ("CC0 1.0 Universal", "public-domain"),
+    ("to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense", "mit"),
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights', "mit"),
+    ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;\nwithout even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", "gpl"),
+    ("Available under CC BY-SA 4.0.", "cc-by-sa"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Distributed under the terms of GPL v3.", "gpl"), ("Lizenziert unter der Apache-Lizenz.", "apache"), ("Alle Rechte vorbehalten", "proprietary"), ("All rights reserved.", "proprietary"),
+    ("Licensed under the Frobnicate Public License 3.", "unknown"), ("Released under the Nokia Open Source License.", "unknown"),
+    ("Er ging mit dem Hund in den Park.", None), ("DER MANN GING MIT DEM HUND.", None), ("MIT researchers found a new material.", None), ("The Apache helicopter flew over the commons.", None), ("nothing here", None), ("", None), (None, None), (" \n\t", None),
+]
+
+
+def test_licences(spark, model):
+    data = [(k, t, "en", "a", 1) for k, (t, _) in enumerate(NOTICES)] + [(0, NOTICES[0][0], "en", "a", 1), (None, prose(3, 5000) + "\n" + NOTICES[1][0], "en", "a", 1)]
+    df = spark.createDataFrame(data, SCHEMA)
+    for c in CLASH:
+        df = df.withColumn(c, F.lit(c))
+    got = licences.scan_licences(df, model=model).collect()
+    assert len(got) == len(data)
+    by = {r["doc_id"]: r["licence"] for r in got}
+    assert {k: (NOTICES[k][0], v) for k, v in by.items() if k is not None} == dict(enumerate(NOTICES)) and by[None] == "mit"
+    assert [r["line"] for r in got if r["doc_id"] == 0] == [1, 1]
+
+
+def brute_words(text):
+    marked = re.sub(r"(?<!\w)([A-Z]{2,3})(?!\w)", r"\1_", text) if re.search("[a-zäöüß]", text) or not re.search("[A-Z]{4}", text) else text
+    return [w for w in re.split(r"[^\w.]+|\.(?=\s|$)", marked.lower()) if w]
+
+
+def test_licence_scores_equal_brute_force(spark, model):
+    texts = sorted({t for t, _ in NOTICES if t and "\n" not in t})
+    place = {g: k for k, g in enumerate(model.vectors.vocabulary)}
+    weights, bases = model.regression.coefficientMatrix.toArray(), np.array(model.regression.interceptVector)
+    for r in model.scored(spark.createDataFrame([(t,) for t in texts], "body string"), "body").collect():
+        w = brute_words(r["body"])
+        on = [place[g] for g in {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))} if g in place]
+        z = bases + weights[:, on].sum(axis=1)
+        p = np.exp(z - z.max())
+        assert list(r["__words"]) == w and r["__p"] == pytest.approx((p / p.sum()).tolist())
+
+
+def test_licence_classifier_on_texts_it_has_not_seen(spark, model):
+    held = [(t["label"], t["body"]) for t in licences.made_texts() if t["held"] and t["label"] not in (licences.NONE, licences.UNKNOWN)]
+    left = [(t["label"], t["body"]) for t in licences.made_texts() if t["held"] and t["label"] == licences.UNKNOWN]
+    best = {}
+    for r in model.scored(spark.createDataFrame(held + left, "label string, body string"), "body").collect():
+        k = int(np.argmax(r["__p"]))
+        best.setdefault(r["label"] == licences.UNKNOWN, []).append((licences.CLASSES[k] == r["label"], licences.CLASSES[k] not in (licences.NONE, licences.UNKNOWN) and r["__p"][k] >= model.sure))
+    assert np.mean([ok for ok, _ in best[False]]) > 0.9
+    assert np.mean([sure for _, sure in best[True]]) < 0.05  # licences left out of training pass for no family
+
+
+def test_paragraphs_join_wrapped_lines(spark):
+    text = "one\ntwo\n\nthree\n" + "long " * 40 + "\nfour\nfive\nsix"
+    got = spark.range(1).select(licences.paragraphs(F.lit(text)).alias("p")).first()["p"]
+    assert [(r["line"], r["body"][:12]) for r in got] == [(0, "one"), (1, "two"), (3, "three"), (4, "long long lo"), (5, "four"), (6, "five"), (7, "six"), (0, "one two"), (5, "four five si")]
 
 
 # empty tables
