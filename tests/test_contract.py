@@ -1,6 +1,7 @@
 """Every registered query against its SQL, as the driver does, on the smallest tables."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -19,23 +20,26 @@ def duck():
     return con
 
 
-def plain(rows):
-    def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
-            return "NULL"
-        return repr(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-
-    return sorted(tuple(map(one, r)) for r in rows)
+def plain(v):
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return None
+    if isinstance(v, bool) or not isinstance(v, (int, float, Decimal)):
+        return str(v)
+    return round(float(v), 6) + 0.0
 
 
 def near(a, b):
-    """Equal but for the last place of rounded numbers."""
+    """Equal but for one unit of the last rounded place, or of a double's last digits."""
     if a == b:
         return True
-    try:
-        return abs(float(a) - float(b)) <= 2e-6 * max(1.0, abs(float(a)))
-    except ValueError:
-        return False
+    return isinstance(a, float) and isinstance(b, float) and abs(a - b) <= max(1.1e-5 if abs(a) < 100 else 0, 2e-6 * abs(a))
+
+
+def paired(got, want):
+    """Rows side by side: by their exact columns first, so that last places of sums pair no wrong rows."""
+    exact = [k for k in range(len(got[0]) if got else 0) if all(not isinstance(row[k], float) or row[k] == int(row[k]) for row in (*got, *want))]
+    key = lambda row: ([(row[k] is not None, str(row[k])) for k in exact], [(v is not None, v if isinstance(v, float) else 0.0) for v in row])
+    return zip(sorted(got, key=key), sorted(want, key=key))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -44,12 +48,13 @@ def test_equals_sql(spark, duck, name):
     cols = sorted(df.columns)
     rel = duck.sql(ORACLES[name])
     assert sorted(rel.columns) == cols
-    got = plain(tuple(r[c] for c in cols) for r in df.collect())
-    want = plain(duck.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({ORACLES[name]})").fetchall())
+    got = [tuple(plain(r[c]) for c in cols) for r in df.collect()]
+    want = [tuple(map(plain, r)) for r in duck.sql(f"SELECT {', '.join(chr(34) + c + chr(34) for c in cols)} FROM ({ORACLES[name]})").fetchall()]
     assert len(got) == len(want)
-    assert all(near(x, y) for g, w in zip(got, want) for x, y in zip(g, w))
+    assert all(near(x, y) for g, w in paired(got, want) for x, y in zip(g, w))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"balanced_strictly", "segment_chains"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DIR).count() >= 0
+    df = QUERIES[name](spark, DIR)
+    assert len(df.collect()) > 0 and df.columns

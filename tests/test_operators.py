@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftmap.operators import balance, bands, blocks, history, links, metrics, spectra, windows
+from weftmap.operators import balance, bands, blocks, links, metrics, spectra, windows
 from weftmap.sinks import text as sink
 from weftmap.sources import synthetic, tiles
 from weftmap.sources import text as source
@@ -143,18 +143,6 @@ def test_known_metrics(spark):
     assert metrics.adjusted_rand(spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "pred int, truth int")).first()["ari"] == 1
 
 
-def test_edit_algebra():
-    s = [{"segment": str(k), "length": 10, "inverted": False, "scaffold": None} for k in range(4)]
-    names = lambda st: [x["segment"] for x in st]
-    go = history.apply_operation
-    assert names(go(s, "move", 0, 2, None)) == ["1", "0", "2", "3"] and names(go(s, "move", 3, 1, None)) == ["0", "3", "1", "2"]
-    assert go(go(s, "invert", 1, 0, None), "invert", 1, 0, None) == s
-    cut = go(s, "cut", 1, 4, None)
-    assert names(cut) == ["0", "1_L", "1_R", "2", "3"] and [x["length"] for x in cut] == [10, 4, 6, 10, 10]
-    assert names(go(cut, "join", 1, 0, None)) == ["0", "1_L+1_R", "2", "3"]
-    assert go(s, "cut", 1, 10, None) == s and go([], "invert", 0, 0, None) == []
-
-
 def test_layout_round_trip(spark):
     seg = spark.createDataFrame([(0, "a", 100, 1, False), (1, "b", 50, 1, True), (2, "c", 70, None, False)], "order_index int, name string, length long, scaffold_id int, inverted boolean")
     lines = sink.layout_lines(seg)

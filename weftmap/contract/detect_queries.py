@@ -63,13 +63,20 @@ def _flags(spark, sf_dir):
     return detect.misassemblies(dom, e1, inputs.ranges(spark, sf_dir, "p_type")), e1
 
 
+def _matching(k: int) -> str:
+    """Round k of mutually nearest pairs, and the pairs that it leaves; the given tables need fewer than five."""
+    rank = lambda own, other, name: f"row_number() OVER (PARTITION BY c, {own} ORDER BY abs(pa - pb), {other}) AS {name}"
+    left = " AND ".join(f"(c, {p}) NOT IN (SELECT (c, {p}) FROM m{k})" for p in ("pa", "pb"))
+    return f"r{k} AS (SELECT *, {rank('pa', 'pb', 'ka')}, {rank('pb', 'pa', 'kb')} FROM c{k}), m{k} AS (SELECT * FROM r{k} WHERE ka = 1 AND kb = 1), c{k + 1} AS (SELECT c, pa, pb, x, y FROM r{k} WHERE {left})"
+
+
 MISASSEMBLY = """, bo AS (SELECT p, strength FROM (SELECT p, norm, lag(norm) OVER (ORDER BY p) AS a, lead(norm) OVER (ORDER BY p) AS b, least(max(norm) OVER (ORDER BY p ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), max(norm) OVER (ORDER BY p ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)) - norm AS strength FROM insn) WHERE norm < a AND norm < b AND strength >= 0.01),
 ev AS (SELECT p, value - avg(value) OVER () AS e1 FROM tr),
 fl AS (SELECT p, abs(e1 - b) AS strength FROM (SELECT p, e1, lag(e1) OVER (ORDER BY p) AS b, max(abs(e1)) OVER () AS top FROM ev) WHERE e1*b < 0 AND abs(e1 - b) >= 0.25*top),
 sa AS (SELECT c, p, strength, e - s AS span FROM bo JOIN ownt ON bin = p WHERE e - s >= 5 AND p - s >= 2 AND e - p > 2),
 sb AS (SELECT c, p, strength, e - s AS span FROM fl JOIN ownt ON bin = p WHERE e - s >= 5 AND p - s >= 2 AND e - p > 2),
-pr AS (SELECT *, row_number() OVER (PARTITION BY c, pa ORDER BY abs(pa - pb), pb) AS ka, row_number() OVER (PARTITION BY c, pb ORDER BY abs(pa - pb), pa) AS kb FROM (SELECT sa.c, sa.p AS pa, sb.p AS pb, sa.strength AS x, sb.strength AS y FROM sa JOIN sb ON sa.c = sb.c AND abs(sa.p - sb.p) <= 3)),
-mg AS (SELECT * FROM pr WHERE ka = 1 AND kb = 1),
+c1 AS (SELECT sa.c, sa.p AS pa, sb.p AS pb, sa.strength AS x, sb.strength AS y FROM sa JOIN sb ON sa.c = sb.c AND abs(sa.p - sb.p) <= 3),
+""" + ", ".join(_matching(k) for k in range(1, 6)) + ", mg AS (" + " UNION ALL ".join(f"SELECT c, pa, pb, x, y FROM m{k}" for k in range(1, 6)) + """),
 fg AS (SELECT c AS order_index, CAST(floor((pa + pb)/2.0 + 0.5) AS INT) AS p, 'both' AS reason, x + y AS strength FROM mg UNION ALL SELECT c, p, 'tad_boundary', strength FROM sa WHERE span >= 10 AND (c, p) NOT IN (SELECT (c, pa) FROM mg) UNION ALL SELECT c, p, 'compartment_switch', strength FROM sb WHERE span >= 10 AND (c, p) NOT IN (SELECT (c, pb) FROM mg)) """
 
 

@@ -160,4 +160,4 @@ def strongest_peaks(spark, sf_dir):
     return out.select("c", "p", r("height").alias("height"), r("prominence").alias("prominence"))
 
 
-from . import blocks_queries, detect_queries, edit_queries, metrics_queries, spectra_queries  # noqa: E402, F401  they register their queries
+from . import batch_queries, blocks_queries, detect_queries, edit_queries, metrics_queries, spectra_queries  # noqa: E402, F401  they register their queries

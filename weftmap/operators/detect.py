@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..model import bins_of, half_up, symmetric
+from .metrics import breakpoint_matches
 from .windows import strongest_peaks, z_scores
 
 
@@ -56,10 +57,10 @@ def misassemblies(domain: DataFrame, track: DataFrame, ranges: DataFrame, margin
     inside = (F.col("p") - F.col("start_bin") >= margin) & (F.col("end_bin") - F.col("p") > margin)
     pick = lambda df, kind: df.join(own, "p").where(inside).select("order_index", "p", "strength", (F.col("end_bin") - F.col("start_bin")).alias("span"), F.lit(kind).alias("kind"))
     a, b = pick(domain, "tad_boundary"), pick(flips, "compartment_switch")
-    pairs = a.select("order_index", "span", F.col("p").alias("pa"), F.col("strength").alias("sa")).join(b.select("order_index", F.col("p").alias("pb"), F.col("strength").alias("sb")), "order_index").where(F.abs(F.col("pa") - F.col("pb")) <= radius)
-    gap = F.abs(F.col("pa") - F.col("pb"))
-    pairs = pairs.withColumn("ka", F.row_number().over(W.Window.partitionBy("order_index", "pa").orderBy(gap, "pb"))).withColumn("kb", F.row_number().over(W.Window.partitionBy("order_index", "pb").orderBy(gap, "pa")))
-    merged = pairs.where("ka = 1 and kb = 1")
+    signal = lambda df, p: df.select(F.col("order_index").alias("grp"), F.col("p").alias(p))
+    matched = breakpoint_matches(signal(a, "p"), signal(b, "q"), radius).select(F.col("grp").alias("order_index"), F.col("p").alias("pa"), F.col("q").alias("pb"))
+    side = lambda df, p, s: df.select("order_index", F.col("p").alias(p), F.col("strength").alias(s))
+    merged = matched.join(side(a, "pa", "sa"), ["order_index", "pa"]).join(side(b, "pb", "sb"), ["order_index", "pb"])
     both = merged.select("order_index", half_up((F.col("pa") + F.col("pb")) / 2).alias("p"), F.lit("both").alias("reason"), (F.col("sa") + F.col("sb")).alias("strength"))
     gone = merged.select("order_index", F.col("pa").alias("p"), F.lit("tad_boundary").alias("kind")).unionByName(merged.select("order_index", F.col("pb").alias("p"), F.lit("compartment_switch").alias("kind")))
     alone = a.unionByName(b).join(gone, ["order_index", "p", "kind"], "left_anti").where(F.col("span") >= small)

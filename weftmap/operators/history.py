@@ -1,12 +1,17 @@
 """Edits as an event log: rows are operations, states are folds of their prefixes.
 
-Operations on one map depend on each other, so a map's log is folded in order; maps are
-independent groups.  The log is narrow (a row an edit) and the state is the order of segments.
+Operations on one map depend on each other, so a map's log is folded in order, as a stream of
+sorted rows; maps are independent.  The log is narrow (a row an edit) and the state is the order
+of segments.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -14,55 +19,134 @@ from pyspark.sql import window as W
 STATE = "map_id long, order_index int, segment string, length long, inverted boolean, scaffold string"
 
 
-def apply_operation(state: list[dict], op: str, a: int, b: int, text: str | None) -> list[dict]:
-    """One edit of a list of segments (segment, length, inverted, scaffold); invalid ones change nothing.
+def apply_operation(state: list[list], op: str, a: int, b: int, text: str | None) -> None:
+    """One edit, in place, of a list of [segment, length, inverted, scaffold]; invalid ones change nothing.
 
     cut a at b base pairs; join a with its right neighbour; invert a; move a to b, where a
-    later target counts before the removal; paint a with a scaffold (none: unpaint).
+    later target counts before the removal; paint a with a scaffold (none: unpaint); delete a
+    scaffold, which unpaints all of its segments; rename the scaffold of segment a.
     """
-    n = len(state)
-    if not 0 <= a < n:
-        return state
+    if op == "delete":
+        for s in state:
+            if s[3] == text:
+                s[3] = None
+        return
+    if not 0 <= a < len(state):
+        return
     s = state[a]
-    if op == "cut" and 0 < b < s["length"]:
-        names = ("_R", "_L") if s["inverted"] else ("_L", "_R")
-        parts = [s | {"segment": s["segment"] + names[0], "length": b}, s | {"segment": s["segment"] + names[1], "length": s["length"] - b}]
-        return state[:a] + parts + state[a + 1 :]
-    if op == "join" and a + 1 < n:
-        t = state[a + 1]
-        both = s | {"segment": f"{s['segment']}+{t['segment']}", "length": s["length"] + t["length"], "inverted": s["inverted"] and t["inverted"]}
-        return state[:a] + [both] + state[a + 2 :]
-    if op == "invert":
-        return state[:a] + [s | {"inverted": not s["inverted"]}] + state[a + 1 :]
-    if op == "move" and 0 <= b < n:
-        rest = state[:a] + state[a + 1 :]
-        at = b - 1 if b > a else b
-        return rest[:at] + [s] + rest[at:]
-    if op == "paint":
-        return state[:a] + [s | {"scaffold": text}] + state[a + 1 :]
-    return state
+    if op == "cut" and 0 < b < s[1]:
+        names = ("_R", "_L") if s[2] else ("_L", "_R")
+        state[a : a + 1] = [[s[0] + names[0], b, *s[2:]], [s[0] + names[1], s[1] - b, *s[2:]]]
+    elif op == "join" and a + 1 < len(state):
+        t = state.pop(a + 1)
+        s[:3] = f"{s[0]}+{t[0]}", s[1] + t[1], s[2] and t[2]
+    elif op == "invert":
+        s[2] = not s[2]
+    elif op == "move" and 0 <= b < len(state):
+        state.insert(b - 1 if b > a else b, state.pop(a))
+    elif op == "paint":
+        s[3] = text
+    elif op == "rename" and s[3] is not None:
+        old = s[3]
+        for x in state:
+            if x[3] == old:
+                x[3] = text
+
+
+LOG_ROW = "map_id long, seq long, op string, a int, b int, text string, length long, inverted boolean"
+
+
+def _sorted(initial: DataFrame, log: DataFrame) -> DataFrame:
+    """Segments of a map, then its operations, all in order; maps side by side.
+
+    A segment is a row of ``LOG_ROW`` with op ``segment``: its name is the text, its scaffold follows
+    as a paint.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    place = F.col("order_index").cast("long")
+    segments = initial.select("map_id", place.alias("seq"), F.lit("segment").alias("op"), F.lit(-1).alias("a"), F.lit(0).alias("b"), F.col("segment").alias("text"), F.col("length").cast("long").alias("length"), "inverted")
+    paints = initial.where("scaffold is not null").select("map_id", place.alias("seq"), F.lit("scaffold").alias("op"), F.lit(-1).alias("a"), F.lit(1).alias("b"), F.col("scaffold").alias("text"), none("long").alias("length"), none("boolean").alias("inverted"))
+    ops = log.select("map_id", F.col("seq").cast("long").alias("seq"), "op", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), "text", none("long").alias("length"), none("boolean").alias("inverted"))
+    first = F.when(F.col("op").isin("segment", "scaffold"), 0).otherwise(1)
+    rows = segments.unionByName(paints).unionByName(ops).withColumn("first", first)
+    return rows.repartition("map_id").sortWithinPartitions("map_id", "first", "seq", "b").drop("first")
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list], Iterator[tuple]]]:
+    """(map_id, segments, rows of operations) of each map in sorted rows; only one map is held."""
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+    for map_id, own in itertools.groupby(rows, key=lambda r: r[0]):
+        state: list[list] = []
+
+        def operations(own=own, state=state) -> Iterator[tuple]:
+            for _, seq, op, a, b, text, length, inverted in own:
+                if op == "segment":
+                    state.append([text, length, inverted, None])
+                elif op == "scaffold":
+                    state[-1][3] = text
+                else:
+                    yield seq, op, a, b, text
+
+        yield map_id, state, operations()
+
+
+def _state_batch(map_id: int, state: list[list]) -> pa.RecordBatch:
+    n = len(state)
+    columns = [pa.array(c, t) for c, t in zip(zip(*state) if state else [[]] * 4, (pa.string(), pa.int64(), pa.bool_(), pa.string()))]
+    return pa.RecordBatch.from_arrays([pa.array([map_id] * n, pa.int64()), pa.array(range(n), pa.int32()), *columns], names=["map_id", "order_index", "segment", "length", "inverted", "scaffold"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for map_id, state, operations in _maps(batches):
+        for _, op, a, b, text in operations:
+            apply_operation(state, op, a, b, text)
+        yield _state_batch(map_id, state)
 
 
 def fold(initial: DataFrame, log: DataFrame, upto: int | None = None) -> DataFrame:
     """State of every map after its operations, or after those with seq up to a number.
 
     ``initial`` (map_id, order_index, segment, length, inverted, scaffold) and ``log`` (map_id,
-    seq, op, a, b, text) meet as cogroups of a map.
+    seq, op, a, b, text) stream through tasks sorted by map: a task holds the state of one map
+    and a batch of rows, however long the log is.
     """
     if upto is not None:
         log = log.where(F.col("seq") <= upto)
+    return _sorted(initial, log).mapInArrow(_folded, STATE)
+
+
+def replay(initial: DataFrame, log: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(map_id, seq, matches): the log replayed operation by operation against recorded snapshots.
+
+    ``recorded`` (map_id, seq, digest) has the ``state_digest`` after some operations.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for map_id, state, operations in _maps(batches):
+            seqs, digests = [], []
+            for seq, op, a, b, text in operations:
+                if op == "snapshot":
+                    seqs.append(seq), digests.append(text == state_digest(state))
+                else:
+                    apply_operation(state, op, a, b, text)
+            yield pa.RecordBatch.from_arrays([pa.array([map_id] * len(seqs), pa.int64()), pa.array(seqs, pa.int64()), pa.array(digests, pa.bool_())], names=["map_id", "seq", "matches"])
+
+    # a snapshot sorts after the operation that it follows
+    marks = recorded.select("map_id", "seq", F.lit("snapshot").alias("op"), F.lit(-1).alias("a"), F.lit((1 << 31) - 1).alias("b"), F.col("digest").alias("text"))
+    columns = ["map_id", "seq", "op", "a", "b", "text"]
+    return _sorted(initial, log.select(*columns).unionByName(marks)).mapInArrow(run, "map_id long, seq long, matches boolean")
+
+
+def state_digest(state: list[list]) -> str:
+    """MD5 of a state: its segments in order, with orientation and scaffold."""
+    return hashlib.md5("|".join(f"{s[0]},{s[1]},{'-' if s[2] else '+'},{s[3] or ''}" for s in state).encode()).hexdigest()
 
-    def run(segments: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
-        rows = segments.sort_values("order_index")
-        state = rows[["segment", "length", "inverted", "scaffold"]].to_dict("records")
-        for o in ops.sort_values("seq").itertuples():
-            state = apply_operation(state, o.op, int(o.a), int(o.b), o.text)
-        out = pd.DataFrame(state, columns=["segment", "length", "inverted", "scaffold"])
-        out.insert(0, "order_index", range(len(out)))
-        out.insert(0, "map_id", (segments if len(segments) else ops)["map_id"].iloc[0])
-        return out
 
-    return initial.groupBy("map_id").cogroup(log.groupBy("map_id")).applyInPandas(run, STATE)
+def digests(states: DataFrame) -> DataFrame:
+    """(map_id, digest): the ``state_digest`` of states in rows."""
+    line = F.concat_ws(",", "segment", F.col("length").cast("string"), F.when(F.col("inverted"), "-").otherwise("+"), F.coalesce("scaffold", F.lit("")))
+    rows = F.sort_array(F.collect_list(F.struct("order_index", line.alias("line"))))
+    return states.groupBy("map_id").agg(F.md5(F.array_join(F.transform(rows, lambda x: x["line"]), "|")).alias("digest"))
 
 
 def effective(log: DataFrame) -> DataFrame:
@@ -128,7 +212,7 @@ COMMANDS = [
     ("move_to", r"^move\s+(\S+)\s+to\s+([0-9]+)$"),
     ("move_before", r"^move\s+(\S+)\s+before\s+(\S+)$"),
     ("move_after", r"^move\s+(\S+)\s+after\s+(\S+)$"),
-    ("select_where", r"^select\s+where\s+(\S+)\s*(.*)$"),
+    ("select_where", r"^select\s+where\s+(\S+)(?:\s+(.*))?$"),
     ("select_all", r"^select\s+(all)$"),
     ("select_range", r"^select\s+(\S+)\.\.(\S+)$"),
     ("select", r"^select\s+(\S+)$"),
@@ -147,8 +231,8 @@ COMMANDS = [
 ]
 
 
-def commands(lines: DataFrame) -> DataFrame:
-    """(line, command, a, b) from script lines (line, body); unknown ones are errors, blanks and # lines vanish."""
+def commands(lines: DataFrame, *by: str) -> DataFrame:
+    """(by, line, command, a, b) from script lines (by, line, body); unknown ones are errors, blanks and # lines vanish."""
     body = F.trim("body")
     name, a, b = F.lit("error"), F.lit(""), F.lit("")
     clean = lambda p, k: F.regexp_replace(F.regexp_extract(body, p, k), "^[\"']|[\"']$", "")
@@ -157,7 +241,7 @@ def commands(lines: DataFrame) -> DataFrame:
         hit = body.rlike(quoted)
         two = quoted.count("(") - quoted.count("(?") >= 2
         name, a, b = F.when(hit, command).otherwise(name), F.when(hit, clean(quoted, 1)).otherwise(a), F.when(hit, clean(quoted, 2) if two else F.lit("")).otherwise(b)
-    return lines.where(~body.rlike("^(#.*)?$")).select("line", name.alias("command"), a.alias("a"), b.alias("b"))
+    return lines.where(~body.rlike("^(#.*)?$")).select(*by, "line", name.alias("command"), a.alias("a"), b.alias("b"))
 
 
 def as_script(log: DataFrame) -> DataFrame:
@@ -168,4 +252,4 @@ def as_script(log: DataFrame) -> DataFrame:
     return log.select("map_id", "seq", line.alias("command"))
 
 
-__all__ = ["apply_operation", "as_script", "batches", "changed_values", "commands", "differences", "effective", "fold", "replay_matches"]
+__all__ = ["apply_operation", "as_script", "batches", "changed_values", "commands", "differences", "digests", "effective", "fold", "replay", "replay_matches", "state_digest"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.tables import written
+from ..functions.tables import dropped, written
 from ..model import owned, symmetric
 from .bands import intra_profile
 
@@ -84,8 +84,9 @@ def merged_chains(chained: DataFrame, links: DataFrame, threshold: float, max_ro
 
 
 def _joined(m: DataFrame, links: DataFrame, ends_only: bool, max_rounds: int | None) -> DataFrame:
+    """Rounds of joining; each is one written table of segments, with a mark on those that it moved."""
     kept = written(links.select("a", "b", "orientation", "score"), "links")
-    m = written(m, "chains")
+    m = written(m.withColumn("moved", F.lit(True)), "chains")
     for k in itertools.count():
         at_end = (F.col("pos") == 0) | (F.col("pos") == F.col("size") - 1)
         end = m.where(at_end) if ends_only else m
@@ -99,24 +100,28 @@ def _joined(m: DataFrame, links: DataFrame, ends_only: bool, max_rounds: int | N
             open_links = open_links.join(mean("a"), "a_chain", "left").join(mean("b"), "b_chain", "left")
             weak = (F.col("a_size") >= 2) & (F.col("b_size") >= 2) & F.coalesce(F.col("score") < 0.5 * F.least("a_mean", "b_mean"), F.lit(False))
             open_links = open_links.where(~weak).drop("a_mean", "b_mean")
-        open_links = written(open_links.withColumn("rank", F.struct((-F.col("score")).alias("s"), "a", "b")), "open")
-        best = open_links.select(F.explode(F.array("a_chain", "b_chain")).alias("chain"), "rank").groupBy("chain").agg(F.min("rank").alias("best"))
-        one = lambda p: best.select(F.col("chain").alias(f"{p}_chain"), F.col("best").alias(f"{p}_best"))  # noqa: B023, E731
-        taken = open_links.join(one("a"), "a_chain").join(one("b"), "b_chain").where("rank = a_best and rank = b_best")
+        # the best link left of each chain; one that is the best of both of its chains is taken
+        rank = F.struct((-F.col("score")).alias("s"), "a", "b")
         # a ends up last in its chain, b first in its own; single segments turn as the link wants
         want_a, want_b = F.col("orientation").isin("TH", "TT"), F.col("orientation").isin("HT", "TT")
-        left = taken.select(F.col("a_chain").alias("chain"), F.col("a_chain").alias("into"), ((F.col("a_pos") == 0) & (F.col("a_size") > 1)).alias("turn"), F.when(F.col("a_size") == 1, want_a).alias("want"), F.lit(0).alias("shift"), (F.col("a_size") + F.col("b_size")).alias("whole"))
-        right = taken.select(F.col("b_chain").alias("chain"), F.col("a_chain").alias("into"), ((F.col("b_pos") == F.col("b_size") - 1) & (F.col("b_size") > 1)).alias("turn"), F.when(F.col("b_size") == 1, want_b).alias("want"), F.col("a_size").alias("shift"), (F.col("a_size") + F.col("b_size")).alias("whole"))
-        moves = written(left.unionByName(right), "moves")
-        if moves.limit(1).count() == 0:
-            break
-        if k == max_rounds:
-            raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
-        j = m.join(moves, "chain", "left")
+        whole = (F.col("a_size") + F.col("b_size")).alias("whole")
+        left = F.struct(F.col("a_chain").alias("chain"), F.col("a_chain").alias("into"), ((F.col("a_pos") == 0) & (F.col("a_size") > 1)).alias("turn"), F.when(F.col("a_size") == 1, want_a).alias("want"), F.lit(0).alias("shift"), whole)
+        right = F.struct(F.col("b_chain").alias("chain"), F.col("a_chain").alias("into"), ((F.col("b_pos") == F.col("b_size") - 1) & (F.col("b_size") > 1)).alias("turn"), F.when(F.col("b_size") == 1, want_b).alias("want"), F.col("a_size").alias("shift"), whole)
+        best = open_links.select(rank.alias("rank"), F.explode(F.array(left, right)).alias("move")).groupBy("move.chain").agg(F.min(F.struct("rank", "move")).alias("best"))
+        both = W.Window.partitionBy("best.rank")
+        moves = best.withColumn("agree", F.count(F.lit(1)).over(both)).where("agree = 2").select("best.move.*")
+        j = m.drop("moved").join(moves, "chain", "left")
         turn = F.coalesce("turn", F.lit(False))
         pos = F.when(turn, F.col("size") - 1 - F.col("pos")).otherwise(F.col("pos")) + F.coalesce("shift", F.lit(0))
         inverted = F.when(F.col("want").isNotNull(), F.col("want")).when(turn, ~F.col("inverted")).otherwise(F.col("inverted"))
-        m = written(j.select("order_index", F.coalesce("into", "chain").alias("chain"), pos.alias("pos"), F.coalesce("whole", "size").alias("size"), inverted.alias("inverted")), "chains")
+        after = written(j.select("order_index", F.coalesce("into", "chain").alias("chain"), pos.alias("pos"), F.coalesce("whole", "size").alias("size"), inverted.alias("inverted"), F.col("into").isNotNull().alias("moved")), "chains")
+        dropped(m)
+        m = after
+        if not m.where("moved").limit(1).count():
+            break
+        if k == max_rounds:
+            raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
+    dropped(kept)
     return m.select("order_index", "chain", "pos", "inverted")
 
 

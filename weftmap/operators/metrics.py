@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.tables import written
+
 
 def n_statistics(lengths: DataFrame, *by: str, levels: tuple[float, ...] = (0.5, 0.9)) -> DataFrame:
     """(by, n50, l50, n90, l90): shortest length among the longest that make up a share, and their number.
@@ -58,28 +60,34 @@ def metric_changes(history: DataFrame, *values: str) -> DataFrame:
     return history.agg(F.count(F.lit(1)).cast("long").alias("snapshots"), *[F.when(enough, b - a).alias(f"{v}_change") for v, a, b in zip(values, first, last)])
 
 
-def kendall_tau(ranked: DataFrame, *by: str) -> DataFrame:
-    """(by, items, tau) from (by, pos, truth): concordant less discordant pairs over all pairs.
+def earlier_items(ranked: DataFrame, *by: str) -> DataFrame:
+    """(by, pos, truth, less, more): how many items that come earlier by pos have a lower, and a higher, truth.
 
-    Pairs are counted without being listed: the truth ranks are cut into buckets; a running
-    histogram of buckets over blocks of positions counts pairs in different blocks, and only
-    rows of one block meet each other.
+    A merge sort in windows: at level L the places fall into blocks of 2**(L + 1), and an item
+    of a right half meets the left half of its block in a running sum over the sorted truths.
+    Two items meet at one level only, so this is n log n rows for n items (metadata: one row a
+    segment).
     """
-    size = 256
-    w = W.Window.partitionBy(*by).orderBy("pos")
-    r = ranked.where(F.col("truth").isNotNull()).withColumn("k", F.row_number().over(w) - 1).withColumn("block", F.floor(F.col("k") / size))
-    a = r.select(*by, "block", F.col("k").alias("ka"), F.col("truth").alias("ta"))
-    b = r.select(*by, "block", F.col("k").alias("kb"), F.col("truth").alias("tb"))
-    near = a.join(b, [*by, "block"]).where("ka < kb").groupBy(*by).agg(F.sum(F.signum((F.col("tb") - F.col("ta")).cast("double"))).alias("s"))
-    # different blocks: each row against the sorted truths of every earlier block
-    sorted_blocks = r.groupBy(*by, "block").agg(F.sort_array(F.collect_list("truth")).alias("ts"))
-    o = sorted_blocks.withColumnRenamed("block", "earlier")
-    less = F.size(F.filter("ts", lambda x: x < F.col("truth")))
-    more = F.size(F.filter("ts", lambda x: x > F.col("truth")))
-    far = (r.join(o, list(by)) if by else r.crossJoin(o)).where("earlier < block").groupBy(*by).agg(F.sum((less - more).cast("double")).alias("s"))
-    total = near.unionByName(far).groupBy(*by).agg(F.sum("s").alias("s"))
-    n = r.groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias("items"))
-    j = n.join(total, list(by), "left") if by else n.crossJoin(total)
+    place = F.row_number().over(W.Window.partitionBy(*by).orderBy("pos")) - 1
+    r = ranked.where(F.col("truth").isNotNull()).withColumn("__k", place.cast("long"))
+    top = r.groupBy(*by).agg(F.length(F.bin(F.max("__k"))).alias("__levels"))
+    r = r.join(top, list(by)) if by else r.crossJoin(F.broadcast(top))  # one row
+    at = r.select("*", F.explode(F.sequence(F.lit(0), F.col("__levels") - 1)).alias("__level"))
+    shifted = lambda n: F.call_function("shiftright", F.col("__k"), n)  # noqa: E731  the width is a column
+    at = at.withColumn("__block", shifted(F.col("__level") + 1)).withColumn("__left", (shifted(F.col("__level")) % 2 == 0).cast("long"))
+    block = W.Window.partitionBy(*by, "__level", "__block")
+    upto, same, whole = F.sum("__left").over(block.orderBy("truth")), F.sum("__left").over(W.Window.partitionBy(*by, "__level", "__block", "truth")), F.sum("__left").over(block)
+    met = at.withColumns({"__less": upto - same, "__more": whole - upto}).where("__left = 0")
+    sums = met.groupBy(*by, "__k").agg(F.sum("__less").alias("less"), F.sum("__more").alias("more"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return r.join(sums, [*by, "__k"], "left").select(*by, "pos", "truth", zero("less"), zero("more"))
+
+
+def kendall_tau(ranked: DataFrame, *by: str) -> DataFrame:
+    """(by, items, tau) from (by, pos, truth): concordant less discordant pairs over all pairs."""
+    e = earlier_items(ranked, *by)
+    sums = [F.count(F.lit(1)).cast("long").alias("items"), F.sum((F.col("less") - F.col("more")).cast("double")).alias("s")]
+    j = e.groupBy(*by).agg(*sums) if by else e.agg(*sums)
     pairs = F.col("items") * (F.col("items") - 1) / 2
     return j.select(*by, "items", F.coalesce(F.coalesce("s", F.lit(0.0)) / F.when(pairs > 0, pairs), F.lit(1.0)).alias("tau"))
 
@@ -132,8 +140,6 @@ def breakpoint_matches(found: DataFrame, truth: DataFrame, tolerance: int) -> Da
     Rounds of mutual nearest points (ties to the left) take, at each step, what nearest-first
     matching would take.
     """
-    from ..functions.tables import written
-
     gap = F.abs(F.col("p") - F.col("q"))
     left = written(found.join(truth, "grp").where(gap <= tolerance).select("grp", "p", "q"), "candidates")
     done = None

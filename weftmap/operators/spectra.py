@@ -34,7 +34,7 @@ def row_correlation(contact: DataFrame, n: int) -> DataFrame:
 
 
 def power_iteration(matrix: DataFrame, n: int, rounds: int = 100, tolerance: float = 1e-6, check_every: int = 5) -> DataFrame:
-    """(p, x): leading eigenvector from alternating signs, of length 1.
+    """(p, x, value): leading eigenvector from alternating signs, of length 1, and its eigenvalue's size.
 
     A round is one join of the cells with the vector and one grouping; the norm is a one-row
     aggregate that joins back.
@@ -45,18 +45,18 @@ def power_iteration(matrix: DataFrame, n: int, rounds: int = 100, tolerance: flo
         y = cells.join(x.select(F.col("p").alias("j"), "x"), "j").groupBy(F.col("i").alias("p")).agg(F.sum(F.col("v") * F.col("x")).alias("y"))
         norm = F.sqrt(F.sum(F.col("y") * F.col("y")).over(W.Window.partitionBy()))  # n rows: a vector
         y = x.join(y, "p", "left").select("p", F.col("x").alias("old"), F.coalesce("y", F.lit(0.0)).alias("y"))
-        x = y.select("p", (F.col("y") / F.when(norm > 1e-12, norm)).alias("x"), "old")
+        x = y.select("p", (F.col("y") / F.when(norm > 1e-12, norm)).alias("x"), "old", norm.alias("value"))
         if (k + 1) % check_every == 0 or k + 1 == rounds:
             x = written(x, "vector")
             gap = x.agg(F.sqrt(F.sum((F.col("x") - F.col("old")) ** 2))).first()[0]
             if gap is None or gap < tolerance:
                 break
-        x = x.select("p", "x")
-    return x.select("p", F.coalesce("x", F.lit(0.0)).alias("x"))
+        x = x.select("p", "x", "value")
+    return x.select("p", F.coalesce("x", F.lit(0.0)).alias("x"), "value")
 
 
 def compartments(contact: DataFrame, n: int, size: int = 4, rounds: int = 100) -> DataFrame:
-    """(p, e1, norm): leading eigenvector of the correlation of observed / expected.
+    """(p, e1, norm, eigenvalue): leading eigenvector of the correlation of observed / expected.
 
     The map is coarsened first (unless few bins are left); a map without correlated structure
     gives e1 0 and norm 0.5 throughout.  The sign makes the first non-zero entry positive.
@@ -68,14 +68,14 @@ def compartments(contact: DataFrame, n: int, size: int = 4, rounds: int = 100) -
     flat = (cor.where("i < j").agg(F.max(F.abs("v"))).first()[0] or 0.0) < 1e-9
     idx = contact.sparkSession.range(n).select(F.col("id").cast("int").alias("p"))
     if flat:
-        return idx.select("p", F.lit(0.0).alias("e1"), F.lit(0.5).alias("norm"))
+        return idx.select("p", F.lit(0.0).alias("e1"), F.lit(0.5).alias("norm"), F.lit(0.0).alias("eigenvalue"))
     x = power_iteration(cor, m, rounds)
     whole = W.Window.partitionBy()
     first = F.min_by("x", F.when(F.abs("x") > 1e-9, F.col("p"))).over(whole)
-    x = x.select(F.col("p").alias("b"), (F.col("x") * F.when(first < 0, -1.0).otherwise(1.0)).alias("e1"))
-    out = idx.join(x, F.floor(F.col("p") / b) == F.col("b")).select("p", "e1")
+    x = x.select(F.col("p").alias("b"), (F.col("x") * F.when(first < 0, -1.0).otherwise(1.0)).alias("e1"), F.col("value").alias("eigenvalue"))
+    out = idx.withColumn("b", F.floor(F.col("p") / b).cast("int")).join(x, "b").select("p", "e1", "eigenvalue")
     top = F.max(F.abs("e1")).over(whole)
-    return out.select("p", "e1", ((F.coalesce(F.col("e1") / F.when(top > 0, top), F.lit(0.0)) + 1) / 2).alias("norm"))
+    return out.select("p", "e1", ((F.coalesce(F.col("e1") / F.when(top > 0, top), F.lit(0.0)) + 1) / 2).alias("norm"), "eigenvalue")
 
 
 def oriented(track: DataFrame, gc: DataFrame) -> DataFrame:

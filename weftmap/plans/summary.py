@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
-from ..operators import bands, blocks, metrics, spectra, windows
+from ..operators import bands, blocks, detect, metrics, spectra, windows
 
 
 def analysis(contact: DataFrame, ranges: DataFrame, n: int) -> dict[str, DataFrame]:
@@ -27,10 +27,15 @@ def analysis(contact: DataFrame, ranges: DataFrame, n: int) -> dict[str, DataFra
 
 
 def health(contact: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
-    """One row: the health score of a map from its own analyses."""
-    a = analysis(contact, ranges, n)
-    m = metrics.assembly_metrics(ranges).select("n50", "total")
-    weak = a["support"].agg(F.count_if("flagged").alias("flags"))
-    board = a["checkerboard"].agg(F.avg("score").alias("checkerboard"))
-    one = m.crossJoin(a["decay"].select(F.col("slope").alias("exponent"))).crossJoin(a["library"].select("cis_ratio")).crossJoin(weak).crossJoin(board)  # one row each
-    return metrics.health_score(one.withColumn("eigenvalue", F.lit(None).cast("double")))
+    """One row: the health score of a map from its own analyses.
+
+    Misassemblies are sought among the domain boundaries and the sign changes of the compartments.
+    """
+    cm = written(contact, "map")
+    a = analysis(cm, ranges, n)
+    track = written(spectra.compartments(cm, n).select("p", "e1", "eigenvalue"), "track")
+    flags = detect.misassemblies(a["boundaries"], track, ranges).agg(F.count(F.lit(1)).alias("flags"))
+    one = metrics.assembly_metrics(ranges).select("n50", "total")
+    for part in (a["decay"].select(F.col("slope").alias("exponent")), a["library"].select("cis_ratio"), flags, a["checkerboard"].agg(F.avg("score").alias("checkerboard")), track.agg(F.max("eigenvalue").alias("eigenvalue"))):
+        one = one.crossJoin(part)  # one row each
+    return metrics.health_score(one)

@@ -28,14 +28,14 @@ def folded_stream(ops: DataFrame, initial_segments: int) -> DataFrame:
             seq, text = state.get
             segments = json.loads(text)
         else:
-            seq, segments = -1, [{"segment": f"s{k}", "length": 1000, "inverted": False, "scaffold": None} for k in range(initial_segments)]
+            seq, segments = -1, [[f"s{k}", 1000, False, None] for k in range(initial_segments)]
         rows = pd.concat(list(batches)).sort_values("seq")
         for o in rows.itertuples():
             if o.seq > seq:
-                segments = apply_operation(segments, o.op, int(o.a), int(o.b), o.text)
+                apply_operation(segments, o.op, int(o.a), int(o.b), o.text)
                 seq = int(o.seq)
         state.update((seq, json.dumps(segments)))
-        yield pd.DataFrame({"map_id": [key[0]], "seq": [seq], "n_segments": [len(segments)], "n_inverted": [sum(s["inverted"] for s in segments)], "segment_order": [",".join(s["segment"] for s in segments)]})
+        yield pd.DataFrame({"map_id": [key[0]], "seq": [seq], "n_segments": [len(segments)], "n_inverted": [sum(s[2] for s in segments)], "segment_order": [",".join(s[0] for s in segments)]})
 
     return ops.groupBy("map_id").applyInPandasWithState(run, FOLDED, STATE, "update", GroupStateTimeout.NoTimeout)
 
