@@ -156,10 +156,16 @@ def split_ratios(spark, sf_dir):
 
 @query()
 def automatic_cuts(spark, sf_dir):
-    """Cuts with limits loose enough for a map without breaks."""
+    """Automatic cuts on the derived map with breaks put in: every 16 bins few contacts cross, and few come near.
+
+    All limits but the sizes, which fit a map of 128 bins, are the operator's own.
+    """
     from ..operators import cuts
 
-    return cuts.automatic_cuts(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir, "p_type"), NB, 4, 0.02, 3, 0.0, 2.0)
+    crosses = F.floor((F.col("i") + 8) / 16) != F.floor((F.col("j") + 8) / 16)
+    near = lambda c: (F.col(c) % 16).between(6, 9)
+    broken = inputs.contact(spark, sf_dir).withColumn("v", F.when(crosses | near("i") | near("j"), F.col("v") * 0.02).otherwise(F.col("v")))
+    return cuts.automatic_cuts(broken, inputs.ranges(spark, sf_dir, "p_type"), NB, window=4, min_fragment=4)
 
 
 @query(", q AS (SELECT order_index, greatest(s, e - 10) AS r0, e AS r1, lead(s) OVER (ORDER BY order_index) AS c0, lead(e) OVER (ORDER BY order_index) AS z FROM cr WHERE e - s >= 3), m AS (SELECT order_index, coalesce((SELECT sum(v) FROM cm WHERE i >= r0 AND i < r1 AND j >= c0 AND j < least(z, c0 + 10)), 0)/((r1 - r0)*(least(z, c0 + 10) - c0)) AS mean FROM q WHERE c0 IS NOT NULL) SELECT order_index, round(mean, 6) AS mean, mean < (SELECT least(0.3*avg(mean), quantile_cont(mean, 0.25)) FROM m) AS \"end\" FROM m", "cm", "cr")

@@ -165,6 +165,32 @@ def state_differences(spark, sf_dir):
     return history.differences(*_states(spark, sf_dir))
 
 
+@query("WITH d AS (" + DIFF + ") SELECT map_id, concat_ws(', ', 'added ' || count(*) FILTER (change = 'added'), 'removed ' || count(*) FILTER (change = 'removed'), 'inverted ' || count(*) FILTER (change = 'inverted'), 'moved ' || count(*) FILTER (change = 'moved'), 'unchanged ' || count(*) FILTER (change = 'unchanged')) AS body FROM d GROUP BY map_id")
+def difference_reports(spark, sf_dir):
+    return history.diff_report(history.differences(*_states(spark, sf_dir)))
+
+
+@query("WITH m AS (SELECT user_id, min(event_id) AS a, max(event_id) AS z FROM events WHERE event_type = 'purchase' GROUP BY user_id) SELECT e.user_id AS map_id, event_id AS seq, row_number() OVER (PARTITION BY e.user_id ORDER BY event_id) - 1 AS step FROM events e JOIN m ON m.user_id = e.user_id AND event_id > a AND event_id <= z")
+def recorded_macros(spark, sf_dir):
+    """Operations of each map between its first and its last purchase."""
+    log = _log(spark, sf_dir)
+    marks = log.where("event_type = 'purchase'").groupBy("map_id").agg(F.min("seq").alias("after"), F.max("seq").alias("upto"))
+    return history.macro(log, marks).select("map_id", "seq", "step")
+
+
+FLAGGED = "SELECT 'inverted' AS flag, order_index FROM g WHERE inverted UNION ALL SELECT 'scaffolded', order_index FROM g WHERE scaffold_id IS NOT NULL UNION ALL SELECT 'unscaffolded', order_index FROM g WHERE scaffold_id IS NULL UNION ALL SELECT 'misassembled', order_index FROM g WHERE order_index IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') UNION ALL SELECT 'excluded', order_index FROM g WHERE order_index IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query(CUST + FLAGGED)
+def flagged_segments(spark, sf_dir):
+    from functools import reduce
+
+    o, s = inputs.read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "order_index"), _seg(spark, sf_dir)
+    flags = ("inverted", "scaffolded", "unscaffolded", "misassembled", "excluded")
+    found = [select.flagged(s, f, o.where("o_orderpriority like '1%'"), o.where("o_orderstatus = 'F'")).select(F.lit(f).alias("flag"), "order_index") for f in flags]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query("WITH l AS (SELECT user_id, event_id, event_type, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS nw FROM events), g AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM l) SELECT user_id AS map_id, min(event_id) AS first_seq, max(event_id) AS last_seq, count(*) AS n, any_value(event_type) AS batch FROM g GROUP BY user_id, run")
 def edit_batches(spark, sf_dir):
     e = inputs.read(spark, sf_dir, "events").select(F.col("user_id").alias("map_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("batch_id"))
@@ -258,6 +284,42 @@ def letter_runs(spark, sf_dir):
     return sequences.letter_runs(_letters(spark, sf_dir), "doc_id", "s", "N", 6)
 
 
+GC_BINS = f", t AS (SELECT doc_id, {LETTERS} AS s FROM documents), l AS (SELECT doc_id, s, length(s) AS n, sum(length(s)) OVER (ORDER BY doc_id) AS cum, sum(length(s)) OVER () AS total, greatest(1, length(s)//2000) AS step FROM t), q AS (SELECT *, array_to_string(list_transform(range(1, n + 1, step), lambda i: substr(s, CAST(i AS INT), 1)), '') AS taken FROM l), g AS (SELECT length(regexp_replace(taken, '[^GC]', '', 'g'))/nullif(length(regexp_replace(taken, '[^ACGT]', '', 'g')), 0)::DOUBLE AS gc, floor((cum - n)*1024.0/total + 0.5) AS sp, floor(cum*1024.0/total + 0.5) AS ep FROM q), b AS (SELECT gc, ep - sp AS px, CAST(least(128, floor(sp/1024*128 + 0.5)) AS INT) AS b0, CAST(least(128, floor(ep/1024*128 + 0.5)) AS INT) AS b1 FROM g WHERE gc IS NOT NULL), w AS (SELECT gc, px/greatest(1, b1 - b0) AS w, unnest(range(b0, greatest(b0 + 1, b1))) AS p FROM b) SELECT CAST(p AS INT) AS p, round(sum(gc*w)/sum(w), 6) AS gc FROM w WHERE p < 128 GROUP BY p HAVING sum(w) > 0"
+
+
+@query("WITH x AS (SELECT 1) " + GC_BINS)
+def gc_per_bin(spark, sf_dir):
+    """Documents as sequences of segments on 1024 pixels; their sampled GC on 128 bins."""
+    t = _letters(spark, sf_dir).select("doc_id", sequences.sampled_gc(F.col("s")).alias("gc"), F.length("s").alias("n"))
+    w = W.Window.orderBy("doc_id")  # metadata: one row a segment, without its letters
+    total = F.sum("n").over(W.Window.partitionBy())
+    at = lambda c: F.floor(c * 1024.0 / total + 0.5)
+    placed = t.select("gc", at(F.sum("n").over(w) - F.col("n")).alias("start"), at(F.sum("n").over(w)).alias("end"))
+    return sequences.gc_of_bins(placed, 1024, 128).withColumn("gc", r("gc"))
+
+
+@query(f"SELECT item_id, CAST(pos AS INT) AS pos, CAST(x = 'A' AS INT) AS a, CAST(x = 'C' AS INT) AS c, CAST(x = 'G' AS INT) AS g, CAST(x = 'T' AS INT) AS t FROM (SELECT item_id, pos, substr(s, CAST(pos + 1 AS INT), 1) AS x FROM (SELECT item_id, s, unnest(range(length(s))) AS pos FROM (SELECT item_id, {LETTERS} AS s FROM benchmark)))")
+def one_hot_letters(spark, sf_dir):
+    b = inputs.read(spark, sf_dir, "benchmark")
+    s = F.upper(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), "aeiouthnrs", "ACGTACGTAC"), "[^ACGT]", "N"))
+    return sequences.one_hot(b.select("item_id", s.alias("s")), "item_id", "s")
+
+
+EXPORT = "x AS (SELECT p, name, CAST(floor((p - s)*(length/(e - s)::DOUBLE) + 0.5) AS BIGINT) AS a, least(CAST(floor((p - s + 1)*(length/(e - s)::DOUBLE) + 0.5) AS BIGINT), length) AS z FROM bins JOIN cr ON p >= s AND p < e)"
+
+
+@query(f", {EXPORT} SELECT -1 AS k, 'track type=bedGraph name=\"price\"' AS body UNION ALL SELECT p, concat_ws(chr(9), name, a, z, printf('%.5f', coalesce(round(value, 3), 0))) FROM x LEFT JOIN tr USING (p) WHERE z > a", "bins", "cr", "tr")
+def track_export(spark, sf_dir):
+    t = inputs.track(spark, sf_dir).withColumn("value", F.round("value", 3))
+    return sink.track_lines(t, inputs.ranges(spark, sf_dir), "price")
+
+
+@query(f", {EXPORT}, bo AS (SELECT p, strength FROM (SELECT p, norm, lag(norm) OVER (ORDER BY p) AS a, lead(norm) OVER (ORDER BY p) AS b, least(max(norm) OVER (ORDER BY p ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), max(norm) OVER (ORDER BY p ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)) - norm AS strength FROM insn) WHERE norm < a AND norm < b AND strength >= 0.01) SELECT CAST(row_number() OVER (ORDER BY p) AS INT) AS k, concat_ws(chr(9), name, a, z, 'TAD_' || row_number() OVER (ORDER BY p), CAST(floor(strength*1000 + 0.5) AS BIGINT), '.') AS body FROM x JOIN bo USING (p)", "bins", "cr", "insn")
+def boundary_export(spark, sf_dir):
+    dom = windows.boundaries(windows.normalised_insulation(windows.insulation(inputs.contact(spark, sf_dir), NB)), prominence=0.01)
+    return sink.boundary_lines(dom, inputs.ranges(spark, sf_dir))
+
+
 @query("SELECT name, nullif(coalesce(nullif(regexp_extract(name, '^(?i:chr(?:omosome)?)[_ ]?([0-9]+|[XYZWM])', 1), ''), nullif(regexp_extract(name, '#([0-9]+)$', 1), '')), '') AS label FROM (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'chr_' || p_size ELSE p_brand END AS name FROM part)")
 def chromosome_names(spark, sf_dir):
     p = inputs.read(spark, sf_dir, "part").select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("chr_"), F.col("p_size").cast("string"))).otherwise(F.col("p_brand")).alias("name")).distinct()
@@ -268,15 +330,14 @@ def chromosome_names(spark, sf_dir):
 def set_operations(spark, sf_dir):
     li = inputs.read(spark, sf_dir, "lineitem")
     a, b = (li.where(F.col("l_returnflag") == f).select(F.col("l_partkey").alias("k")) for f in ("R", "A"))
-    tag = lambda df, s: df.withColumn("side", F.lit(s))
-    return tag(a.intersect(b), "both").unionByName(tag(a.subtract(b), "first")).unionByName(tag(b.subtract(a), "second"))
+    return select.sides(a, b)
 
 
 @query("SELECT k AS key, arg_max(v, pr) AS value FROM (SELECT n_nationkey AS k, n_name AS v, 0 AS pr FROM nation UNION ALL SELECT n_nationkey, upper(n_name), 1 FROM nation WHERE n_regionkey = 1) GROUP BY k")
 def union_with_override(spark, sf_dir):
     n = inputs.read(spark, sf_dir, "nation")
-    base, own = n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"), F.lit(0).alias("pr")), n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("key"), F.upper("n_name").alias("value"), F.lit(1).alias("pr"))
-    return base.unionByName(own).groupBy("key").agg(F.max_by("value", "pr").alias("value"))
+    base, own = n.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")), n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("key"), F.upper("n_name").alias("value"))
+    return select.overridden(base, own, "key", "value")
 
 
 @query("SELECT p_brand AS value, CAST(row_number() OVER (ORDER BY min(p_partkey)) - 1 AS INT) AS place FROM part GROUP BY p_brand")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..operators import metrics
+from ..operators import metrics, windows
 from . import inputs
 from .queries import query, r
 
@@ -102,7 +102,7 @@ def breakpoint_scores(spark, sf_dir):
 @query("WITH s AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 6) AS m FROM customer GROUP BY 1) SELECT round(avg(m), 4) AS mean, round(coalesce(stddev_samp(m), 0), 4) AS sd, count(*) AS n FROM s")
 def bench_aggregate(spark, sf_dir):
     s = inputs.read(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 6).alias("m"))
-    return s.agg(r(F.avg("m"), 4).alias("mean"), r(F.coalesce(F.stddev_samp("m"), F.lit(0.0)), 4).alias("sd"), F.count(F.lit(1)).alias("n"))
+    return metrics.run_summary(s, "m").withColumns({"mean": r("mean", 4), "sd": r("sd", 4)})
 
 
 HEALTH = "WITH s AS (SELECT p_brand AS name, max(p_retailprice) AS n50, CASE WHEN p_brand = 'Brand#11' THEN NULL ELSE max(p_retailprice)*2 END AS total, -avg(p_size)/25 AS ex, count(*) % 9 AS fl, avg(p_size)/100 AS ev, min(p_size) AS cb, avg(p_size)/40 AS ci FROM part GROUP BY 1), c AS (SELECT name, coalesce(CASE WHEN n50/total <= 0.1 THEN 0 ELSE least(100, greatest(0, (1 + log10(n50/total))*100)) END, 50) AS contiguity, least(100, greatest(0, 100 - abs(ex + 1.15)/0.85*100)) AS decay, least(100, greatest(0, 100 - 10*fl)) AS integrity, (least(100, 200*ev) + least(100, cb))/2 AS compartments, least(100, ci/0.7*100) AS library FROM s) SELECT name, round(contiguity, 6) AS contiguity, round(decay, 6) AS decay, round(integrity::DOUBLE, 6) AS integrity, round(compartments, 6) AS compartments, round(library, 6) AS library, CAST(floor(0.2*contiguity + 0.25*decay + 0.2*integrity + 0.15*compartments + 0.2*library + 0.5) AS BIGINT) AS overall FROM c"
@@ -117,22 +117,22 @@ def health_score(spark, sf_dir):
 
 @query("SELECT role, count(*) AS n, round(avg(length(text)), 4) AS mean_rating FROM conversations GROUP BY role")
 def rating_summary(spark, sf_dir):
-    return inputs.read(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.length("text")), 4).alias("mean_rating"))
+    rows = inputs.read(spark, sf_dir, "conversations").withColumn("rating", F.length("text"))
+    return metrics.rating_summary(rows, "role", "rating").withColumn("mean_rating", r("mean_rating", 4))
 
 
 @query("SELECT count(DISTINCT l_partkey) AS components, count(DISTINCT l_orderkey) AS objects, count(DISTINCT CASE WHEN l_returnflag <> 'N' THEN l_orderkey END) AS named, count(CASE WHEN l_returnflag <> 'N' THEN 1 END) AS placed FROM lineitem")
 def layout_counts(spark, sf_dir):
     """Distinct components and objects of a layout, and those in named objects."""
-    named = F.col("l_returnflag") != "N"
-    return inputs.read(spark, sf_dir, "lineitem").agg(F.count_distinct("l_partkey").alias("components"), F.count_distinct("l_orderkey").alias("objects"), F.count_distinct(F.when(named, F.col("l_orderkey"))).alias("named"), F.count_if(named).alias("placed"))
+    return metrics.layout_counts(inputs.read(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", F.col("l_returnflag") != "N")
 
 
 @query("WITH a AS (SELECT p_partkey AS k, p_size % 2 AS o FROM part WHERE p_size > 5), b AS (SELECT p_partkey AS k, p_size % 3 % 2 AS o FROM part) SELECT count(*) AS changed FROM b LEFT JOIN a USING (k) WHERE NOT (a.o IS NOT DISTINCT FROM b.o)")
 def reoriented_count(spark, sf_dir):
     """Components whose orientation differs from the layout before, or is new."""
     p = inputs.read(spark, sf_dir, "part")
-    a, b = p.where("p_size > 5").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 2).alias("x")), p.select(F.col("p_partkey").alias("k"), (F.col("p_size") % 3 % 2).alias("y"))
-    return b.join(a, "k", "left").where(~F.col("x").eqNullSafe(F.col("y"))).agg(F.count(F.lit(1)).alias("changed"))
+    a, b = p.where("p_size > 5").select(F.col("p_partkey").alias("k"), (F.col("p_size") % 2).alias("inverted")), p.select(F.col("p_partkey").alias("k"), (F.col("p_size") % 3 % 2).alias("inverted"))
+    return metrics.reoriented(a, b)
 
 
 SWEEP = "WITH a AS (SELECT p_size AS f, count(*) AS n, avg(p_retailprice) AS m FROM part GROUP BY 1), g AS (SELECT f, t, 0.4*(f/50.0) + 0.3*(1 - abs(t - 5)/10.0) + 0.2*(n/(SELECT max(n) FROM a)::DOUBLE) + 0.1*(m/(SELECT max(m) FROM a)) AS score FROM a, (SELECT CAST(range AS INT) AS t FROM range(1, 11))) SELECT f, t, round(score, 6) AS score FROM g ORDER BY score DESC, f, t LIMIT 20"
@@ -144,13 +144,35 @@ def parameter_sweep(spark, sf_dir):
     a = inputs.read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("f")).agg(F.count(F.lit(1)).alias("n"), F.avg("p_retailprice").alias("m"))
     top = a.agg(F.max("n").alias("tn"), F.max("m").alias("tm"))
     grid = a.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(10)))).crossJoin(F.broadcast(top))  # one row
-    score = 0.4 * (F.col("f") / 50.0) + 0.3 * (1 - F.abs(F.col("t") - 5) / 10.0) + 0.2 * (F.col("n") / F.col("tn")) + 0.1 * (F.col("m") / F.col("tm"))
-    return grid.select("f", "t", score.alias("s")).orderBy(F.col("s").desc(), "f", "t").limit(20).select("f", "t", r("s").alias("score"))
+    parts = {"size": (F.col("f") / 50.0, 0.4), "middle": (1 - F.abs(F.col("t") - 5) / 10.0, 0.3), "many": (F.col("n") / F.col("tn"), 0.2), "price": (F.col("m") / F.col("tm"), 0.1)}
+    return metrics.best_settings(grid, parts, ("f", "t"), 20).withColumn("score", r("score"))
+
+
+REGIONS = ", ba AS (SELECT p, density, avg(CASE WHEN density > 0 THEN density END) OVER (ORDER BY p ROWS BETWEEN 32 PRECEDING AND 32 FOLLOWING) AS base FROM dens), pa AS (SELECT * FROM (VALUES (0.01::DOUBLE), (0.02::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE)) a(cutoff), (VALUES (1), (2), (4)) b(width)), rn AS (SELECT cutoff, width, min(p) AS st, max(p) AS la, avg(density) AS mean FROM (SELECT cutoff, width, p, density, p - row_number() OVER (PARTITION BY cutoff, width ORDER BY p) AS run FROM ba, pa WHERE (base - density)/base > cutoff) GROUP BY cutoff, width, run), z AS (SELECT cutoff, width, (b.base - rn.mean)/b.base AS c FROM rn JOIN ba b ON b.p = CAST(floor((st + la + 1)/2.0) AS INT) WHERE la - st + 1 >= width) SELECT pa.cutoff, pa.width, count(c) AS regions, round(avg(c), 6) AS confidence FROM pa LEFT JOIN z USING (cutoff, width) GROUP BY 1, 2"
+
+
+@query(REGIONS, "dens")
+def cut_parameter_sweep(spark, sf_dir):
+    """The candidates of automatic cuts under every setting of a grid, in one pass over the densities."""
+    settings = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.01, 0.02, 0.05, 0.1, 0.2)])).alias("cutoff")).select("cutoff", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("width"))
+    rows = windows.local_baseline(windows.diagonal_density(inputs.contact(spark, sf_dir), inputs.NB), "density", 32).crossJoin(F.broadcast(settings))  # fifteen rows
+    found = windows.low_regions(rows, "density", F.col("cutoff"), F.col("width"), "cutoff", "width")
+    each = found.groupBy("cutoff", "width").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence"))
+    return settings.join(each, ["cutoff", "width"], "left").select("cutoff", "width", F.coalesce("n", F.lit(0)).cast("long").alias("regions"), r("confidence").alias("confidence"))
+
+
+SORTED = "WITH t AS (SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) AS pos, row_number() OVER (ORDER BY c_custkey) AS truth, c_nationkey AS chain, c_mktsegment AS chrom, c_custkey % 2 = 1 AS inv, c_custkey % 3 = 0 AS ti FROM customer), k AS (SELECT count(*) AS items, (SELECT sum(sign(b.truth - a.truth)) FROM t a JOIN t b ON a.pos < b.pos)/(count(*)*(count(*) - 1)/2.0) AS tau FROM t), l AS (SELECT max(n) AS longest FROM (SELECT count(*) AS n FROM (SELECT sum(st) OVER (ORDER BY pos) AS run FROM (SELECT pos, CASE WHEN coalesce(truth - lag(truth) OVER (ORDER BY pos) <> 1, false) THEN 1 ELSE 0 END AS st FROM t)) GROUP BY run)), c AS (SELECT chain, chrom, count(*)::DOUBLE AS c FROM t GROUP BY 1, 2), s AS (SELECT (SELECT sum(c*(c - 1)/2) FROM c) AS x, (SELECT sum(t*(t - 1)/2) FROM (SELECT sum(c) AS t FROM c GROUP BY chain)) AS a, (SELECT sum(t*(t - 1)/2) FROM (SELECT sum(c) AS t FROM c GROUP BY chrom)) AS b, (SELECT sum(c) FROM c) AS n) SELECT items, round(tau, 6) AS tau, longest, round((x - a*b/(n*(n - 1)/2))/((a + b)/2 - a*b/(n*(n - 1)/2)), 6) AS ari, round((SELECT avg(CAST(inv = ti AS INT)) FROM t), 6) AS orientation, round((SELECT avg(q) FROM (SELECT max(c)/sum(c) AS q FROM c GROUP BY chain)), 6) AS purity, round((SELECT avg(q) FROM (SELECT max(c)/sum(c) AS q FROM c GROUP BY chrom)), 6) AS completeness FROM k, l, s"
+
+
+@query(SORTED)
+def combined_sort_metrics(spark, sf_dir):
+    c = inputs.read(spark, sf_dir, "customer")
+    items = c.select(F.row_number().over(W.Window.orderBy("c_acctbal", "c_custkey")).alias("pos"), F.row_number().over(W.Window.orderBy("c_custkey")).alias("truth"), F.col("c_nationkey").alias("chain"), F.col("c_mktsegment").alias("chrom"), (F.col("c_custkey") % 2 == 1).alias("inverted"), (F.col("c_custkey") % 3 == 0).alias("truth_inverted"))
+    return metrics.sort_metrics(items).withColumns({k: r(k) for k in ("tau", "ari", "orientation", "purity", "completeness")})
 
 
 @query("WITH q AS (SELECT s_nationkey AS grp, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS pos, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS truth FROM supplier), t AS (SELECT a.grp, sum(sign(b.truth - a.truth))/count(*) AS tau FROM q a JOIN q b ON a.grp = b.grp AND a.pos < b.pos GROUP BY a.grp), l AS (SELECT grp, tau, lag(tau) OVER (ORDER BY grp) AS b FROM t) SELECT grp, round(tau, 6) AS tau, round(tau - b, 6) AS change, coalesce(tau - b > 0.001, false) AS improving FROM l")
 def curation_progress(spark, sf_dir):
     """Rank correlation over a series of states, and whether it improves."""
     t = metrics.kendall_tau(_ranks(spark, sf_dir), "grp").where("items > 1")
-    change = F.col("tau") - F.lag("tau").over(W.Window.orderBy("grp"))
-    return t.select("grp", r("tau").alias("tau"), r(change).alias("change"), F.coalesce(change > 0.001, F.lit(False)).alias("improving"))
+    return metrics.progress(t, "grp").select("grp", r("tau").alias("tau"), r("change").alias("change"), "improving")

@@ -80,3 +80,23 @@ def one_hot(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, a, c, g, t): a row a letter; letters other than the four are all 0."""
     p = rows.select(key, F.posexplode(F.filter(F.split(F.upper(text), ""), lambda x: x != "")).alias("pos", "x"))
     return p.select(key, "pos", *[(F.col("x") == c).cast("int").alias(c.lower()) for c in "ACGT"])
+
+
+def sampled_gc(s: Column, letters: int = 2000) -> Column:
+    """``gc_share`` of about so many letters, taken at even steps from the first; NULL without any of the four."""
+    step = F.greatest(F.lit(1), F.floor(F.length(s) / letters)).cast("int")
+    # the step is bound once, not computed again for every letter
+    taken = F.get(F.transform(F.array(step), lambda k: F.array_join(F.filter(F.split(s, ""), lambda x, i: i % k == 0), "")), F.lit(0))
+    return gc_share(taken)
+
+
+def gc_of_bins(segments: DataFrame, texture: int, size: int) -> DataFrame:
+    """(p, gc): GC of ``size`` bins from segments (start, end, gc) on ``texture`` pixels, weighted by the pixels that each gives a bin.
+
+    A segment narrower than a bin counts in one; bins without any are left out.
+    """
+    at = lambda c: F.greatest(F.lit(0), F.least(F.lit(size), F.floor(F.col(c) / texture * size + 0.5))).cast("int")
+    s = segments.where("gc is not null").select("gc", (F.col("end") - F.col("start")).alias("pixels"), at("start").alias("b0"), at("end").alias("b1"))
+    s = s.withColumn("w", F.col("pixels") / F.greatest(F.lit(1), F.col("b1") - F.col("b0")))
+    bins = s.select("gc", "w", F.explode(F.sequence("b0", F.greatest("b0", F.col("b1") - 1))).alias("p")).where(F.col("p") < size)
+    return bins.groupBy("p").agg((F.sum(F.col("gc") * F.col("w")) / F.when(F.sum("w") > 0, F.sum("w"))).alias("gc")).where("gc is not null")

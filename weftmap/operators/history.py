@@ -180,6 +180,20 @@ def differences(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.unionByName(gone).unionByName(new)
 
 
+def diff_report(changes: DataFrame) -> DataFrame:
+    """(map_id, body): one line a map with the number of segments of each change of ``differences``."""
+    kinds = ("added", "removed", "inverted", "moved", "unchanged")
+    counts = changes.groupBy("map_id").agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds])
+    return counts.select("map_id", F.concat_ws(", ", *[F.concat(F.lit(k + " "), F.col(k).cast("string")) for k in kinds]).alias("body"))
+
+
+def macro(log: DataFrame, marks: DataFrame) -> DataFrame:
+    """Operations of each map between its two marks (map_id, after, upto), numbered from 0."""
+    w = W.Window.partitionBy("map_id").orderBy("seq")
+    inside = log.join(marks, "map_id").where("seq > after and seq <= upto").drop("after", "upto")
+    return inside.withColumn("step", (F.row_number().over(w) - 1).cast("long"))
+
+
 def replay_matches(folded: DataFrame, recorded: DataFrame) -> DataFrame:
     """(map_id, missing, extra): rows of a recorded state that a replay lacks, and the other way round."""
     missing = recorded.exceptAll(folded).groupBy("map_id").agg(F.count(F.lit(1)).alias("m"))
@@ -252,4 +266,4 @@ def as_script(log: DataFrame) -> DataFrame:
     return log.select("map_id", "seq", line.alias("command"))
 
 
-__all__ = ["apply_operation", "as_script", "batches", "changed_values", "commands", "differences", "digests", "effective", "fold", "replay", "replay_matches", "state_digest"]
+__all__ = ["apply_operation", "as_script", "batches", "changed_values", "commands", "diff_report", "differences", "digests", "effective", "fold", "macro", "replay", "replay_matches", "state_digest"]

@@ -188,3 +188,43 @@ def health_score(rows: DataFrame) -> DataFrame:
     for name, w in weights.items():
         total = total + w * F.col(name)
     return out.withColumn("overall", F.floor(total + 0.5).cast("long"))
+
+
+def sort_metrics(items: DataFrame) -> DataFrame:
+    """One row of all ordering metrics from (pos, truth, chain, chrom, inverted, truth_inverted): the chain is the predicted cluster."""
+    clusters = items.select(F.dense_rank().over(W.Window.orderBy("chain")).alias("pred"), F.dense_rank().over(W.Window.orderBy("chrom")).alias("truth"))
+    ranked = items.select("pos", "truth")
+    return kendall_tau(ranked).crossJoin(longest_run(ranked)).crossJoin(adjusted_rand(clusters)).crossJoin(chain_quality(items))  # one row each
+
+
+def run_summary(rows: DataFrame, value: str) -> DataFrame:
+    """One row: mean, sample deviation (0 of one) and number of a measure over runs."""
+    return rows.agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(F.lit(1)).alias("n"))
+
+
+def rating_summary(rows: DataFrame, by: str, rating: str) -> DataFrame:
+    """(by, n, mean_rating) of each kind."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(rating).alias("mean_rating"))
+
+
+def layout_counts(rows: DataFrame, component: str, object_: str, named: Column) -> DataFrame:
+    """One row: components, objects, named objects, and components placed in those."""
+    return rows.agg(F.count_distinct(component).alias("components"), F.count_distinct(object_).alias("objects"), F.count_distinct(F.when(named, F.col(object_))).alias("named"), F.count_if(named).alias("placed"))
+
+
+def reoriented(before: DataFrame, after: DataFrame, key: str = "k", turned: str = "inverted") -> DataFrame:
+    """One row: components whose orientation differs from the layout before, or which are new."""
+    old = before.select(key, F.col(turned).alias("__before"))
+    return after.select(key, turned).join(old, key, "left").where(~F.col("__before").eqNullSafe(F.col(turned))).agg(F.count(F.lit(1)).alias("changed"))
+
+
+def progress(series: DataFrame, order: str, value: str = "tau", least: float = 0.001) -> DataFrame:
+    """Adds ``change`` against the state before, and whether it improves; metadata: one row a state."""
+    change = F.col(value) - F.lag(value).over(W.Window.orderBy(order))
+    return series.withColumn("change", change).withColumn("improving", F.coalesce(F.col("change") > least, F.lit(False)))
+
+
+def best_settings(grid: DataFrame, parts: dict[str, tuple[Column, float]], keep: tuple[str, ...], n: int) -> DataFrame:
+    """The ``n`` best rows of a table of settings by a weighted score, then by the settings."""
+    score = sum((weight * c for c, weight in parts.values()), F.lit(0.0))
+    return grid.select(*keep, score.alias("score")).orderBy(F.col("score").desc(), *keep).limit(n)

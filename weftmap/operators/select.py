@@ -121,3 +121,23 @@ def next_waypoint(waypoints: DataFrame, at: float) -> DataFrame:
     ahead, first = F.min_by("id", F.when(d > at, d)), F.min_by("id", d)
     behind, last = F.max_by("id", F.when(d < at, d)), F.max_by("id", d)
     return waypoints.agg(F.coalesce(ahead, first).alias("next_id"), F.coalesce(behind, last).alias("previous_id"))
+
+
+def flagged(segments: DataFrame, flag: str, misassembled: DataFrame | None = None, excluded: DataFrame | None = None) -> DataFrame:
+    """Segments with a flag: inverted, scaffolded, unscaffolded, or listed as misassembled or excluded (order_index)."""
+    if flag in ("misassembled", "excluded"):
+        listed = misassembled if flag == "misassembled" else excluded
+        return segments.limit(0) if listed is None else segments.join(listed.select("order_index").distinct(), "order_index", "left_semi")
+    return segments.where({"inverted": F.col("inverted"), "scaffolded": F.col("scaffold_id").isNotNull(), "unscaffolded": F.col("scaffold_id").isNull()}[flag])
+
+
+def sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of two tables with the side that has them: both, first or second."""
+    tag = lambda df, s: df.withColumn("side", F.lit(s))
+    return tag(a.intersect(b), "both").unionByName(tag(a.subtract(b), "first")).unionByName(tag(b.subtract(a), "second"))
+
+
+def overridden(base: DataFrame, own: DataFrame, key: str, value: str) -> DataFrame:
+    """One value a key: that of ``own`` where it has one, else that of ``base``."""
+    both = base.select(key, value, F.lit(0).alias("__rank")).unionByName(own.select(key, value, F.lit(1).alias("__rank")))
+    return both.groupBy(key).agg(F.max_by(value, "__rank").alias(value))
