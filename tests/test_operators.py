@@ -220,3 +220,36 @@ def test_rounds_go_on_until_nothing_is_left(spark):
     falling = spark.createDataFrame([(0, 1, "HH", 0.9), (1, 2, "HH", 0.8)], "a int, b int, orientation string, score double")
     with pytest.raises(RuntimeError):
         links.chains(falling, spark.createDataFrame([(k,) for k in range(3)], "order_index int"), 0.3, max_rounds=1).count()
+
+
+def test_row_products_equal_numpy(spark):
+    rnd, n = np.random.default_rng(0), 30
+    m = np.triu(rnd.random((n, n)) * (rnd.random((n, n)) < 0.5))
+    m = m + np.triu(m, 1).T
+    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i int, j int, v double")
+    g = m @ m.T
+    got = {(r["i"], r["j"]): r["xy"] for r in spectra.row_products(cells, n, 7).collect()}
+    assert got == {(i, j): pytest.approx(g[i, j]) for i in range(n) for j in range(i + 1, n) if g[i, j]}
+
+
+def test_compartments_equal_the_leading_eigenvector(spark):
+    """The derived map of the given tables, by NumPy."""
+    from weftmap.contract import inputs
+
+    n, size = inputs.NB, 4
+    cm = inputs.contact(spark, "/root/testdata/sf0.001")
+    full = np.zeros((n, n))
+    for r in cm.collect():
+        full[r["i"], r["j"]] = full[r["j"], r["i"]] = r["v"]
+    m = n // size
+    coarse = full.reshape(m, size, m, size).mean(axis=(1, 3))
+    d = np.abs(np.subtract.outer(np.arange(m), np.arange(m)))
+    expected = np.array([coarse[d == k].mean() for k in range(m)])
+    oe = np.where(expected[d] > 0, coarse / np.where(expected[d] > 0, expected[d], 1), 0)
+    cor = np.corrcoef(oe)
+    values, vectors = np.linalg.eigh(cor)
+    k = np.argmax(np.abs(values))
+    want = vectors[:, k] * np.sign(vectors[np.flatnonzero(np.abs(vectors[:, k]) > 1e-9)[0], k])
+    got = spectra.compartments(cm, n, rounds=2000).orderBy("p").collect()
+    assert [r["e1"] for r in got[::size]] == pytest.approx(want.tolist(), abs=2e-3)
+    assert got[0]["eigenvalue"] == pytest.approx(abs(values[k]), rel=1e-3)

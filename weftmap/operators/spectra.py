@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -15,24 +17,49 @@ from .blocks import coarsen, entropy_score, histogram, order_statistic
 def row_correlation(contact: DataFrame, n: int) -> DataFrame:
     """(i, j, v), i <= j: Pearson correlation of rows over all n columns, absent cells as 0.
 
-    Products are summed over the columns that two rows share; means come from row sums, so
-    absent cells need no rows.  A row without variance correlates 0 with others, 1 with itself.
+    Products of rows come block by block; means come from row sums, so absent cells need no
+    rows.  A row without variance correlates 0 with others, 1 with itself.
     """
     s = symmetric(contact).where("v <> 0")
     row = s.groupBy("i").agg((F.sum("v") / n).alias("m"), (F.sum(F.col("v") * F.col("v")) / n).alias("q"))
     row = row.select("i", "m", F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("m") * F.col("m"))).alias("sd"))
-    a, b = s.select("i", F.col("j").alias("k"), F.col("v").alias("x")), s.select(F.col("i").alias("j"), F.col("j").alias("k"), F.col("v").alias("y"))
-    gram = a.join(b, "k").where("i < j").groupBy("i", "j").agg((F.sum(F.col("x") * F.col("y")) / n).alias("xy"))
+    gram = row_products(s, n).withColumn("xy", F.col("xy") / n)
     idx = contact.sparkSession.range(n).select(F.col("id").cast("int").alias("p"))
     full = idx.join(row, F.col("p") == F.col("i"), "left").select("p", F.coalesce("m", F.lit(0.0)).alias("m"), F.coalesce("sd", F.lit(0.0)).alias("sd"))
     # all pairs of rows are the result itself: n is the matrix side
-    l, r = full.select(F.col("p").alias("i"), F.col("m").alias("mi"), F.col("sd").alias("si")), full.select(F.col("p").alias("j"), F.col("m").alias("mj"), F.col("sd").alias("sj"))
-    pairs = l.join(r, F.col("i") <= F.col("j")).join(gram, ["i", "j"], "left")
+    l = full.select(F.col("p").alias("i"), F.col("m").alias("mi"), F.col("sd").alias("si"), F.explode(F.sequence("p", F.lit(n - 1))).alias("j"))
+    r = full.select(F.col("p").alias("j"), F.col("m").alias("mj"), F.col("sd").alias("sj"))
+    pairs = l.join(r, "j").join(gram, ["i", "j"], "left")
     sd = F.col("si") * F.col("sj")
     c = (F.coalesce("xy", F.lit(0.0)) - F.col("mi") * F.col("mj")) / F.when(sd > 1e-12, sd)
     return pairs.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.coalesce(c, F.lit(0.0))).alias("v"))
 
 
+def row_products(cells: DataFrame, n: int, block: int = 256) -> DataFrame:
+    """(i, j, xy), i < j: sums of products of rows i and j of a symmetric matrix given as all of its cells.
+
+    Rows are cut into blocks; a task multiplies two blocks of ``block`` rows by n columns.  A
+    cell is sent to as many pairs of blocks as there are blocks, not to every row.
+    """
+    blocks = -(-n // block)
+    own = cells.select(F.floor(F.col("i") / block).cast("int").alias("own"), "i", "j", "v")
+    left = own.select(F.col("own").alias("p"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("q"), F.lit(0).alias("side"), "i", "j", "v")
+    right = own.select(F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"), "i", "j", "v")
+
+    def multiplied(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for k, first in enumerate(key):
+            m, own = np.zeros((block, n)), rows[rows["side"] == k]
+            m[own["i"].to_numpy() - first * block, own["j"].to_numpy()] = own["v"].to_numpy()
+            sides.append(m)
+        g = sides[0] @ sides[1].T
+        i, j = np.nonzero(g)
+        i, j, xy = i + key[0] * block, j + key[1] * block, g[i, j]
+        return pd.DataFrame({"i": i, "j": j, "xy": xy})[i < j]
+
+    return left.unionByName(right).groupBy("p", "q").applyInPandas(multiplied, "i int, j int, xy double")
+
+
 def power_iteration(matrix: DataFrame, n: int, rounds: int = 100, tolerance: float = 1e-6, check_every: int = 5) -> DataFrame:
     """(p, x, value): leading eigenvector from alternating signs, of length 1, and its eigenvalue's size.
 
