@@ -38,7 +38,7 @@ class Rule(NamedTuple):
 
 
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
-DAMPING, TOLERANCE, SAVE_EVERY, MAX_DISTRUST = 0.85, 1e-9, 8, 0.5
+DAMPING, TOLERANCE, SAVE_EVERY, MAX_DISTRUST = 0.85, 1e-9, 4, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
