@@ -229,10 +229,10 @@ def parsed_intervals(spark, sf_dir):
     return source.bedgraph(li.select(F.lit("t").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("int").alias("line"), tab.alias("body")))
 
 
-@query("SELECT 'f' || conv_id AS file, turn AS record, role AS name, 'turn ' || turn AS description, regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS sequence FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn FROM conversations WHERE NOT regexp_matches(text, '(^|\\n)[;>]'))")
+@query("SELECT 'f' || conv_id AS file, turn AS record, role AS name, 'turn ' || turn AS description, regexp_replace(regexp_replace(text, '(?m)^[;>]', '.', 'g'), '[ \\t\\n\\x0B\\f\\r]+', '', 'g') AS sequence FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS turn FROM conversations)")
 def parsed_sequences(spark, sf_dir):
-    """Sequence records made of conversations, read again from their lines."""
-    c = inputs.read(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"(^|\n)[;>]"))
+    """Sequence records made of conversations, read again from their lines; lines that would be headers or comments start with a dot."""
+    c = inputs.read(spark, sf_dir, "conversations").withColumn("text", F.regexp_replace("text", "(?dm)^[;>]", "."))
     t = F.row_number().over(W.Window.partitionBy("conv_id").orderBy("turn"))
     rec = F.concat(F.lit(">"), "role", F.lit(" turn "), F.col("t").cast("string"), F.lit("\n"), "text")
     whole = c.withColumn("t", t).groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("t", rec.alias("x")))), lambda s: s["x"]), "\n").alias("value"))
