@@ -7,11 +7,11 @@ from types import SimpleNamespace
 
 import pytest
 
-from weftmap.functions.tables import dropped, shared_dir, written
+from weftmap.functions.tables import dropped, numbered, shared_dir, written
 
 ALONE = """
 from pyspark.sql import SparkSession
-from weftmap.functions.tables import dropped, shared_dir, written
+from weftmap.functions.tables import dropped, numbered, shared_dir, written
 s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
 assert s.conf.get("spark.checkpoint.dir", None) is None
 a, b = written(s.range(10)), written(s.range(5))
@@ -39,3 +39,22 @@ def test_dropped_tables_are_gone(spark):
     assert os.path.isdir(folder)
     dropped(t)
     assert not os.path.exists(folder)
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"), (F.col("id") % 10).alias("y"))
+    got = numbered(df.repartition(7), F.col("y").desc(), "x", start=0).collect()
+    want = sorted(((-r["y"], r["x"]) for r in df.collect()))
+    assert [(-r["y"], r["x"]) for r in sorted(got, key=lambda r: r["k"])] == want and sorted(r["k"] for r in got) == list(range(1000))
+    assert numbered(df.limit(0), "x").count() == 0
+
+
+def test_ordered_lines_follow_each_other(spark, tmp_path):
+    from weftmap.sinks.text import write_lines
+
+    lines = spark.range(300).selectExpr("cast(300 - id as int) k", "concat('line ', 300 - id) body")
+    write_lines(lines, str(tmp_path / "out"))
+    parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
+    assert [x for p in parts for x in p.read_text().splitlines()] == [f"line {k}" for k in range(1, 301)]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -183,8 +186,6 @@ FLAGGED = "SELECT 'inverted' AS flag, order_index FROM g WHERE inverted UNION AL
 
 @query(CUST + FLAGGED)
 def flagged_segments(spark, sf_dir):
-    from functools import reduce
-
     o, s = inputs.read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "order_index"), _seg(spark, sf_dir)
     flags = ("inverted", "scaffolded", "unscaffolded", "misassembled", "excluded")
     found = [select.flagged(s, f, o.where("o_orderpriority like '1%'"), o.where("o_orderstatus = 'F'")).select(F.lit(f).alias("flag"), "order_index") for f in flags]
@@ -365,8 +366,20 @@ def event_windows_stream(spark, sf_dir):
     return _drained(spark, out, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", r("value", 4).alias("value"))
 
 
+@query("SELECT 'f' || conv_id AS file, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS record, role AS name, CAST(length(regexp_replace(regexp_replace(text, '(?m)^[;>]', '.', 'g'), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS BIGINT) AS letters FROM conversations")
+def chunked_sequences_stream(spark, sf_dir):
+    """Conversations as files of records, cut into chunks in the middle of their lines, read as a stream."""
+    stream = spark.readStream.schema(inputs.read(spark, sf_dir, "conversations").schema).parquet(f"{sf_dir}/conversations.parquet*")
+    body = F.concat(F.lit(">"), "role", F.lit("\n"), F.regexp_replace("text", "(?dm)^[;>]", "."), F.lit("\n"))
+    third = F.ceil(F.length(body) / 3).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.substring(body, k * third + 1, third))
+    chunks = stream.select(F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("file"), "turn", F.posexplode(cut).alias("k", "value"))
+    out = logs.fasta_chunk_stream(chunks.select("file", (F.col("turn") * 3 + F.col("k")).alias("chunk"), "value"))
+    return _drained(spark, out, "update").groupBy("file", "record").agg(F.max_by("name", "letters").alias("name"), F.max("letters").alias("letters"))
+
+
 def _drained(spark, stream, mode):
-    """Runs a stream over all that is there and reads what it gave at last."""
+    """Runs a stream over all that is there and reads what it gave: at last, or in all batches of updates."""
     import uuid
 
     from ..functions.tables import shared_dir, written
@@ -374,13 +387,13 @@ def _drained(spark, stream, mode):
     kept = []
 
     def keep(batch, _):
-        kept[:] = [written(batch, "batch")]
+        kept[:] = [*(kept if mode == "update" else []), written(batch, "batch")]
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return kept[0] if kept else spark.createDataFrame([], stream.schema)
+    return reduce(DataFrame.unionByName, kept) if kept else spark.createDataFrame([], stream.schema)
 
 
 @query()
@@ -392,7 +405,8 @@ def folded_edits_stream(spark, sf_dir):
     op = F.element_at(F.array(*[F.lit(x) for x in ("cut", "join", "invert", "move", "paint")]), (F.col("event_id") % 5 + 1).cast("int"))
     a, b = (F.col("event_id") % 11).cast("int"), F.when(F.col("event_id") % 5 == 0, F.lit(400)).otherwise(F.coalesce(k, F.lit(0)) % 9).cast("int")
     ops = stream.select(F.col("user_id").alias("map_id"), F.col("event_id").alias("seq"), op.alias("op"), a.alias("a"), b.alias("b"), F.when(F.col("event_id") % 10 == 4, F.lit("chr1")).alias("text"))
-    return _drained(spark, logs.folded_stream(ops, 8), "update")
+    updates = _drained(spark, logs.folded_stream(ops, 8), "update")
+    return updates.groupBy("map_id").agg(F.max_by(F.struct(*updates.columns), "seq").alias("last")).select("last.*")
 
 
 @query()

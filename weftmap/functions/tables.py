@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,3 +42,17 @@ def dropped(*tables: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(conf).delete(path, True)
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "k", start: int = 1) -> DataFrame:
+    """``df`` with its rows numbered in an order, without all of them in one task.
+
+    Rows are dealt by ranges of the order and written with their range; a range is numbered from
+    the number of rows in the ranges before it (one row a range).
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(W.Window.orderBy("__range").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.Window.partitionBy("__range").orderBy(*order))
+    placed = dealt.withColumn("__at", inside).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
+    return placed.withColumn(name, (F.col("__before") + F.col("__at") - 1 + start).cast("int")).drop("__range", "__at", "__before")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
+
+from ..functions.tables import numbered
 
 TAGS = ("reviewed", "ambiguous", "chimeric", "contaminant")
 
@@ -73,7 +74,7 @@ def range_selected(selection: DataFrame, to: int, segments: DataFrame) -> DataFr
 def included(segments: DataFrame, excluded: DataFrame) -> DataFrame:
     """Segments that are not excluded, in their order, with their new places."""
     kept = segments.join(excluded.select("order_index").distinct(), "order_index", "left_anti")
-    return kept.withColumn("place", (F.row_number().over(W.Window.orderBy("order_index")) - 1).cast("int"))
+    return numbered(kept, "order_index", name="place", start=0)
 
 
 def hits(points: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.sequences import reverse_complement, wrapped
+from ..functions.tables import numbered
 from ..model import bins_of
 
 GAP = 200
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """One ordered text file; for metadata-sized reports."""
-    lines.orderBy("k").select("body").coalesce(1).write.mode("overwrite").text(path)
+    """Ordered text files: the parts, by name, follow each other; a small report is one part."""
+    lines.repartitionByRange("k").sortWithinPartitions("k").select("body").write.mode("overwrite").text(path)
 
 
 def _objects(segments: DataFrame) -> DataFrame:
@@ -35,14 +36,14 @@ def layout_lines(segments: DataFrame) -> DataFrame:
     gap = tab(F.col("object"), F.col("at") - GAP + 1, F.col("at"), 2 * F.col("part") - 2, "N", GAP, "scaffold", "yes", "proximity_ligation")
     both = F.when(F.col("part") > 1, F.array(gap, row)).otherwise(F.array(row))
     e = s.select("first", "part", F.posexplode(both).alias("n", "body"))
-    return e.select((F.row_number().over(W.Window.orderBy("first", "part", "n"))).alias("k"), "body")
+    return numbered(e, "first", "part", "n").select("k", "body")
 
 
 def bed_lines(segments: DataFrame) -> DataFrame:
     """(k, body): six columns, half-open from 0; gaps move the coordinates and have no row."""
     s = _objects(segments)
     body = F.concat_ws("\t", "object", F.col("at").cast("string"), (F.col("at") + F.col("length")).cast("string"), "name", F.lit("0"), F.when(F.col("inverted"), "-").otherwise("+"))
-    return s.select(F.row_number().over(W.Window.orderBy("first", "part")).alias("k"), body.alias("body"))
+    return numbered(s.select("first", "part", body.alias("body")), "first", "part").select("k", "body")
 
 
 def fasta_lines(segments: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -54,6 +54,45 @@ def fasta_stream(files: DataFrame) -> DataFrame:
     return r.select("file", name.alias("name"), F.length(seq).alias("letters")).where("name <> ''")
 
 
+RECORDS = "file string, record long, name string, letters long, closed boolean"
+CARRY = "chunk long, tail string, record long, name string, letters long"
+
+
+def fasta_chunk_stream(chunks: DataFrame) -> DataFrame:
+    """(file, record, name, letters, closed) from chunks (file, chunk, value) that cut records and lines anywhere.
+
+    State carries the unfinished line, the open record and the last chunk; a chunk up to that
+    one is a repeat.  A batch gives the records that it closes, and the open one as far as it goes.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        chunk, tail, record, name, letters = state.get if state.exists else (-1, "", 0, None, 0)
+        out = []
+
+        def take(line: str) -> None:
+            nonlocal record, name, letters
+            if line.startswith(">"):
+                if name is not None:
+                    out.append((key[0], record, name, letters, True))
+                name, letters, record = (line[1:].split() or [""])[0], 0, record + 1
+            elif name is not None and not line.startswith(";"):
+                letters += len("".join(line.split()))
+
+        for row in pd.concat(list(batches)).sort_values("chunk").itertuples():
+            if row.chunk > chunk:
+                *lines, tail = (tail + row.value).split("\n")
+                for line in lines:
+                    take(line)
+                chunk = int(row.chunk)
+        state.update((chunk, tail, record, name, letters))
+        if name is not None:
+            more = "" if tail[:1] in (">", ";") else "".join(tail.split())
+            out.append((key[0], record, name, letters + len(more), False))
+        yield pd.DataFrame(out, columns=["file", "record", "name", "letters", "closed"])
+
+    return chunks.groupBy("file").applyInPandasWithState(run, RECORDS, CARRY, "update", GroupStateTimeout.NoTimeout)
+
+
 def recompute(stream: DataFrame, update, checkpoint: str, every: str = "1 second"):
     """Starts a query that calls ``update(batch, id)`` on what came in, once a period at most."""
     return stream.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
