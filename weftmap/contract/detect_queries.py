@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.tables import written
 from ..operators import bands, detect, links, remap, windows
 from . import inputs
 from .inputs import NB
@@ -21,6 +22,12 @@ def _scores(spark, sf_dir):
     return links.link_scores(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir), NB)
 
 
+def _best(spark, sf_dir):
+    """The best links, written once: the threshold and the chains read them."""
+    cm = written(inputs.contact(spark, sf_dir), "map")
+    return written(links.best_links(links.link_scores(cm, inputs.ranges(spark, sf_dir), NB)), "links")
+
+
 @query(LINKS + "SELECT a, b, orientation, round(score, 6) AS score FROM sc", "cm", "sym", "cr", "own")
 def link_scores(spark, sf_dir):
     return _scores(spark, sf_dir).withColumn("score", r("score"))
@@ -33,7 +40,7 @@ def best_links(spark, sf_dir):
 
 @query()
 def segment_chains(spark, sf_dir):
-    best = links.best_links(_scores(spark, sf_dir))
+    best = _best(spark, sf_dir)
     return links.chains(best, inputs.segments(spark, sf_dir), links.adaptive_threshold(best))
 
 
@@ -178,6 +185,6 @@ def chromosome_ends(spark, sf_dir):
 @query()
 def merged_chains(spark, sf_dir):
     """Chains of the derived map, merged further and laid out as an order."""
-    best = links.best_links(_scores(spark, sf_dir))
+    best = _best(spark, sf_dir)
     t = links.adaptive_threshold(best)
     return links.ordered_segments(links.merged_chains(links.chains(best, inputs.segments(spark, sf_dir), t), best, t))

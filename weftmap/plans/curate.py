@@ -41,6 +41,7 @@ def curated(contact: DataFrame, ranges: DataFrame, n: int, **limits) -> tuple[Da
 
     ``limits`` go to ``cuts.automatic_cuts``.  Folding the log over the segments gives the order.
     """
+    contact = written(contact, "map")
     found = written(cuts.automatic_cuts(contact, ranges, n, **limits), "cuts")
     parts = written(cut_ranges(ranges, found), "parts")
     order = written(automatic_order(contact, parts, parts.select("order_index"), n), "order")
