@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, licences, linkgraph, mincut, mixing, neardup, packing, quality, sharding, warc
+from . import fingerprints, licences, linkgraph, merkle, mincut, mixing, neardup, packing, quality, sharding, warc
 from .common import table
 
 
@@ -48,5 +48,9 @@ def op10_licence_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_prefix_fingerprints, op3_dart_minhash, op4_minimum_cut_text, op5_concatenate_and_cut, op6_link_graph_filter, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix, op10_licence_classifier)}
-ORACLES: dict[str, str] = {"op1_warc_revisits": warc.SQL}
+def op11_merkle_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_prefix_fingerprints, op3_dart_minhash, op4_minimum_cut_text, op5_concatenate_and_cut, op6_link_graph_filter, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix, op10_licence_classifier, op11_merkle_witnesses)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": warc.SQL, "op11_merkle_witnesses": merkle.SQL}
