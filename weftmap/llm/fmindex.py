@@ -370,10 +370,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shard
 SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[k:k + 9], ' ') AS phrase FROM b, LATERAL unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(k) WHERE len(w) > 0),
+bt AS (SELECT item, row_number() OVER () AS i, w FROM b),
+bx AS (SELECT item, n, k, [t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o, lead(t, 5) OVER o, lead(t, 6) OVER o, lead(t, 7) OVER o, lead(t, 8) OVER o, lead(t, 9) OVER o] AS v FROM (SELECT item, i, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM bt) WINDOW o AS (PARTITION BY i ORDER BY k)),
+bw AS (SELECT DISTINCT item, least(n, 10) AS n, array_to_string(v[1:least(n, 10)], ' ') AS phrase FROM bx WHERE k = 1 OR k <= n - 9),
 sizes AS (SELECT DISTINCT n FROM bw),
-hits AS (SELECT r, k, k + s.n AS e, item FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d) x CROSS JOIN sizes s
-  JOIN bw ON bw.n = s.n AND bw.phrase = array_to_string(w[k:k + s.n - 1], ' ') AND k + s.n - 1 <= len(w)),
+x AS (SELECT r, k, n, [t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o, lead(t, 5) OVER o, lead(t, 6) OVER o, lead(t, 7) OVER o, lead(t, 8) OVER o, lead(t, 9) OVER o] AS v FROM (SELECT r, len(w) AS n, unnest(w) AS t, generate_subscripts(w, 1) AS k FROM d) WINDOW o AS (PARTITION BY r ORDER BY k)),
+hits AS (SELECT r, k, k + s.n AS e, item FROM x CROSS JOIN sizes s JOIN bw ON bw.n = s.n AND bw.phrase = array_to_string(v[1:s.n], ' ') AND k + s.n - 1 <= x.n),
 marked AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, e)) AS p FROM (SELECT DISTINCT r, k, e FROM hits)) GROUP BY r),
 named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY encode(item)) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, fmindex, licences, linkgraph, merkle, mincut, mixing, neardup, packing, quality, sharding, warc
+from . import fingerprints, fmindex, licences, linkgraph, merkle, mincut, mixing, neardup, packing, phrases, quality, sharding, warc
 from .common import table
 
 
@@ -56,5 +56,9 @@ def op12_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_prefix_fingerprints, op3_dart_minhash, op4_minimum_cut_text, op5_concatenate_and_cut, op6_link_graph_filter, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix, op10_licence_classifier, op11_merkle_witnesses, op12_fm_decontamination)}
-ORACLES: dict[str, str] = {"op1_warc_revisits": warc.SQL, "op11_merkle_witnesses": merkle.SQL, "op12_fm_decontamination": fmindex.SQL}
+def op13_phrase_quicksort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_prefix_fingerprints, op3_dart_minhash, op4_minimum_cut_text, op5_concatenate_and_cut, op6_link_graph_filter, op7_quality_rules, op8_hash_tree_shards, op9_pivotal_mix, op10_licence_classifier, op11_merkle_witnesses, op12_fm_decontamination, op13_phrase_quicksort)}
+ORACLES: dict[str, str] = {"op1_warc_revisits": warc.SQL, "op11_merkle_witnesses": merkle.SQL, "op12_fm_decontamination": fmindex.SQL, "op13_phrase_quicksort": phrases.SQL}
