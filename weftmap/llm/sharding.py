@@ -1,13 +1,14 @@
 """Shards from a hierarchical weighted hash tree, in DataFrame functions.
 
-A key descends region, rack and shard, at each level to the child of least draw.  A shard
-draws ``-ln(u) / weight`` with ``u`` hashed from the key and the shard's name; the draw of a rack
-or region is the least one below it.  The least of exponential draws is one whose rate is the
-sum of theirs, so every node is chosen in proportion to the weight below it.  A change of weights
-moves keys only into shards that gained and out of shards that lost, wherever they stand in the
-tree; all other subtrees keep their draws.  So one more shard takes rows only into itself,
-whatever the number of shards and however full its rack and region are.  A key costs one hash a
-shard.
+A key descends region, rack and shard, at each level to the child of least draw.  A child draws
+``-ln(u) / weight`` with ``u`` hashed from the key and the child's name; a region weighs what its
+racks weigh, a rack what its shards weigh, so every node is chosen in proportion to its weight.  A
+change of weights moves keys only where it changes draws: within the subtrees whose weights
+change, and between them and the others.
+
+Shards up to ``base`` fill racks and regions in order.  Every later one opens a region of its own, so
+no weight of an older node changes and one more shard takes rows only into itself.  A layout
+keeps its base for life.  A key costs a hash for each child on its way down.
 
 Defined results
     null key        one fixed key of its own; all its rows share a shard
@@ -33,33 +34,41 @@ OVERHEAD_BYTES = 16
 ROWS_PER_RUN = 100_000
 
 
-def tree(weights: Sequence[float], per_rack: int = SHARDS_PER_RACK, per_region: int = RACKS_PER_REGION) -> list[list[list[tuple[int, float]]]]:
-    """Regions of racks of (shard, weight), filled in order; shards of weight 0 hold nothing."""
+def tree(weights: Sequence[float], base: int | None = None, per_rack: int = SHARDS_PER_RACK, per_region: int = RACKS_PER_REGION) -> list[list[list[tuple[int, float]]]]:
+    """Regions of racks of (shard, weight): the first ``base`` fill them in order, each later one is a region."""
     leaves = [(k, float(w)) for k, w in enumerate(weights)]
-    racks = [leaves[i : i + per_rack] for i in range(0, len(leaves), per_rack)]
-    return [racks[i : i + per_region] for i in range(0, len(racks), per_region)]
-
-
-def draws(key: Column, node: list) -> Column:
-    """(draw, shard) of the least draw: at each level the least of the children."""
-    leaves = lambda rack: F.array(*[F.struct(F.lit(f"shard{s}").alias("name"), F.lit(float(w)).alias("weight"), F.lit(s).alias("shard")) for s, w in rack])
-    alive = [[[leaf for leaf in rack if leaf[1] > 0] for rack in region] for region in node]
-    alive = [[rack for rack in region if rack] for region in alive]
-    nodes = F.array(*[F.array(*[leaves(rack) for rack in region]) for region in alive if region])
+    first = leaves[: len(leaves) if base is None else base]
+    racks = [first[i : i + per_rack] for i in range(0, len(first), per_rack)]
+    return [racks[i : i + per_region] for i in range(0, len(racks), per_region)] + [[[leaf]] for leaf in leaves[len(first) :]]
+
+
+def descend(key: Column, regions: list) -> Column:
+    """The shard at the end of the way down; nodes of weight 0 are left out."""
+
+    def node(name: str, weight: float, **inner: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.lit(weight).alias("weight"), *[c.alias(k) for k, c in inner.items()])
+
+    top = []
+    for g, region in enumerate(regions):
+        racks = []
+        for k, rack in enumerate(region):
+            shards = [node(f"shard{s}", w, shard=F.lit(s)) for s, w in rack if w > 0]
+            if shards:
+                racks.append(node(f"region{g}/rack{k}", sum(w for _, w in rack), children=F.array(*shards)))
+        if racks:
+            top.append(node(f"region{g}", sum(w for rack in region for _, w in rack), children=F.array(*racks)))
     u = lambda c: (F.shiftrightunsigned(F.xxhash64(key, c["name"]), 11).cast("double") + 0.5) / float(1 << 53)
-    shard = lambda c: F.struct((-F.log(u(c)) / c["weight"]).alias("draw"), c["shard"].alias("shard"))
-    rack = lambda r: F.array_min(F.transform(r, shard))
-    region = lambda g: F.array_min(F.transform(g, rack))
-    return F.array_min(F.transform(nodes, region))
+    drawn = lambda children: F.array_min(F.transform(children, lambda c: F.struct((-F.log(u(c)) / c["weight"]).alias("draw"), c.alias("node"))))["node"]
+    return drawn(drawn(drawn(F.array(*top))["children"])["children"])["shard"]
 
 
-def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard") -> DataFrame:
-    """``df`` with a column of shard numbers decided by ``key`` and the weights alone."""
+def assign(df: DataFrame, key: str, weights: Sequence[float], out: str = "shard", base: int | None = None) -> DataFrame:
+    """``df`` with a column of shard numbers decided by ``key``, the weights and the layout's base alone."""
     if not any(w > 0 for w in weights):
         raise ValueError("a shard needs a weight above 0")
     if out in df.columns:
         raise ValueError(f"the table has a column {out}; name another one for the shard")
-    return df.withColumn(out, draws(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null key")), tree(weights))["shard"])
+    return df.withColumn(out, descend(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null key")), tree(weights, base)))
 
 
 def slots(df: DataFrame, shard: str, order: Sequence[str], rows_per_run: int = ROWS_PER_RUN) -> DataFrame:
@@ -83,7 +92,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Digest of ``docs``: size, text crc32, shard, slot and the shard with one more shard."""
     text = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     slim = docs.select("doc_id", (F.octet_length(text) + OVERHEAD_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    slim = assign(assign(slim, "doc_id", [1.0] * shards), "doc_id", [1.0] * (shards + 1), "grown_shard")
+    slim = assign(assign(slim, "doc_id", [1.0] * shards), "doc_id", [1.0] * (shards + 1), "grown_shard", base=shards)
     # a written row number tells equal rows apart, so that they don't make one run
     numbered = slots(saved(slim.withColumn("__row", F.monotonically_increasing_id()), "shards"), "shard", ["doc_id", "text_crc32", "size", "__row"])
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
