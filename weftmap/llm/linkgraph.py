@@ -2,10 +2,11 @@
 
 Rules judge the pages they fit; the longest wins.  For all others the method decides: trust
 flows by personalised PageRank from hosts with allowed pages along links, distrust from hosts
-with blocked pages along reversed links (who links to a bad host is suspect).  A host whose
-share of distrust is above the threshold is blocked, with all of its pages that no rule fits.
-Edges are absolute links between hosts, and links between a host and the host above it
-(``blog.a.org`` and ``a.org``).
+with blocked pages along reversed links (who links to a bad host is suspect).  A host is blocked,
+with all of its pages that no rule fits, if distrust is more than ``max_distrust`` of its trust,
+its distrust and an even share of the mass that restarts, so that a trace of distrust blocks nothing.
+Edges are absolute links between hosts, and links both ways between a host and the one above it, up
+to names of two parts (``blog.a.org`` and ``a.org``), whether or not that has pages.
 
 Scores of hosts without out-links leak, as the sums are only compared with each other.  Mass
 moves on until all that is still on its way is below ``TOLERANCE`` of the seeds, so the path
@@ -64,8 +65,11 @@ def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r"(?i)href\s*=\s*[\"']?\s*(?:https?:)?(//[^\s\"'<>]+)"), F.lit(1))
     links = pages.select(host_of(F.col(url)).alias("src"), F.explode(found).alias("to")).select("src", host_of(F.concat(F.lit(":"), F.col("to"))).alias("dst"))
     links = links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("links"))
-    hosts = pages.select(host_of(F.col(url)).alias("src")).distinct()
-    above = hosts.select("src", F.regexp_extract("src", r"^[^.]+\.(.+\..+)$", 1).alias("dst")).where("dst <> ''").join(hosts.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst", F.lit(1.0).alias("links"))
+    hosts = pages.select(host_of(F.col(url)).alias("host")).distinct().select(F.split("host", r"\.").alias("names"))
+    # hosts above need no page of their own: mass moves through them between hosts of one name
+    part = lambda k: F.array_join(F.slice("names", k, F.size("names")), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size("names") - 2), lambda k: F.struct(part(k).alias("src"), part(k + 1).alias("dst")))
+    above = hosts.where((F.size("names") > 2) & ~F.array_contains("names", "")).select(F.explode(steps).alias("s")).select("s.src", "s.dst").distinct().withColumn("links", F.lit(1.0))
     site = above.unionByName(above.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
     return links.unionByName(site).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
@@ -95,7 +99,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
 
 
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[Rule] = RULES, max_distrust: float = MAX_DISTRUST) -> DataFrame:
-    """(page_id, host, path, rule, verdict, trust, distrust) of every page."""
+    """(page_id, host, path, rule, verdict, trust, distrust, neighbours) of every page."""
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")).withColumns({"rule": rule, "__ruled": verdict})
@@ -108,6 +112,9 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
     scores = propagate(both, seeds)
     wide = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
-    out = judged.join(wide, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    spread = F.when(F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust")), "block").otherwise("allow")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("__ruled", spread).alias("verdict"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"))
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("neighbours")).withColumnRenamed("src", "host")
+    nodes = edges.select("src").union(edges.select("dst")).union(judged.select("host")).distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("__nodes"))  # one row
+    known = wide.join(degree, "host", "full")
+    out = judged.join(known, "host", "left").crossJoin(F.broadcast(nodes)).withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
+    spread = F.when(F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust") + (1 - DAMPING) / F.col("__nodes")), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("__ruled", spread).alias("verdict"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
