@@ -38,12 +38,13 @@ from pyspark.sql import types as T
 
 # HTML element names by role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title"}
-INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br"}
+RAW = {"script", "style", "template", "svg", "iframe", "textarea", "title"}
+INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "br", "object", "canvas", "math", "mrow", "mi", "mo", "mn", "ms", "mtext", "mfrac", "msqrt", "mroot", "msup", "msub", "msubsup", "mover", "munder", "munderover", "mfenced", "mspace", "mstyle", "mtable", "mtr", "mtd", "semantics"}
 NEVER = {"nav", "footer", "aside", "form", "button", "select", "option", "label", "dialog", "menu", "head", "fieldset"}
 P_ENDERS = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "aside", "nav", "header", "footer", "main", "form", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "figure", "hr", "fieldset", "address"}
-# Words in class, id and role attributes that mark boilerplate.
+# Words that mark boilerplate: a class, id or role of them alone, or of them and words that only say where or how.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "sidebar", "aside", "rail", "widget", "widgets", "menu", "menus", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "footer", "copyright", "related", "recommended", "recommendations", "comment", "comments", "disqus", "reply", "replies", "respond", "masthead", "topbar", "toolbar", "skip", "search", "contentinfo", "complementary", "alert", "disclaimer"}
+PLACES = {"site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "inner", "outer", "box", "block", "bar", "area", "section", "container", "wrapper", "wrap", "holder", "list", "item", "items", "link", "links", "button", "buttons", "form", "icon", "icons", "panel", "column", "content", "unit", "slot", "posts", "stories", "post", "story", "policy", "law", "message", "text", "small", "large", "mobile", "desktop", "sticky", "fixed"}
 CONTENT = {"article", "main"}
 CONTENT_MARKS = {"article", "main", "articlebody", "post-content", "entry-content", "article-body", "post-body", "article-content", "main-content", "story-body"}
 
@@ -58,12 +59,19 @@ SMOOTH_NEXT, SMOOTH_PARENT = 0.2, 1.5
 # As HTML parsers do: a quote opens a value only after "=", "</" before anything but a letter is a comment to ">".
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</(?![a-zA-Z])[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?)*+)>|([^<]+|<)", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 _PUNCT = re.compile(r"[.,;:!?]")
 
 
-def _attributes(raw: str) -> tuple[set[str], set[str], bool]:
-    """(names, parts of names, hidden) from class, id, role and itemprop."""
+def _marks(name: str) -> bool:
+    """A name that says boilerplate as a whole: ``cookie-notice`` does, ``search-for-meaning`` doesn't."""
+    parts = {p for p in re.split(r"[-_]+|\d+", name) if p}
+    return bool(parts & MARKS) and parts <= MARKS | PLACES
+
+
+def _attributes(raw: str) -> tuple[set[str], bool, bool]:
+    """(names, marked as boilerplate, hidden) from class, id, role and itemprop."""
     names: set[str] = set()
     hidden = False
     for key, value in _ATTR.findall(raw):
@@ -72,7 +80,7 @@ def _attributes(raw: str) -> tuple[set[str], set[str], bool]:
             hidden = True
         elif key in ("class", "id", "role", "itemprop"):
             names.update(value.split())
-    return names, {p for n in names for p in re.split(r"[-_]+", n)}, hidden
+    return names, any(map(_marks, names)), hidden
 
 
 class Block:
@@ -102,7 +110,7 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
         linked = 0
 
-    pos, end = 0, len(page)
+    pos, end, unclosed = 0, len(page), set()
     while pos < end:
         m = _TOKEN.match(page, pos)
         if m is None:  # a tag that the end cuts off
@@ -134,7 +142,9 @@ def blocks_of(page: str) -> list[Block]:
                     break
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+            close = None if name in unclosed else _CLOSE[name].search(page, pos)
+            if close is None:
+                unclosed.add(name)  # nor is there one further on
             if close and (name == "title" or not m.group(3).endswith("/")):
                 pos = close.end()
             elif name in RAW_TEXT and not close:
@@ -159,11 +169,11 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         up = stack[-1]
-        names, parts, hidden = _attributes(m.group(3)) if m.group(3) else (set(), set(), False)
+        names, marked, hidden = _attributes(m.group(3)) if m.group(3) else (set(), False, False)
         content = up[2] or (name in CONTENT and not up[1]) or bool(names & CONTENT_MARKS)
         never = up[1] or hidden or name in NEVER or (name == "header" and not up[2])
         if name not in ("html", "body", "article", "main") and not never:
-            never = bool(parts & MARKS) and not names & CONTENT_MARKS
+            never = marked and not names & CONTENT_MARKS
         stack.append((name, never, content, number))
         if name == "a":
             links += 1
