@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from ..operators import batch, history, scripts
+from ..operators import batch, history, provenance, scripts
 from ..plans import curate
 from . import inputs
 from .edit_queries import CUST, _initial, _log, _seg
@@ -22,7 +23,7 @@ def _map(spark, sf_dir):
 
 
 def _fold(spark, sf_dir, log):
-    return history.fold(_map(spark, sf_dir), log.withColumn("map_id", F.lit(0).cast("long"))).drop("map_id")
+    return provenance.fold_tree(_map(spark, sf_dir), log.withColumn("map_id", F.lit(0).cast("long"))).drop("map_id", "pieces")
 
 
 def _selected(spark, sf_dir):
@@ -69,6 +70,37 @@ def segments_inverted_and_sorted(spark, sf_dir):
     return _fold(spark, sf_dir, batch.after(batch.invert_selected(_selected(spark, sf_dir)), batch.sort_by_length(_seg(spark, sf_dir))))
 
 
+PARTS = """, p AS (SELECT row_number() OVER (ORDER BY order_index, part) - 1 AS place, g.*, part, length // 2 AS m FROM g, (VALUES (0), (1)) v(part) WHERE part = 0 OR length > 500000),
+q AS (SELECT place, name, coalesce(CAST(scaffold_id AS VARCHAR), 'unplaced_' || place) AS object, inverted <> (place % 2 = 1) AS back,
+CASE WHEN length <= 500000 THEN 0 WHEN part = 0 THEN CASE WHEN inverted THEN length - m ELSE 0 END ELSE CASE WHEN inverted THEN 0 ELSE m END END AS s,
+CASE WHEN length <= 500000 THEN length WHEN part = 0 THEN CASE WHEN inverted THEN length ELSE m END ELSE CASE WHEN inverted THEN length - m ELSE length END END AS e FROM p) """
+
+
+@query(CUST + PARTS + "SELECT object, CAST(row_number() OVER w AS INT) AS part, CAST(sum(e - s) OVER w - (e - s) + 1 AS BIGINT) AS object_start, CAST(sum(e - s) OVER w AS BIGINT) AS object_end, name AS source, s + 1 AS source_start, e AS source_end, CASE WHEN back THEN '-' ELSE '+' END AS orientation FROM q WINDOW w AS (PARTITION BY object ORDER BY place)")
+def layout_after_edits(spark, sf_dir):
+    """Cuts by size, then every second segment turned: the layout names where all parts come from."""
+    cuts = batch.cut_by_size(_seg(spark, sf_dir), 500_000)
+    n = _seg(spark, sf_dir).count() + cuts.count()
+    turns = batch.invert_selected(spark.range(n // 2).select((2 * F.col("id") + 1).alias("order_index")))
+    states = provenance.fold_tree(_map(spark, sf_dir), batch.after(cuts, turns).withColumn("map_id", F.lit(0).cast("long")))
+    return provenance.layout_rows(states).drop("map_id").withColumnsRenamed({"start": "source_start", "end": "source_end"})
+
+
+@query("WITH o AS (SELECT DISTINCT user_id AS map_id, 1 + event_id * 7919 % 999983 AS b FROM events), k AS (SELECT map_id, b, row_number() OVER (PARTITION BY map_id ORDER BY b) AS k FROM o), "
+       "e AS (SELECT map_id, 0 AS k, 0 AS s UNION ALL SELECT map_id, k, b FROM k), s AS (SELECT map_id, k, s, coalesce(lead(s) OVER (PARTITION BY map_id ORDER BY k), 1000000) AS e FROM e) "
+       "SELECT map_id, CAST(greatest(k - 1, 0) AS INT) AS order_index, CASE WHEN k = 0 THEN 1 ELSE 0 END AS part, 'whole' AS source, s AS piece_start, e AS piece_end, k < 2 AS reversed FROM s".replace("SELECT map_id, 0 AS k, 0 AS s UNION ALL", "SELECT DISTINCT map_id, 0 AS k, 0 AS s FROM o UNION ALL"))
+def pieces_after_edits(spark, sf_dir):
+    """A map a user: one segment cut at many places, its first two parts joined, and the joined one turned."""
+    e = inputs.read(spark, sf_dir, "events").select(F.col("user_id").alias("map_id"), (1 + F.col("event_id") * 7919 % 999983).alias("b")).distinct()
+    none = F.lit(None).cast("string")
+    cuts = e.select("map_id", F.row_number().over(W.Window.partitionBy("map_id").orderBy(F.desc("b"))).cast("long").alias("seq"), F.lit("cut").alias("op"), F.lit(0).alias("a"), "b", none.alias("text"))
+    ends = e.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))
+    more = [ends.select("map_id", (F.col("n") + k).alias("seq"), F.lit(op).alias("op"), F.lit(0).alias("a"), F.lit(0).cast("long").alias("b"), none.alias("text")) for k, op in ((1, "join"), (2, "invert"))]
+    initial = ends.select("map_id", F.lit(0).alias("order_index"), F.lit("whole").alias("segment"), F.lit(1_000_000).cast("long").alias("length"), F.lit(False).alias("inverted"), none.alias("scaffold"))
+    states = provenance.fold_tree(initial, cuts.unionByName(more[0]).unionByName(more[1]))
+    return provenance.pieces_of(states).withColumnsRenamed({"start": "piece_start", "end": "piece_end"})
+
+
 SCRIPT = ["assert contigs >= 60", "assert n50 > 700 kb", "assert length < 30Mb", "assert scaffolds == 5", "select where length > 500kb", "select where inverted", "select where unscaffolded", "invert #0", "select where inverted", "select #0..#4", "cut #0 0", "join #0 #2", "assert scaffolds < 9", "scaffold delete building", "assert scaffolds == 4", "select where scaffolded", "select all", "echo done", "frob #1"]
 SCRIPT_SQL = """WITH g AS (SELECT c_nationkey AS m, c_custkey AS k, CAST(floor(abs(c_acctbal)*100) AS BIGINT) AS len, c_custkey % 2 = 1 AS inv, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS sc, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place FROM customer),
 c AS (SELECT *, sum(len) OVER (PARTITION BY m ORDER BY len DESC, k) AS cum, sum(len) OVER (PARTITION BY m) AS total FROM g),
@@ -83,8 +115,6 @@ SELECT m AS map_id, line, command, success, value FROM l"""
 @query(SCRIPT_SQL)
 def script_results(spark, sf_dir):
     """One script on the map of every nation: assertions, selections, and edits that succeed or fail."""
-    from pyspark.sql import window as W
-
     c = inputs.read(spark, sf_dir, "customer")
     place = (F.row_number().over(W.Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("order_index")
     segments = c.select(F.col("c_nationkey").cast("long").alias("map_id"), place, F.col("c_name").alias("segment"), F.floor(F.abs("c_acctbal") * 100).cast("long").alias("length"), (F.col("c_custkey") % 2 == 1).alias("inverted"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("scaffold"))

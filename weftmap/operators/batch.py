@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
+from ..functions.tables import numbered
 from .metrics import earlier_items
 
 
 def _log(rows: DataFrame, op: str, a, b, *order) -> DataFrame:
-    """Operations numbered from 0 in an order; metadata: one row an edit."""
-    seq = F.row_number().over(W.Window.orderBy(*order)) - 1
-    return rows.select(seq.cast("long").alias("seq"), F.lit(op).alias("op"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(None).cast("string").alias("text"))
+    """Operations numbered from 0 in an order, by ranges of it."""
+    placed = numbered(rows, *order, name="seq", start=0)
+    return placed.select(F.col("seq").cast("long").alias("seq"), F.lit(op).alias("op"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(None).cast("string").alias("text"))
 
 
 def after(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -58,8 +58,7 @@ def moves_to_order(wanted: DataFrame) -> DataFrame:
 def sort_by_length(segments: DataFrame, descending: bool = False) -> DataFrame:
     """Moves that sort segments by length; equal ones keep their order."""
     length = F.col("length").desc() if descending else F.col("length").asc()
-    rank = F.row_number().over(W.Window.orderBy(length, "order_index")) - 1
-    return moves_to_order(segments.select("order_index", rank.alias("new_index")))
+    return moves_to_order(numbered(segments.select("order_index", "length"), length, "order_index", name="new_index", start=0).select("order_index", "new_index"))
 
 
 def automatic_cut_operations(cuts: DataFrame, ranges: DataFrame) -> DataFrame:
