@@ -9,8 +9,8 @@ Edges are absolute links between hosts, and links both ways between a host and t
 to names of two parts (``blog.a.org`` and ``a.org``), whether or not that has pages.
 
 Scores of hosts without out-links leak, as the sums are only compared with each other.  Mass
-moves on until all that is still on its way is below ``TOLERANCE`` of the seeds, so the path
-from a seed to a host may have any length.
+moves on until all that is still on its way is below ``TOLERANCE`` of such a share, whatever the
+number of hosts.
 
 Defined results
     null url, no ``://``   host and path are empty; no rule fits; an empty host is allowed
@@ -39,7 +39,9 @@ class Rule(NamedTuple):
 
 
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
-DAMPING, TOLERANCE, SAVE_EVERY, MAX_DISTRUST = 0.85, 1e-9, 4, 0.5
+DAMPING, SAVE_EVERY, MAX_DISTRUST = 0.85, 8, 0.5
+#: Mass still on its way at the end, at most, as a part of an even share of what restarts.
+TOLERANCE = 1e-3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -74,23 +76,26 @@ def host_edges(pages: DataFrame, url: str, html: str) -> DataFrame:
     return links.unionByName(site).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = 1e-9) -> DataFrame:
     """(kind, host, score): personalised PageRank of each kind over its own edges.
 
     ``edges`` (kind, src, dst, links) and ``seeds`` (kind, host, seed), seeds of a kind
     summing to 1.  Both kinds move in the same joins.  ``rest`` is the mass that arrived in the
     last round; what it may still bring is at most damping / (1 - damping) times its sum, so a
-    sum over one column tells when to stop.  Every few rounds are written out.
+    sum over one column tells when to stop.  A host has an edge to itself that keeps its
+    score, so a round is one join and one sum, and several rounds are one plan, which is written out.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("__all"))
-    step = saved(edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("links") / F.col("__all") * damping).alias("share")), "links")
+    moves = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("links") / F.col("__all") * damping).alias("share"))
+    hosts = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(seeds.select("kind", "host")).distinct()
+    step = saved(moves.unionByName(hosts.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))), "links")
     now = saved(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), (F.col("seed") * (1 - damping)).alias("rest")), "scores")
     while (now.agg(F.sum("rest")).first()[0] or 0.0) * damping / (1 - damping) >= tolerance:
         after = now
         for _ in range(SAVE_EVERY):
-            moved = after.where("rest > 0").join(step, ["kind", "host"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("score"), (F.col("rest") * F.col("share")).alias("rest"))
-            held = after.select("kind", "host", "score", F.lit(0.0).alias("rest"))
-            after = moved.unionByName(held).groupBy("kind", "host").agg((F.sum("score") + F.sum("rest")).alias("score"), F.sum("rest").alias("rest"))
+            met = after.join(step, ["kind", "host"]).where("share is null or rest > 0")
+            kept, moved = F.when(F.col("share").isNull(), F.col("score")).otherwise(0.0), F.coalesce(F.col("rest") * F.col("share"), F.lit(0.0))
+            after = met.select("kind", F.col("dst").alias("host"), kept.alias("score"), moved.alias("rest")).groupBy("kind", "host").agg((F.sum("score") + F.sum("rest")).alias("score"), F.sum("rest").alias("rest"))
         after = saved(after, "scores")
         drop_saved(now)
         now = after
@@ -110,11 +115,12 @@ def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", ht
     seeds = counts.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("__pages") / F.col("__total")).alias("seed"))  # two rows
     edges = saved(host_edges(pages, url, html), "edges")
     both = edges.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
-    scores = propagate(both, seeds)
+    nodes = max(1, edges.select("src").union(edges.select("dst")).union(judged.select("host")).distinct().count())
+    even = (1 - DAMPING) / nodes
+    scores = propagate(both, seeds, tolerance=TOLERANCE * even)
     wide = scores.groupBy("host").agg(*[F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("neighbours")).withColumnRenamed("src", "host")
-    nodes = edges.select("src").union(edges.select("dst")).union(judged.select("host")).distinct().agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("__nodes"))  # one row
     known = wide.join(degree, "host", "full")
-    out = judged.join(known, "host", "left").crossJoin(F.broadcast(nodes)).withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
-    spread = F.when(F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust") + (1 - DAMPING) / F.col("__nodes")), "block").otherwise("allow")
+    out = judged.join(known, "host", "left").withColumns({k: F.coalesce(k, F.lit(0.0)) for k in ("trust", "distrust")})
+    spread = F.when(F.col("distrust") > max_distrust * (F.col("trust") + F.col("distrust") + even), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("__ruled", spread).alias("verdict"), F.round("trust", 12).alias("trust"), F.round("distrust", 12).alias("distrust"), F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
