@@ -113,7 +113,7 @@ def test_script_commands(spark):
     lines = ["cut a 4", "cut a_L 9", "join a_L a_R", "join 'c' b", "invert #9", "scaffold create Big", "scaffold paint c+b bIG", "scaffold paint A_l+a_r big", "assert scaffolds == 1", "assert misassemblies <= 2", "assert misassemblies > 2", "move d before #0", "move d after #1", "move d to 0", "select d..#1", "select where length >= 0.02kb", "scaffold unpaint #0", "scaffold delete BIG", "zoom d", "zoom nobody", "goto 1 2", "autocut", "# a remark", "", "deselect"]
     start = spark.createDataFrame([(1, k, n, 10, False, None) for k, n in enumerate("abcd")], INITIAL)
     body = spark.createDataFrame([(1, k, x) for k, x in enumerate(lines)], "map_id long, line long, body string")
-    out = scripts.execute(start, history.commands(body, "map_id"), spark.createDataFrame([(1, 2)], "map_id long, misassemblies long"))
+    out = scripts.execute(start, history.commands(body, "map_id"), spark.createDataFrame([(1, 2)], "map_id long, misassemblies long"), continue_on_error=True)
     got = {lines[r["line"]]: (r["success"], r["value"]) for r in scripts.results(out).collect()}
     failed = {x for x, (ok, _) in got.items() if not ok}
     # c stands after b, so joining c and b keeps the order on the map: b+c
@@ -209,3 +209,64 @@ def test_scaled_maps_of_a_stream_fold_alike(spark, tmp_path):
     want = {r["map_id"]: (r["n"], r["s"]) for r in folded.collect()}
     got = {r["map_id"]: (r["n_segments"], r["segment_order"]) for r in QUERIES["folded_edits_stream"](spark, d).collect()}
     assert got == want
+
+
+def plain_standing(log, depth):
+    """Lists that are cut to the depth after each edit, at the start of a batch."""
+    undo, redo, settled = [], [], []
+    for seq, op, batch in log:
+        if op in ("undo", "undo_batch", "redo", "redo_batch"):
+            a, b = (undo, redo) if op.startswith("undo") else (redo, undo)
+            if a:
+                first = a[-1][1]
+                b.append(a.pop())
+                while op.endswith("batch") and first is not None and a and a[-1][1] == first:
+                    b.append(a.pop())
+        else:
+            undo.append((seq, batch))
+            redo = []
+            drop = len(undo) - depth
+            while drop > 0 and undo[drop][1] is not None and undo[drop - 1][1] == undo[drop][1]:
+                drop -= 1
+            if drop > 0:
+                settled += undo[:drop]
+                undo = undo[drop:]
+    return {(s, True) for s, _ in settled} | {(s, False) for s, _ in undo}
+
+
+def test_undo_of_batches_with_a_capped_history(spark):
+    import random
+
+    rng = random.Random(4)
+    rows, want = [], set()
+    for m in range(12):
+        log, batch = [], None
+        for seq in range(400):
+            batch = rng.choice([batch, batch, batch, None, f"b{seq}"])
+            op = rng.choices(["invert", "undo", "undo_batch", "redo", "redo_batch"], [12, 2, 1, 2, 1])[0]
+            log.append((seq, op, batch if op == "invert" else None))
+        rows += [(m, *r) for r in log]
+        want |= {(m, *x) for x in plain_standing(log, 10)}
+    df = spark.createDataFrame(rows, "map_id long, seq long, op string, batch string").repartition(3)
+    assert {tuple(r) for r in history.standing(df, 10).collect()} == want
+    whole = {tuple(r) for r in history.standing(df).collect()}
+    assert not any(settled for _, _, settled in whole)
+    assert history.standing(df.where("false")).count() == 0
+
+
+def test_nothing_is_dropped_in_an_atomic_action(spark):
+    rows = [(0, "begin", None), (1, "begin", None)] + [(k, "invert", None) for k in range(2, 8)] + [(8, "end", None), (9, "undo", None), (10, "end", None), (11, "invert", None)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "map_id long, seq long, op string, batch string")
+    got = {(r["seq"], r["settled"]) for r in history.standing(df, 2).collect()}
+    assert got == {(2, True), (3, True), (4, True), (5, True), (6, False), (11, False)}
+
+
+def test_a_failure_ends_its_own_script(spark):
+    initial = spark.createDataFrame([(m, k, f"s{k}", 100, False, None) for m in (1, 2) for k in range(2)], "map_id long, order_index int, segment string, length long, inverted boolean, scaffold string")
+    lines = [(1, 1, "invert", "#0", ""), (1, 2, "cut", "#9", "5"), (1, 3, "invert", "#1", ""), (2, 1, "invert", "#0", ""), (2, 2, "assert", "contigs", "> 5"), (2, 3, "invert", "#1", "")]
+    commands = spark.createDataFrame(lines, "map_id long, line long, command string, a string, b string")
+    got = scripts.execute(initial, commands)
+    assert sorted((r["map_id"], r["line"], r["success"]) for r in scripts.results(got).collect()) == [(1, 1, True), (1, 2, False), (2, 1, True), (2, 2, False)]
+    assert sorted((r["map_id"], r["order_index"], r["inverted"]) for r in scripts.final(got).collect()) == [(1, 0, True), (1, 1, False), (2, 0, True), (2, 1, False)]
+    all_run = scripts.execute(initial, commands, continue_on_error=True)
+    assert scripts.results(all_run).count() == 6 and scripts.final(all_run).where("inverted").count() == 4

@@ -114,13 +114,23 @@ SELECT m AS map_id, line, command, success, value FROM l"""
 
 @query(SCRIPT_SQL)
 def script_results(spark, sf_dir):
-    """One script on the map of every nation: assertions, selections, and edits that succeed or fail."""
+    """One script on the map of every nation: assertions, selections, and edits that succeed or fail, all of it run."""
+    return _scripted(spark, sf_dir, True)
+
+
+@query(f"WITH r AS ({SCRIPT_SQL}) SELECT map_id, line, command, success, value FROM r WHERE line <= (SELECT coalesce(min(f.line), 1000) FROM r f WHERE f.map_id = r.map_id AND NOT f.success)")
+def halted_scripts(spark, sf_dir):
+    """The same script, which ends at the first failure on each map."""
+    return _scripted(spark, sf_dir, False)
+
+
+def _scripted(spark, sf_dir, go_on):
     c = inputs.read(spark, sf_dir, "customer")
     place = (F.row_number().over(W.Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("order_index")
     segments = c.select(F.col("c_nationkey").cast("long").alias("map_id"), place, F.col("c_name").alias("segment"), F.floor(F.abs("c_acctbal") * 100).cast("long").alias("length"), (F.col("c_custkey") % 2 == 1).alias("inverted"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("scaffold"))
     lines = spark.range(1).select(F.posexplode(F.array(*[F.lit(x) for x in SCRIPT]))).select((F.col("pos") + 1).cast("long").alias("line"), F.col("col").alias("body"))
     commands = segments.select("map_id").distinct().crossJoin(F.broadcast(history.commands(lines)))  # a fixed script
-    return scripts.results(scripts.execute(segments, commands))
+    return scripts.results(scripts.execute(segments, commands, continue_on_error=go_on))
 
 
 @query()
@@ -130,7 +140,7 @@ def executed_scripts(spark, sf_dir):
     lines = history.as_script(log).select(F.col("map_id"), F.col("seq").alias("line"), F.col("command").alias("body"))
     named = lines.select("map_id").distinct().select("map_id", F.lit(-1).cast("long").alias("line"), F.lit("scaffold create chr1").alias("body"))
     commands = history.commands(lines.unionByName(named), "map_id")
-    return scripts.final(scripts.execute(_initial(spark, sf_dir), commands))
+    return scripts.final(scripts.execute(_initial(spark, sf_dir), commands, continue_on_error=True))
 
 
 @query("SELECT user_id AS map_id, max(event_id) AS seq, user_id % 7 <> 0 AS matches FROM events GROUP BY user_id")

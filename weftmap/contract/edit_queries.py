@@ -151,6 +151,23 @@ def standing_edits(spark, sf_dir):
     return history.effective(_undo_log(spark, sf_dir)).select("map_id", "seq")
 
 
+DEPTH = 20
+
+
+@query(f"""WITH e AS (SELECT user_id AS m, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+d AS (SELECT m, day, min(seq) - 1 AS st, row_number() OVER (PARTITION BY m ORDER BY day DESC) AS back FROM e GROUP BY m, day),
+n AS (SELECT m, count(*) AS n FROM e GROUP BY m),
+b AS (SELECT n.m, n, coalesce(max(st) FILTER (st <= n - {DEPTH}), 0) AS cut, max(st) FILTER (back = 1) AS st1, max(st) FILTER (back = 2) AS st2 FROM n JOIN d USING (m) GROUP BY n.m, n)
+SELECT m AS map_id, seq, seq <= cut AS settled FROM e JOIN b USING (m) WHERE seq <= CASE WHEN m % 2 = 0 THEN cut WHEN st2 >= cut THEN st1 - 1 ELSE n - 1 END OR seq <= cut""")
+def standing_batches(spark, sf_dir):
+    """A user's day is a batch.  Even users undo batch after batch as far as the history goes; odd ones undo two, redo one, and undo one edit."""
+    e = inputs.read(spark, sf_dir, "events")
+    edits = e.select(F.col("user_id").alias("map_id"), F.row_number().over(W.Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), F.lit("invert").alias("op"), F.to_date("ts").cast("string").alias("batch"))
+    even, odd = F.array(*[F.lit("undo_batch")] * 40), F.array(*[F.lit(x) for x in ("undo_batch", "undo_batch", "redo_batch", "undo")])
+    ends = edits.groupBy("map_id").agg(F.max("seq").alias("n")).select("map_id", "n", F.posexplode(F.when(F.col("map_id") % 2 == 0, even).otherwise(odd)).alias("k", "op"))
+    return history.standing(edits.unionByName(ends.select("map_id", (F.col("n") + F.col("k") + 1).alias("seq"), "op", F.lit(None).cast("string").alias("batch"))), DEPTH)
+
+
 def _states(spark, sf_dir):
     li = inputs.read(spark, sf_dir, "lineitem")
     w = W.Window.partitionBy("l_orderkey")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -164,6 +165,96 @@ def effective(log: DataFrame) -> DataFrame:
     return log.join(keep, ["map_id", "seq"])
 
 
+MAX_DEPTH = 1000
+
+
+class UndoStack:
+    """Edits that can be taken back, oldest first, and those taken back; (seq, batch) each.
+
+    A new edit empties the redo side and then drops old edits beyond the depth, but for a part of a
+    batch: the oldest one that stays is the first of its batch or has none.  ``settled`` are
+    the dropped ones, which stand for good.
+    """
+
+    def __init__(self, depth: int):
+        self.depth, self.atomic = depth, 0
+        self.undo: deque[tuple[int, str | None]] = deque()
+        self.redo: list[tuple[int, str | None]] = []
+        self.oldest: deque[list] = deque()  # runs of one batch on the undo side: [batch, edits]
+        self.settled: list[int] = []
+
+    def _push(self, edit: tuple[int, str | None]) -> None:
+        self.undo.append(edit)
+        if self.oldest and edit[1] is not None and self.oldest[-1][0] == edit[1]:
+            self.oldest[-1][1] += 1
+        else:
+            self.oldest.append([edit[1], 1])
+
+    def _pop(self) -> tuple[int, str | None]:
+        self.oldest[-1][1] -= 1
+        if not self.oldest[-1][1]:
+            self.oldest.pop()
+        return self.undo.pop()
+
+    def _trim(self) -> None:
+        while not self.atomic and self.oldest and len(self.undo) - self.oldest[0][1] >= self.depth:
+            for _ in range(self.oldest.popleft()[1]):
+                self.settled.append(self.undo.popleft()[0])
+
+    def apply(self, seq: int, op: str, batch: str | None) -> None:
+        if op == "begin":
+            self.atomic += 1
+        elif op == "end":
+            self.atomic = max(0, self.atomic - 1)
+            self._trim()
+        elif op in ("undo", "undo_batch"):
+            first = self.undo[-1][1] if self.undo else None
+            while self.undo:
+                self.redo.append(self._pop())
+                if op == "undo" or first is None or not self.undo or self.undo[-1][1] != first:
+                    break
+        elif op in ("redo", "redo_batch"):
+            first = self.redo[-1][1] if self.redo else None
+            while self.redo:
+                self._push(self.redo.pop())
+                if op == "redo" or first is None or not self.redo or self.redo[-1][1] != first:
+                    break
+        else:
+            self.redo.clear()
+            self._push((seq, batch))
+            self._trim()
+
+
+def standing(log: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(map_id, seq, settled) of the edits that stand after undo and redo of edits and of batches.
+
+    ``log`` (map_id, seq, op, batch): ``undo`` and ``redo`` move one edit, ``undo_batch`` and ``redo_batch`` all
+    neighbouring ones of its batch; what isn't there moves nothing.  Between ``begin`` and ``end``, which may
+    nest, nothing is dropped.  ``settled`` edits have left the history and can't be undone.  A
+    map's log streams through a task that holds no more than the history: ``depth`` edits, and
+    the largest batch or atomic action.
+    """
+
+    def rows(map_id: int, seqs: list[int], settled: bool) -> pa.RecordBatch:
+        n = len(seqs)
+        return pa.RecordBatch.from_arrays([pa.array([map_id] * n, pa.int64()), pa.array(seqs, pa.int64()), pa.array([settled] * n, pa.bool_())], names=["map_id", "seq", "settled"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordered = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for map_id, own in itertools.groupby(ordered, key=lambda r: r[0]):
+            stack = UndoStack(depth)
+            for _, seq, op, batch in own:
+                stack.apply(seq, op, batch)
+                if len(stack.settled) >= 10_000:
+                    yield rows(map_id, stack.settled, True)
+                    stack.settled = []
+            yield rows(map_id, stack.settled, True)
+            yield rows(map_id, [seq for seq, _ in stack.undo], False)
+
+    slim = log.select("map_id", F.col("seq").cast("long").alias("seq"), "op", F.col("batch").cast("string").alias("batch"))
+    return slim.repartition("map_id").sortWithinPartitions("map_id", "seq").mapInArrow(run, "map_id long, seq long, settled boolean")
+
+
 def differences(before: DataFrame, after: DataFrame) -> DataFrame:
     """(map_id, segment, change): added, removed, inverted, moved or unchanged.
 
@@ -266,4 +357,4 @@ def as_script(log: DataFrame) -> DataFrame:
     return log.select("map_id", "seq", line.alias("command"))
 
 
-__all__ = ["apply_operation", "as_script", "batches", "changed_values", "commands", "diff_report", "differences", "digests", "effective", "fold", "macro", "replay", "replay_matches", "state_digest"]
+__all__ = ["apply_operation", "as_script", "batches", "changed_values", "commands", "diff_report", "differences", "digests", "effective", "fold", "macro", "replay", "replay_matches", "standing", "state_digest"]

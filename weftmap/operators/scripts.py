@@ -1,7 +1,7 @@
 """Scripts as logs: the commands of ``history.commands`` run against the states of maps, in one sorted stream.
 
 Commands name segments by place (``#3``) or by name, so each is resolved against the state that
-the ones before it left.  A failed command changes nothing and the script goes on.
+the ones before it left.  A failed command changes nothing and ends its own script, unless told to go on.
 
     cut, invert         as in ``history``
     join                two neighbours, in either order
@@ -127,10 +127,12 @@ def compared(condition: str):
     return COMPARE[sign], float(number) * UNITS[(unit or "").lower()]
 
 
-def _executed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _executed(batches: Iterator[pa.RecordBatch], go_on: bool) -> Iterator[pa.RecordBatch]:
     for map_id, state, operations in _maps(batches):
         session, rows, begun = Session(state), [], False
         for line, command, a, _, text in operations:
+            if rows and not rows[-1][3] and not go_on:
+                continue  # the script ended with a failure; the rest of its rows is passed over
             if command == "flags":
                 session.flags = a
                 continue
@@ -149,15 +151,16 @@ def _executed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in EXECUTED.split(", ")])
 
 
-def execute(initial: DataFrame, commands: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """Results of all commands and the final states of all maps, told apart by ``results`` and ``final``.
+def execute(initial: DataFrame, commands: DataFrame, flags: DataFrame | None = None, continue_on_error: bool = False) -> DataFrame:
+    """Results of the commands that ran and the final states of all maps, told apart by ``results`` and ``final``.
 
-    ``commands`` (map_id, line, command, a, b); ``flags`` (map_id, misassemblies) for assertions.
+    ``commands`` (map_id, line, command, a, b); ``flags`` (map_id, misassemblies) for assertions.  A script ends
+    at its first failure, which is its last result, unless ``continue_on_error``.
     """
     ops = commands.select("map_id", F.col("line").alias("seq"), F.col("command").alias("op"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.concat("a", F.lit("\x1f"), "b").alias("text"))
     if flags is not None:
         ops = ops.unionByName(flags.select("map_id", F.lit(-(1 << 62)).alias("seq"), F.lit("flags").alias("op"), F.col("misassemblies").cast("int").alias("a"), F.lit(0).alias("b"), F.lit(None).cast("string").alias("text")))
-    return _sorted(initial, ops).mapInArrow(_executed, EXECUTED)
+    return _sorted(initial, ops).mapInArrow(lambda batches: _executed(batches, continue_on_error), EXECUTED)
 
 
 def results(executed: DataFrame) -> DataFrame:
