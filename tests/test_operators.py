@@ -170,36 +170,79 @@ def test_session_and_log_documents(spark):
     assert [(r["seq"], r["op"]) for r in back] == [(1, "join"), (2, "cut")]
 
 
-def packed_map(cells, side, names):
-    """A one-tile map with one mip level, each 4 x 4 block of one of two values."""
-    head = struct.pack("<QI", 1000, len(names)) + b"".join(struct.pack("<f", 1 / len(names)) + n.encode().ljust(64, b"\0") for n in names) + bytes([side.bit_length() - 1, 0, 1])
-    body = b""
-    for bx in range(side // 4):
-        for by in range(side // 4):
-            block = cells[4 * by : 4 * by + 4, 4 * bx : 4 * bx + 4]
-            hi, lo = int(block.max()), int(block.min())
-            bits = 0
-            for dx in range(4):
-                for dy in range(4):
-                    bits |= (0 if block[dy, dx] == hi else 1) << (3 * (4 * dx + dy))
-            body += bytes([hi, lo]) + bits.to_bytes(6, "little")
-    deflate = lambda b: (lambda c: c.compress(b) + c.flush())(zlib.compressobj(wbits=-15))
-    h, t = deflate(head), deflate(body)
-    track = b"psgh" + b"cov".ljust(64, b"\0") + np.arange(side, dtype="<i4").tobytes()
-    return tiles.MAGIC + struct.pack("<II", len(h), len(head)) + h + struct.pack("<I", len(t)) + t + track
+def deflate(b):
+    c = zlib.compressobj(wbits=-15)
+    return c.compress(b) + c.flush()
+
+
+def packed_map(cells, side, levels, names, tracks, broken=()):
+    """A map of tiles with mip levels (every second cell of the finer one) of two values, its tracks after the tiles."""
+    tiles_across = len(cells) // side
+    head = struct.pack("<QI", 1000, len(names)) + b"".join(struct.pack("<f", 1 / len(names)) + n.encode().ljust(64, b"\0") for n in names) + bytes([side.bit_length() - 1, tiles_across.bit_length() - 1, levels])
+    h = deflate(head)
+    out = tiles.MAGIC + struct.pack("<II", len(h), len(head)) + h
+    for x in range(tiles_across):
+        for y in range(x, tiles_across):
+            body = b""
+            for level in range(levels):
+                own = cells[x * side : (x + 1) * side : 1 << level, y * side : (y + 1) * side : 1 << level]
+                for bx in range(len(own) // 4):
+                    for by in range(len(own) // 4):
+                        block = own[4 * by : 4 * by + 4, 4 * bx : 4 * bx + 4]
+                        hi, lo = int(block.max()), int(block.min())
+                        bits = sum((0 if block[dy, dx] == hi else 1) << (3 * (4 * dx + dy)) for dx in range(4) for dy in range(4))
+                        body += bytes([hi, lo]) + bits.to_bytes(6, "little")
+            t = b"\xff\xff not deflate" if (x, y, "broken") in broken else deflate(body[:-4] if (x, y, "short") in broken else body)
+            out += struct.pack("<I", len(t)) + t
+    for name, values in tracks:
+        t = deflate(name.encode().ljust(64, b"\0") + np.array(values, "<i4").tobytes())
+        out += b"pad psg" + b"psgh" + struct.pack("<I", len(t)) + t
+    return out
 
 
 def test_tiled_maps(spark, tmp_path):
-    cells = np.where(np.add.outer(np.arange(16), np.arange(16)) % 3 == 0, 255, 51)
+    n, side = 64, 16
+    cells = np.where(np.add.outer(np.arange(n), 3 * np.arange(n)) % 5 == 0, 255, 51)
+    cells = np.triu(cells) + np.triu(cells, 1).T
     path = str(tmp_path / "m.map")
-    (tmp_path / "m.map").write_bytes(packed_map(cells, 16, ["a", "b"]))
-    want = {(i, j): cells[i, j] / 255 for i in range(16) for j in range(i, 16)}
-    got = {(r["i"], r["j"]): r["v"] for r in tiles.cells(tiles.blocks(spark, path)).collect()}
-    assert got == pytest.approx(want)
+    broken = [(0, 2, "broken"), (1, 3, "short")]
+    (tmp_path / "m.map").write_bytes(packed_map(cells, side, 3, ["a", "b"], [("cov", range(n)), ("short", range(3)), ("telo", [k % 2 for k in range(n)])], broken))
+    found = tiles.index(spark, path)
+    assert found.count() == 10
+    assert {(r["tx"], r["ty"]): r["status"] for r in tiles.tile_states(found).collect() if r["status"] != "ok"} == {(0, 2): "broken", (1, 3): "short"}
+    assert tiles.tile_states(found, 0).where("status = 'ok'").count() == 9  # the finest level of the short tile is whole
     spark.dataSource.register(tiles.ContactTiles)
-    assert {(r["i"], r["j"]): r["v"] for r in spark.read.format("contact_tiles").option("path", path).load().collect()} == pytest.approx(want)
+    for level in (0, 1, None):
+        k = 2 if level is None else level
+        own, s = cells[:: 1 << k, :: 1 << k], side >> k
+        lost = {(0, 2)} | ({(1, 3)} if k == 2 else set())
+        want = {(i, j): own[i, j] / 255 for i in range(len(own)) for j in range(i, len(own)) if (i // s, j // s) not in lost}
+        assert {(r["i"], r["j"]): r["v"] for r in tiles.cells(found, level).collect()} == pytest.approx(want)
+        reader = spark.read.format("contact_tiles").option("path", path).option("tilesPerTask", 3)
+        loaded = (reader if level is None else reader.option("level", level)).load()
+        assert {(r["i"], r["j"]): r["v"] for r in loaded.collect()} == pytest.approx(want)
+    assert tiles.cells(found.where("tx = 3"), 0).count() == side * (side + 1) // 2  # other tiles aren't read
+    asked = spark.createDataFrame([(3, 1), (1, 2), (2, 2)], "tx int, ty int")
+    got = {(r["tx"], r["ty"], r["row"], r["col"]): r["v"] for r in tiles.texels(found, asked, 0).collect()}
+    assert got == pytest.approx({(x, y, a, b): cells[x * side + a, y * side + b] / 255 for x, y in ((3, 1), (1, 2), (2, 2)) for a in range(side) for b in range(side)})
     assert [r["name"] for r in tiles.segments(spark, path).orderBy("order_index").collect()] == ["a", "b"]
-    assert [r["value"] for r in tiles.extension_tracks(spark, path).orderBy("pos").collect()] == list(range(16))
+    tracks = tiles.extension_tracks(spark, path).orderBy("name", "pos").collect()
+    assert [(r["name"], r["value"]) for r in tracks] == [("cov", k) for k in range(n)] + [("telo", k % 2) for k in range(n)]
+
+
+def test_the_faithful_level_is_the_finest_that_fits(spark):
+    assert [tiles.faithful_level(t, 1024, 6) for t in (1, 2, 4, 32, 64, 128)] == [0, 0, 1, 4, 5, 5]
+    df = spark.createDataFrame([(t, 1024, 6) for t in (1, 2, 4, 32, 64, 128)], "tiles int, side int, levels int")
+    assert [r[0] for r in df.select(tiles._level_of("faithful")).collect()] == [0, 0, 1, 4, 5, 5]
+
+
+def test_a_cut_off_map_keeps_its_whole_tiles(spark, tmp_path):
+    cells = np.full((32, 32), 255)
+    whole = packed_map(cells, 16, 1, ["a"], [])
+    (tmp_path / "cut.map").write_bytes(whole[:-5])
+    found = tiles.index(spark, str(tmp_path / "cut.map"))
+    states = [r["status"] for r in tiles.tile_states(found).orderBy("tx", "ty").collect()]
+    assert states[0] == "ok" and states[-1] == "cut" and tiles.extension_tracks(spark, str(tmp_path / "cut.map")).count() == 0
 
 
 def test_synthetic_maps_repeat(spark):

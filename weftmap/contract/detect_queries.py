@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -116,6 +119,22 @@ def remap_table(spark, sf_dir):
     return _table(spark, sf_dir)
 
 
+TRACKS = ", k AS (SELECT 'cov' AS name, p AS pos, CAST(floor(value) AS INT) AS value FROM tr UNION ALL SELECT 'telomeres_gap', p, CAST(floor(value) AS INT) % 3 - 1 FROM tr UNION ALL SELECT 'repeats', p, CAST(floor(value) AS INT) % 50 FROM tr UNION ALL SELECT 'flat', p, 7 FROM tr UNION ALL SELECT 'gap short', p, 1 FROM tr WHERE p > 0)"
+
+
+@query(REORDER + TRACKS + f""", y AS (SELECT *, CASE WHEN name = 'cov' THEN ln(1 + greatest(value, 0)::DOUBLE) ELSE value::DOUBLE END AS x, CASE WHEN name LIKE 'telo%' THEN 'telomere' WHEN name LIKE 'gap%' THEN 'gap' WHEN name = 'cov' THEN 'coverage' WHEN name = 'repeats' THEN 'repeat' ELSE 'other' END AS kind FROM k),
+z AS (SELECT name, count(*) AS n, list_sort(list(x)) AS xs FROM y GROUP BY name), e AS (SELECT name, n, xs[CAST(floor(0.01*(n - 1)) AS INT) + 1] AS lo, xs[CAST(floor(0.99*(n - 1)) AS INT) + 1] AS hi FROM z)
+SELECT name, kind, dest AS p, round(CASE WHEN kind IN ('telomere', 'gap') THEN CAST(value > 0 AS INT) WHEN hi > lo THEN least(1.0, greatest(0.0, (x - lo)/(hi - lo))) ELSE 0 END, 6) AS value FROM y JOIN e USING (name) JOIN rt ON rt.src = pos WHERE n = {NB}
+UNION ALL SELECT DISTINCT name, kind, NULL, NULL FROM y JOIN e USING (name) WHERE n <> {NB}""", "seg", "cr", "bins", "tr")
+def embedded_track_values(spark, sf_dir):
+    """Tracks that a map carries, by kind: scaled, and put in the display order; one doesn't fit."""
+    t = inputs.track(spark, sf_dir)
+    v = F.floor("value").cast("int")
+    named = lambda name, value, rows=t: rows.select(F.lit(name).alias("name"), F.col("p").alias("pos"), value.cast("int").alias("value"))
+    every = [named("cov", v), named("telomeres_gap", v % 3 - 1), named("repeats", v % 50), named("flat", F.lit(7)), named("gap short", F.lit(1), t.where("p > 0"))]
+    return remap.embedded_tracks(reduce(DataFrame.unionByName, every), _table(spark, sf_dir), NB).withColumn("value", r("value"))
+
+
 @query(REORDER + "SELECT a.dest AS i, z.dest AS j, v FROM sym JOIN rt a ON a.src = sym.i JOIN rt z ON z.src = sym.j WHERE a.dest <= z.dest", "seg", "cr", "bins", "sym")
 def reordered_map(spark, sf_dir):
     return remap.reordered(inputs.contact(spark, sf_dir), _table(spark, sf_dir))

@@ -77,4 +77,28 @@ def clipped_unit(track: DataFrame, low: float = 0.01, high: float = 0.99, log: b
     return t.crossJoin(F.broadcast(ends)).select("p", v.alias("value"))  # one row
 
 
-__all__ = ["clipped_unit", "half_up", "intervals_to_track", "rasterised", "remap_table", "reordered", "reordered_track", "track_kind"]
+def embedded_tracks(tracks: DataFrame, table: DataFrame, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """(name, kind, p, value) of named tracks, scaled by their kind and in display order; a row with null p is a track that doesn't fit.
+
+    ``tracks`` (name, pos, value) from ``tiles.extension_tracks``; ``table`` (dest, src) from ``remap_table``.
+    Telomeres and gaps become 0 or 1; others are clipped at two order statistics and scaled to
+    0..1, coverage by its logarithm; a flat one is 0.  A track fits if it has a value for each
+    of ``bins`` places.  Values are counted before they are ranked, name by name.
+    """
+    kind = track_kind(F.col("name"))
+    t = tracks.withColumn("kind", kind).withColumn("x", F.when(kind == "coverage", F.log1p(F.greatest(F.col("value").cast("double"), F.lit(0.0)))).otherwise(F.col("value").cast("double")))
+    sizes = t.groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pos").alias("places"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    fits = (F.col("n") == bins) & (F.col("places") == bins) & (F.col("first") == 0) & (F.col("last") == bins - 1)
+    upto = F.sum("c").over(W.Window.partitionBy("name").orderBy("x"))
+    ranked = t.groupBy("name", "x").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto).join(sizes.where(fits).select("name", "n"), "name")
+    pick = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("n") - 1)), F.col("x")))
+    ends = ranked.groupBy("name").agg(pick(low).alias("lo"), pick(high).alias("hi"))
+    span = F.col("hi") - F.col("lo")
+    unit = F.when(span > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("x") - F.col("lo")) / F.when(span > 0, span)))).otherwise(F.lit(0.0))
+    value = F.when(F.col("kind").isin("telomere", "gap"), (F.col("value") > 0).cast("double")).otherwise(unit)
+    shown = t.join(ends, "name").select("name", "kind", F.col("pos").alias("src"), value.alias("value")).join(table.select("dest", "src"), "src")
+    odd = sizes.where(~fits).select("name", "kind", F.lit(None).cast("int").alias("p"), F.lit(None).cast("double").alias("value"))
+    return shown.select("name", "kind", F.col("dest").cast("int").alias("p"), "value").unionByName(odd)
+
+
+__all__ = ["clipped_unit", "embedded_tracks", "half_up", "intervals_to_track", "rasterised", "remap_table", "reordered", "reordered_track", "track_kind"]
