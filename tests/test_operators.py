@@ -296,3 +296,85 @@ def test_compartments_equal_the_leading_eigenvector(spark):
     got = spectra.compartments(cm, n, rounds=2000).orderBy("p").collect()
     assert [r["e1"] for r in got[::size]] == pytest.approx(want.tolist(), abs=2e-3)
     assert got[0]["eigenvalue"] == pytest.approx(abs(values[k]), rel=1e-3)
+
+
+def test_narrow_segments_are_put_together(spark):
+    """Against one pass from left to right."""
+    import random
+
+    from weftmap.operators import cuts
+
+    rng = random.Random(9)
+    for n in (0, 1, 7, 60, 150):
+        widths = [rng.choice([0, 0, 1, 1, 2, 2, 3, 5, 9]) if k < 100 else 1 for k in range(n)]
+        at, rows = 0, []
+        for k, w in enumerate(widths):
+            rows.append((k, at, at + w))
+            at += w
+        want, now = [], None
+        for k, s, e in rows:
+            if e - s >= 3:
+                want += ([now] if now else []) + [(k, s, e)]
+                now = None
+            else:
+                now = (now[0], now[1], e) if now else (k, s, e)
+                if now[2] - now[1] >= 3:
+                    want.append(now)
+                    now = None
+        if now and now[2] - now[1] >= 3:
+            want.append(now)
+        df = spark.createDataFrame(rows, "order_index int, start_bin int, end_bin int")
+        got = cuts.merged_ranges(df)
+        assert [tuple(r) for r in got.orderBy("range").select("first", "start_bin", "end_bin").collect()] == want
+        if n == 60:
+            marks = spark.createDataFrame([(0,), (20,), (41,)], "order_index int")
+            assert [r["chromosome"] for r in cuts.chromosome_assignments(df, marks).orderBy("order_index").collect()] == [0] * 20 + [1] * 21 + [2] * 19
+
+
+def test_scaffolds_are_ordered_on_their_own(spark):
+    """All groups at once give what each gives alone, and only their own places are filled."""
+    from weftmap.contract import inputs
+    from weftmap.operators import links
+    from weftmap.plans import curate
+
+    sf = "/root/testdata/sf0.001"
+    cm, ranges = inputs.contact(spark, sf), inputs.ranges(spark, sf)
+    got = {r["new_index"]: (r["order_index"], r["inverted"]) for r in curate.scaffold_order(cm, ranges, inputs.NB, "scaffold_id").collect()}
+    members = {}
+    for r in ranges.collect():
+        members.setdefault(r["scaffold_id"], []).append(r["order_index"])
+    assert sorted(got) == sorted(k for m in members.values() for k in m) and len(members) > 2
+    for group in (1, None):
+        own = ranges.where(F.col("scaffold_id").eqNullSafe(F.lit(group)))
+        alone = curate.automatic_order(cm, own, own.select("order_index"), inputs.NB, least_segments=0).orderBy("new_index").collect()
+        assert [got[k] for k in sorted(members[group])] == [(r["order_index"], r["inverted"]) for r in alone]
+    pair = ranges.where("order_index < 2").withColumn("g", F.lit(1))
+    assert [tuple(r) for r in links.order_within(cm, pair, inputs.NB, "g").orderBy("new_index").collect()] == [(0, 0, False), (1, 1, False)]
+
+
+def test_few_segments_keep_their_order(spark):
+    from weftmap.contract import inputs
+    from weftmap.plans import curate
+
+    cm, ranges = inputs.contact(spark, "/root/testdata/sf0.001"), inputs.ranges(spark, "/root/testdata/sf0.001")
+    kept = curate.automatic_order(cm, ranges, ranges.select("order_index"), inputs.NB)
+    assert kept.where("new_index <> order_index or inverted").count() == 0 and kept.count() == ranges.count()
+
+
+def test_motif_windows_cover_several_segments(spark):
+    from weftmap.functions import sequences
+
+    texts = ["TTAGGG" * 3, None, "ccctaa" + "N" * 5, "", "ACGT" * 10, "TTAGGGTTAGGG"]
+    lengths = [18, 9, 11, 0, 40, 6]
+    df = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(zip(lengths, texts))], "order_index int, length long, s string")
+    got = [r["density"] for r in sequences.motif_windows(df, "s", "TTAGGG", 12).orderBy("window").collect()]
+    total, want = sum(lengths), []
+    for w in range(-(-total // 12)):
+        lo, hi, at, letters = w * 12, min(total, w * 12 + 12), 0, 0
+        for t, n in zip(texts, lengths):
+            part = (t or "")[:n].upper()[max(0, lo - at) : max(0, hi - at)]
+            letters += 6 * (part.count("TTAGGG") + part.count("CCCTAA"))
+            at += n
+        want.append(min(1.0, letters / (hi - lo)))
+    assert got == pytest.approx(want) and max(want) == 1.0
+    assert sequences.motif_windows(df.where("false"), "s", "TTAGGG").count() == 0

@@ -152,18 +152,32 @@ def replay_check(spark, sf_dir):
     return history.replay(start, log, recorded)
 
 
-def _curated(spark, sf_dir):
-    return curate.curated(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir), NB, window=4, drop=0.05, min_fragment=2, least=0.0, most_ratio=1.5)
+def _broken(spark, sf_dir):
+    """The derived map with breaks put in: every 16 bins few contacts cross, and few come near."""
+    crosses = F.floor((F.col("i") + 8) / 16) != F.floor((F.col("j") + 8) / 16)
+    near = lambda c: (F.col(c) % 16).between(6, 9)
+    return inputs.contact(spark, sf_dir).withColumn("v", F.when(crosses | near("i") | near("j"), F.col("v") * 0.02).otherwise(F.col("v")))
+
+
+def _curated(spark, sf_dir, **how):
+    """Cuts under the operator's own limits but the sizes, which fit a map of 128 bins, and an order."""
+    return curate.curated(_broken(spark, sf_dir), inputs.ranges(spark, sf_dir, "p_type"), NB, window=4, min_fragment=4, **how)
 
 
 @query()
 def curated_segments(spark, sf_dir):
-    """Automatic cuts and the automatic order applied to the segments of the derived map, as an edit log."""
-    log, _ = _curated(spark, sf_dir)
-    return curate.applied(inputs.ranges(spark, sf_dir), log).drop("map_id")
+    """Automatic cuts, then parts ordered inside the segments that they were cut from, applied as an edit log."""
+    log, _ = _curated(spark, sf_dir, by="whole")
+    return curate.applied(inputs.ranges(spark, sf_dir, "p_type"), log).drop("map_id")
 
 
 @query()
 def curation_scores(spark, sf_dir):
-    """The composed run: cuts, order, and its score."""
-    return curate.sort_scores(_curated(spark, sf_dir)[1]).select("items", r("tau").alias("tau"), "longest", "neighbours", r("orientation").alias("orientation"))
+    """The composed run: cuts, the order of all parts, and its score."""
+    return curate.sort_scores(_curated(spark, sf_dir, least_segments=0)[1]).select("items", r("tau").alias("tau"), "longest", "neighbours", r("orientation").alias("orientation"))
+
+
+@query()
+def scaffold_orders(spark, sf_dir):
+    """Brands ordered inside their scaffolds by the links of the derived map."""
+    return curate.scaffold_order(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir), NB, "scaffold_id")

@@ -201,6 +201,46 @@ def chromosome_ends(spark, sf_dir):
     return cuts.chromosome_ends(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir)).withColumn("mean", r("mean"))
 
 
+SIZES = """WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY p_size) - 1 AS k, CAST(sum(p_size) AS BIGINT) AS length FROM part GROUP BY p_size),
+w AS (SELECT k, CAST(floor((sum(length) OVER (ORDER BY k) - length)*{n}.0/(SELECT sum(length) FROM l) + 0.5) AS INT) AS s, CAST(floor(sum(length) OVER (ORDER BY k)*{n}.0/(SELECT sum(length) FROM l) + 0.5) AS INT) AS e FROM l),
+m(k, first, st) AS (SELECT k, k, s FROM w WHERE k = 0 UNION ALL SELECT w.k, CASE WHEN w.e - w.s >= 3 OR p.e - p.s >= 3 OR p.e - m.st >= 3 THEN w.k ELSE m.first END, CASE WHEN w.e - w.s >= 3 OR p.e - p.s >= 3 OR p.e - m.st >= 3 THEN w.s ELSE m.st END FROM m JOIN w p ON p.k = m.k JOIN w ON w.k = m.k + 1),
+g AS (SELECT first, min(s) AS s, max(e) AS e FROM m JOIN w USING (k) GROUP BY first HAVING max(e) - min(s) >= 3 OR max(k) < (SELECT max(k) FROM w)),
+b AS (SELECT l_orderkey AS o, CAST(floor(l_partkey*{n}/((SELECT max(p_partkey) FROM part)+1.0)) AS INT) AS bin FROM lineitem), cm AS (SELECT x.bin AS i, y.bin AS j, count(*)::DOUBLE AS v FROM b x JOIN b y ON x.o = y.o AND x.bin <= y.bin AND y.bin - x.bin <= 24 GROUP BY x.bin, y.bin),
+q AS (SELECT *, least(10, e - s, e2 - s2) AS z FROM (SELECT s, e, lead(first) OVER (ORDER BY first) AS nxt, lead(s) OVER (ORDER BY first) AS s2, lead(e) OVER (ORDER BY first) AS e2 FROM g) WHERE nxt IS NOT NULL),
+x AS (SELECT nxt, CASE WHEN z > 0 THEN coalesce((SELECT sum(v * {factor}) FROM cm WHERE i >= e - z AND i < e AND j >= s2 AND j < s2 + z), 0)/(z*z) ELSE 0 END AS signal FROM q),
+t AS (SELECT least(0.3*avg(signal), list_sort(list(signal))[CAST(floor(count(*)*0.25) AS INT) + 1]) AS lim FROM x WHERE signal > 0),
+c AS (SELECT count(*) FILTER (signal < lim) AS low, count(*) AS n FROM x, t)
+SELECT 0 AS order_index, CAST(NULL AS DOUBLE) AS signal, 0 AS pass UNION ALL SELECT CAST(nxt AS INT), round(signal, 6), CASE WHEN signal < lim THEN 1 ELSE 2 END FROM x, t, c WHERE signal < lim OR low = 0 AND n > 5 AND signal < 2*lim"""
+
+
+def _sizes(spark, sf_dir):
+    """Segments are sizes of parts: small sizes are narrower than a bin."""
+    from ..model import place
+
+    s = inputs.read(spark, sf_dir, "part").groupBy("p_size").agg(F.sum("p_size").cast("long").alias("length"))
+    return place(s.select((F.row_number().over(W.Window.orderBy("p_size")) - 1).cast("int").alias("order_index"), F.col("p_size").cast("string").alias("name"), "length"), NB)
+
+
+@query(SIZES.format(n=NB, factor="CASE WHEN i < 60 AND j >= 60 OR i < 100 AND j >= 100 THEN 0.005 ELSE 1 END"))
+def chromosome_boundaries(spark, sf_dir):
+    """Ends of chromosomes on the derived map with hardly any contacts across two places; narrow segments put together."""
+    return _chromosomes(spark, sf_dir, 0.005)
+
+
+@query(SIZES.format(n=NB, factor="CASE WHEN i < 60 AND j >= 60 OR i < 100 AND j >= 100 THEN 0.05 ELSE 1 END"))
+def chromosome_boundaries_second_pass(spark, sf_dir):
+    """The same with more contacts: the first pass finds no end, the second one asks for less."""
+    return _chromosomes(spark, sf_dir, 0.05)
+
+
+def _chromosomes(spark, sf_dir, factor):
+    from ..operators import cuts
+
+    far = lambda p: (F.col("i") < p) & (F.col("j") >= p)
+    cm = inputs.contact(spark, sf_dir).withColumn("v", F.when(far(60) | far(100), F.col("v") * factor).otherwise(F.col("v")))
+    return cuts.chromosome_boundaries(cm, _sizes(spark, sf_dir)).withColumn("signal", r("signal"))
+
+
 @query()
 def merged_chains(spark, sf_dir):
     """Chains of the derived map, merged further and laid out as an order."""

@@ -297,6 +297,28 @@ def end_motifs(spark, sf_dir):
     return out.select("doc_id", r("density_5p").alias("density_5p"), r("density_3p").alias("density_3p"), "hits")
 
 
+@query(f"""WITH t AS (SELECT doc_id, {LETTERS} AS s FROM documents), p AS (SELECT doc_id, s, length(s) AS len, sum(length(s)) OVER (ORDER BY doc_id) - length(s) AS st FROM t),
+w AS (SELECT *, unnest(range(CAST(st // 1000 AS BIGINT), CAST((st + len - 1) // 1000 AS BIGINT) + 1)) AS win FROM p WHERE len > 0),
+x AS (SELECT win, substr(s, CAST(greatest(win*1000, st) - st + 1 AS BIGINT), CAST(least((win + 1)*1000, st + len) - greatest(win*1000, st) AS BIGINT)) AS part FROM w),
+y AS (SELECT win, sum(2*length(part) - length(replace(part, 'CAA', '')) - length(replace(part, 'TTG', ''))) AS letters FROM x GROUP BY win), z AS (SELECT sum(len) AS total FROM p)
+SELECT win AS "window", round(least(1.0, letters/(least(total, (win + 1)*1000) - win*1000)::DOUBLE), 6) AS density FROM y, z""")
+def motif_windows(spark, sf_dir):
+    """Motifs in windows along all documents, end to end."""
+    rows = _letters(spark, sf_dir).select(F.col("doc_id").alias("order_index"), F.length("s").alias("length"), "s")
+    return sequences.motif_windows(rows, "s", "CAA", 1000).withColumn("density", r("density"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {LETTERS} AS s, doc_id % 2000 * 2 AS a, doc_id % 2000 * 2 + 1 + doc_id % 3 AS z FROM documents), c AS (SELECT doc_id, unnest(range(1, length(s) + 1)) AS p, s FROM t), n AS (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run, p FROM c WHERE s[p] = 'N'),
+g AS (SELECT doc_id, min(p) - 1 AS st, count(*) AS len FROM n GROUP BY doc_id, run), q AS (SELECT greatest(0, floor(a + st/length(s)::DOUBLE*(z - a))) AS p0, least(4000, greatest(greatest(0, floor(a + st/length(s)::DOUBLE*(z - a))) + 1, ceil(a + (st + len)/length(s)::DOUBLE*(z - a)))) AS p1 FROM g JOIN t USING (doc_id)),
+e AS (SELECT a, z, substr(s, 1, 1000) AS h, right(s, 1000) AS r FROM t), d AS (SELECT a, z, greatest(length(h) - length(replace(h, 'CAA', '')), length(h) - length(replace(h, 'TTG', '')))/nullif(length(h), 0)::DOUBLE AS x, greatest(length(r) - length(replace(r, 'CAA', '')), length(r) - length(replace(r, 'TTG', '')))/nullif(length(r), 0)::DOUBLE AS y FROM e)
+SELECT DISTINCT track, p FROM (SELECT 'gaps' AS track, unnest(range(CAST(p0 AS BIGINT), CAST(p1 AS BIGINT))) AS p FROM q UNION ALL SELECT 'telomeres', a FROM d WHERE x >= 0.05 UNION ALL SELECT 'telomeres', z - 1 FROM d WHERE y >= 0.05) WHERE p BETWEEN 0 AND 3999""")
+def sequence_marks(spark, sf_dir):
+    """Pixels with gaps and telomeres of documents placed on a texture of 4000."""
+    a = F.col("doc_id") % 2000 * 2
+    rows = _letters(spark, sf_dir).select(F.col("doc_id").alias("order_index"), F.length("s").alias("length"), a.alias("pixel_start"), (a + 1 + F.col("doc_id") % 3).alias("pixel_end"), "s")
+    return sequences.sequence_marks(rows, "s", 4000, "CAA", 1000, 0.05)
+
+
 @query(f"WITH t AS (SELECT doc_id, {LETTERS} AS s FROM documents), c AS (SELECT doc_id, unnest(range(1, length(s) + 1)) AS p, s FROM t), n AS (SELECT doc_id, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run, p FROM c WHERE s[p] = 'N') SELECT doc_id, CAST(min(p) - 1 AS BIGINT) AS start, CAST(count(*) AS INT) AS length FROM n GROUP BY doc_id, run HAVING count(*) >= 6")
 def letter_runs(spark, sf_dir):
     return sequences.letter_runs(_letters(spark, sf_dir), "doc_id", "s", "N", 6)

@@ -67,6 +67,47 @@ def end_motifs(rows: DataFrame, text: str, motif: str, window: int = 10_000, lea
     return out.withColumn("hits", F.concat_ws(",", F.when(F.col("density_5p") >= least, "5p"), F.when(F.col("density_3p") >= least, "3p")))
 
 
+def motif_windows(rows: DataFrame, text: str, motif: str, window: int = 10_000) -> DataFrame:
+    """(window, density): share of each window along all segments, end to end, in a motif or its complement, at most 1.
+
+    ``rows`` (order_index, length, ``text``): segments in order; windows may cover several.  A text is cut at the
+    borders of windows in one pass, whatever its length, and motifs are counted in the parts; a text
+    longer than its segment is cut off, a shorter or missing one has nothing there.
+    """
+    w = W.Window.orderBy("order_index")  # metadata: lengths alone
+    place = rows.select("order_index", F.col("length").cast("long").alias("length"), F.sum("length").over(w).alias("end"))
+    place = place.select("order_index", "length", (F.col("end") - F.col("length")).alias("start"))
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total"))  # one row
+    own = rows.select("order_index", F.col(text).alias("text")).join(place, "order_index").where("text is not null").withColumn("text", F.substring("text", F.lit(1), F.col("length").cast("int")))
+    head = (window - F.col("start") % window).cast("int")
+    tail = F.regexp_extract_all(F.substring("text", head + 1, F.length("text")), F.lit(f"(?s).{{1,{window}}}"), F.lit(0))
+    parts = own.select(F.floor(F.col("start") / window).alias("first"), F.posexplode(F.concat(F.array(F.substring("text", F.lit(1), head)), tail)).alias("k", "part")).where("part <> ''")
+    back = motif[::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca"))
+    counted = parts.groupBy((F.col("first") + F.col("k")).alias("window")).agg(F.sum((motif_count(F.col("part"), motif) + motif_count(F.col("part"), back)) * len(motif)).alias("letters"))
+    every = total.where("total > 0").select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / window))).alias("window"))
+    size = F.least(F.col("total"), (F.col("window") + 1) * window) - F.col("window") * window
+    return every.join(counted, "window", "left").select("window", F.least(F.lit(1.0), F.coalesce("letters", F.lit(0)) / size).alias("density"))
+
+
+def sequence_marks(rows: DataFrame, text: str, texture: int, motif: str = "TTAGGG", window: int = 10_000, least: float = 0.3) -> DataFrame:
+    """(track, p): pixels with a gap (a run of N) or a telomere (motifs at an end), each once.
+
+    ``rows`` (order_index, length, pixel_start, pixel_end, ``text``).  A run marks every pixel that it touches, one at
+    least; an end marks the first or last pixel of its segment.
+    """
+    span, size = F.col("pixel_end") - F.col("pixel_start"), F.when(F.col("length") > 0, F.col("length")).otherwise(F.length(text))
+    at = rows.where(F.col(text).isNotNull() & (span > 0) & (size > 0)).select("order_index", "pixel_start", span.alias("span"), size.alias("size"), F.col(text).alias("text"))
+    runs = letter_runs(at.select("order_index", "text"), "order_index", "text", "Nn", 1).withColumnRenamed("length", "letters").join(at.drop("text"), "order_index")
+    p0 = F.greatest(F.lit(0), F.floor(F.col("pixel_start") + F.col("start") / F.col("size") * F.col("span")))
+    p1 = F.ceil(F.col("pixel_start") + (F.col("start") + F.col("letters")) / F.col("size") * F.col("span"))
+    last = F.least(F.greatest(p0 + 1, p1), F.lit(texture)) - 1
+    gaps = runs.select(p0.alias("p0"), last.alias("p1")).where("p0 <= p1").select(F.lit("gaps").alias("track"), F.explode(F.sequence("p0", "p1")).alias("p"))
+    ends = end_motifs(rows.where(F.col(text).isNotNull()).select("pixel_start", "pixel_end", F.substring(F.col(text), F.lit(1), F.col("length").cast("int")).alias("text")), "text", motif, window, least)
+    marks = F.array(F.when(F.col("density_5p") >= least, F.col("pixel_start")), F.when(F.col("density_3p") >= least, F.col("pixel_end") - 1))
+    telomeres = ends.select(F.lit("telomeres").alias("track"), F.explode(marks).alias("p")).select("track", F.col("p").cast("long").alias("p")).where(F.col("p").between(0, texture - 1))
+    return gaps.select("track", F.col("p").cast("long").alias("p")).unionByName(telomeres).distinct()
+
+
 def chromosome_of(name: Column) -> Column:
     """Label by the first pattern that fits; NULL if none does."""
     out = F.lit(None).cast("string")

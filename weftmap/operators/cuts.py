@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.tables import dropped, written
 from ..model import bins_of, owned
 from .windows import diagonal_density, local_baseline, low_regions
 
@@ -73,3 +74,72 @@ def chromosome_ends(contact: DataFrame, ranges: DataFrame, corner: int = 10) ->
     m = s.join(sums, "order_index", "left").select("order_index", (F.coalesce("s", F.lit(0.0)) / cells).alias("mean"))
     limit = m.agg(F.least(0.3 * F.avg("mean"), F.percentile("mean", 0.25)).alias("limit"))
     return m.crossJoin(F.broadcast(limit)).select("order_index", "mean", (F.col("mean") < F.col("limit")).alias("end"))  # one row
+
+
+def merged_ranges(ranges: DataFrame, least: int = 3) -> DataFrame:
+    """(range, first, start_bin, end_bin): ranges of at least ``least`` bins, narrow neighbours put together, in order.
+
+    A wide segment is a range.  Narrow ones in a row are taken together from the left until they
+    are wide enough, again and again; what is left before a wide segment is a narrow range, and at
+    the end of the map none.  Where a group that begins at a segment ends follows from
+    running sums of widths, as each sum is reached in one segment; which segments do begin groups
+    is found by jumps of 1, 2, 4, ... groups.
+    """
+    w = W.Window.orderBy("order_index")
+    s = ranges.select("order_index", "start_bin", "end_bin", (F.col("end_bin") - F.col("start_bin")).alias("width")).withColumn("k", F.row_number().over(w) - 1)
+    s = s.withColumn("narrow", F.col("width") < least)
+    run = F.sum((F.coalesce(F.lag("narrow").over(w), F.lit(False)) != F.col("narrow")).cast("int")).over(w)
+    s = written(s.withColumn("run", run), "segments")
+    small = s.where("narrow").withColumn("upto", F.sum("width").over(W.Window.partitionBy("run").orderBy("k"))).withColumn("begin", F.col("k") == F.min("k").over(W.Window.partitionBy("run")))
+    small = small.withColumn("before", F.col("upto") - F.col("width"))
+    # every sum from before + 1 to upto is first reached in this segment
+    reach = small.where("width > 0").select("run", F.explode(F.sequence(F.col("before") + 1, F.col("upto"))).alias("sum"), F.col("k").alias("last"))
+    jump = written(small.select("run", "k", (F.col("before") + least).alias("sum")).join(reach, ["run", "sum"]).select("k", (F.col("last") + 1).alias("next")), "jumps")
+    begins = written(small.where("begin").select("k").distinct(), "begins")
+    known = small.select("k")
+    while True:
+        more = written(begins.unionByName(begins.join(jump, "k").select(F.col("next").alias("k")).join(known, "k", "left_semi")).distinct(), "begins")
+        grown = more.count() > begins.count()
+        dropped(begins)
+        begins = more
+        if not grown:
+            break
+        far = jump.select(F.col("k").alias("next"), F.col("next").alias("then"))
+        jump = written(jump.join(far, "next").select("k", F.col("then").alias("next")), "jumps")
+    starts = begins.withColumn("new", F.lit(1)).unionByName(s.where("not narrow").select("k", F.lit(1).alias("new")))
+    group = F.sum(F.coalesce("new", F.lit(0))).over(W.Window.orderBy("k"))
+    found = s.join(starts, "k", "left").withColumn("range", (group - 1).cast("int")).groupBy("range").agg(F.min("order_index").alias("first"), F.min("start_bin").alias("start_bin"), F.max("end_bin").alias("end_bin"), F.max("k").alias("last"))
+    end = s.agg(F.max("k").alias("end"))  # one row
+    return found.crossJoin(F.broadcast(end)).where((F.col("end_bin") - F.col("start_bin") >= least) | (F.col("last") < F.col("end"))).select("range", "first", "start_bin", "end_bin")
+
+
+def chromosome_boundaries(contact: DataFrame, ranges: DataFrame, drop: float = 0.3, corner: int = 10) -> DataFrame:
+    """(order_index, signal, pass): segments that begin a chromosome; the first one has pass 0.
+
+    The signal between neighbouring ``merged_ranges`` is the mean of the corner where they meet.  Of signals
+    above 0 the mean and the lower quartile (by rank) give the limit of pass 1; if no signal of
+    more than five lies below it, those below twice the limit do in pass 2.
+    """
+    m = merged_ranges(ranges)
+    w = W.Window.orderBy("range")
+    pairs = m.select("range", F.lead("first").over(w).alias("order_index"), "start_bin", "end_bin", F.lead("start_bin").over(w).alias("s2"), F.lead("end_bin").over(w).alias("e2")).where("order_index is not null")
+    size = F.least(F.lit(corner), F.col("end_bin") - F.col("start_bin"), F.col("e2") - F.col("s2"))
+    pairs = written(pairs.withColumn("size", size), "pairs")
+    rows = pairs.where("size > 0").select("order_index", "s2", "size", F.explode(F.sequence(F.col("end_bin") - F.col("size"), F.col("end_bin") - 1)).alias("i"))
+    sums = rows.join(contact, "i").where("j >= s2 and j < s2 + size").groupBy("order_index").agg(F.sum("v").alias("sum"))
+    signal = F.when(F.col("size") > 0, F.coalesce("sum", F.lit(0.0)) / (F.col("size") * F.col("size"))).otherwise(F.lit(0.0))
+    found = written(pairs.join(sums, "order_index", "left").select("order_index", signal.alias("signal")), "signals")
+    some = found.where("signal > 0")
+    counts = some.groupBy("signal").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", F.sum("c").over(W.Window.orderBy("signal")))
+    whole = some.agg(F.count(F.lit(1)).alias("n"), F.avg("signal").alias("mean"))  # one row
+    quartile = counts.crossJoin(F.broadcast(whole)).where(F.col("upto") > F.floor(F.col("n") * 0.25)).agg((F.least(drop * F.first("mean"), F.min("signal"))).alias("limit"))
+    judged = found.crossJoin(F.broadcast(quartile)).crossJoin(F.broadcast(found.crossJoin(F.broadcast(quartile)).agg(F.count_if(F.col("signal") < F.col("limit")).alias("low"), F.count(F.lit(1)).alias("all"))))  # one row each
+    first = F.when(F.col("signal") < F.col("limit"), 1).when((F.col("low") == 0) & (F.col("all") > 5) & (F.col("signal") < 2 * F.col("limit")), 2)
+    begin = ranges.agg(F.min("order_index").alias("order_index")).where("order_index is not null").select("order_index", F.lit(None).cast("double").alias("signal"), F.lit(0).alias("pass"))
+    return begin.unionByName(judged.withColumn("pass", first).where("pass is not null").select("order_index", "signal", "pass"))
+
+
+def chromosome_assignments(ranges: DataFrame, boundaries: DataFrame) -> DataFrame:
+    """(order_index, chromosome): numbered from 0 by the boundaries up to each segment."""
+    marks = ranges.select("order_index").join(boundaries.select("order_index").distinct().withColumn("new", F.lit(1)), "order_index", "left")
+    return marks.select("order_index", (F.sum(F.coalesce("new", F.lit(0))).over(W.Window.orderBy("order_index")) - 1).cast("int").alias("chromosome"))

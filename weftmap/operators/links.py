@@ -17,29 +17,35 @@ ORIENTATIONS = ("HH", "HT", "TH", "TT")
 MIN_SPAN, MAX_DISTANCE, MIN_SCORE = 4, 50, 0.05
 
 
-def link_scores(contact: DataFrame, ranges: DataFrame, n: int, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b, orientation, score) of all pairs of segments a < b that have contact.
+def link_scores(contact: DataFrame, ranges: DataFrame, n: int, max_distance: int = MAX_DISTANCE, by: str | None = None) -> DataFrame:
+    """(by, a, b, orientation, score) of all pairs of segments a < b that have contact.
+
+    With ``by``, a column of ``ranges`` without nulls, pairs and the profile are those within a group.
 
     At distance d from the meeting corner the mean of the band r + c = d (inner cells twice)
     is compared with the profile inside segments; scores of bands count with 1 / sqrt(d).
     Pairs without any contact score 0 throughout and are left out.
     """
-    wide = ranges.where(F.col("end_bin") - F.col("start_bin") >= MIN_SPAN).select("order_index", "start_bin", "end_bin")
-    profile = intra_profile(contact, ranges, max_distance).select("d", F.col("mean").alias("expected")).where("expected > 0")
-    met = owned(contact.where("v > 0"), wide).where("a_order_index < b_order_index").select("a_order_index", "b_order_index", "a_start_bin", "a_end_bin", "b_start_bin", "b_end_bin").distinct()
+    group = [by] if by else []
+    wide = ranges.where(F.col("end_bin") - F.col("start_bin") >= MIN_SPAN).select("order_index", "start_bin", "end_bin", *group)
+    profile = intra_profile(contact, ranges, max_distance, by).select(*group, "d", F.col("mean").alias("expected")).where("expected > 0")
+    pairs = owned(contact.where("v > 0"), wide, *group).where("a_order_index < b_order_index")
+    for g in group:
+        pairs = pairs.where(F.col(f"a_{g}") == F.col(f"b_{g}")).withColumnRenamed(f"a_{g}", g)
+    met = pairs.select(*group, "a_order_index", "b_order_index", "a_start_bin", "a_end_bin", "b_start_bin", "b_end_bin").distinct()
     ways = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(o).alias("orientation")) for k, o in enumerate(ORIENTATIONS)])).alias("o")
     p = met.select("*", ways, F.least(F.lit(max_distance), F.col("a_end_bin") - F.col("a_start_bin"), F.col("b_end_bin") - F.col("b_start_bin")).alias("reach")).select("*", "o.orientation")
     head_a, tail_b = F.col("orientation").isin("TH", "TT"), F.col("orientation").isin("HT", "TT")
     p = p.withColumn("row0", F.when(head_a, F.col("a_start_bin")).otherwise(F.col("a_end_bin") - 1)).withColumn("row_step", F.when(head_a, 1).otherwise(-1))
     p = p.withColumn("col0", F.when(tail_b, F.col("b_end_bin") - 1).otherwise(F.col("b_start_bin"))).withColumn("col_step", F.when(tail_b, -1).otherwise(1))
-    at = p.select(F.col("a_order_index").alias("a"), F.col("b_order_index").alias("b"), "orientation", "row0", "row_step", "col0", "col_step", F.explode(F.sequence(F.lit(1), "reach")).alias("d"))
-    at = at.join(profile, "d").select("*", F.explode(F.sequence(F.lit(0), "d")).alias("r"))
+    at = p.select(*group, F.col("a_order_index").alias("a"), F.col("b_order_index").alias("b"), "orientation", "row0", "row_step", "col0", "col_step", F.explode(F.sequence(F.lit(1), "reach")).alias("d"))
+    at = at.join(profile, [*group, "d"]).select("*", F.explode(F.sequence(F.lit(0), "d")).alias("r"))
     at = at.withColumn("i", F.col("row0") + F.col("row_step") * F.col("r")).withColumn("j", F.col("col0") + F.col("col_step") * (F.col("d") - F.col("r")))
     at = at.where((F.col("i") >= 0) & (F.col("i") < n) & (F.col("j") >= 0) & (F.col("j") < n)).withColumn("w", F.when((F.col("r") > 0) & (F.col("r") < F.col("d")), 2).otherwise(1))
-    bands = at.join(symmetric(contact), ["i", "j"], "left").groupBy("a", "b", "orientation", "d", "expected").agg((F.sum(F.coalesce("v", F.lit(0.0)) * F.col("w")) / F.sum("w")).alias("o"))
+    bands = at.join(symmetric(contact), ["i", "j"], "left").groupBy(*group, "a", "b", "orientation", "d", "expected").agg((F.sum(F.coalesce("v", F.lit(0.0)) * F.col("w")) / F.sum("w")).alias("o"))
     fit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.abs(F.col("o") - F.col("expected")) / F.col("expected")))
     w = 1 / F.sqrt("d")
-    return bands.groupBy("a", "b", "orientation").agg((F.sum(fit * w) / F.sum(w)).alias("score"))
+    return bands.groupBy(*group, "a", "b", "orientation").agg((F.sum(fit * w) / F.sum(w)).alias("score"))
 
 
 def best_links(scores: DataFrame, least: float = MIN_SCORE) -> DataFrame:
@@ -59,6 +65,41 @@ def adaptive_threshold(links: DataFrame, share: float = 0.15, cap: float = 0.2)
     return min(cap, counts.withColumn("upto", upto).where(F.col("upto") > int(share * n)).agg(F.max("score")).first()[0])
 
 
+def group_thresholds(links: DataFrame, by: str, share: float = 0.15, cap: float = 0.2) -> DataFrame:
+    """(by, threshold): ``adaptive_threshold`` of the links of each group; equal scores are counted before they are ranked."""
+    counts = links.groupBy(by, "score").agg(F.count(F.lit(1)).alias("c"))
+    own = W.Window.partitionBy(by)
+    ranked = counts.withColumn("upto", F.sum("c").over(own.orderBy(F.col("score").desc()))).withColumn("n", F.sum("c").over(own))
+    return ranked.where(F.col("upto") > F.floor(share * F.col("n"))).groupBy(by).agg(F.least(F.lit(cap), F.max("score")).alias("threshold"))
+
+
+def order_within(contact: DataFrame, ranges: DataFrame, n: int, by: str, max_distance: int = MAX_DISTANCE, least_members: int = 3) -> DataFrame:
+    """(new_index, order_index, inverted): segments ordered inside their groups, which keep their places on the map.
+
+    Links join members of one group only, by a profile and a threshold of the group's own, so
+    one run of the rounds chains all groups.  A group's chains, largest first, fill the places
+    that it had; groups of fewer than ``least_members`` stay as they are.  A null ``by`` is a group too.
+    ``ranges`` may have ``inverted``, as segments stand now, for those that stay.
+    """
+    label = F.coalesce(F.concat(F.lit("1"), F.col(by).cast("string")), F.lit("0"))
+    stays = F.col("inverted") if "inverted" in ranges.columns else F.lit(False)
+    named = written(ranges.select("order_index", "start_bin", "end_bin", label.alias("grp"), stays.alias("stands")), "groups")
+    large = named.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= least_members)
+    own = named.join(large.select("grp"), "grp")
+    scores = written(link_scores(contact, own, n, max_distance, "grp"), "scores")
+    best = best_links(scores).join(own.select(F.col("order_index").alias("a"), "grp"), "a")
+    limited = written(best.join(group_thresholds(best, "grp"), "grp"), "links")
+    taken = chains(limited.where("score >= threshold"), own, 0.0)
+    chained = merged_chains(taken, limited.where(F.col("score") >= F.greatest(F.lit(MIN_SCORE), 0.3 * F.col("threshold"))), 0.0)
+    size = F.count(F.lit(1)).over(W.Window.partitionBy("chain"))
+    rank = F.row_number().over(W.Window.partitionBy("grp").orderBy(F.col("size").desc(), "chain", "pos"))
+    placed = chained.join(own.select("order_index", "grp"), "order_index").withColumn("size", size).select("grp", "order_index", "inverted", rank.alias("rank"))
+    slots = own.select("grp", F.col("order_index").alias("new_index"), F.row_number().over(W.Window.partitionBy("grp").orderBy("order_index")).alias("rank"))
+    moved = placed.join(slots, ["grp", "rank"]).select("new_index", "order_index", "inverted")
+    rest = named.join(large.select("grp"), "grp", "left_anti").select(F.col("order_index").alias("new_index"), "order_index", F.col("stands").alias("inverted"))
+    return moved.unionByName(rest)
+
+
 def chains(links: DataFrame, segments: DataFrame, threshold: float, max_rounds: int | None = None) -> DataFrame:
     """(order_index, chain, pos, inverted): greedy chaining by descending score.
 

@@ -25,26 +25,45 @@ def cut_ranges(ranges: DataFrame, splits: DataFrame) -> DataFrame:
     return parts.select(index.cast("int").alias("order_index"), F.col("order_index").alias("whole"), "name", F.col("bin").alias("start_bin"), end.alias("end_bin"), length.alias("length"))
 
 
-def automatic_order(contact: DataFrame, ranges: DataFrame, segments: DataFrame, n: int, max_distance: int = links.MAX_DISTANCE) -> DataFrame:
+#: Fewer segments keep their order: with few of them, links are mostly noise.
+LEAST_SEGMENTS = 60
+
+
+def automatic_order(contact: DataFrame, ranges: DataFrame, segments: DataFrame, n: int, max_distance: int = links.MAX_DISTANCE, least_segments: int = LEAST_SEGMENTS) -> DataFrame:
     """(new_index, order_index, inverted): link scores, threshold, chaining, merging, and chains laid out.
 
-    With no link above the threshold every segment is a chain of its own, and the order stays.
+    With no link above the threshold every segment is a chain of its own, and the order stays; so it
+    does with fewer than ``least_segments``.
     """
+    if segments.count() < least_segments:
+        return segments.select(F.col("order_index").alias("new_index"), "order_index", F.lit(False).alias("inverted"))
     best = written(links.best_links(links.link_scores(contact, ranges, n, max_distance)), "links")
     threshold = links.adaptive_threshold(best)
     chained = links.merged_chains(links.chains(best, segments, threshold), best, threshold)
     return links.ordered_segments(chained)
 
 
-def curated(contact: DataFrame, ranges: DataFrame, n: int, **limits) -> tuple[DataFrame, DataFrame]:
+def scaffold_order(contact: DataFrame, ranges: DataFrame, n: int, by: str, least_segments: int = LEAST_SEGMENTS) -> DataFrame:
+    """(new_index, order_index, inverted): each scaffold ordered on its own; with fewer than two, all segments together."""
+    if ranges.where(F.col(by).isNotNull()).select(by).distinct().limit(2).count() < 2:
+        return automatic_order(contact, ranges, ranges.select("order_index"), n, least_segments=least_segments)
+    return links.order_within(contact, ranges, n, by)
+
+
+def curated(contact: DataFrame, ranges: DataFrame, n: int, by: str | None = None, least_segments: int = LEAST_SEGMENTS, **limits) -> tuple[DataFrame, DataFrame]:
     """(operations, order): the log of automatic cuts and then the automatic order of the parts.
 
+    ``by`` orders parts inside groups: a column of ``ranges``, or ``whole``, the segment that a part was cut from.
     ``limits`` go to ``cuts.automatic_cuts``.  Folding the log over the segments gives the order.
     """
     contact = written(contact, "map")
     found = written(cuts.automatic_cuts(contact, ranges, n, **limits), "cuts")
-    parts = written(cut_ranges(ranges, found), "parts")
-    order = written(automatic_order(contact, parts, parts.select("order_index"), n), "order")
+    parts = cut_ranges(ranges, found)
+    if by and by != "whole":
+        parts = parts.join(ranges.select(F.col("order_index").alias("whole"), by), "whole")
+    parts = written(parts, "parts")
+    ordered = scaffold_order(contact, parts, n, by, least_segments) if by else automatic_order(contact, parts, parts.select("order_index"), n, least_segments=least_segments)
+    order = written(ordered, "order")
     log = batch.after(batch.automatic_cut_operations(found, ranges), batch.automatic_sort_operations(order, parts.select("order_index", F.lit(False).alias("inverted"))))
     return log, order.join(parts.drop("name").withColumnRenamed("whole", "segment"), "order_index")
 
