@@ -221,22 +221,22 @@ def _sizes(spark, sf_dir):
     return place(s.select((F.row_number().over(W.Window.orderBy("p_size")) - 1).cast("int").alias("order_index"), F.col("p_size").cast("string").alias("name"), "length"), NB)
 
 
-@query(SIZES.format(n=NB, factor="CASE WHEN i < 60 AND j >= 60 OR i < 100 AND j >= 100 THEN 0.005 ELSE 1 END"))
+@query(SIZES.format(n=NB, factor="CASE WHEN i < 64 AND j >= 56 OR i < 104 AND j >= 96 THEN 0.005 ELSE 1 END"))
 def chromosome_boundaries(spark, sf_dir):
     """Ends of chromosomes on the derived map with hardly any contacts across two places; narrow segments put together."""
-    return _chromosomes(spark, sf_dir, 0.005)
+    return _chromosomes(spark, sf_dir, 0.005, 4)
 
 
 @query(SIZES.format(n=NB, factor="CASE WHEN i < 60 AND j >= 60 OR i < 100 AND j >= 100 THEN 0.05 ELSE 1 END"))
 def chromosome_boundaries_second_pass(spark, sf_dir):
     """The same with more contacts: the first pass finds no end, the second one asks for less."""
-    return _chromosomes(spark, sf_dir, 0.05)
+    return _chromosomes(spark, sf_dir, 0.05, 0)
 
 
-def _chromosomes(spark, sf_dir, factor):
+def _chromosomes(spark, sf_dir, factor, margin):
     from ..operators import cuts
 
-    far = lambda p: (F.col("i") < p) & (F.col("j") >= p)
+    far = lambda p: (F.col("i") < p + margin) & (F.col("j") >= p - margin)
     cm = inputs.contact(spark, sf_dir).withColumn("v", F.when(far(60) | far(100), F.col("v") * factor).otherwise(F.col("v")))
     return cuts.chromosome_boundaries(cm, _sizes(spark, sf_dir)).withColumn("signal", r("signal"))
 
