@@ -270,3 +270,30 @@ def test_a_failure_ends_its_own_script(spark):
     assert sorted((r["map_id"], r["order_index"], r["inverted"]) for r in scripts.final(got).collect()) == [(1, 0, True), (1, 1, False), (2, 0, True), (2, 1, False)]
     all_run = scripts.execute(initial, commands, continue_on_error=True)
     assert scripts.results(all_run).count() == 6 and scripts.final(all_run).where("inverted").count() == 4
+
+
+@pytest.mark.parametrize("keep", [1000, 12])
+def test_late_edits_of_a_stream_take_their_place(spark, tmp_path, keep):
+    """Any order of small batches gives the plain fold; what comes later than the reach is counted."""
+    from weftmap.streaming import logs
+
+    rng = random.Random(keep)
+    log = [(m, seq, rng.choice(["cut", "join", "invert", "move", "paint"]), rng.randrange(9), rng.randrange(900), rng.choice([None, "x"])) for m in range(3) for seq in range(40)]
+    near = sorted(log, key=lambda r: (r[1] + (rng.randrange(4) if keep < 1000 else rng.randrange(40)), r[0]))  # late by a little, or by any number
+    for k in range(8):
+        rows = near[15 * k : 15 * k + 15] + (near[:3] if k == 2 and keep == 1000 else [])  # some are repeated
+        spark.createDataFrame(rows, LOG).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={k}"))
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    kept = []
+    query = logs.folded_stream(stream, 5, keep).writeStream.outputMode("update").foreachBatch(lambda df, _: kept.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = {}
+    for r in kept:
+        if r["edits"] >= last.get(r["map_id"], r)["edits"]:
+            last[r["map_id"]] = r
+    for m in range(3):
+        state = [[f"s{k}", 1000, False, None] for k in range(5)]
+        for _, _, op, a, b, text in sorted((x for x in log if x[0] == m), key=lambda x: x[1]):
+            history.apply_operation(state, op, a, b, text)
+        assert last[m]["segment_order"] == ",".join(s[0] for s in state) and last[m]["n_inverted"] == sum(s[2] for s in state)
+        assert last[m]["edits"] == 40 and last[m]["late"] == 0 and last[m]["seq"] == 39

@@ -445,7 +445,7 @@ def folded_edits_stream(spark, sf_dir):
     a, b = (F.col("event_id") % 11).cast("int"), F.when(F.col("event_id") % 5 == 0, F.lit(400)).otherwise(F.coalesce(k, F.lit(0)) % 9).cast("int")
     ops = stream.select(F.col("user_id").alias("map_id"), F.col("event_id").alias("seq"), op.alias("op"), a.alias("a"), b.alias("b"), F.when(F.col("event_id") % 10 == 4, F.lit("chr1")).alias("text"))
     updates = _drained(spark, logs.folded_stream(ops, 8), "update")
-    return updates.groupBy("map_id").agg(F.max_by(F.struct(*updates.columns), "seq").alias("last")).select("last.*")
+    return updates.groupBy("map_id").agg(F.max_by(F.struct(*updates.columns), "edits").alias("last")).select("last.*")
 
 
 @query()

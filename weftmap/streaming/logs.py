@@ -11,31 +11,47 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.history import apply_operation
 
-FOLDED = "map_id long, seq long, n_segments int, n_inverted int, segment_order string"
-STATE = "seq long, segments string"
+FOLDED = "map_id long, seq long, edits long, late long, n_segments int, n_inverted int, segment_order string"
+STATE = "base_seq long, base string, recent string, edits long, late long"
+#: Edits of a map that an edit may come after, and still take its place among them.
+KEEP = 10_000
 
 
-def folded_stream(ops: DataFrame, initial_segments: int) -> DataFrame:
-    """(map_id, seq, n_segments, n_inverted, segment_order) after each batch of operations of a map.
+def folded_stream(ops: DataFrame, initial_segments: int, keep: int = KEEP) -> DataFrame:
+    """(map_id, seq, edits, late, n_segments, n_inverted, segment_order) after each batch of operations of a map.
 
-    ``ops`` streams (map_id, seq, op, a, b, text).  State is the list of segments and the last
-    number applied; operations up to that number are repeats and change nothing.
+    ``ops`` streams (map_id, seq, op, a, b, text) in any order.  State is a snapshot and the last ``keep`` edits
+    after it: one that comes late takes its place among them and all after the snapshot are folded
+    again, so any split and order of batches within that reach gives the fold of the whole log.
+    A number that is there already is a repeat.  Older ones than the snapshot can't be told from
+    repeats; they change nothing and are counted in ``late``.
     """
     import json
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
-            seq, text = state.get
-            segments = json.loads(text)
+            base_seq, text, recent, edits, late = state.get
+            base, known = json.loads(text), {o[0]: o for o in json.loads(recent)}
         else:
-            seq, segments = -1, [[f"s{k}", 1000, False, None] for k in range(initial_segments)]
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for o in rows.itertuples():
-            if o.seq > seq:
-                apply_operation(segments, o.op, int(o.a), int(o.b), o.text)
-                seq = int(o.seq)
-        state.update((seq, json.dumps(segments)))
-        yield pd.DataFrame({"map_id": [key[0]], "seq": [seq], "n_segments": [len(segments)], "n_inverted": [sum(s[2] for s in segments)], "segment_order": [",".join(s[0] for s in segments)]})
+            base_seq, base, known, edits, late = None, [[f"s{k}", 1000, False, None] for k in range(initial_segments)], {}, 0, 0
+        for o in pd.concat(list(batches)).itertuples():
+            seq = int(o.seq)
+            if base_seq is not None and seq <= base_seq:
+                late += 1
+            elif seq not in known:
+                known[seq] = [seq, o.op, int(o.a), int(o.b), None if pd.isna(o.text) else o.text]
+                edits += 1
+        order = [known[k] for k in sorted(known)]
+        settled = max(0, len(order) - keep)
+        for seq, *op in order[:settled]:
+            apply_operation(base, *op)
+            base_seq = seq
+        segments = [list(s) for s in base]
+        for _, *op in order[settled:]:
+            apply_operation(segments, *op)
+        state.update((base_seq, json.dumps(base), json.dumps(order[settled:]), edits, late))
+        last = order[-1][0] if order else base_seq
+        yield pd.DataFrame({"map_id": [key[0]], "seq": [last], "edits": [edits], "late": [late], "n_segments": [len(segments)], "n_inverted": [sum(s[2] for s in segments)], "segment_order": [",".join(s[0] for s in segments)]})
 
     return ops.groupBy("map_id").applyInPandasWithState(run, FOLDED, STATE, "update", GroupStateTimeout.NoTimeout)
 
