@@ -626,6 +626,22 @@ def test_licence_classifier_on_texts_it_has_not_seen(spark, model):
     assert np.mean([sure for _, sure in best[True]]) < 0.05  # licences left out of training pass for no family
 
 
+def test_other_licences_are_unknown(spark, model):
+    """Bodies of left-out licences move the limit, and none of them is taken for a family."""
+    assert model.sure > licences.LEAST_SURE
+    texts = [*licences.OTHER_PARAGRAPHS[1], "This software is provided 'as-is', without any express or implied warranty.  In no event will the authors be held liable", "Licensed under the Zope Public License 2.1."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = licences.scan_licences(df, model=model).collect()
+    assert {r["licence"] for r in got} <= {licences.UNKNOWN, None} and sum(r["licence"] == licences.UNKNOWN for r in got) >= len(texts) - 1
+
+
+def test_overlap_asks_for_words_of_its_own(spark):
+    known = [{"words": ["a", "b", "c", "d"], "own": ["d"]}, {"words": ["x", "y"], "own": ["x"]}, {"words": ["p", "q", "r", "s", "t"], "own": []}]
+    texts = ["a b c", "a b d", "x y z", "x z", "p q r", "", "d e f"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", licences.overlap(licences.paragraph_words(F.col("t")), known).alias("o")).collect()
+    assert {r["t"]: round(r["o"], 3) for r in got} == {"a b c": 0.0, "a b d": 1.0, "x y z": 1.0, "x z": 0.0, "p q r": 1.0, "": 0.0, "d e f": 0.333}
+
+
 def test_paragraphs_join_wrapped_lines(spark):
     text = "one\ntwo\n\nthree\n" + "long " * 40 + "\nfour\nfive\nsix"
     got = spark.range(1).select(licences.paragraphs(F.lit(text)).alias("p")).first()["p"]

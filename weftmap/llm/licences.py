@@ -4,14 +4,14 @@ A paragraph is a line with a word; a run of two or more short lines (wrapped tex
 or a long line) is joined to one more.  A sparse multinomial logistic regression over word
 1- and 2-grams gives every paragraph its class: a licence family, ``unknown`` (a licence of no
 family here) or ``none``.  It is trained here, with an L1 penalty, on notices made from names of
-licences and frames, on paragraphs of licence texts and their cuts, on names of other licences
-(for ``unknown``), and on a bounded sample of corpus lines (``TRAIN_LINES``) that match no
+licences and frames, on paragraphs of licence texts and their cuts, on names and paragraphs of other
+licences (for ``unknown``), and on a bounded sample of corpus lines (``TRAIN_LINES``) that match no
 template (for ``none``).
 
 Two limits are calibrated on texts that training did not see: a family counts from the confidence
 that texts of left-out licences hardly ever reach; ``unknown`` from the share that left-out corpus
-lines hardly ever reach.  A sure family must also share enough words with a template of its own,
-or it is unknown too.
+lines hardly ever reach.  A sure family must also share enough words with a template of its own, some of
+which no other licence here uses, or it is unknown too.  A paragraph gets one family, the surest.
 
 Defined results
     null or empty text   no paragraphs, licence null
@@ -91,9 +91,29 @@ OTHER_NAMES = [
     "Eclipse Public License 2.0", "European Union Public Licence 1.2", "ISC License", "zlib License", "Artistic License 2.0", "SIL Open Font License 1.1", "Boost Software License 1.0", "CeCILL License", "Common Development and Distribution License", "Open RAIL License", "Business Source License 1.1", "Elastic License 2.0",
     "Microsoft Public License", "PostgreSQL License", "Python Software Foundation License", "Academic Free License 3.0", "Open Database License", "Community Data License Agreement", "IBM Public License", "Ruby License", "Vim License", "Sleepycat License", "PHP License 3.01", "Zope Public License 2.1",
 ]
-# Sentences in which a licence is named.
+# Paragraphs of licences of no family here; those of the second list are left out of training, for calibration.
+OTHER_PARAGRAPHS = (
+    [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1. This license is copied below, and is also available with a FAQ at https://openfontlicense.org",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\").",
+        "The Licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the Licensed Work.",
+        "Permission is granted to make and distribute verbatim copies of this manual provided the copyright notice and this permission notice are preserved on all copies.",
+        "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
+    ],
+    [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.",
+        "If you bring a patent claim against any contributor over patents that you claim are infringed by the software, your patent license from such contributor to the software ends automatically.",
+        "The contents of this file are subject to the terms of the Common Development and Distribution License (the License). You may not use this file except in compliance with the License.",
+    ],
+)
+# Sentences in which a licence is named.
 FRAMES = ["{}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This file is {}.", "This work is licensed under {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "Available under the {}.", "Available under {}.", "SPDX-License-Identifier: {}", "License: {}", "Lizenziert unter {}.", "Veröffentlicht unter der {}.", "Sous licence {}.", "Publicado bajo la licencia {}."]
-# Sentences that use words of licences without giving one.
+# Sentences that use words of licences without giving one.
 TALK = ["The driver had a license and a permit.", "He asked for permission to leave.", "The warranty covers two years.", "copyright law", "a public library", "the general public", "free software conference", "a commons by the river", "Commission on the public domain", "the notice on the door", "under the bridge", "He lost his driving licence.", "a driving license under the old law", "MIT researchers found a new material.", "She studied at MIT.", "The BSD and GPL camps met.", "CC the manager on this.", "the terms of the treaty", "version 2.0", "the following conditions"]
 UNKNOWN, NONE = "unknown", "none"
 CLASSES = [*sorted({*NAMES, *PARAGRAPHS}), NONE, UNKNOWN]
@@ -155,8 +175,12 @@ def made_texts() -> list[dict]:
         out += [{"label": family, "body": f.format(n), "held": i > 0 and (i + j) % 7 == 6} for i, n in enumerate(names) for j, f in enumerate(FRAMES)]
     for family, texts in PARAGRAPHS.items():
         out += [{"label": family, "body": c, "held": j > 0 and (i + j) % 5 == 4} for i, t in enumerate(texts) for j, c in enumerate(_cuts(t))]
+    # what a line of a rights holder begins with
+    heads = ("Copyright 2019. ", "(c) 2021. ", "© 2024 by the authors. ", "Copyright (c) 2020 Example Ltd. ")
+    out += [{"label": "proprietary", "body": h + t, "held": False} for t in PARAGRAPHS["proprietary"] for h in heads]
     half = len(OTHER_NAMES) // 2
     out += [{"label": UNKNOWN, "body": f.format(n), "held": i >= half} for i, n in enumerate(OTHER_NAMES) for f in FRAMES if f != "{}"]
+    out += [{"label": UNKNOWN, "body": c, "held": bool(held)} for held, texts in enumerate(OTHER_PARAGRAPHS) for t in texts for c in _cuts(t)]
     return out + [{"label": NONE, "body": t, "held": False} for t in TALK]
 
 
@@ -165,21 +189,29 @@ def templates() -> dict[str, list[str]]:
     return {c: [*NAMES.get(c, []), *PARAGRAPHS.get(c, [])] for c in CLASSES if c not in (NONE, UNKNOWN)}
 
 
-def template_words(spark: SparkSession) -> dict[str, list[list[str]]]:
-    """The distinct words of each template, made by the functions that read the corpus."""
-    rows = [{"class": c, "body": t} for c, ts in templates().items() for t in ts]
-    found: dict[str, list[list[str]]] = {}
+def template_words(spark: SparkSession) -> dict[str, list[dict[str, list[str]]]]:
+    """The distinct words of each template, and those of them that no other family and no other licence here uses.
+
+    Made by the functions that read the corpus.
+    """
+    rows = [{"class": c, "body": t} for c, ts in templates().items() for t in ts] + [{"class": UNKNOWN, "body": t} for ts in OTHER_PARAGRAPHS for t in ts]
+    found: dict[str, set[tuple[str, ...]]] = {}
     for r in _literal_rows(spark, rows, "class string, body string").select("class", F.array_sort(F.array_distinct(paragraph_words(F.col("body")))).alias("words")).collect():  # a fixed list
-        found.setdefault(r["class"], []).append(list(r["words"]))
-    return {c: [list(w) for w in sorted({tuple(w) for w in ws if w})] for c, ws in found.items()}
+        found.setdefault(r["class"], set()).add(tuple(r["words"]))
+    used = {c: set().union(*ws) for c, ws in found.items()}
+    others = {c: set().union(*(u for k, u in used.items() if k != c)) for c in found}
+    return {c: [{"words": list(w), "own": [x for x in w if x not in others[c]]} for w in sorted(ws) if w] for c, ws in found.items() if c != UNKNOWN}
+
 
+def overlap(words: Column, known: list[dict[str, list[str]]]) -> Column:
+    """The largest share of common words with a template; all words of a template of up to three must be there.
 
-def overlap(words: Column, known: list[list[str]]) -> Column:
-    """The largest share of common words with a template; all words of a template of up to three must be there."""
-    array = F.from_json(F.lit(json.dumps(known)), "array<array<string>>")
+    Of a longer one that has words of its own, one at least must be there: what many licences say confirms none.
+    """
+    array = F.from_json(F.lit(json.dumps(known)), "array<struct<words:array<string>,own:array<string>>>")
     shared = lambda t: F.size(F.array_intersect(t, words)) / F.when(F.size(t) <= 3, F.size(t)).otherwise(F.least(F.size(t), F.size(words)))
-    whole = lambda t: F.when((F.size(words) == 0) | ((F.size(t) <= 3) & (shared(t) < 1)), F.lit(0.0)).otherwise(shared(t))
-    return F.array_max(F.transform(array, whole))
+    empty = lambda t: (F.size(words) == 0) | ((F.size(t["words"]) <= 3) & (shared(t["words"]) < 1)) | ((F.size(t["words"]) > 3) & (F.size(t["own"]) > 0) & ~F.arrays_overlap(t["own"], words))
+    return F.array_max(F.transform(array, lambda t: F.when(empty(t), F.lit(0.0)).otherwise(shared(t["words"]))))
 
 
 def _literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -204,7 +236,7 @@ def train(docs: DataFrame, text: str = "text", lines: int = TRAIN_LINES) -> Mode
     """The classifier, and the calibrated limits."""
     spark = docs.sparkSession
     positive = _literal_rows(spark, made_texts(), "label string, body string, held boolean")
-    every = [w for ws in template_words(spark).values() for w in ws]
+    every = [{"words": t["words"], "own": []} for ts in template_words(spark).values() for t in ts]
     # a few documents for each line that is wanted, then the lines of least hash
     share = min(1.0, 4 * lines / max(1, docs.count()))
     body = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < F.lit(share * (1 << 30))).select(F.explode(F.split(F.col(text), "\n", -1)).alias("body")).where(F.col("body").rlike(r"[\p{L}\p{N}]"))
