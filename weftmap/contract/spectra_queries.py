@@ -126,3 +126,22 @@ def oriented_track(spark, sf_dir):
     centred = t.select("p", (F.col("value") - F.avg("value").over(Window.partitionBy())).alias("e1"))
     gc = blocks.row_sums(_cm(spark, sf_dir)).withColumnRenamed("total", "gc")
     return spectra.oriented(centred, gc).select("p", r("e1", 5).alias("e1"), "flipped")
+
+
+@query()
+def enhanced_map(spark, sf_dir):
+    """The derived map at twice its resolution, by tiles with a margin."""
+    from ..operators import enhance
+
+    return enhance.enhanced(inputs.contact(spark, sf_dir), NB, 2.0, tile=32).withColumn("v", r("v"))
+
+
+@query("SELECT vec_id, CAST(length(embedding) AS INT) AS n, CAST(4*ceil(length(embedding)*4/3.0) AS INT) AS letters, round(list_sum([x::DOUBLE FOR x IN embedding]), 6) AS total FROM embeddings")
+def floats_as_text(spark, sf_dir):
+    """Vectors written as base64 text and read again."""
+    from ..operators import enhance
+
+    e = inputs.read(spark, sf_dir, "embeddings").select("vec_id", enhance.floats_to_text(F.col("embedding")).alias("t"))
+    v = e.select("vec_id", F.length("t").alias("letters"), enhance.text_to_floats(F.col("t")).alias("v"))
+    return v.select("vec_id", F.size("v").alias("n"), "letters", r(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("total"))
+
