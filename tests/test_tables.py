@@ -58,3 +58,20 @@ def test_ordered_lines_follow_each_other(spark, tmp_path):
     write_lines(lines, str(tmp_path / "out"))
     parts = sorted(p for p in (tmp_path / "out").iterdir() if p.name.startswith("part"))
     assert [x for p in parts for x in p.read_text().splitlines()] == [f"line {k}" for k in range(1, 301)]
+
+
+def test_running_counts_by_ranges(spark):
+    from collections import Counter
+
+    from weftmap.functions.tables import running_counts
+
+    values = [k * k % 97 for k in range(300)] + [None, None]
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(5)
+    want = Counter(v for v in values if v is not None)
+    for down in (False, True):
+        order, upto = sorted(want, reverse=down), 0
+        got = {r["v"]: (r["c"], r["upto"]) for r in running_counts(df, "v", down).collect()}
+        for v in order:
+            upto += want[v]
+            assert got[v] == (want[v], upto)
+    assert running_counts(df.where("false"), "v").count() == 0

@@ -56,3 +56,18 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "k", start: int =
     inside = F.row_number().over(W.Window.partitionBy("__range").orderBy(*order))
     placed = dealt.withColumn("__at", inside).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range")
     return placed.withColumn(name, (F.col("__before") + F.col("__at") - 1 + start).cast("int")).drop("__range", "__at", "__before")
+
+
+def running_counts(rows: DataFrame, value: str, descending: bool = False) -> DataFrame:
+    """(value, c, upto): how often each distinct value is there, and how many rows have it or one before it.
+
+    Counts are dealt by ranges of the value; a range's running sum begins with the sizes of the ranges before it
+    (one row a range), so no task sees all distinct values.  Nulls are left out.
+    """
+    order = F.col(value).desc() if descending else F.col(value).asc()
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    dealt = written(counts.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("__range").agg(F.sum("c").alias("__rows"))
+    before = F.coalesce(F.sum("__rows").over(W.Window.orderBy("__range").rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("c").over(W.Window.partitionBy("__range").orderBy(order))
+    return dealt.withColumn("__inside", inside).join(F.broadcast(sizes.select("__range", before.alias("__before"))), "__range").select(value, "c", (F.col("__before") + F.col("__inside")).alias("upto"))

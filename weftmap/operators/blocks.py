@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.tables import running_counts
 from ..model import bins_of, owned, symmetric
 from .bands import expected_by_distance, observed_over_expected
 
@@ -186,14 +187,11 @@ def coverage_ratios(track: DataFrame, ranges: DataFrame) -> DataFrame:
 def order_statistic(rows: DataFrame, value: str, q: float, upper: bool = False) -> DataFrame:
     """One row: the value of rank floor(q n) from 0 (ceil for upper), at most the last.
 
-    Equal values share their ranks, so counts of distinct values and a running sum find it;
-    no task sorts all rows.
+    Equal values share their ranks, so running counts of distinct values, by ranges, find it.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
     total = rows.agg(F.count(value).alias("n"))
     rank = (F.ceil if upper else F.floor)(F.lit(q) * F.col("n"))
-    upto = F.sum("c").over(W.Window.orderBy(value))
-    ranked = counts.crossJoin(F.broadcast(total)).withColumn("upto", upto)  # one row
+    ranked = running_counts(rows, value).crossJoin(F.broadcast(total))  # one row
     return ranked.where(F.col("upto") > F.least(rank, F.col("n") - 1)).agg(F.min(value).alias("value"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.tables import dropped, written
+from ..functions.tables import dropped, running_counts, written
 from ..model import owned, symmetric
 from .bands import intra_profile
 
@@ -60,9 +60,7 @@ def adaptive_threshold(links: DataFrame, share: float = 0.15, cap: float = 0.2)
     n = links.count()
     if not n:
         return cap
-    counts = links.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.Window.orderBy(F.col("score").desc()))
-    return min(cap, counts.withColumn("upto", upto).where(F.col("upto") > int(share * n)).agg(F.max("score")).first()[0])
+    return min(cap, running_counts(links, "score", True).where(F.col("upto") > int(share * n)).agg(F.max("score")).first()[0])
 
 
 def group_thresholds(links: DataFrame, by: str, share: float = 0.15, cap: float = 0.2) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..functions.tables import running_counts
 from ..model import half_up, place
 
 
@@ -66,10 +67,8 @@ def clipped_unit(track: DataFrame, low: float = 0.01, high: float = 0.99, log: b
     """(p, value): clipped at two order statistics of rank floor(q (n - 1)), log1p, scaled to 0..1."""
     x = F.log1p("value") if log else F.col("value")
     t = track.select("p", x.alias("x"))
-    counts = t.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.Window.orderBy("x"))
     total = t.agg(F.count("x").alias("n"))
-    ranked = counts.withColumn("upto", upto).crossJoin(F.broadcast(total))  # one row
+    ranked = running_counts(t, "x").crossJoin(F.broadcast(total))  # one row
     pick = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("n") - 1)), F.col("x")))
     ends = ranked.agg(pick(low).alias("lo"), pick(high).alias("hi"))
     span = F.col("hi") - F.col("lo")
