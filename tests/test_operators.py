@@ -378,3 +378,16 @@ def test_motif_windows_cover_several_segments(spark):
         want.append(min(1.0, letters / (hi - lo)))
     assert got == pytest.approx(want) and max(want) == 1.0
     assert sequences.motif_windows(df.where("false"), "s", "TTAGGG").count() == 0
+
+
+def test_quality_lines_and_catalogues(spark):
+    from weftmap.operators import blocks
+
+    ranges = spark.createDataFrame([(0, "a", 0, 2, 1), (1, "b", 2, 4, 1), (2, "c", 4, 6, 2)], "order_index int, name string, start_bin int, end_bin int, scaffold_id int")
+    cm = spark.createDataFrame([(0, 1, 6.0), (0, 2, 2.0), (1, 4, 4.0), (3, 3, 9.0)], "i int, j int, v double")
+    got = [r["body"] for r in sink.quality_lines(blocks.library_quality(cm, ranges), blocks.segment_quality(cm, ranges), ranges).orderBy("k").collect()]
+    assert got == ["# Hi-C library quality metrics", "# Cis/trans ratio: 2.0000", "# Cis percentage: 66.67%", "# Long/short ratio: 0.0000", "# Mean occupied contact: 4.000000", "# Flagged contigs: 1", "contig\tcis_ratio", "a\t0.6667", "b\t1.0000", "c\t0.0000"]
+    doc = '{"version": "1", "specimens": [{"id": "x", "difficulty": "beginner", "releaseAsset": null, "patterns": ["inversions"]}, {"id": "y", "difficulty": "beginner", "releaseAsset": "y.map"}, {"id": "z", "difficulty": "advanced", "releaseAsset": "z.map"}]}'
+    entries = source.catalogue(spark.createDataFrame([("f", doc), ("g", "no document"), ("h", '{"specimens": []}')], "file string, value string"))
+    assert [r["id"] for r in entries.orderBy("place").collect()] == ["x", "y", "z"]
+    assert [r["id"] for r in source.catalogue_entries(entries, "beginner", True).collect()] == ["y"]

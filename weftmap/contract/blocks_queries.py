@@ -47,6 +47,19 @@ def segment_quality(spark, sf_dir):
     return blocks.segment_quality(_cm(spark, sf_dir), _cr(spark, sf_dir)).withColumn("ratio", r("ratio"))
 
 
+@query(f""", q AS (SELECT coalesce(sum(CASE WHEN cis THEN v END), 0) AS cis, coalesce(sum(CASE WHEN NOT cis THEN v END), 0) AS trans, coalesce(sum(CASE WHEN cis AND j - i <= 20 THEN v END), 0) AS short, coalesce(sum(CASE WHEN cis AND j - i > 20 THEN v END), 0) AS long, avg(v) AS density FROM {PAIRS}),
+h AS (SELECT c AS order_index, sum(CASE WHEN cis THEN v ELSE 0 END)/sum(v) AS ratio FROM (SELECT ca AS c, cis, v FROM {PAIRS} UNION ALL SELECT cz, cis, v FROM {PAIRS} WHERE ca <> cz) GROUP BY c)
+SELECT -7 AS k, '# Hi-C library quality metrics' AS body UNION ALL SELECT -6, '# Cis/trans ratio: ' || printf('%.4f', CASE WHEN trans > 0 THEN cis/trans ELSE 0 END) FROM q UNION ALL SELECT -5, '# Cis percentage: ' || printf('%.2f', cis/(cis + trans)*100) || '%' FROM q
+UNION ALL SELECT -4, '# Long/short ratio: ' || printf('%.4f', CASE WHEN short > 0 THEN long/short ELSE 0 END) FROM q UNION ALL SELECT -3, '# Mean occupied contact: ' || printf('%.6f', density) FROM q UNION ALL SELECT -2, '# Flagged contigs: ' || (SELECT count(*) FROM h WHERE ratio < 0.5) UNION ALL SELECT -1, 'contig' || chr(9) || 'cis_ratio'
+UNION ALL SELECT order_index, name || chr(9) || printf('%.4f', coalesce(ratio, 0)) FROM seg LEFT JOIN h USING (order_index)""", "cm", "own", "seg")
+def quality_lines(spark, sf_dir):
+    """The quality of the derived map as a commented table."""
+    from ..sinks import text as sink
+
+    cm, cr = _cm(spark, sf_dir), _cr(spark, sf_dir)
+    return sink.quality_lines(blocks.library_quality(cm, cr), blocks.segment_quality(cm, cr), cr)
+
+
 @query(f"SELECT a, b, round(m/bg, 6) AS ratio, round(least(1, (m/bg - 1.02)/(2*1.02)), 6) AS strength FROM (SELECT ca AS a, cz AS b, avg(v) AS m FROM {PAIRS} WHERE cz >= ca + 2 AND ca IN (SELECT order_index FROM cr WHERE e - s >= 2) AND cz IN (SELECT order_index FROM cr WHERE e - s >= 2) GROUP BY ca, cz), (SELECT avg(v) AS bg FROM cm WHERE i < j AND v > 0) WHERE m/bg >= 1.02", "cm", "own", "cr")
 def translocations(spark, sf_dir):
     t = blocks.translocations(_cm(spark, sf_dir), _cr(spark, sf_dir), 1.02)

@@ -448,6 +448,16 @@ def folded_edits_stream(spark, sf_dir):
     return updates.groupBy("map_id").agg(F.max_by(F.struct(*updates.columns), "edits").alias("last")).select("last.*")
 
 
+@query("SELECT CAST(c_nationkey AS VARCHAR) AS file, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS place, c_name AS id, c_acctbal AS size FROM customer QUALIFY c_mktsegment = 'BUILDING' AND c_custkey % 3 > 0")
+def catalogue_entries(spark, sf_dir):
+    """A catalogue a nation, written as a document and read again: entries of one difficulty that can be loaded."""
+    c = inputs.read(spark, sf_dir, "customer")
+    entry = F.struct("c_custkey", F.col("c_name").alias("id"), F.col("c_acctbal").alias("sizeMB"), F.col("c_mktsegment").alias("difficulty"), F.when(F.col("c_custkey") % 3 > 0, F.concat("c_name", F.lit(".map"))).alias("releaseAsset"))
+    docs = c.groupBy("c_nationkey").agg(F.to_json(F.struct(F.lit("1").alias("version"), F.sort_array(F.collect_list(entry)).alias("specimens"))).alias("value"))
+    entries = source.catalogue(docs.select(F.col("c_nationkey").cast("string").alias("file"), "value"))
+    return source.catalogue_entries(entries, "BUILDING", True).select("file", "place", "id", F.col("sizeMB").alias("size"))
+
+
 @query()
 def map_health(spark, sf_dir):
     """Health of the derived map, from all of its analyses."""

@@ -88,6 +88,20 @@ def decay_lines(curve: DataFrame, fit: DataFrame) -> DataFrame:
     return top.unionByName(curve.select(F.col("d").alias("k"), F.concat_ws("\t", F.col("d").cast("string"), f("mean"), f("log_d"), f("log_mean")).alias("body")))
 
 
+def quality_lines(library: DataFrame, each: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(k, body): library quality as comments, a header, and the cis share of each segment in order.
+
+    ``library`` and ``each`` as ``blocks.library_quality`` and ``blocks.segment_quality`` give them; a segment without pairs has 0.
+    """
+    f = lambda c, n: F.format_string(f"%.{n}f", c)
+    odd = each.agg(F.count_if("flagged").alias("flagged"))  # one row
+    trans = F.coalesce(F.col("cis") / F.when(F.col("trans") > 0, F.col("trans")), F.lit(0.0))
+    comments = [F.lit("# Hi-C library quality metrics"), F.concat(F.lit("# Cis/trans ratio: "), f(trans, 4)), F.concat(F.lit("# Cis percentage: "), f(F.col("cis_ratio") * 100, 2), F.lit("%")), F.concat(F.lit("# Long/short ratio: "), f(F.col("long_short"), 4)), F.concat(F.lit("# Mean occupied contact: "), f(F.col("density"), 6)), F.concat(F.lit("# Flagged contigs: "), F.col("flagged").cast("string")), F.lit("contig\tcis_ratio")]
+    top = library.crossJoin(F.broadcast(odd)).select(F.posexplode(F.array(*comments)).alias("k", "body")).select((F.col("k") - len(comments)).alias("k"), "body")
+    rows = ranges.select("order_index", "name").join(each.select("order_index", "ratio"), "order_index", "left")
+    return top.unionByName(rows.select(F.col("order_index").alias("k"), F.concat_ws("\t", "name", f(F.coalesce("ratio", F.lit(0.0)), 4)).alias("body")))
+
+
 def saddle_lines(table: DataFrame, bins: int) -> DataFrame:
     """(k, body): the saddle matrix, a row a class."""
     wide = table.groupBy("a").pivot("b", list(range(bins))).agg(F.first("mean"))

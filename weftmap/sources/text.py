@@ -102,3 +102,19 @@ def edit_logs(whole: DataFrame) -> DataFrame:
     s = whole.select("file", F.from_json("value", LOG).alias("s")).where("s.version is not null and s.entries is not null")
     e = s.select("file", F.posexplode("s.entries").alias("k", "e"))
     return e.select("file", (F.col("k") + 1).alias("seq"), F.col("e.timestamp").try_cast("timestamp").alias("at"), F.col("e.operationType").alias("op"), F.col("e.description").alias("description"), F.col("e.parameters").alias("parameters"))
+
+
+CATALOGUE = "version string, specimens array<struct<id:string,species:string,commonName:string,taxon:string,sizeMB:double,chromosomeCount:int,contigCount:int,difficulty:string,patterns:array<string>,releaseAsset:string,releaseTag:string,genomeArkKeys:struct<pre:string,post:string>,benchmarkBaseline:struct<f1:double,kendallTau:double,orientationAccuracy:double>>>"
+
+
+def catalogue(whole: DataFrame) -> DataFrame:
+    """Catalogues (file, value) as a row an entry (file, version, place, id, ...); other documents give none."""
+    c = whole.select("file", F.from_json("value", CATALOGUE).alias("c")).where("c.version is not null")
+    return c.select("file", "c.version", F.posexplode("c.specimens").alias("place", "s")).select("file", "version", "place", "s.*")
+
+
+def catalogue_entries(entries: DataFrame, difficulty: str | None = None, loadable: bool = False) -> DataFrame:
+    """Entries of a difficulty, and with ``loadable`` only those that have a file to load."""
+    if difficulty is not None:
+        entries = entries.where(F.col("difficulty") == difficulty)
+    return entries.where("releaseAsset is not null") if loadable else entries
