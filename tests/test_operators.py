@@ -271,8 +271,9 @@ def test_row_products_equal_numpy(spark):
     m = m + np.triu(m, 1).T
     cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "i int, j int, v double")
     g = m @ m.T
-    got = {(r["i"], r["j"]): r["xy"] for r in spectra.row_products(cells, n, 7).collect()}
-    assert got == {(i, j): pytest.approx(g[i, j]) for i in range(n) for j in range(i + 1, n) if g[i, j]}
+    for columns in (8192, 11):
+        got = {(r["i"], r["j"]): r["xy"] for r in spectra.row_products(cells, n, 7, columns).collect()}
+        assert got == {(i, j): pytest.approx(g[i, j]) for i in range(n) for j in range(i + 1, n) if g[i, j]}
 
 
 def test_compartments_equal_the_leading_eigenvector(spark):

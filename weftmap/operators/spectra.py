@@ -35,29 +35,31 @@ def row_correlation(contact: DataFrame, n: int) -> DataFrame:
     return pairs.select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.coalesce(c, F.lit(0.0))).alias("v"))
 
 
-def row_products(cells: DataFrame, n: int, block: int = 256) -> DataFrame:
+def row_products(cells: DataFrame, n: int, block: int = 256, columns: int = 8192) -> DataFrame:
     """(i, j, xy), i < j: sums of products of rows i and j of a symmetric matrix given as all of its cells.
 
-    Rows are cut into blocks; a task multiplies two blocks of ``block`` rows by n columns.  A
-    cell is sent to as many pairs of blocks as there are blocks, not to every row.
+    Rows are cut into blocks and columns into stripes; a task multiplies two blocks of ``block`` rows by
+    ``columns`` columns, whatever n is, and the products of all stripes are summed.  A cell is sent to as
+    many pairs of blocks as there are blocks, not to every row.
     """
-    blocks = -(-n // block)
-    own = cells.select(F.floor(F.col("i") / block).cast("int").alias("own"), "i", "j", "v")
-    left = own.select(F.col("own").alias("p"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("q"), F.lit(0).alias("side"), "i", "j", "v")
-    right = own.select(F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"), F.lit(1).alias("side"), "i", "j", "v")
+    blocks, wide = -(-n // block), min(n, columns)
+    own = cells.select(F.floor(F.col("i") / block).cast("int").alias("own"), F.floor(F.col("j") / wide).cast("int").alias("stripe"), "i", "j", "v")
+    left = own.select(F.col("own").alias("p"), F.explode(F.sequence("own", F.lit(blocks - 1))).alias("q"), "stripe", F.lit(0).alias("side"), "i", "j", "v")
+    right = own.select(F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"), "stripe", F.lit(1).alias("side"), "i", "j", "v")
 
     def multiplied(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sides = []
-        for k, first in enumerate(key):
-            m, own = np.zeros((block, n)), rows[rows["side"] == k]
-            m[own["i"].to_numpy() - first * block, own["j"].to_numpy()] = own["v"].to_numpy()
+        for k, first in enumerate(key[:2]):
+            m, own = np.zeros((block, wide)), rows[rows["side"] == k]
+            m[own["i"].to_numpy() - first * block, own["j"].to_numpy() - key[2] * wide] = own["v"].to_numpy()
             sides.append(m)
         g = sides[0] @ sides[1].T
         i, j = np.nonzero(g)
         i, j, xy = i + key[0] * block, j + key[1] * block, g[i, j]
         return pd.DataFrame({"i": i, "j": j, "xy": xy})[i < j]
 
-    return left.unionByName(right).groupBy("p", "q").applyInPandas(multiplied, "i int, j int, xy double")
+    parts = left.unionByName(right).groupBy("p", "q", "stripe").applyInPandas(multiplied, "i int, j int, xy double")
+    return parts if wide == n else parts.groupBy("i", "j").agg(F.sum("xy").alias("xy"))
 
 
 def power_iteration(matrix: DataFrame, n: int, rounds: int = 100, tolerance: float = 1e-6, check_every: int = 5) -> DataFrame:
