@@ -392,3 +392,28 @@ def test_quality_lines_and_catalogues(spark):
     entries = source.catalogue(spark.createDataFrame([("f", doc), ("g", "no document"), ("h", '{"specimens": []}')], "file string, value string"))
     assert [r["id"] for r in entries.orderBy("place").collect()] == ["x", "y", "z"]
     assert [r["id"] for r in source.catalogue_entries(entries, "beginner", True).collect()] == ["y"]
+
+
+def test_a_sweep_equals_one_run_a_setting(spark):
+    from weftmap.contract import inputs
+    from weftmap.operators import links, metrics
+    from weftmap.plans import sweep
+
+    sf = "/root/testdata/sf0.001"
+    cm, ranges = inputs.contact(spark, sf), inputs.ranges(spark, sf)
+    settings = [sweep.Setting(30, 0.05, 0.2), sweep.Setting(50, 0.1, 0.3), sweep.Setting(50, 0.6, 0.9), sweep.Setting(50, 2.0, 0.2)]
+    found = sweep.orders(cm, ranges, inputs.NB, settings)
+    got = {}
+    for r in found.orderBy("setting", "new_index").collect():
+        got.setdefault(r["setting"], []).append((r["order_index"], r["inverted"]))
+    for k, s in enumerate(settings):
+        best = links.best_links(links.link_scores(cm, ranges, inputs.NB, s.max_distance), s.cutoff)
+        threshold = links.adaptive_threshold(best, cap=s.hard)
+        alone = links.ordered_segments(links.merged_chains(links.chains(best, ranges.select("order_index"), threshold), best, threshold))
+        assert got[k] == [(r["order_index"], r["inverted"]) for r in alone.orderBy("new_index").collect()]
+    truth = ranges.select("order_index", F.col("order_index").alias("place"), F.lit(1).alias("chromosome"), F.lit(False).alias("inverted"))
+    scored = {r["setting"]: r for r in sweep.scores(found, truth).collect()}
+    n = ranges.count()
+    assert scored[3]["chains"] == n and scored[3]["tau"] == 1 and scored[3]["orientation"] == 1  # no link: the order stays
+    one = found.where("setting = 0").select(F.col("new_index").alias("pos"), F.col("order_index").cast("long").alias("truth"))
+    assert scored[0]["tau"] == pytest.approx(metrics.kendall_tau(one).first()["tau"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..operators import batch, history, provenance, scripts
-from ..plans import curate
+from ..plans import curate, sweep
 from . import inputs
 from .edit_queries import CUST, _initial, _log, _seg
 from .inputs import NB
@@ -181,3 +181,12 @@ def curation_scores(spark, sf_dir):
 def scaffold_orders(spark, sf_dir):
     """Brands ordered inside their scaffolds by the links of the derived map."""
     return curate.scaffold_order(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir), NB, "scaffold_id")
+
+
+@query()
+def sort_sweep(spark, sf_dir):
+    """27 settings of the automatic order of brands on the derived map, scored in one run; the truth is the order on the map."""
+    ranges = inputs.ranges(spark, sf_dir)
+    found = sweep.orders(inputs.contact(spark, sf_dir), ranges, NB, sweep.grid())
+    truth = ranges.select("order_index", F.col("order_index").alias("place"), F.coalesce("scaffold_id", F.lit(0)).alias("chromosome"), F.lit(False).alias("inverted"))
+    return sweep.scores(found, truth).select("setting", "items", "chains", *[r(c).alias(c) for c in ("tau", "ari", "orientation", "score")])

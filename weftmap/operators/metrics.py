@@ -102,17 +102,18 @@ def longest_run(ranked: DataFrame, *by: str) -> DataFrame:
     return g.groupBy(*by).agg(F.max("n").cast("long").alias("longest")) if by else g.agg(F.max("n").cast("long").alias("longest"))
 
 
-def adjusted_rand(pairs: DataFrame) -> DataFrame:
-    """One row: agreement of two labellings (pred, truth), corrected for chance; 1 if undefined."""
+def adjusted_rand(pairs: DataFrame, *by: str) -> DataFrame:
+    """(by, ari): agreement of two labellings (pred, truth), corrected for chance; 1 if undefined."""
     two = lambda c: (F.sum(F.col(c) * (F.col(c) - 1)) / 2)
-    cell = pairs.groupBy("pred", "truth").agg(F.count(F.lit(1)).cast("double").alias("c"))
-    rows = cell.groupBy("pred").agg(F.sum("c").alias("c")).agg(two("c").alias("a"))
-    cols = cell.groupBy("truth").agg(F.sum("c").alias("c")).agg(two("c").alias("b"))
-    both = cell.agg(two("c").alias("x"), F.sum("c").alias("n"))
-    j = both.crossJoin(rows).crossJoin(cols)  # one row each
+    cell = pairs.groupBy(*by, "pred", "truth").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    summed = lambda df, *what: df.groupBy(*by).agg(*what) if by else df.agg(*what)
+    rows = summed(cell.groupBy(*by, "pred").agg(F.sum("c").alias("c")), two("c").alias("a"))
+    cols = summed(cell.groupBy(*by, "truth").agg(F.sum("c").alias("c")), two("c").alias("b"))
+    both = summed(cell, two("c").alias("x"), F.sum("c").alias("n"))
+    j = both.join(rows, list(by)).join(cols, list(by)) if by else both.crossJoin(rows).crossJoin(cols)  # one row each
     wanted = F.col("a") * F.col("b") / F.when(F.col("n") > 1, F.col("n") * (F.col("n") - 1) / 2)
     top = (F.col("a") + F.col("b")) / 2 - wanted
-    return j.select(F.coalesce(F.when(F.abs(top) > 1e-12, (F.col("x") - wanted) / F.when(F.abs(top) > 1e-12, top)), F.lit(1.0)).alias("ari"))
+    return j.select(*by, F.coalesce(F.when(F.abs(top) > 1e-12, (F.col("x") - wanted) / F.when(F.abs(top) > 1e-12, top)), F.lit(1.0)).alias("ari"))
 
 
 def chain_quality(items: DataFrame) -> DataFrame:
