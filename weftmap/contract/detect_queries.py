@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions.tables import written
-from ..operators import bands, detect, links, remap, windows
+from ..operators import detect, links, remap, windows
 from . import inputs
 from .inputs import NB
 from .queries import query, r
@@ -161,8 +161,6 @@ def interval_track(spark, sf_dir):
     return remap.intervals_to_track(e, inputs.segments(spark, sf_dir), NB).withColumn("value", r("value"))
 
 
-__all__ = ["bands"]
-
 
 SPLIT = """, sp AS (SELECT order_index, s, e, p AS split, (p - s) % 5 = 3 AS cand, p IN (SELECT s + floor((e - s)*k/10.0) FROM (VALUES (2), (3), (4), (5), (6), (7), (8)) t(k)) AS even FROM crt JOIN bins ON p > s AND p < e),
 mn AS (SELECT order_index, split, cand, even, (SELECT coalesce(sum(v), 0) FROM cm WHERE i >= s AND i < split AND j >= split AND j < e)/((split - s)*(e - split)) AS mean FROM sp),

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..functions import sequences
-from ..operators import bands, history, select, spectra, windows
+from ..operators import history, select, windows
 from ..plans import summary
 from ..sinks import text as sink
-from ..sources import synthetic
 from ..sources import text as source
 from ..streaming import logs
 from . import inputs
@@ -463,5 +462,3 @@ def map_health(spark, sf_dir):
     """Health of the derived map, from all of its analyses."""
     return summary.health(inputs.contact(spark, sf_dir), inputs.ranges(spark, sf_dir), NB).select("exponent", "cis_ratio", "flags", "checkerboard", "overall")
 
-
-__all__ = ["bands", "spectra", "synthetic", "windows"]
