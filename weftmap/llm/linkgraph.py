@@ -10,7 +10,7 @@ to names of two parts (``blog.a.org`` and ``a.org``), whether or not that has pa
 
 Scores of hosts without out-links leak, as the sums are only compared with each other.  Mass
 moves on until all that is still on its way is below ``TOLERANCE`` of such a share, whatever the
-number of hosts.
+number of hosts.  A host whose score is within that of a limit may fall on either side of it.
 
 Defined results
     null url, no ``://``   host and path are empty; no rule fits; an empty host is allowed
@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,27 +81,62 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tole
     """(kind, host, score): personalised PageRank of each kind over its own edges.
 
     ``edges`` (kind, src, dst, links) and ``seeds`` (kind, host, seed), seeds of a kind
-    summing to 1.  Both kinds move in the same joins.  ``rest`` is the mass that arrived in the
-    last round; what it may still bring is at most damping / (1 - damping) times its sum, so a
-    sum over one column tells when to stop.  A host has an edge to itself that keeps its
-    score, so a round is one join and one sum, and several rounds are one plan, which is written out.
+    summing to 1.  Both kinds move in the same joins.  ``rest`` is the mass on its way, not yet
+    in ``score``; once it has arrived, it may still bring at most damping / (1 - damping) times its
+    sum, so a sum over one column tells when to stop.  A host has an edge to itself that keeps its
+    columns, so a round is one join and one sum, and several rounds are one plan, which is written out.
+    ``settled`` then adds the rounds so that little is left, which takes a few plans instead of a dozen.
     """
     out = edges.groupBy("kind", "src").agg(F.sum("links").alias("__all"))
     moves = edges.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("links") / F.col("__all") * damping).alias("share"))
     hosts = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(seeds.select("kind", "host")).distinct()
     step = saved(moves.unionByName(hosts.select("kind", "host", F.col("host").alias("dst"), F.lit(None).cast("double").alias("share"))), "links")
-    now = saved(seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("score"), (F.col("seed") * (1 - damping)).alias("rest")), "scores")
-    while (now.agg(F.sum("rest")).first()[0] or 0.0) * damping / (1 - damping) >= tolerance:
-        after = now
-        for _ in range(SAVE_EVERY):
-            met = after.join(step, ["kind", "host"]).where("share is null or rest > 0")
-            kept, moved = F.when(F.col("share").isNull(), F.col("score")).otherwise(0.0), F.coalesce(F.col("rest") * F.col("share"), F.lit(0.0))
-            after = met.select("kind", F.col("dst").alias("host"), kept.alias("score"), moved.alias("rest")).groupBy("kind", "host").agg((F.sum("score") + F.sum("rest")).alias("score"), F.sum("rest").alias("rest"))
+    table = saved(seeds.select("kind", "host", F.lit(0.0).alias("score"), (F.col("seed") * (1 - damping)).alias("rest")), "scores")
+    now, left = table, table.agg(F.sum("rest")).first()[0] or 0.0
+    while left * damping / (1 - damping) >= tolerance:
+        after = now.withColumnRenamed("rest", "r0")
+        for k in range(SAVE_EVERY):
+            met = after.join(step, ["kind", "host"]).where(F.col("share").isNull() | (F.col(f"r{k}") != 0))
+            columns = ["score", *[f"r{j}" for j in range(k + 1)]]
+            kept = [F.when(F.col("share").isNull(), F.col(c)).otherwise(0.0).alias(c) for c in columns]
+            moved = F.coalesce(F.col(f"r{k}") * F.col("share"), F.lit(0.0)).alias(f"r{k + 1}")
+            after = met.select("kind", F.col("dst").alias("host"), *kept, moved).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in [*columns, f"r{k + 1}"]])
         after = saved(after, "scores")
-        drop_saved(now)
-        now = after
+        drop_saved(table)
+        table = after
+        now, left = settled(table)
     drop_saved(step)
-    return now.select("kind", "host", "score")
+    return now.select("kind", "host", F.greatest(F.col("score") + F.col("rest"), F.lit(0.0)).alias("score"))
+
+
+def settled(rounds: DataFrame) -> tuple[DataFrame, float]:
+    """(kind, host, score, rest) after rounds of ``rest``, r0 to the last, and the sum of what is left on its way.
+
+    To add c times a round to the score takes c times (this round - the next) from the rest, whatever c
+    is.  Least squares over all hosts choose the c of each round (restarted GMRES); only the sums of products
+    come to the driver.  If that leaves more on its way than c = 1, which adds the rounds as they are,
+    c is 1.  The c are rounded, so that reruns agree although Spark adds in another order.
+    """
+    r = [F.col(f"r{k}") for k in range(SAVE_EVERY + 1)]
+    fall = [r[k] - r[k + 1] for k in range(SAVE_EVERY)]
+    pairs = [(i, j) for i in range(SAVE_EVERY) for j in range(i + 1)]
+    sums = rounds.agg(*[F.sum(fall[i] * fall[j]) for i, j in pairs], *[F.sum(f * r[0]) for f in fall], F.sum(F.abs(r[-1]))).first()
+    square = np.zeros((SAVE_EVERY, SAVE_EVERY))
+    for (i, j), v in zip(pairs, sums):
+        square[i, j] = square[j, i] = v
+    size = np.sqrt(square.diagonal())
+    scale = np.divide(1, size, out=np.zeros(SAVE_EVERY), where=size > 0)
+    to = np.array(sums[len(pairs) : -1]) * scale
+    c = np.round(scale * (np.linalg.pinv(square * np.outer(scale, scale), rcond=1e-8, hermitian=True) @ to), 6)
+
+    score, rest = F.col("score"), r[0]
+    for k in range(SAVE_EVERY):
+        score, rest = score + r[k] * float(c[k]), rest - fall[k] * float(c[k])
+    best = rounds.select("kind", "host", score.alias("score"), rest.alias("rest"))
+    left = best.agg(F.sum(F.abs("rest"))).first()[0]
+    if left < sums[-1]:
+        return best, left
+    return rounds.select("kind", "host", sum(r[:-1], F.col("score")).alias("score"), r[-1].alias("rest")), sums[-1]
 
 
 def filter_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[Rule] = RULES, max_distrust: float = MAX_DISTRUST) -> DataFrame:
