@@ -143,6 +143,16 @@ def test_known_metrics(spark):
     assert metrics.adjusted_rand(spark.createDataFrame([(1, 1), (1, 1), (2, 2)], "pred int, truth int")).first()["ari"] == 1
 
 
+def test_squares_of_long_scaffolds(spark):
+    lengths = [4 * 10**9 + 1, 3 * 10**9 + 7, 10]  # squares beyond a long
+    seg = spark.createDataFrame([(k, v, k % 2) for k, v in enumerate(lengths)], "order_index int, length long, scaffold_id int")
+    m = metrics.assembly_metrics(seg).first()
+    exact = lambda *v: pytest.approx(sum(x * x for x in v) / sum(v), rel=1e-15)
+    assert m["aun"] == exact(*lengths) and m["scaffold_aun"] == exact(lengths[0] + 10, lengths[1])
+    huge = metrics.assembly_metrics(spark.createDataFrame([(0, 9 * 10**18, None)], "order_index int, length long, scaffold_id int")).first()
+    assert huge["aun"] == huge["scaffold_aun"] == 9e18
+
+
 def test_layout_round_trip(spark):
     seg = spark.createDataFrame([(0, "a", 100, 1, False), (1, "b", 50, 1, True), (2, "c", 70, None, False)], "order_index int, name string, length long, scaffold_id int, inverted boolean")
     lines = sink.layout_lines(seg)

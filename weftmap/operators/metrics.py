@@ -30,9 +30,12 @@ def n_statistics(lengths: DataFrame, *by: str, levels: tuple[float, ...] = (0.5,
 
 
 def aun(length: str = "length") -> Column:
-    """Area under the Nx curve: sum of squares over the sum; 0 without length."""
-    total = F.sum(length)
-    return F.coalesce(F.sum(F.col(length) * F.col(length)) / F.when(total > 0, total), F.lit(0.0))
+    """Area under the Nx curve: sum of squares over the sum; 0 without length.
+
+    Squares of whole lengths are summed as decimals: exact, and they fit wherever the sum of lengths fits a long.
+    """
+    total, whole = F.sum(length), F.col(length).cast("decimal(19,0)")
+    return F.coalesce(F.sum(whole * whole).cast("double") / F.when(total > 0, total), F.lit(0.0))
 
 
 def assembly_metrics(segments: DataFrame) -> DataFrame:
