@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftmap.operators import batch, history, links, scripts
+from weftmap.operators import batch, history, links, scripts, select
 from weftmap.plans import curate
 
 INITIAL = "map_id long, order_index int, segment string, length long, inverted boolean, scaffold string"
@@ -297,3 +297,12 @@ def test_late_edits_of_a_stream_take_their_place(spark, tmp_path, keep):
             history.apply_operation(state, op, a, b, text)
         assert last[m]["segment_order"] == ",".join(s[0] for s in state) and last[m]["n_inverted"] == sum(s[2] for s in state)
         assert last[m]["edits"] == 40 and last[m]["late"] == 0 and last[m]["seq"] == 39
+
+
+def test_waypoints_at_one_place_go_by_id(spark):
+    places = {100.0: (3, 10, 17), 300.0: (5, 12, 19), 500.0: (4, 11, 18)}
+    rows = [(k, x, 0.0) for x, ids in places.items() for k in ids] + [(0, None, 0.0)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "id long, x double, y double").coalesce(1)
+        found = [tuple(select.next_waypoint(df, at).first()) for at in (100.0, 10.0, 400.0)]
+        assert found == [(5, 3), (3, 4), (3, 4)]

@@ -117,10 +117,14 @@ def matrix_valid(contact: DataFrame, n: int) -> DataFrame:
 
 
 def next_waypoint(waypoints: DataFrame, at: float) -> DataFrame:
-    """One row: the nearest waypoint ahead of and behind a place on the diagonal, wrapping around."""
+    """One row: the nearest waypoint ahead of and behind a place on the diagonal, wrapping around.
+
+    Of waypoints at one place the one of the lowest id counts, both ahead and behind.
+    """
     d = (F.col("x") + F.col("y")) / 2
-    ahead, first = F.min_by("id", F.when(d > at, d)), F.min_by("id", d)
-    behind, last = F.max_by("id", F.when(d < at, d)), F.max_by("id", d)
+    up, down = F.struct(d, "id"), F.struct(~F.isnan(d), -d, "id")  # NaN is above all numbers, as in max_by
+    ahead, first = F.min_by("id", F.when(d > at, up)), F.min_by("id", F.when(d.isNotNull(), up))
+    behind, last = F.min_by("id", F.when(d < at, down)), F.min_by("id", F.when(d.isNotNull(), down))
     return waypoints.agg(F.coalesce(ahead, first).alias("next_id"), F.coalesce(behind, last).alias("previous_id"))
 
 
