@@ -68,6 +68,23 @@ def test_tree_equals_plain_fold(spark, chunk, places):
             assert spans[0][0] == 0 and spans[-1][1] == length and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
 
 
+def test_plans_do_not_grow_with_the_number_of_chunks(spark, monkeypatch):
+    """40 chunks are six levels: every table is written from few others, whatever the level."""
+    leaves, write = [], provenance.written
+
+    def counted(df, tag="step"):
+        leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return write(df, tag)
+
+    monkeypatch.setattr(provenance, "written", counted)
+    rng = random.Random(5)
+    maps = [random_map(rng, m, n, e) for m, (n, e) in enumerate([(25, 80), (3, 7)])]
+    initial = spark.createDataFrame([r for s, _, _ in maps for r in s], SEGMENTS)
+    log = spark.createDataFrame([r for _, edits, _ in maps for r in edits], LOG)
+    assert rows(provenance.fold_tree(initial, log, 2, 8)) == sorted((m, k, *s[:4], s[4]) for m, (_, _, state) in enumerate(maps) for k, s in enumerate(state))
+    assert max(leaves) <= 16
+
+
 def test_pieces_of_reversed_segments():
     source = ["s", 100, True, None, [("s", 0, 100, True)]]
     left, right = provenance.apply_to("cut", [source], 30, None)

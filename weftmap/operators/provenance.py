@@ -9,7 +9,8 @@ they lead any place of any chunk back to the beginning in as many joins as the n
 bits; every row of an effect, and every place that an edit names, is a row of these joins.
 
 Versions that share segments (through cuts and joins) form a component, and a component is worked
-out in one task: its size is the number of edits to a few segments, not that of the log.
+out in one task: its size is the number of edits to a few segments, not that of the log. A log of a few
+chunks is worked out whole, without a search for its components.
 
 Edits that a log holds were made, so each must be valid where it stands; one that isn't is an error.
 """
@@ -17,6 +18,8 @@ Edits that a log holds were made, so each must be valid where it stands; one tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +30,8 @@ from ..functions.tables import dropped, numbered, written
 
 #: Edits of a chunk, and places of a bucket of the joins.
 CHUNK, PLACES = 1024, 4096
+#: Logs of at most so many chunks are worked out as one component each. Rows and pieces of a batch that tasks return.
+WHOLE, ROWS = 8, 8192
 EFFECT = "map_id long, chunk long, id long, side int, start long, n long, ref long, version boolean, op string, b long, text string"
 PIECE = "struct<source:string,start:long,end:long,reversed:boolean>"
 RESOLVED = f"map_id long, id long, segment string, length long, inverted boolean, scaffold string, pieces array<{PIECE}>"
@@ -89,24 +94,23 @@ def _chunk_effects(edits: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in EFFECT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bound, held = None, 0, []
+        out = []
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        for map_id, chunk, top, *edit in _closed(rows):
-            if (map_id, chunk) != key:
-                if held:
-                    yield _batch(_chunk_effect(*key, bound, held), names, types)
-                key, bound, held = (map_id, chunk), top, []
-            if map_id is not None:
-                held.append(tuple(edit))
-
-    ordered = edits.select("map_id", "chunk", "bound", "seq", "op", "a", "b", "text").repartition("map_id", "chunk").sortWithinPartitions("map_id", "chunk", "seq")
+        for key, held in groupby(rows, lambda x: x[:3]):
+            out += _chunk_effect(*key, [x[3:] for x in held])
+            if len(out) >= ROWS:
+                yield _batch(out, names, types)
+                out = []
+        if out:
+            yield _batch(out, names, types)
+
+    ordered = _dealt(edits.select("map_id", "chunk", "bound", "seq", "op", "a", "b", "text"), "map_id", "chunk").sortWithinPartitions("map_id", "chunk", "seq")
     return ordered.mapInArrow(run, EFFECT)
 
 
-def _closed(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows and a last one without a map, which closes the group before."""
-    yield from rows
-    yield (None, None, 0)
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of few bytes and much work, in all partitions: by size alone they would be put into one or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -130,17 +134,21 @@ def _through(runs: DataFrame, effect: DataFrame, places: int) -> DataFrame:
     return met.withColumns(moved).select(runs.columns)
 
 
-def _levels(effect: DataFrame, chunks: int, places: int) -> list[DataFrame]:
-    """Effects (map_id, node, start, n, ref, version) of runs of 1, 2, 4, ... chunks."""
+def _width(bound: int, chunk: int, level: int, places: int) -> int:
+    """Places of a bucket where effects of 2**level chunks meet: about one run each, so neither runs nor buckets multiply."""
+    return min(places, max(16, bound // (chunk << level)))
+
+
+def _levels(effect: DataFrame, chunks: int, widths: list[int]) -> list[DataFrame]:
+    """Effects (map_id, node, start, n, ref, version) of runs of 1, 2, 4, ... chunks, where a log has so many."""
     out = [written(effect.select("map_id", F.col("chunk").alias("node"), "start", "n", "ref", "version"), "effects")]
     while chunks >> len(out):
         below = out[-1]
         odd = F.col("node") % 2 == 1
         last = below.where(odd)
         runs = last.where("not version").withColumn("node", F.col("node") - 1)
-        pairs = last.select("map_id", (F.col("node") - 1).alias("node")).distinct()
-        alone = below.where(~odd).join(pairs, ["map_id", "node"], "left_anti")
-        whole = alone.unionByName(last.where("version")).unionByName(_through(runs, below.where(~odd), places))
+        # a node without a second half ends behind the log: nothing is led through it
+        whole = last.where("version").unionByName(_through(runs, below.where(~odd), widths[len(out) - 1]))
         out.append(written(whole.withColumn("node", F.shiftright("node", 1)), "effects"))
     return out
 
@@ -199,37 +207,71 @@ def apply_to(op: str, operands: list[list], b: int | None, text: str | None) ->
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
-    """Versions that stand, worked out by component; ``rows`` (map_id, component, id, side, ref, op, b, text, segment, length, inverted, scaffold, stands).
+    """Versions that stand, worked out by component; ``rows`` (map_id, component, id, side, ref, op, b, text, segment, length, inverted, scaffold).
 
     A segment of the beginning is a row without op, whose id is -1 - its place; ``ref`` of an operand is a version or such an id.
+    In order of id an edit comes after what it takes; a version is taken once at most, and one that isn't stands.
     """
     piece = pa.struct([("source", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reversed", pa.bool_())])
+    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(piece)]
+    names = ["map_id", "id", "segment", "length", "inverted", "scaffold", "pieces"]
+    kinds = ("source", "start", "end", "reversed")
 
-    def run(table: pa.Table) -> pa.Table:
+    def standing(own: Iterator[tuple]) -> Iterator[tuple]:
+        """Standing versions (id, segment) of one component."""
         known: dict[int, list] = {}
-        edits: dict[int, list] = {}
-        out = []
-        for row in table.sort_by([("id", "ascending"), ("side", "ascending")]).to_pylist():
-            if row["op"] is None:
-                known[row["id"]] = [row["segment"], row["length"], row["inverted"], row["scaffold"], [(row["segment"], 0, row["length"], row["inverted"])]]
-            else:
-                edits.setdefault(row["id"], []).append(row)
-        for id_, own in edits.items():
-            missing = [x["ref"] for x in own if x["ref"] not in known]
-            if missing:
+        for (id_, op, b, text), operands in groupby(own, lambda x: (x[2], x[5], x[6], x[7])):
+            operands = list(operands)
+            if op is None:
+                _, _, _, _, _, _, _, _, name, length, inverted, scaffold = operands[0]
+                known[id_] = [name, length, inverted, scaffold, [(name, 0, length, inverted)]]
+                continue
+            if any(x[4] not in known for x in operands):
                 raise ValueError("an edit names a place behind the last segment")
-            for k, made in enumerate(apply_to(own[0]["op"], [known[x["ref"]] for x in own], own[0]["b"], own[0]["text"])):
+            for k, made in enumerate(apply_to(op, [known.pop(x[4]) for x in operands], b, text)):
                 known[id_ + k] = made
-        map_id = table["map_id"][0].as_py()
-        stands = {x["id"] + k for own in edits.values() for x in own for k, s in enumerate(x["stands"]) if s}
-        for id_ in sorted(stands):
-            name, length, inverted, scaffold, pieces = known[id_]
-            out.append((map_id, id_, name, length, inverted, scaffold, [dict(zip(("source", "start", "end", "reversed"), p)) for p in pieces]))
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.list_(piece)]
-        columns = list(zip(*out)) if out else [[]] * 7
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["map_id", "id", "segment", "length", "inverted", "scaffold", "pieces"])
+        return ((id_, made) for id_, made in known.items() if id_ >= 0)
 
-    return rows.groupBy("map_id", "component").applyInArrow(run, RESOLVED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        every = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for (map_id, _), own in groupby(every, lambda x: x[:2]):
+            for id_, (name, length, inverted, scaffold, pieces) in standing(own):
+                out.append((map_id, id_, name, length, inverted, scaffold, [dict(zip(kinds, p)) for p in pieces]))
+                held += 1 + len(pieces)
+                if held >= ROWS:
+                    yield _batch(out, names, types)
+                    out, held = [], 0
+        if out:
+            yield _batch(out, names, types)
+
+    ordered = _dealt(rows.select("map_id", "component", "id", "side", "ref", "op", "b", "text", "segment", "length", "inverted", "scaffold"), "map_id", "component").sortWithinPartitions("map_id", "component", "id", "side")
+    return ordered.mapInArrow(run, RESOLVED)
+
+
+def _owners(operands: DataFrame, maps: DataFrame, most: int, whole: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Operands with their component, and (map_id, component, node) of the segments that each begins with.
+
+    Components are searched for in maps of more than so many chunks; other maps are one each.
+    """
+    long = F.col("chunks") > whole
+    few = operands.join(maps.where(~long).select("map_id"), "map_id", "left_semi").withColumn("component", F.lit(0).cast("long"))
+    out = [(few, few.where("ref < 0").select("map_id", "component", F.col("ref").alias("node")))]
+    if most > whole:
+        many = operands.join(maps.where(long).select("map_id"), "map_id", "left_semi")
+        # both versions of a cut are one node
+        node = F.when(F.col("ref") < 0, F.col("ref")).otherwise(F.col("ref") - F.col("ref") % 2)
+        parts = components(many.select("map_id", F.col("id").alias("a"), node.alias("b")))
+        out.append((many.join(parts.select("map_id", F.col("node").alias("id"), "component"), ["map_id", "id"]), parts.where("node < 0")))
+    return out
+
+
+def _with_beginnings(operands: DataFrame, nodes: DataFrame, seg: DataFrame) -> DataFrame:
+    """Rows for ``_resolved``: operands, and the segments that their components begin with."""
+    none = lambda kind: F.lit(None).cast(kind)
+    made = operands.select("map_id", "component", "id", "side", "ref", "op", "b", "text", none("string").alias("segment"), none("long").alias("length"), none("boolean").alias("inverted"), none("string").alias("scaffold"))
+    began = nodes.join(seg.withColumn("node", -1 - F.col("place")), ["map_id", "node"])
+    return made.unionByName(began.select("map_id", "component", F.col("node").alias("id"), F.lit(0).alias("side"), none("long").alias("ref"), none("string").alias("op"), none("long").alias("b"), none("string").alias("text"), "segment", "length", "inverted", "scaffold"))
 
 
 def fold_tree(initial: DataFrame, log: DataFrame, chunk: int = CHUNK, places: int = PLACES) -> DataFrame:
@@ -246,37 +288,34 @@ def fold_tree(initial: DataFrame, log: DataFrame, chunk: int = CHUNK, places: in
     maps = written(sizes.join(logs, "map_id", "left").select("map_id", "segments", "first", (F.col("segments") + F.coalesce("cuts", F.lit(0))).alias("bound"), F.coalesce(part("last") + 1, F.lit(0)).alias("chunks")), "maps")
     placed = edits.join(maps.where("chunks > 0").select("map_id", "first", "bound"), "map_id").withColumn("chunk", part("number"))
     effect = written(_chunk_effects(placed), "effects")
-    most = maps.agg(F.max("chunks")).first()[0] or 0
-    levels = _levels(effect.where("op is null"), most, places) if most else []
+    most, longest = (x or 0 for x in maps.agg(F.max("chunks"), F.max("bound")).first())
+    widths = [_width(longest, chunk, k, places) for k in range(most.bit_length())]
+    levels = _levels(effect.where("op is null"), most, widths) if most else []
     none = lambda kind: F.lit(None).cast(kind)
     ends = maps.select("map_id", F.col("chunks").alias("chunk"), F.lit(-1).cast("long").alias("id"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("start"), F.col("bound").alias("n"), F.lit(0).cast("long").alias("ref"), F.lit(False).alias("version"), none("string").alias("op"), none("long").alias("b"), none("string").alias("text"))
-    items = effect.where("op is not null").unionByName(ends)
+    items = written(effect.where("op is not null").unionByName(ends), "items")
     for k, known in enumerate(levels):
-        # what stands at the input of chunk c was left by the run of chunks that ends there
+        # what stands at the input of chunk c was left by the run of chunks that ends there; both halves of
+        # the items read those before, so each level is written: unwritten plans would double with it
         going = (F.shiftright("chunk", k) % 2 == 1) & ~F.col("version")
         rest = items.where(~going)
-        led = _through(items.where(going).withColumn("node", F.shiftright("chunk", k) - 1), known.select("map_id", "node", "start", "n", "ref", "version"), places).drop("node")
-        items = rest.withColumn("chunk", F.shiftleft(F.shiftright("chunk", k + 1), k + 1)).unionByName(led.withColumn("chunk", F.shiftleft(F.shiftright("chunk", k + 1), k + 1)))
-    items = written(items, "items")
+        led = _through(items.where(going).withColumn("node", F.shiftright("chunk", k) - 1), known, widths[k]).drop("node")
+        before, items = items, written(rest.unionByName(led).withColumn("chunk", F.shiftleft(F.shiftright("chunk", k + 1), k + 1)), "items")
+        dropped(before, known)
     seg = initial.select("map_id", F.col("order_index").cast("long").alias("place"), "segment", F.col("length").cast("long").alias("length"), "inverted", "scaffold")
     # versions, with the segments that they began as
     operands = items.where("op is not null").select("map_id", "id", "side", F.when(F.col("version"), F.col("ref")).otherwise(-1 - F.col("ref")).alias("ref"), "op", "b", "text")
-    # both versions of a cut are one node
-    node = lambda c: F.when(F.col(c) < 0, F.col(c)).otherwise(F.col(c) - F.col(c) % 2)
-    parts = components(operands.select("map_id", F.col("id").alias("a"), node("ref").alias("b")))
+    rows = [_with_beginnings(*x, seg) for x in _owners(operands, maps, most, WHOLE)]
     final = items.where("op is null")
-    stands = final.where("version").select("map_id", (F.col("ref") - F.col("ref") % 2).alias("id"), (F.col("ref") % 2).alias("k")).groupBy("map_id", "id").agg(F.collect_set("k").alias("ks"))
-    flag = F.array(*[F.coalesce(F.array_contains("ks", F.lit(k).cast("long")), F.lit(False)) for k in (0, 1)])
-    made = operands.join(parts.select("map_id", F.col("node").alias("id"), "component"), ["map_id", "id"]).join(stands, ["map_id", "id"], "left").withColumn("stands", flag).drop("ks")
-    made = made.select("map_id", "component", "id", "side", "ref", "op", "b", "text", none("string").alias("segment"), none("long").alias("length"), none("boolean").alias("inverted"), none("string").alias("scaffold"), "stands")
-    began = parts.where("node < 0").join(seg.withColumn("node", -1 - F.col("place")), ["map_id", "node"]).select("map_id", "component", F.col("node").alias("id"), F.lit(0).alias("side"), none("long").alias("ref"), none("string").alias("op"), none("long").alias("b"), none("string").alias("text"), "segment", "length", "inverted", "scaffold", F.array(F.lit(False), F.lit(False)).alias("stands"))
-    versions = _resolved(made.unionByName(began)).select("map_id", F.col("id").alias("ref"), "segment", "length", "inverted", "scaffold", "pieces")
+    versions = _resolved(reduce(DataFrame.unionByName, rows)).select("map_id", F.col("id").alias("ref"), "segment", "length", "inverted", "scaffold", "pieces")
     new = final.where("version").select("map_id", "start", "ref").join(versions, ["map_id", "ref"]).drop("ref")
-    base = seg.select("map_id", F.lit(0).cast("long").alias("node"), F.col("place").alias("start"), F.lit(1).cast("long").alias("n"), F.col("place").alias("ref"), F.lit(False).alias("version"))
-    old = _through(final.where("not version").select("map_id", F.lit(0).cast("long").alias("node"), "start", "n", "ref", "version"), base, places).select("map_id", "start", F.col("ref").alias("place")).join(seg, ["map_id", "place"]).drop("place")
+    # runs that stand, place by place (those behind the last segment meet none), with no array longer than a bucket
+    stretch = final.where("not version").select("map_id", "start", "ref", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / places))).alias("__k"))
+    inside = F.sequence(F.col("__k") * places, F.least((F.col("__k") + 1) * places, F.col("n")) - 1)
+    old = stretch.select("map_id", "start", "ref", F.explode(inside).alias("__at")).select("map_id", (F.col("start") + F.col("__at")).alias("start"), (F.col("ref") + F.col("__at")).alias("place")).join(seg, ["map_id", "place"]).drop("place")
     whole = F.array(F.struct(F.col("segment").alias("source"), F.lit(0).cast("long").alias("start"), F.col("length").alias("end"), F.col("inverted").alias("reversed")))
     out = written(old.withColumn("pieces", whole).unionByName(new), "folded")
-    dropped(maps, effect, items, *levels)
+    dropped(maps, effect, items)
     return out.select("map_id", F.col("start").cast("int").alias("order_index"), "segment", "length", "inverted", "scaffold", "pieces")
 
 
