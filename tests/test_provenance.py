@@ -85,6 +85,16 @@ def test_plans_do_not_grow_with_the_number_of_chunks(spark, monkeypatch):
     assert max(leaves) <= 16
 
 
+def test_short_logs_are_worked_out_whole(spark, monkeypatch):
+    """Many maps of a few edits each need no rounds that search for components."""
+    monkeypatch.setattr(provenance, "components", lambda edges: pytest.fail("a search for components"))
+    rng = random.Random(6)
+    maps = [random_map(rng, m, 1 + m % 4, 9 + m % 3) for m in range(30)]
+    initial = spark.createDataFrame([r for s, _, _ in maps for r in s], SEGMENTS)
+    log = spark.createDataFrame([r for _, edits, _ in maps for r in edits], LOG)
+    assert rows(provenance.fold_tree(initial, log)) == sorted((m, k, *s[:4], s[4]) for m, (_, _, state) in enumerate(maps) for k, s in enumerate(state))
+
+
 def test_pieces_of_reversed_segments():
     source = ["s", 100, True, None, [("s", 0, 100, True)]]
     left, right = provenance.apply_to("cut", [source], 30, None)
