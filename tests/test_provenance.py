@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftmap.operators import history, provenance
+from weftmap.operators import batch, history, provenance
 
 SEGMENTS = "map_id long, order_index int, segment string, length long, inverted boolean, scaffold string"
 LOG = "map_id long, seq long, op string, a int, b int, text string"
@@ -68,15 +68,21 @@ def test_tree_equals_plain_fold(spark, chunk, places):
             assert spans[0][0] == 0 and spans[-1][1] == length and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
 
 
-def test_plans_do_not_grow_with_the_number_of_chunks(spark, monkeypatch):
-    """40 chunks are six levels: every table is written from few others, whatever the level."""
-    leaves, write = [], provenance.written
+@pytest.fixture
+def leaves(monkeypatch):
+    """How many tables each table was written from."""
+    seen, write = [], provenance.written
 
     def counted(df, tag="step"):
-        leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        seen.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
         return write(df, tag)
 
     monkeypatch.setattr(provenance, "written", counted)
+    return seen
+
+
+def test_plans_do_not_grow_with_the_number_of_chunks(spark, leaves):
+    """40 chunks are six levels: every table is written from few others, whatever the level."""
     rng = random.Random(5)
     maps = [random_map(rng, m, n, e) for m, (n, e) in enumerate([(25, 80), (3, 7)])]
     initial = spark.createDataFrame([r for s, _, _ in maps for r in s], SEGMENTS)
@@ -85,6 +91,24 @@ def test_plans_do_not_grow_with_the_number_of_chunks(spark, monkeypatch):
     assert max(leaves) <= 16
 
 
+BATCHES = {
+    "inverted and sorted": lambda s: batch.after(batch.invert_selected(s.where("length % 3 > 0")), batch.sort_by_length(s)),
+}
+
+
+@pytest.mark.parametrize("name", BATCHES)
+def test_batches_of_many_chunks(spark, leaves, name):
+    rng = random.Random(9)
+    start = [(0, k, f"s{k}", rng.randrange(50, 2000), k % 2 == 1, rng.choice([None, "x"])) for k in range(60)]
+    initial = spark.createDataFrame(start, SEGMENTS)
+    log = BATCHES[name](initial.select("order_index", "length")).selectExpr("0L as map_id", "*")
+    edits = sorted(tuple(r)[1:] for r in log.collect())
+    assert len(edits) >= 16  # chunks of two
+    state = plain([[s, length, inv, sc, [(s, 0, length, inv)]] for _, _, s, length, inv, sc in start], edits)
+    assert rows(provenance.fold_tree(initial, log, 2, 16)) == [(0, k, *s) for k, s in enumerate(state)]
+    assert max(leaves) <= 16
+
+
 def test_short_logs_are_worked_out_whole(spark, monkeypatch):
     """Many maps of a few edits each need no rounds that search for components."""
     monkeypatch.setattr(provenance, "components", lambda edges: pytest.fail("a search for components"))
