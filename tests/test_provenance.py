@@ -94,6 +94,7 @@ def test_plans_do_not_grow_with_the_number_of_chunks(spark, leaves):
 BATCHES = {
     "inverted and sorted": lambda s: batch.after(batch.invert_selected(s.where("length % 3 > 0")), batch.sort_by_length(s)),
     "cut": lambda s: batch.cut_by_size(s, 300),
+    "joined": lambda s: batch.join_runs(s.where("length % 3 > 0")),
 }
 
 
